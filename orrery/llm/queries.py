@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import simhash, substring
+from orrery.llm import ans, bpe, simhash, substring
 from orrery.llm.common import table
 
 
@@ -15,12 +15,27 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    """Where the machine keeps a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = (op1_simhash_near_dedup, op6_substring_dedup)
+def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ans.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+QUERIES = (op1_simhash_near_dedup, op2_bpe, op6_substring_dedup, op9_token_binary)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
