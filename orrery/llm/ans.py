@@ -148,89 +148,85 @@ class WordTokens:
         return [b"".join(map(get, p)) for p in parts]
 
 
-def tokens(docs: DataFrame, path: str, files: int) -> DataFrame:
-    """`docs(doc_id, text)` in ascending doc_id order over `files` partitions -> `(file, place,
-    doc_id, ids BINARY)`: each text's 16-bit ids with the end id, and its place in the file."""
+def id_blocks(docs: DataFrame, path: str, files: int) -> DataFrame:
+    """`docs(doc_id, text)` -> `(file, block, doc_ids, lengths, ids BINARY)`: each text's 16-bit ids
+    and the end id, in ascending doc_id order over `files` ranges of doc_ids, as blocks of whole
+    documents with about BLOCK ids; a longer document has a block of its own."""
     if tokenizer(path).get_vocab_size() > 1 << 16:
         raise ValueError("ids of more than 16 bits")
     end = np.array([END], "<u2").tobytes()
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, place = WordTokens(path), 0
+        encode, block, size = WordTokens(path), 0, 0
+        doc_ids: list[object] = []
+        held: list[bytes] = []
+        file, schema = None, None
+
+        def out() -> pa.RecordBatch:
+            row = {"file": [file], "block": [block], "doc_ids": [doc_ids], "lengths": [[len(x) // 2 for x in held]], "ids": [b"".join(held)]}
+            return pa.RecordBatch.from_pydict(row, schema)
+
         for batch in text_slices(batches):
-            ids = [x + end for x in encode([t or b"" for t in as_bytes(batch.column("text"))])]
-            places = pa.array(range(place, place + len(ids)), pa.int64())
-            place += len(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("file"), places, batch.column("doc_id"), pa.array(ids, pa.binary())], names=["file", "place", "doc_id", "ids"])
+            file = batch.column("file")[0].as_py()  # a task has one range
+            schema = schema or pa.schema([("file", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(batch.schema.field("doc_id").type)), ("lengths", pa.list_(pa.int32())), ("ids", pa.binary())])
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode([t or b"" for t in as_bytes(batch.column("text"))]), strict=True):
+                n = len(ids) // 2 + 1
+                if held and size + n > BLOCK:
+                    yield out()
+                    block, size, doc_ids, held = block + 1, 0, [], []
+                doc_ids.append(doc_id)
+                held.append(ids + end)
+                size += n
+        if held:
+            yield out()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    ordered = docs.select("doc_id", "text").repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return ordered.select(F.spark_partition_id().alias("file"), "doc_id", "text").mapInArrow(run, f"file int, place bigint, doc_id {kind}, ids binary")
+    first = F.col("doc_id").asc_nulls_first()
+    ordered = docs.select("doc_id", "text").repartitionByRange(files, first).sortWithinPartitions(first, F.xxhash64("text"))
+    return ordered.select(F.spark_partition_id().alias("file"), "doc_id", "text").mapInArrow(run, f"file int, block int, doc_ids array<{kind}>, lengths array<int>, ids binary")
 
 
-def count_ids(ids: DataFrame, size: int) -> np.ndarray:
+def count_ids(blocks: DataFrame, size: int) -> np.ndarray:
     """How often each id below `size` occurs: one partial count per task, summed by Spark."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                counts += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=size) if len(x.as_buffer()) > 2 * size else 0
-            short = b"".join(x for x in batch.column("ids").to_pylist() if len(x) <= 2 * size)
-            counts += np.bincount(np.frombuffer(short, "<u2"), minlength=size)
+            for ids in batch.column("ids"):
+                counts += np.bincount(np.frombuffer(ids.as_buffer(), "<u2"), minlength=size)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row per id of the vocabulary
+    rows = blocks.select("ids").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row per id of the vocabulary
     counts = np.zeros(size, np.int64)
     for i, n in rows:
         counts[i] = n
     return counts
 
 
-def write_blocks(ids: DataFrame, table: Table) -> DataFrame:
-    """`(file, place, doc_id, ids)` -> `(file, block, doc_ids, lengths, payload)`: whole documents,
-    in order, to blocks of about BLOCK ids; a longer document has a block of its own."""
-    shared = ids.sparkSession.sparkContext.broadcast(table)
+def coded(blocks: DataFrame, table: Table) -> DataFrame:
+    """Blocks of ids -> `(file, block, doc_ids, lengths, payload)`."""
+    shared = blocks.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, block, held, size = shared.value, 0, [], 0
-
-        def out() -> pa.RecordBatch:
-            data = np.frombuffer(b"".join(x for _, _, x in held), "<u2")
-            row = {"file": [held[0][0]], "block": [block], "doc_ids": [[d for _, d, _ in held]], "lengths": [[len(x) // 2 for _, _, x in held]], "payload": [table.encode(data)]}
-            return pa.RecordBatch.from_pydict(row, schema)
-
-        schema = None
         for batch in batches:
-            schema = schema or pa.schema([("file", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(batch.schema.field("doc_id").type)), ("lengths", pa.list_(pa.int32())), ("payload", pa.binary())])
-            for row in zip(batch.column("file").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if held and (held[0][0] != row[0] or size + len(row[2]) // 2 > BLOCK):
-                    yield out()
-                    block, held, size = (block + 1 if held[0][0] == row[0] else 0), [], 0
-                held.append(row)
-                size += len(row[2]) // 2
-        if held:
-            yield out()
+            payload = [shared.value.encode(np.frombuffer(x.as_buffer(), "<u2")) for x in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(payload, pa.binary())], names=["file", "block", "doc_ids", "lengths", "payload"])
 
-    kind = ids.schema["doc_id"].dataType.simpleString()
-    return ids.select("file", "doc_id", "ids").mapInArrow(run, f"file int, block int, doc_ids array<{kind}>, lengths array<int>, payload binary")
+    kind = blocks.schema["doc_ids"].dataType.simpleString()
+    return blocks.mapInArrow(run, f"file int, block int, doc_ids {kind}, lengths array<int>, payload binary")
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, files: int) -> None:
     """Encode every text, append the end id, and write the ids to `folder` in ascending doc_id
-    order: `blocks` has a Parquet part per range of doc_ids with self-contained blocks as rows,
-    `table` the counts of the shared frequency table. Spark's commit makes either complete or
-    absent, whichever executors are lost."""
-    ids = tokens(docs, path, files)
-    stored = new_folder(docs.sparkSession, "ids")
-    ids.write.option("compression", "zstd").partitionBy("file").parquet(stored)
-    back = docs.sparkSession.read.schema(ids.schema).parquet(stored)
-    counts = count_ids(back, tokenizer(path).get_vocab_size())
+    order: `blocks` has self-contained blocks as rows of Parquet parts, numbered within ranges of
+    doc_ids; `table` the counts of the shared frequency table. Spark's commit makes either
+    complete or absent, whichever executors are lost."""
+    blocks = kept(id_blocks(docs, path, files), "ids")
+    counts = count_ids(blocks, tokenizer(path).get_vocab_size())
     spark = docs.sparkSession
     spark.createDataFrame([(i, int(counts[i])) for i in np.flatnonzero(counts).tolist()], "id int, n bigint").coalesce(1).write.parquet(f"{folder}/table")
-    one_file_tasks = back.repartition(files, "file").sortWithinPartitions("file", "place")
-    write_blocks(one_file_tasks, Table(counts)).write.option("compression", "none").parquet(f"{folder}/blocks")
+    coded(blocks, Table(counts)).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
 def read_table(spark: SparkSession, folder: str) -> Table:
