@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import ans, bpe, simhash, substring
+from orrery.llm import ans, bpe, decontaminate, simhash, substring
 from orrery.llm.common import table
 
 
@@ -35,7 +35,11 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ans.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = (op1_simhash_near_dedup, op2_bpe, op6_substring_dedup, op9_token_binary)
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = (op1_simhash_near_dedup, op2_bpe, op6_substring_dedup, op9_token_binary, op10_decontamination)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
