@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import ans, bpe, decontaminate, quality, simhash, substring
+from orrery.llm import ans, bpe, decontaminate, multiset, quality, simhash, substring
 from orrery.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ans.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -43,7 +47,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = (op1_simhash_near_dedup, op2_bpe, op6_substring_dedup, op7_quality_classifier, op9_token_binary, op10_decontamination)
+QUERIES = (op1_simhash_near_dedup, op2_bpe, op6_substring_dedup, op7_quality_classifier, op8_document_fingerprints, op9_token_binary, op10_decontamination)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
