@@ -127,3 +127,10 @@ class Grams:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def vocabulary(name: str) -> str:
+    """Where the machine keeps a public tokenizer's file; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
