@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from orrery.plans import products  # noqa: F401  (registers its queries)
 from orrery.plans.registry import ORACLES, QUERIES, Query
 
 
