@@ -2,51 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-WORD_CACHE = 300_000
+from orrery.sources.shared import kept, new_folder, shared_dir  # noqa: F401  (used by the operators)
+
+#: Words that a Python worker remembers, over all its tasks.
+WORD_CACHE = 600_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which driver and executors share. Where the
-    setting is absent (tests in one process) a fresh temporary folder takes its place."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="orrery-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the session's file system closes."""
-    path = f"{shared_dir(spark)}/orrery-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, lets several
-    later steps read it, and outlives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     if pa.types.is_large_string(column.type):
@@ -68,6 +41,13 @@ def text_slices(batches: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Itera
                 yield batch.slice(lo, hi - lo)
 
 
+def trim(cache: dict, most: int = WORD_CACHE) -> None:
+    """Forget the words learned first, once there are too many."""
+    if len(cache) > most:
+        for key in list(islice(cache, len(cache) - most // 2)):
+            del cache[key]
+
+
 class HashedWords(dict):
     """word -> 64-bit hash, remembered for the words seen lately."""
 
@@ -77,7 +57,7 @@ class HashedWords(dict):
         self.seed, self.hash = seed, xxhash.xxh64_intdigest
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > WORD_CACHE:
+        if len(self) > WORD_CACHE // 2:
             self.clear()
         value = self[word] = self.hash(word, self.seed)
         return value
