@@ -56,10 +56,12 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def shingle_set(text: Column, n: int) -> Column:
-    """The distinct runs of n words of a normalized text; a shorter text is one run, the empty
-    text none."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    size = F.size(words)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), size - (n - 1)))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(size == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+    """Hashes of the distinct runs of n words of a normalized text; a shorter text is one run, the
+    empty text none. Runs are hashed by shifting the array of word hashes against itself, so each
+    is computed once and no word is copied."""
+    hashes = F.transform(F.filter(F.split(text, " "), lambda w: w != ""), lambda w: F.xxhash64(w))
+    size = F.size(hashes)
+    runs = hashes
+    for k in range(2, n + 1):
+        runs = F.zip_with(runs, F.slice(hashes, k, size), lambda a, b: F.xxhash64(a, b))
+    return F.when(size == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.slice(runs, 1, F.greatest(F.lit(1), size - (n - 1)))))

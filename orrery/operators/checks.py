@@ -54,7 +54,7 @@ def profile_table(df: DataFrame, cols: list[str]) -> DataFrame:
     counts = long.groupBy("name", "value").agg(F.count("*").alias("n"))
     # percentile keeps a map of distinct values to counts, which the grouping has built already
     quarter = lambda p: F.round(F.percentile("value", p, F.col("n")), 6)
-    mean = F.round(F.sum(F.col("value") * F.col("n")) / F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), 6)
+    mean = F.round(F.sum(F.col("value") * F.col("n")) / F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), 4)
     return counts.groupBy("name").agg(
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_null"), F.count("value").alias("n_distinct"),
         F.min("value").alias("least"), F.max("value").alias("most"), mean.alias("mean"),

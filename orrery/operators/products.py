@@ -79,8 +79,8 @@ def dedup_exact(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def min_hashes(shingles: Column, bands: int, rows: int) -> Column:
-    """Band texts: for each band the least MD5 of each of its seeds."""
-    least = lambda seed: F.array_min(F.transform(shingles, lambda s: F.md5(F.concat(F.lit(f"{seed}:"), s))))
+    """Band texts: for each band the least hash under each of its seeds."""
+    least = lambda seed: F.array_min(F.transform(shingles, lambda s: F.xxhash64(F.lit(seed), s))).cast("string")
     return F.array(*[F.concat_ws(":", F.lit(str(b)), *[least(b * rows + r) for r in range(rows)]) for b in range(bands)])
 
 
@@ -89,7 +89,7 @@ def near_dup_pairs(df: DataFrame, id_col: str, text_col: str, n: int = 5, t: flo
     Documents with equal sets are one group, linked to its least id; only groups' representatives
     are compared, by equal MinHash bands and then exactly. So copies never make all pairs."""
     sets = df.select(F.col(id_col).alias("id"), F.array_sort(shingle_set(norm_text(F.col(text_col)), n)).alias("s")).where(F.size("s") > 0)
-    marked = sets.withColumn("mark", F.sha2(F.array_join("s", "\n"), 256))
+    marked = sets.withColumn("mark", F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), " "), 256))
     groups = marked.groupBy("mark").agg(F.min("id").alias("a"))
     copies = marked.select("id", "mark").join(groups, "mark").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
     reps = marked.join(groups.select("mark", F.col("a").alias("id")), ["mark", "id"]).dropDuplicates(["id"]).select("id", "s")

@@ -278,7 +278,7 @@ def q4(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("q5_profile_table", " union all ".join(f"""
 select '{c}' as name, count(*) filter ({c} is null) as n_null, count(distinct {c}) as n_distinct, min({c})::double as least, max({c})::double as most,
-  round(avg({c}::double), 6) as mean, round(quantile_cont({c}::double, 0.25), 6) as q25, round(quantile_cont({c}::double, 0.5), 6) as q50, round(quantile_cont({c}::double, 0.75), 6) as q75 from lineitem"""
+  round(avg({c}::double), 4) as mean, round(quantile_cont({c}::double, 0.25), 6) as q25, round(quantile_cont({c}::double, 0.5), 6) as q50, round(quantile_cont({c}::double, 0.75), 6) as q75 from lineitem"""
     for c in ("l_quantity", "l_extendedprice", "l_discount", "l_suppkey")))
 def q5(spark: SparkSession, sf: str) -> DataFrame:
     return checks.profile_table(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_suppkey"])
