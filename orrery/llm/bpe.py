@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from orrery.llm.common import WORD_CACHE, as_bytes, text_slices
+from orrery.llm.common import as_bytes, text_slices, trim
 
 #: Fixed values of byte-level BPE files: how texts are cut before merging.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -155,8 +155,7 @@ class Encoder:
         whole = [t.decode() for t in texts]
         parts = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in whole]
         parts = [[p if p[:1] == "\n" else " " + p for p in part] for part in parts]
-        if len(self.words) > WORD_CACHE:
-            self.words.clear()
+        trim(self.words)
         words = self.words
         new = list(set().union(*parts) - words.keys())
         special = self.merges.special
@@ -173,12 +172,18 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One per Python worker, so that later tasks know the words of earlier ones."""
+    return Encoder(path)
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """`docs(doc_id, text, ...)` -> `(doc_id, ids BINARY)`: each text's token ids as little-endian
     32-bit integers. Null texts count as empty and have no ids."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         for batch in text_slices(batches):
             ids = encode([t or b"" for t in as_bytes(batch.column("text"))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
@@ -206,7 +211,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     texts count as empty; other columns aren't read."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         digest = lambda x: hashlib.sha256(x).hexdigest()
         for batch in text_slices(batches):
             ids = encode([t or b"" for t in as_bytes(batch.column("text"))])
