@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.plans import products, series, validation  # noqa: F401  (register their queries)
+from orrery.plans import learning, products, series, streams, validation  # noqa: F401  (register their queries)
 from orrery.plans.registry import ORACLES, QUERIES, Query
 
 
