@@ -141,7 +141,7 @@ def r10_profile(spark, sf):
 
 
 SESSIONS = """
-marked as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval '4 hours' then 0 else 1 end as new from events),
+marked as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval '4 hours' then 0 else 1 end as new from events),
 numbered as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from marked)"""
 SESSION_ROWS = 'select user_id, min(ts) as start, max(ts) + interval \'4 hours\' as "end", count(*) as n, round(sum(value), 4) as total from numbered group by user_id, s'
 
