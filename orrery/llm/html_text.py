@@ -305,6 +305,8 @@ def render(root: Node) -> str:
         step, node, parent = stack.pop()
         canvas = canvases[-1]
         if isinstance(node, str):
+            if parent is not None and parent.name == "details" and "open" not in parent.attributes:
+                continue
             if grids and parent is not None and parent.name in {"table", "tr", *ROW_GROUPS}:
                 if not node.strip():
                     continue
