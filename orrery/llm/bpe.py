@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from orrery.llm.common import as_bytes, text_slices, trim
+from orrery.llm.common import Remembered, as_bytes, text_slices
 
 #: Fixed values of byte-level BPE files: how texts are cut before merging.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -128,7 +128,7 @@ class Encoder:
         self.cut = regex.compile(CUT).findall
         special = sorted(self.merges.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
-        self.words: dict[str, bytes | None] = {}
+        self.words = Remembered()
         self.feed = 4 * len(self.merges.encode([b"\n"])[0])
 
     def whole(self, text: str) -> bytes:
@@ -155,9 +155,8 @@ class Encoder:
         whole = [t.decode() for t in texts]
         parts = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in whole]
         parts = [[p if p[:1] == "\n" else " " + p for p in part] for part in parts]
-        trim(self.words)
         words = self.words
-        new = list(set().union(*parts) - words.keys())
+        new = list(words.unknown(set().union(*parts)))
         special = self.merges.special
         unsafe = [w for w in new if len(w) < 2 or w[1:].strip() != w[1:] or any(t in w for t in special)]
         words.update(dict.fromkeys(unsafe))

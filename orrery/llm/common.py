@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from orrery.sources.shared import kept, new_folder, shared_dir  # noqa: F401  (used by the operators)
 
 #: Words that a Python worker remembers, over all its tasks.
-WORD_CACHE = 600_000
+WORD_CACHE = 800_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +40,24 @@ def text_slices(batches: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Itera
                 yield batch.slice(lo, hi - lo)
 
 
-def trim(cache: dict, most: int = WORD_CACHE) -> None:
-    """Forget the words learned first, once there are too many."""
-    if len(cache) > most:
-        for key in list(islice(cache, len(cache) - most // 2)):
-            del cache[key]
+class Remembered(dict):
+    """Words and what was computed for them, those used lately: a full table becomes the older
+    generation, from which words come back when they are used again."""
+
+    older: dict
+
+    def __init__(self) -> None:
+        self.older = {}
+
+    def unknown(self, words: set) -> set:
+        """Those of the words that must be computed anew."""
+        if len(self) > WORD_CACHE // 2:
+            self.older = dict(self)
+            self.clear()
+        new = words - self.keys()
+        back = new & self.older.keys()
+        self.update((w, self.older[w]) for w in back)
+        return new - back
 
 
 class HashedWords(dict):
