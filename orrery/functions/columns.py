@@ -55,6 +55,12 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's correlation of a group; null where either side is constant."""
+    x, y = F.when(y.isNotNull(), x.cast("double")), F.when(x.isNotNull(), y.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def shingle_set(text: Column, n: int) -> Column:
     """Hashes of the distinct runs of n words of a normalized text; a shorter text is one run, the
     empty text none. Runs are hashed by shifting the array of word hashes against itself, so each

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.functions.columns import correlation
+
 
 def user_scope(df: DataFrame, users: DataFrame) -> DataFrame:
     """Rows of allowed users."""
@@ -39,7 +41,7 @@ def item_analysis(responses: DataFrame) -> DataFrame:
     """Share right of each item, and its correlation with the rest of the users' scores."""
     totals = responses.groupBy("user_id").agg(F.sum("correct").alias("total"))
     rows = responses.join(totals, "user_id").withColumn("rest", F.col("total") - F.col("correct"))
-    return rows.groupBy("item_id").agg(F.count("*").alias("n"), F.avg("correct").alias("difficulty"), F.corr(F.col("correct").cast("double"), F.col("rest").cast("double")).alias("discrimination"))
+    return rows.groupBy("item_id").agg(F.count("*").alias("n"), F.avg("correct").alias("difficulty"), correlation(F.col("correct"), F.col("rest")).alias("discrimination"))
 
 
 def mastery(responses: DataFrame, groups: int, n: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.functions.columns import bucket32, norm_text, poisson_weight, shingle_set
+from orrery.functions.columns import bucket32, correlation, norm_text, poisson_weight, shingle_set
 
 # ---------------------------------------------------------------- holdouts
 
@@ -246,6 +246,6 @@ def feature_screen(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     long = df.select(label, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot([label], cols, "feature", "x")
     of = lambda y: F.when(F.col(label) == y, F.col("x"))
     spread = F.sqrt((F.var_samp(of(1)) + F.var_samp(of(0))) / 2)
-    shape = long.groupBy("feature").agg(F.corr("x", F.col(label).cast("double")).alias("corr"), F.try_divide(F.avg(of(1)) - F.avg(of(0)), spread).alias("difference"))
+    shape = long.groupBy("feature").agg(correlation(F.col("x"), F.col(label)).alias("corr"), F.try_divide(F.avg(of(1)) - F.avg(of(0)), spread).alias("difference"))
     areas = reduce(DataFrame.unionByName, [auc(df, c, label).select(F.lit(c).alias("feature"), "auc") for c in cols])
     return shape.join(areas, "feature")

@@ -157,7 +157,7 @@ def r12(spark, sf):
 
 
 @register("r13_item_analysis", sql(RESPONSE, "u as (select user_id, sum(correct) as total from response group by 1)", """
-select item_id, count(*) as n, round(avg(correct), 6) as difficulty, round(corr(correct::double, (total - correct)::double), 6) as discrimination from response join u using (user_id) group by 1"""))
+select item_id, count(*) as n, round(avg(correct), 6) as difficulty, round(covar_pop(correct, total - correct) / nullif(stddev_pop(correct) * stddev_pop(total - correct), 0), 6) as discrimination from response join u using (user_id) group by 1"""))
 def r13(spark, sf):
     return r(L.item_analysis(response(spark, sf)), "difficulty", "discrimination")
 

@@ -122,17 +122,17 @@ sums as (select g, rep, sum(w * num) / nullif(sum(w * den), 0) as stat from draw
 ci as (select g as {by}, max(stat) filter (rep = 0) as est, quantile_cont(stat, {alpha / 2}) filter (rep > 0) as lo, quantile_cont(stat, {1 - alpha / 2}) filter (rep > 0) as hi, count(*) filter (rep > 0) as reps from sums group by g)"""
 
 
-CI = "round(est, 6) as est, round(lo, 6) as lo, round(hi, 6) as hi"
+CI = "round(est, 8) as est, round(lo, 8) as lo, round(hi, 8) as hi"  # means of cents end in few digits: fewer places would meet ties
 
 
 @register("v11_bootstrap_ci", sql("e as (select event_type as g, event_id as id, value::double as num, 1::double as den from events)", interval_sql("e", "event_type", "b1", 50, 0.05), f"select event_type, {CI}, reps from ci"))
 def v11(spark, sf):
-    return r(V.bootstrap_ci(table(spark, sf, "events"), "event_type", "event_id", F.col("value"), F.lit(1), 50, 0.05, "b1"), "est", "lo", "hi")
+    return r(V.bootstrap_ci(table(spark, sf, "events"), "event_type", "event_id", F.col("value"), F.lit(1), 50, 0.05, "b1"), "est", "lo", "hi", places=8)
 
 
 @register("v12_cluster_bootstrap_ci", sql(JUDGED, "e as (select 'all' as g, source as id, sum(quality)::double as num, count(*)::double as den from judged group by source)", interval_sql("e", "k", "b2", 200, 0.1), f"select {CI}, reps from ci"))
 def v12(spark, sf):
-    return r(V.cluster_bootstrap_ci(judged(spark, sf), "source", F.col("quality"), F.lit(1), 200, 0.1, "b2"), "est", "lo", "hi")
+    return r(V.cluster_bootstrap_ci(judged(spark, sf), "source", F.col("quality"), F.lit(1), 200, 0.1, "b2"), "est", "lo", "hi", places=8)
 
 
 @register("v13_permutation_test", sql(JUDGED, f"""
@@ -161,7 +161,7 @@ PLACEBO = "e as (select event_type as g, event_id as id, (event_id % 2)::double
 
 @register("v15_negative_control", sql(PLACEBO, interval_sql("e", "event_type", "n1", 50, 0.05), f"select event_type, {CI}, reps, lo > 0.5 or hi < 0.5 as fails from ci"))
 def v15(spark, sf):
-    return r(V.negative_control(table(spark, sf, "events"), "event_type", "event_id", F.col("event_id") % 2, 0.5, 50, 0.05, "n1"), "est", "lo", "hi")
+    return r(V.negative_control(table(spark, sf, "events"), "event_type", "event_id", F.col("event_id") % 2, 0.5, 50, 0.05, "n1"), "est", "lo", "hi", places=8)
 
 
 EFFECTS = "e as (select dayofmonth(ts)::int as g, event_id as id, (case when event_type = 'view' then value - 50 else 50 - value end)::double as num, 1::double as den from events)"
@@ -177,7 +177,7 @@ R1 = interval_sql("e", "day", "r1", 40, 0.05)
 
 @register("v16_replicate", sql(EFFECTS, R1, f"select day, {CI}, reps, lo > 0 or hi < 0 as significant from ci"))
 def v16(spark, sf):
-    return r(effects(spark, sf), "est", "lo", "hi")
+    return r(effects(spark, sf), "est", "lo", "hi", places=8)
 
 
 @register("v16_summary", sql(EFFECTS, R1, "m as (select quantile_cont(est, 0.5) as median from ci)", """
@@ -198,7 +198,7 @@ def v17(spark, sf):
 @register("v18_verdict", sql(EFFECTS, R1, f"""
 select day, {CI}, case when lo >= -4 and hi <= 4 then 'equivalent' when lo > 0 then 'supported' when hi < 0 then 'refuted' else 'inconclusive' end as verdict from ci"""))
 def v18(spark, sf):
-    return r(V.verdict(effects(spark, sf), 4.0), "est", "lo", "hi").drop("reps", "significant")
+    return r(V.verdict(effects(spark, sf), 4.0), "est", "lo", "hi", places=8).drop("reps", "significant")
 
 
 @register("v19_bh_adjust", """
