@@ -120,9 +120,9 @@ sets as (
   from words where len(w) > 0),
 grp as (select s, min(id) as a from sets group by s),
 copies as (select grp.a, id as b, 1.0::double as jaccard from sets join grp using (s) where id <> grp.a),
-items as (select a as id, len(s) as n, unnest(s) as x from grp),
+items as materialized (select a as id, len(s) as n, unnest(s) as x from grp),
 both_ as (select p.id as a, q.id as b, p.n as na, q.n as nb, count(*) as c from items p join items q on p.x = q.x and p.id < q.id group by all),
-near as (select a, b, c / (na + nb - c) as jaccard from both_ where c / (na + nb - c) >= 0.8 union all select * from copies)"""
+near as materialized (select a, b, c / (na + nb - c) as jaccard from both_ where c / (na + nb - c) >= 0.8 union all select * from copies)"""
 
 
 @register("p11_near_dup_pairs", sql(NEAR, "select a, b, round(jaccard, 6) as jaccard from near"))
@@ -141,7 +141,7 @@ def p12(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("p13_dup_clusters", "with recursive " + NEAR.strip() + """,
-links as (select a, b from near union all select b, a from near),
+links as materialized (select a, b from near union all select b, a from near),
 reach as (select a as id, a as c from links union select reach.id, links.b from reach join links on links.a = reach.c)
 select id, min(c) as cluster from reach group by id""")
 def p13(spark: SparkSession, sf: str) -> DataFrame:
