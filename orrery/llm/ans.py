@@ -3,30 +3,32 @@
 One frequency table, counted over all ids, serves every block. A block is coded by many lanes,
 each with its own state, which take the block's ids in turn; so numpy codes one id of every lane
 at a time. Blocks don't depend on each other: each carries its lanes' final states, its length
-and a checksum, and can be decoded alone. The states 64 steps apart inside a block are its
+and a checksum, and can be decoded alone. The states CHECK steps apart inside a block are its
 checkpoints: a reader can begin there.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import WORD_CACHE, as_bytes, kept, new_folder, text_slices
+from orrery.llm.common import Remembered, as_bytes, kept, new_folder, text_slices
 
 #: Format: shares are of 2^SCALE, states stay in [2^31, 2^63), words of 32 bits.
 SCALE, LOW = 20, 1 << 31
 MAGIC = b"RANS1\0\0\0"
 #: Ids and lanes of a full block, steps between two checkpoints.
-BLOCK, LANES, CHECK = 1 << 17, 512, 64
+BLOCK, LANES, CHECK = 1 << 19, 2048, 128
 END = 1
 
 
@@ -126,28 +128,72 @@ def tokenizer(path: str):
     return found
 
 
+#: How the vocabulary's file cuts words, and the mark of a piece's last token.
+MARKS = b".,!?;:|#$%&*"
+CUT, LAST = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
+
+
 class WordTokens:
-    """Ids (little-endian, 16 or 32 bits) of texts under a vocabulary that drops white space:
-    words between white space don't affect each other, so each is given to the tokenizer once
-    and remembered."""
+    """Ids (little-endian, 16 bits) of texts under a vocabulary that drops white space: words
+    between white space don't affect each other, so each is given to the tokenizer once and
+    remembered. New words go in as one line; its ids are dealt back by the number of pieces that
+    each word has, where the marks of the pieces' last tokens confirm the sum."""
 
     def __init__(self, path: str):
-        self.encode = tokenizer(path).encode_batch
-        self.known: dict[bytes, bytes] = {}
+        import regex
+
+        self.tokenizer = tokenizer(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(1 + max(vocab.values()), bool)
+        self.last[[i for t, i in vocab.items() if t.endswith(LAST)]] = True
+        special = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.specials = re.compile(b"|".join(special) or b"(?!)").search
+        self.cut = regex.compile(CUT).findall
+        self.known = Remembered()
+
+    def learn(self, words: list[bytes]) -> None:
+        if not words:
+            return
+        texts = [w.decode() for w in words]
+        found = np.array(self.tokenizer.encode(" ".join(texts), add_special_tokens=False).ids, "<u2")
+        ends = np.flatnonzero(self.last[found])
+        formed = (t if t.isascii() else normalize("NFC", t).lower() for t in texts)
+        pieces = np.fromiter((1 if t.isalpha() else len(self.cut(t)) for t in formed), np.int64, len(texts))
+        if pieces.sum() == len(ends) and len(ends) and ends[-1] == len(found) - 1 and pieces.all():
+            cuts = (2 * (ends[np.cumsum(pieces) - 1] + 1)).tolist()
+            data = found.tobytes()
+            self.known.update(zip(words, (data[i:j] for i, j in zip([0, *cuts], cuts, strict=False)), strict=True))
+            return
+        for w, x in zip(words, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(x.ids, "<u2").tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > WORD_CACHE:
-            self.known.clear()
-        parts = [t.split() for t in texts]
-        new = list(set().union(*parts) - self.known.keys())
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            found = self.encode([w.decode() for w in some], add_special_tokens=False)
-            self.known.update((w, np.array(x.ids, "<u2").tobytes()) for w, x in zip(some, found, strict=True))
-        get = self.known.__getitem__
+        # The vocabulary lower-cases anyway; only the special tokens' marks tell cases apart.
+        parts = [(t if self.specials(t.lower()) else t.lower()).split() for t in texts]
+        known = self.known
+        new = known.unknown(set().union(*parts))
+        # Marks behind a letter or digit begin a piece of their own, apostrophes aside.
+        stems = {w: w.rstrip(MARKS) for w in new}
+        ended = {w: s for w, s in stems.items() if s != w and s[-1:].isalnum()}
+        wanted = (new - ended.keys()) | ({*ended.values(), *(w[len(s) :] for w, s in ended.items())} - known.keys())
+        odd = {w for w in wanted if self.specials(w)}
+        plain = list(wanted - odd)
+        for lo in range(0, len(plain), 5_000):
+            self.learn(plain[lo : lo + 5_000])
+        for w in odd:
+            known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+        for w, s in ended.items():
+            known[w] = known[s] + known[w[len(s) :]]
+        get = known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
 
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One per Python worker, so that later tasks know the words of earlier ones."""
+    return WordTokens(path)
+
+
 def id_blocks(docs: DataFrame, path: str, files: int) -> DataFrame:
     """`docs(doc_id, text)` -> `(file, block, doc_ids, lengths, ids BINARY)`: each text's 16-bit ids
     and the end id, in ascending doc_id order over `files` ranges of doc_ids, as blocks of whole
@@ -158,7 +204,7 @@ def id_blocks(docs: DataFrame, path: str, files: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, block, size = WordTokens(path), 0, 0
+        encode, block, size = word_tokens(path), 0, 0
         doc_ids: list[object] = []
         held: list[bytes] = []
         file, schema = None, None
