@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from orrery.functions.columns import norm_text, shingle_set, unit_price_e4
 from orrery.operators.graph import connected_components
+from orrery.sources.shared import kept
 
 
 def offers(lineitem: DataFrame) -> DataFrame:
@@ -89,11 +90,11 @@ def near_dup_pairs(df: DataFrame, id_col: str, text_col: str, n: int = 5, t: flo
     Documents with equal sets are one group, linked to its least id; only groups' representatives
     are compared, by equal MinHash bands and then exactly. So copies never make all pairs."""
     sets = df.select(F.col(id_col).alias("id"), F.array_sort(shingle_set(norm_text(F.col(text_col)), n)).alias("s")).where(F.size("s") > 0)
-    marked = sets.withColumn("mark", F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), " "), 256))
+    marked = kept(sets.withColumn("mark", F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), " "), 256)), "sets")
     groups = marked.groupBy("mark").agg(F.min("id").alias("a"))
     copies = marked.select("id", "mark").join(groups, "mark").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
     reps = marked.join(groups.select("mark", F.col("a").alias("id")), ["mark", "id"]).dropDuplicates(["id"]).select("id", "s")
-    keys = reps.select("id", F.explode(min_hashes(F.col("s"), bands, rows)).alias("band"))
+    keys = kept(reps.select("id", F.explode(min_hashes(F.col("s"), bands, rows)).alias("band")), "bands")
     other = keys.select(F.col("id").alias("b"), "band")
     pairs = keys.select(F.col("id").alias("a"), "band").join(other, "band").where("a < b").select("a", "b").distinct()
     sized = pairs.join(reps.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
