@@ -159,6 +159,7 @@ def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
     spans = single.groupBy("doc_id").agg(F.collect_list(F.struct("start", "edges")).alias("spans"))
     edges = kept(edges_of(spans, docs, size), "edges")
     known = edges.groupBy("edge").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("edge", "first")
+    known = kept(known, "known")  # so that Spark reads both sides from a shuffle, and can split an edge that many documents have
     singly = edges.join(known, "edge").where("doc_id > first").select("doc_id", "start", F.lit(1).alias("edges"))
     return straight.union(copied).union(singly)
 
