@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from orrery.llm.common import as_bytes, kept, new_folder, text_slices
 
 #: Bytes of a written file (a single document may exceed it), and ids searched at a time.
-FILE_BYTES, BLOCK_IDS = 32 << 20, 1 << 20
+FILE_BYTES, BLOCK_IDS = 8 << 20, 1 << 20
 
 
 @lru_cache(maxsize=2)
