@@ -21,8 +21,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least doc_id."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of near copies, linked by a Jaccard of 0.8 or more over runs of five words,
+    the document with the least doc_id."""
+    return simhash.drop_near_copies(docs, words=5, least=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

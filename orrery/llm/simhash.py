@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterable, Iterator
 
@@ -19,27 +20,35 @@ BITS = 64
 # ---------------------------------------------------------------- fingerprints
 
 
-def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
-    """SimHash of a text: a bit is 1 if set in over half the XXH64 of its word shingles."""
+def shingles(text: bytes | None, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of words, in order; a shorter text is one run, a wordless one none."""
     import xxhash
 
     found = (text or b"").lower().split()
     n = len(found)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(found)
+    digest = xxhash.xxh64_intdigest
     if n <= words:
-        return xxhash.xxh64_intdigest(line, seed)
+        return np.array([digest(line, seed)], np.uint64)
     lengths = np.fromiter(map(len, found), np.int64, n)
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    digest = xxhash.xxh64_intdigest
     m = n - words + 1
-    hashes = np.fromiter(
-        (digest(line[s:e], seed) for s, e in zip(starts[:m].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, m
-    )
+    return np.fromiter((digest(line[s:e], seed) for s, e in zip(starts[:m].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, m)
+
+
+def majority(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
     ones = bit_counts(hashes)
-    return int(sum(1 << i for i in np.flatnonzero(2 * ones > m).tolist()))
+    return int(sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist()))
+
+
+def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
+    """SimHash of a text: a bit is 1 if set in over half the XXH64 of its word shingles."""
+    return majority(shingles(text, words, seed))
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -253,10 +262,137 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     return marks.join(by_mark, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def listed(sets: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+
+
+def common_runs(docs: DataFrame, words: int, sample: int = 20_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """How common word runs are, counted over about `sample` documents, for at most `most` runs,
+    which the driver holds: `(sorted runs, counts)`."""
+    rate = max(1, docs.count() // sample)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            for t in as_bytes(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(t, words)).view(np.int64))], names=["run"])
+
+    runs = docs.where(F.pmod(F.xxhash64("text"), F.lit(rate)) == 0).select("text").mapInArrow(run, "run bigint")
+    found = runs.groupBy("run").count().where("count > 2").orderBy(F.desc("count"), "run").limit(most).toArrow()
+    known, count = found.column("run").to_numpy().view(np.uint64), found.column("count").to_numpy()
+    order = np.argsort(known)
+    return known[order], count[order]
+
+
+def run_sets(docs: DataFrame, words: int) -> DataFrame:
+    """`docs(doc_id, text)` -> `(key, runs)`: the set of hashed word runs and its 128-bit digest."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            sets = [np.unique(shingles(t, words)) for t in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.binary()), listed(sets)], names=["key", "runs"])
+
+    return docs.select("text").mapInArrow(run, "key binary, runs array<bigint>")
+
+
+def digest(runs: np.ndarray) -> bytes:
+    return hashlib.blake2b(runs.tobytes(), digest_size=16).digest()
+
+
+def run_marks(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """`docs(doc_id, text)` -> `(doc_id, key, fp, size, prefix)`, one row per input row: the digest
+    of the set of word runs, the SimHash, the set's size, and so many of its runs, the first in one
+    order of all runs, that two sets with a Jaccard of `least` or more share one of them. Any order
+    finds all pairs; common runs come last, so that they bring few together."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_runs(docs, words))
+
+    def first(own: np.ndarray) -> np.ndarray:
+        known, count = shared.value
+        order = np.zeros(len(own), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            order = np.where(known[at] == own, count[at], 0)
+        return own[np.lexsort((own, order))[: len(own) - math.ceil(least * len(own) - 1e-6) + 1]]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            every = [shingles(t, words) for t in as_bytes(batch.column("text"))]
+            sets = [np.unique(x) for x in every]
+            fps = np.array([majority(x) for x in every], np.uint64).view(np.int64)
+            columns = [batch.column("doc_id"), pa.array([digest(x) for x in sets], pa.binary()), pa.array(fps), pa.array([len(x) for x in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, listed([first(x) for x in sets])], names=["doc_id", "key", "fp", "size", "prefix"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, fp bigint, size int, prefix array<bigint>")
+
+
+def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, stars: int = 2) -> DataFrame:
+    """`docs(doc_id, text, ...)` -> `(doc_id, component_id)`, one row per input row: documents whose
+    sets of word runs have a Jaccard of `least` or more are linked, all of them.
+
+    Equal sets are one row. Candidates are SimHash links first. A pair at 0.8 differs in about
+    ten bits, which no trie with a one-bit inner budget finds, so the prefixes of the sets give
+    the rest: in `stars` rounds each set with one set of each of its runs' groups, at last all
+    pairs of a group that lie in different components by then. So a large group of near copies
+    doesn't cost the square of its size. Every candidate is verified by the exact Jaccard.
+    Wordless and null texts are one set. Ids as in near_duplicates.
+    """
+    marks = kept(run_marks(docs, words, least), "run-marks")
+    rows = marks.select(F.explode("prefix").alias("run"), "key", "size")
+    of = F.xxhash64("key")
+    met = kept(rows.groupBy("run").agg(F.min(of).alias("low"), F.max(of).alias("high")).where("low <> high").select("run"), "met")
+    groups = kept(rows.join(met, "run", "left_semi").distinct(), "groups")
+    owners = kept(marks.groupBy("key").agg(F.min("doc_id").alias("owner")), "owners")
+    by_mark = kept(marks.groupBy("fp").agg(F.min("key").alias("key"), F.count_distinct("key").alias("n")), "marks")
+    tied = kept(hamming_links(by_mark.select("fp"), 5), "tied")
+    star = marks.select("fp", F.col("key").alias("a")).distinct().join(by_mark.where("n > 1"), "fp").select("a", F.col("key").alias("b"))
+    ends = [by_mark.select(F.col("fp").alias(c), F.col("key").alias(f"{c}_key")) for c in ("a", "b")]
+    pairs = star.unionByName(tied.join(ends[0], "a").join(ends[1], "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b")))
+    pairs = kept(pairs.where("a <> b"), "pairs")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        keys = kept(both.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
+        ids = kept(owners.join(keys, "key", "left_semi").select("owner").distinct(), "ids")
+        sets = run_sets(docs.join(ids, docs.doc_id.eqNullSafe(ids.owner), "left_semi"), words)
+        sets = kept(sets.join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
+        both = both.join(sets.select(F.col("key").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("runs").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.where(shared / (F.size("x") + F.size("y") - shared) >= least).select("a", "b")
+
+    alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * (least - 1e-9)
+    links = kept(verified(pairs), "links")
+    for i in range(stars + 1):
+        roots = kept(connected_components(links), "roots")
+        now = groups.join(roots, groups.key == roots.node, "left").select("run", "key", "size", F.coalesce("root", "key").alias("root"))
+        mixed = now.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("key", "size", "root"), F.xxhash64(F.lit(i), "key")).alias("lead")).where("low <> high")
+        if i < stars:
+            pairs = now.join(mixed, "run").where((F.col("root") != F.col("lead.root")) & alike(F.col("size"), F.col("lead.size"))).select(F.col("key").alias("a"), F.col("lead.key").alias("b"))
+        else:
+            now = kept(now.join(mixed, "run", "left_semi"), "mixed")
+            left, right = (now.select("run", F.col("root").alias(f"{c}_root"), F.col("key").alias(c), F.col("size").alias(f"{c}_size")) for c in "ab")
+            parts = now.select("run", "root").distinct()
+            parts = parts.withColumnRenamed("root", "a_root").join(parts.withColumnRenamed("root", "b_root"), "run").where("a_root < b_root")
+            pairs = parts.join(left, ["run", "a_root"]).join(right, ["run", "b_root"]).where(alike(F.col("a_size"), F.col("b_size"))).select("a", "b")
+        links = kept(links.unionByName(verified(pairs)), "links")
+    roots = kept(connected_components(links), "roots")
+    rooted = marks.select("doc_id", "key").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", F.coalesce("root", "key").alias("root"))
+    rooted = kept(rooted, "rooted")
+    return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """As drop_near_duplicates, for components of near_copies."""
+    return first_of_each(docs, near_copies(docs, words, least))
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """Keep, with all its columns, the document with the least doc_id of each component; one of
     its rows where the id repeats, and rows without an id."""
-    found = near_duplicates(docs, words, distance)
+    return first_of_each(docs, near_duplicates(docs, words, distance))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     gone = found.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
     rest = docs.join(gone, "doc_id", "left_anti")
     twice = kept(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
