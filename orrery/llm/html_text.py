@@ -45,10 +45,12 @@ CELLS = {"td", "th"}
 #: Elements nested deeper than this become siblings, as in browsers; it bounds every search.
 DEPTH = 512
 
+#: An attribute as browsers read it: a quote opens a value only behind `=`, elsewhere it is a character like any other.
+VALUE = r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+"
 TOKEN = re.compile(
-    r"<!--(?P<comment>.*?)(?:-->|--!>|\Z)|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>\x00]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S
+    rf"<!--(?P<comment>.*?)(?:-->|--!>|\Z)|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>\x00]*)(?P<attrs>(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:{VALUE})?+)?+)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S
 )
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"'][^\s>]*+))?+)?+")
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
