@@ -49,6 +49,13 @@ def letter_runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([a-z]+)"), 1)
 
 
+def kept_apart(text: Column) -> Column:
+    """Letter runs that a hyphen or another such sign parts from another one within the same label of a
+    host or segment of a path. A run alone in its label may be joined words, and isn't counted."""
+    labels = F.filter(F.split(text, "[./]"), lambda x: x.rlike("[a-z][0-9]*[-_+,~][-_+,~0-9]*[a-z]"))
+    return F.flatten(F.transform(labels, letter_runs))
+
+
 def segment(run: str, cost: dict[str, float], total: float) -> list[str]:
     """The split of a run of letters with the least cost. A part of n letters that isn't a known
     word costs as much as a word seen 10 / 10^n times."""
@@ -115,8 +122,8 @@ def verdicts(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, smoothi
 
     titles = pages.select(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1).alias("text"))
     apart = hosts.select("key").unionByName(paths.select("key"))
-    texts = titles.unionByName(apart.select(F.col("key").alias("text")))
-    counts = texts.select(F.explode(letter_runs(F.lower("text"))).alias("word")).where(F.char_length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
+    words = titles.select(letter_runs(F.lower("text")).alias("words")).unionByName(apart.select(kept_apart(F.lower("key")).alias("words")))
+    counts = words.select(F.explode("words").alias("word")).where(F.char_length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
     counts = kept(counts, "counts")
     runs = apart.select(F.explode(letter_runs(F.lower("key"))).alias("run")).distinct()
     split = kept(segmented(runs, counts), "split")
