@@ -54,7 +54,7 @@ def doc_hits(spark, sf, k=10):
 
 
 def chunk_hits(spark, sf, k=20):
-    units = chunks(spark, sf).select((F.col("doc_id") * 1000 + F.col("chunk_no")).alias("unit"), "text")
+    units = chunks(spark, sf).select(F.struct("doc_id", "chunk_no").alias("unit"), "text")
     return R.bm25_topk(queries_of(spark, sf), R.term_stats(units, "unit"), "unit", k)
 
 
@@ -96,7 +96,7 @@ lists as (select query_id, unit as doc_id, rank from hits union all select * fro
 
 @register("r6_fuse", sql(DOC_UNITS, bm25_sql("du", 10, ""), CHUNK_UNITS, bm25_sql("cu", 20, "c"), FUSED, "select query_id, doc_id, round(sum(1 / (60 + rank)), 6) as score from lists group by 1, 2"))
 def r6(spark, sf):
-    best = chunk_hits(spark, sf).select("query_id", F.floor(F.col("unit") / 1000).alias("doc_id"), "rank").groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
+    best = chunk_hits(spark, sf).select("query_id", "unit.doc_id", "rank").groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
     return R.fuse([doc_hits(spark, sf), best])
 
 
@@ -105,7 +105,7 @@ sized as (select query_id, rank, text, len(string_split(text, ' ')) as words fro
 fit as (select * from (select *, sum(words) over (partition by query_id order by rank rows unbounded preceding) as total from sized) where total <= 350)""",
 "select query_id, count(*) as n, sum(words)::bigint as words, string_agg(text, chr(10) order by rank) as context from fit group by 1"))
 def r7(spark, sf):
-    units = chunks(spark, sf).select((F.col("doc_id") * 1000 + F.col("chunk_no")).alias("unit"), "text")
+    units = chunks(spark, sf).select(F.struct("doc_id", "chunk_no").alias("unit"), "text")
     hits = chunk_hits(spark, sf).join(units, "unit").select("query_id", "rank", "text", F.size(F.split("text", " ")).alias("words"))
     return R.pack_context(hits, 350)
 
