@@ -63,12 +63,18 @@ def ngram_leak(train: DataFrame, evals: DataFrame, n: int) -> DataFrame:
 
 def contains_leak(train: DataFrame, evals: DataFrame, n: int = 5) -> DataFrame:
     """V7: `(item_id, doc_id)` where a document's normalized text holds the whole item's. Only pairs
-    that share the item's first word run are compared; `n` is its length."""
+    that share the item's first word run are compared; `n` is its length, or the item's where that
+    is shorter. Documents are cut into runs of each length that items need, `n` at most."""
     items = evals.select("item_id", norm_text(F.col("text")).alias("item")).where("item <> ''")
-    items = items.withColumn("run", F.element_at(shingle_set(F.col("item"), n), 1))
+    items = items.withColumn("long", F.least(F.lit(n), F.size(F.split("item", " "))))
+    needed = [x["long"] for x in items.select("long").distinct().collect()] or [n]
     docs = train.select("doc_id", norm_text(F.col("text")).alias("body"))
-    keys = docs.select("doc_id", F.explode(shingle_set(F.col("body"), n)).alias("run"))
-    pairs = items.join(keys, "run").select("item_id", "item", "doc_id")
+
+    def candidates(m: int) -> DataFrame:
+        first = items.where(F.col("long") == m).select("item_id", "item", F.element_at(shingle_set(F.col("item"), m), 1).alias("run"))
+        return first.join(docs.select("doc_id", F.explode(shingle_set(F.col("body"), m)).alias("run")), "run").select("item_id", "item", "doc_id")
+
+    pairs = reduce(DataFrame.unionByName, map(candidates, needed))
     whole = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
     return pairs.join(docs, "doc_id").where(F.contains(whole("body"), whole("item"))).select("item_id", "doc_id")
 
