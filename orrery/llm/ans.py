@@ -4,11 +4,13 @@ One frequency table, counted over all ids, serves every block. A block is coded
 each with its own state, which take the block's ids in turn; so numpy codes one id of every lane
 at a time. Blocks don't depend on each other: each carries its lanes' final states, its length
 and a checksum, and can be decoded alone. The states CHECK steps apart inside a block are its
-checkpoints: a reader can begin there.
+checkpoints, each with a checksum of the ids up to the next: a reader can begin there, and a
+reader of the whole block decodes from all of them at once.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -19,14 +21,15 @@ from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Remembered, as_bytes, kept, new_folder, text_slices
+from orrery.llm.common import Remembered, cells, kept, new_folder, text_slices, words_in
 
 #: Format: shares are of 2^SCALE, states stay in [2^31, 2^63), words of 32 bits.
 SCALE, LOW = 20, 1 << 31
-MAGIC = b"RANS1\0\0\0"
+MAGIC = b"RANS2\0\0\0"
 #: Ids and lanes of a full block, steps between two checkpoints.
 BLOCK, LANES, CHECK = 1 << 19, 2048, 128
 END = 1
@@ -53,13 +56,13 @@ class Table:
         self.owner = np.repeat(np.arange(len(share)), share).astype(np.uint32)
 
     def encode(self, ids: np.ndarray) -> bytes:
-        """A block: magic, length, lanes, checksum, checkpoints, words."""
+        """A block: magic, length, lanes, checksum, checkpoints (place in the words, checksum, states), words."""
         n = len(ids)
         lanes = max(1, min(LANES, n // 64))
         steps = -(-n // lanes)
         state = np.full(lanes, LOW, np.uint64)
         words: list[np.ndarray] = []
-        points: list[tuple[int, np.ndarray]] = []
+        points: list[tuple[int, int, np.ndarray]] = []
         shift, half = np.uint64(SCALE), np.uint64(32)
         total = 0
         for t in range(steps - 1, -1, -1):
@@ -74,44 +77,60 @@ class Table:
             q = x // f
             state[: len(now)] = (q << shift) + (x - q * f) + self.begin[now]
             if t % CHECK == 0:
-                points.append((total, state.copy()))
+                own = ids[t * lanes : (t + CHECK) * lanes]
+                points.append((total, checksum(own), state.copy()))
         data = np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
-        head = MAGIC + struct.pack("<IIII", n, lanes, zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()), len(points))
-        marks = b"".join(struct.pack("<I", total - at) + s.astype("<u8").tobytes() for at, s in points[::-1])
+        head = MAGIC + struct.pack("<IIII", n, lanes, checksum(ids), len(points))
+        marks = b"".join(struct.pack("<II", total - at, crc) + s.astype("<u8").tobytes() for at, crc, s in points[::-1])
         return head + marks + data.astype("<u4").tobytes()
 
-    def decode(self, block: bytes, start: int = 0) -> np.ndarray:
-        """The ids of a block, from its checkpoint number `start` on."""
+    def decode(self, block: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """The ids of a block from its checkpoint `start` on, up to checkpoint `stop` (None: the
+        end). All checkpoints asked for are decoded side by side, each step taking one id of every
+        lane of each; what each one gives must have its checksum."""
         if block[:8] != MAGIC:
             raise ValueError("not a block")
         n, lanes, crc, points = struct.unpack_from("<IIII", block, 8)
-        size = 4 + 8 * lanes
-        words = np.frombuffer(block, "<u4", offset=24 + points * size)
         if not n:
             return np.zeros(0, np.uint32)
-        if not 0 <= start < points:
+        stop = points if stop is None else stop
+        if not 0 <= start < stop <= points:
             raise ValueError("no such checkpoint")
-        (at,) = struct.unpack_from("<I", block, 24 + start * size)
-        state = np.frombuffer(block, "<u8", lanes, 24 + start * size + 4).astype(np.uint64)
-        out = np.empty(n, np.uint32)
+        mark = np.dtype([("at", "<u4"), ("crc", "<u4"), ("state", "<u8", (lanes,))])
+        marks = np.frombuffer(block, mark, points, 24)[start:stop]
+        words = np.frombuffer(block, "<u4", offset=24 + points * mark.itemsize)
+        state, at = marks["state"].astype(np.uint64), marks["at"].astype(np.int64)
+        first = np.arange(start, stop) * CHECK * lanes
+        out = np.empty((stop - start, CHECK, lanes), np.uint32)
         mask, shift, half = np.uint64((1 << SCALE) - 1), np.uint64(SCALE), np.uint64(32)
-        for t in range(start * CHECK, -(-n // lanes)):
-            lo, hi = t * lanes, min(n, (t + 1) * lanes)
-            x = state[: hi - lo]
-            slot = x & mask
+        for t in range(min(CHECK, -(-(n - int(first[0])) // lanes))):
+            slot = state & mask
             now = self.owner[slot.astype(np.int64)]
-            out[lo:hi] = now
-            x = self.share[now] * (x >> shift) + slot - self.begin[now]
-            low = x < np.uint64(LOW)
-            m = int(np.count_nonzero(low))
-            if m:
-                x[low] = (x[low] << half) | words[at : at + m].astype(np.uint64)
-                at += m
-            state[: hi - lo] = x
-        out = out[start * CHECK * lanes :]
-        if not start and zlib.crc32(out.astype("<u4").tobytes()) != crc:
+            out[:, t] = now
+            state = self.share[now] * (state >> shift) + slot - self.begin[now]
+            low = state < np.uint64(LOW)
+            left = n - (int(first[-1]) + t * lanes)
+            if left < lanes:  # the last checkpoint's ids end within this step
+                low[-1, max(0, left) :] = False
+            taken = low.sum(axis=1)
+            row, lane = np.nonzero(low)
+            if len(row):
+                place = at[row] + np.arange(len(row)) - (np.cumsum(taken) - taken)[row]
+                if place.max() >= len(words):
+                    raise ValueError("the block's words are cut off")
+                state[row, lane] = (state[row, lane] << half) | words[place].astype(np.uint64)
+                at += taken
+        ids = out.reshape(-1)[: n - int(first[0])]
+        sizes = np.minimum(CHECK * lanes, n - first)
+        if any(checksum(ids[lo - first[0] : lo - first[0] + k]) != c for lo, k, c in zip(first, sizes, marks["crc"], strict=True)):
+            raise ValueError("a checkpoint's checksum is wrong")
+        if (start, stop) == (0, points) and checksum(ids) != crc:
             raise ValueError("the block's checksum is wrong")
-        return out
+        return ids
+
+
+def checksum(ids: np.ndarray) -> int:
+    return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
 
 
 # ---------------------------------------------------------------- texts to ids
@@ -128,64 +147,119 @@ def tokenizer(path: str):
     return found
 
 
-#: How the vocabulary's file cuts words, and the mark of a piece's last token.
-MARKS = b".,!?;:|#$%&*"
+#: Marks that are pieces of their own behind a letter or digit, how the vocabulary's
+#: file cuts words, the mark of a piece's last token, and the file's settings that all this rests on.
+MARKS = ".,!?;:|#$%&*"
 CUT, LAST = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
+SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": CUT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Words of these letters alone are one piece and stay as they are when the file's rules normalize them.
+PLAIN = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
+
+
+#: Words whose ids are put together at a time.
+TAKEN = 1 << 20
 
 
 class WordTokens:
-    """Ids (little-endian, 16 bits) of texts under a vocabulary that drops white space: words
-    between white space don't affect each other, so each is given to the tokenizer once and
-    remembered. New words go in as one line; its ids are dealt back by the number of pieces that
-    each word has, where the marks of the pieces' last tokens confirm the sum."""
+    """Ids (little-endian, 16 bits) of texts. Under a vocabulary that drops white space, words between
+    white space don't affect each other, so each distinct one is given to the tokenizers library
+    once and remembered, and Arrow puts the texts' ids together. New words go in as one line; its
+    ids are dealt back by the number of pieces that each word has, where the marks of the pieces'
+    last tokens confirm the sum; words of plain letters go in without the file's normalizer and
+    cut, which leave them as they are. Files with other settings than these are used as they are,
+    on whole texts."""
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = tokenizer(path)
+        settings = json.loads(self.tokenizer.to_str())
+        model = settings["model"]
+        self.by_word = {k: settings[k] for k in SETTINGS} == SETTINGS and model.get("end_of_word_suffix") == LAST and not model.get("dropout")
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(1 + max(vocab.values()), bool)
         self.last[[i for t, i in vocab.items() if t.endswith(LAST)]] = True
-        special = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.specials = re.compile(b"|".join(special) or b"(?!)").search
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = "|".join(map(re.escape, special)) or r"\A\z."
+        self.specials = re.compile(b"|".join(re.escape(t.encode()) for t in special) or b"(?!)").search
         self.cut = regex.compile(CUT).findall
         self.known = Remembered()
 
-    def learn(self, words: list[bytes]) -> None:
-        if not words:
-            return
+    def learn_letters(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words of plain letters: one piece each."""
+        found = np.array(self.letters.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u2")
+        return dealt(found, np.flatnonzero(self.last[found]) + 1)
+
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of any other words."""
         texts = [w.decode() for w in words]
-        found = np.array(self.tokenizer.encode(" ".join(texts), add_special_tokens=False).ids, "<u2")
-        ends = np.flatnonzero(self.last[found])
-        formed = (t if t.isascii() else normalize("NFC", t).lower() for t in texts)
-        pieces = np.fromiter((1 if t.isalpha() else len(self.cut(t)) for t in formed), np.int64, len(texts))
-        if pieces.sum() == len(ends) and len(ends) and ends[-1] == len(found) - 1 and pieces.all():
-            cuts = (2 * (ends[np.cumsum(pieces) - 1] + 1)).tolist()
-            data = found.tobytes()
-            self.known.update(zip(words, (data[i:j] for i, j in zip([0, *cuts], cuts, strict=False)), strict=True))
-            return
-        for w, x in zip(words, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(x.ids, "<u2").tobytes()
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if not any(map(self.specials, words)):
+            found = np.array(self.tokenizer.encode(" ".join(texts), add_special_tokens=False).ids, "<u2")
+            ends = np.flatnonzero(self.last[found])
+            formed = (t if t.isascii() else normalize("NFC", t).lower() for t in texts)
+            pieces = np.fromiter((1 if t.isalpha() else len(self.cut(t)) for t in formed), np.int64, len(texts))
+            if pieces.sum() == len(ends) and len(ends) and ends[-1] == len(found) - 1 and pieces.all():
+                return dealt(found, ends[np.cumsum(pieces) - 1] + 1)
+        return [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def ids_of(self, words: list[bytes], plain: np.ndarray) -> list[bytes]:
+        """The ids of distinct words, learned where they aren't known."""
+        found = self.known.recall(words)
+        new = np.array([i for i, x in enumerate(found) if x is None], np.int64)
+        for some, learn in ((new[plain[new]], self.learn_letters), (new[~plain[new]], self.learn)):
+            for lo in range(0, len(some), 5_000):
+                part = some[lo : lo + 5_000].tolist()
+                for i, x in zip(part, learn([words[i] for i in part]), strict=True):
+                    found[i] = self.known[words[i]] = x
+        return found
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        texts = texts.fill_null("")
+        if not self.by_word:
+            return [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
         # The vocabulary lower-cases anyway; only the special tokens' marks tell cases apart.
-        parts = [(t if self.specials(t.lower()) else t.lower()).split() for t in texts]
-        known = self.known
-        new = known.unknown(set().union(*parts))
-        # Marks behind a letter or digit begin a piece of their own, apostrophes aside.
-        stems = {w: w.rstrip(MARKS) for w in new}
-        ended = {w: s for w, s in stems.items() if s != w and s[-1:].isalnum()}
-        wanted = (new - ended.keys()) | ({*ended.values(), *(w[len(s) :] for w, s in ended.items())} - known.keys())
-        odd = {w for w in wanted if self.specials(w)}
-        plain = list(wanted - odd)
-        for lo in range(0, len(plain), 5_000):
-            self.learn(plain[lo : lo + 5_000])
-        for w in odd:
-            known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes()
-        for w, s in ended.items():
-            known[w] = known[s] + known[w[len(s) :]]
-        get = known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        lower = pc.ascii_lower(texts)
+        words, at, lengths = words_in(pc.if_else(pc.match_substring_regex(lower, self.marks), texts, lower))
+        # Marks behind a letter or digit begin a piece of their own (apostrophes aside): two parts.
+        words = words.cast(pa.string())
+        stems = pc.ascii_rtrim(words, MARKS)
+        cut = pc.and_(pc.not_equal(stems, words), pc.match_substring_regex(stems, "[a-z0-9]$"))
+        tails = [w[k:] for w, k in zip(cells(words.filter(cut)), np.asarray(pc.binary_length(stems.filter(cut))).tolist(), strict=True)]
+        parts = pa.concat_arrays([pc.if_else(cut, stems, words), pa.array(tails, pa.binary()).cast(pa.string())]).dictionary_encode()
+        code = np.asarray(parts.indices, np.int64)
+        pair = np.full((len(words), 2), -1, np.int64)
+        pair[:, 0] = code[: len(words)]
+        pair[np.asarray(cut), 1] = code[len(words) :]
+        plain = np.asarray(pc.match_substring_regex(parts.dictionary, PLAIN))
+        ids = self.ids_of(cells(parts.dictionary), plain)
+
+        size = np.append(np.fromiter(map(len, ids), np.int64, len(ids)), 0)  # -1, no second part, has no bytes
+        ends = np.append(0, np.cumsum(size[pair].sum(1)[at]))[np.cumsum(lengths)].tolist()
+        flat, data = pa.array(ids, pa.binary()), []
+        for lo in range(0, len(at), TAKEN):
+            order = pair[at[lo : lo + TAKEN]].ravel()
+            order = order[order >= 0]
+            data.append(memoryview(flat.take(pa.array(order)).buffers()[2])[: int(size[order].sum())])
+        data = b"".join(data)
+        return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
+def dealt(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Ids cut behind each of `ends`."""
+    ends, data = (2 * ends).tolist(), ids.tobytes()
+    return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
 
 @lru_cache(maxsize=1)
@@ -216,7 +290,7 @@ def id_blocks(docs: DataFrame, path: str, files: int) -> DataFrame:
         for batch in text_slices(batches):
             file = batch.column("file")[0].as_py()  # a task has one range
             schema = schema or pa.schema([("file", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(batch.schema.field("doc_id").type)), ("lengths", pa.list_(pa.int32())), ("ids", pa.binary())])
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode([t or b"" for t in as_bytes(batch.column("text"))]), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
                 n = len(ids) // 2 + 1
                 if held and size + n > BLOCK:
                     yield out()

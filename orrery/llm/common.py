@@ -8,17 +8,25 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orrery.sources.shared import kept, new_folder, shared_dir  # noqa: F401  (used by the operators)
 
 #: Words that a Python worker remembers, over all its tasks.
-WORD_CACHE = 800_000
+WORD_CACHE = 1_600_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rows_told_apart(docs: DataFrame, name: str = "mark") -> DataFrame:
+    """The documents with a column that, with doc_id, tells different texts apart: a hash of the text
+    where some doc_id (null counts as one) repeats, else 0."""
+    twice = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return docs.withColumn(name, F.xxhash64("text") if twice else F.lit(0).cast("bigint"))
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     if pa.types.is_large_string(column.type):
@@ -26,12 +34,11 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterable[pa.RecordBatch], size: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text of each piece is about `size` bytes: memory stays bounded
     however long the texts are. A single longer text is one piece."""
     for batch in batches:
-        column = batch.column("text")
-        lengths = np.asarray(pc.binary_length(column).fill_null(0), dtype=np.int64)
+        lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
         piece = np.cumsum(lengths) // size
         cuts = np.flatnonzero(np.diff(piece)) + 1 if len(piece) else np.zeros(0, np.int64)
         edges = [0, *cuts.tolist(), batch.num_rows]
@@ -40,6 +47,41 @@ def text_slices(batches: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Itera
                 yield batch.slice(lo, hi - lo)
 
 
+def cells(column: pa.Array) -> list[bytes]:
+    """The values of a string or binary column without nulls; for many short ones."""
+    _, offsets, data = column.buffers()
+    kind = np.int64 if column.type in (pa.large_string(), pa.large_binary()) else np.int32
+    ends = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].tolist() if len(column) else []
+    flat = data.to_pybytes() if data else b""
+    return [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+
+
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of a string column, runs without ASCII white space: the distinct ones as binary, the
+    place among them of every word of every text, in order, and each text's number of words. A null
+    has no words. Arrow splits and numbers the words, so Python sees distinct ones only."""
+    split = pc.ascii_split_whitespace(texts.fill_null(""))
+    codes = split.flatten().dictionary_encode()
+    distinct, at = codes.dictionary.cast(pa.binary()), np.asarray(codes.indices, np.int64)
+    lengths = np.diff(np.asarray(split.offsets, np.int64))
+    empty = pc.index(distinct, b"").as_py()  # before or behind white space at a text's ends
+    if empty >= 0:
+        none = at == empty
+        lengths -= np.bincount(np.repeat(np.arange(len(lengths)), lengths)[none], minlength=len(lengths))
+        at = at[~none]
+    return distinct, at, lengths
+
+
+def hashed_words(texts: pa.Array, seed: int) -> list[np.ndarray]:
+    """The 64-bit hashes of each text's words."""
+    import xxhash
+
+    distinct, at, lengths = words_in(texts)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(w, seed) for w in cells(distinct)), np.uint64, len(distinct))[at]
+    return np.split(hashes, np.cumsum(lengths)[:-1]) if len(lengths) else []
+
+
 class Remembered(dict):
     """Words and what was computed for them, those used lately: a full table becomes the older
     generation, from which words come back when they are used again."""
@@ -59,6 +101,18 @@ class Remembered(dict):
         self.update((w, self.older[w]) for w in back)
         return new - back
 
+    def recall(self, words: list) -> list:
+        """What is known of each word, None where it must be computed anew."""
+        if len(self) > WORD_CACHE // 2:
+            self.older = dict(self)
+            self.clear()
+        found = list(map(self.get, words))
+        older = self.older.get
+        for i in [i for i, x in enumerate(found) if x is None]:
+            if (x := older(words[i])) is not None:
+                found[i] = self[words[i]] = x
+        return found
+
 
 class HashedWords(dict):
     """word -> 64-bit hash, remembered for the words seen lately."""
