@@ -114,21 +114,6 @@ class Remembered(dict):
         return found
 
 
-class HashedWords(dict):
-    """word -> 64-bit hash, remembered for the words seen lately."""
-
-    def __init__(self, seed: int):
-        import xxhash
-
-        self.seed, self.hash = seed, xxhash.xxh64_intdigest
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORD_CACHE // 2:
-            self.clear()
-        value = self[word] = self.hash(word, self.seed)
-        return value
-
-
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 

@@ -11,17 +11,22 @@ from unicodedata import east_asian_width
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from orrery.llm.common import as_bytes
+from orrery.llm.common import as_bytes, text_slices
 
 # Fixed values of HTML: how elements are built and shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object svg math datalist audio video canvas select textarea rp map".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object datalist audio video canvas rp".split())
+#: Parts of drawings and formulas that aren't drawn themselves.
+HIDDEN_IN = {"svg": frozenset("desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter".split()), "math": frozenset(["annotation", "annotation-xml"])}
+#: Kinds of input fields whose value is shown, and those that show a placeholder where it is empty.
+SHOWN_VALUE = frozenset("text search email url tel number date time month week datetime-local submit reset button".split())
+SHOWN_PLACEHOLDER = frozenset("text search email url tel number password".split())
 BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol p pre search section summary table ul xmp caption".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p pre search section summary table textarea ul xmp caption".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr menu dir".split())
-CLOSES_P = BLOCK - frozenset("body html caption legend".split())
+CLOSES_P = BLOCK - frozenset("body html caption legend optgroup option textarea".split())
 #: Start tag -> open elements that it ends, and the elements at which the search for them stops.
 IMPLIED_END = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -51,7 +56,7 @@ TOKEN = re.compile(
     rf"<!--(?P<comment>.*?)(?:-->|--!>|\Z)|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>\x00]*)(?P<attrs>(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:{VALUE})?+)?+)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S
 )
 ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"'][^\s>]*+))?+)?+")
-UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -165,17 +170,37 @@ def tree(html: str) -> Node:
     return build.root
 
 
-def unseen(node: Node, parent: Node | None) -> bool:
+def styled(text: str) -> dict[str, str]:
+    """What a style attribute says last, or as important, of display and visibility."""
+    out: dict[str, tuple[bool, str]] = {}
+    for key, value, important in STYLE.findall(text):
+        if important or not out.get(key.lower(), (False,))[0]:
+            out[key.lower()] = bool(important), value.lower()
+    return {k: v for k, (_, v) in out.items()}
+
+
+def gone(node: Node, parent: Node | None, inside: str, style: dict[str, str]) -> bool:
+    """Whether an element isn't there for the reader, with all that it holds."""
     a = node.attributes
-    if node.name in HIDDEN or "hidden" in a and a["hidden"].lower() != "until-found":
+    if node.name in HIDDEN or node.name in HIDDEN_IN.get(inside, ()):
         return True
-    if "style" in a and UNSEEN.search(a["style"]):
+    if "display" in style:
+        if style["display"] == "none":
+            return True
+    elif "hidden" in a and a["hidden"].lower() != "until-found":
         return True
     if node.name == "dialog" and "open" not in a:
         return True
     return parent is not None and parent.name == "details" and "open" not in parent.attributes and node.name != "summary"
 
 
+def field_text(node: Node) -> str:
+    """What an input field shows."""
+    kind = node.attributes.get("type", "").strip().lower() or "text"
+    value = node.attributes.get("value", "") if kind in SHOWN_VALUE else ""
+    return value or (node.attributes.get("placeholder", "") if kind in SHOWN_PLACEHOLDER and not node.attributes.get("value") else "")
+
+
 def width(text: str) -> int:
     if text.isascii():
         return len(text)
@@ -302,11 +327,14 @@ def render(root: Node) -> str:
     lists: list[list[int | str | None]] = []
     indents: list[str] = []
     pre = 0
-    stack: list[tuple[str, Node | str, Node | None]] = [("enter", root, None)]
+    # With each node: its parent, whether its text is visible, and the drawing or formula it is in.
+    stack: list[tuple[str, Node | str, Node | None, bool, str]] = [("enter", root, None, True, "")]
     while stack:
-        step, node, parent = stack.pop()
+        step, node, parent, shown, inside = stack.pop()
         canvas = canvases[-1]
         if isinstance(node, str):
+            if not shown:
+                continue
             if parent is not None and parent.name == "details" and "open" not in parent.attributes:
                 continue
             if grids and parent is not None and parent.name in {"table", "tr", *ROW_GROUPS}:
@@ -326,19 +354,31 @@ def render(root: Node) -> str:
             continue
         name = node.name
         if step == "enter":
-            if unseen(node, parent):
+            style = styled(node.attributes["style"]) if "style" in node.attributes else {}
+            if gone(node, parent, inside, style):
                 continue
+            # A visible part of a hidden whole is seen: visibility is inherited, but can be set anew.
+            if "visibility" in style and style["visibility"] not in ("inherit", "unset"):
+                shown = style["visibility"] not in ("hidden", "collapse")
+            inside = name if name in HIDDEN_IN else "" if name in ("foreignobject", "annotation-xml") else inside
             if name == "br":
                 canvas.forced()
                 continue
             if name == "wbr":
                 continue
-            if name in BLOCK:
+            if name in BLOCK or (name == "text" and inside == "svg"):
                 canvas.end_line(2 if name in SPACED and not (name in ("ul", "ol", "menu", "dir") and lists) else 1)
-            if name == "hr":
+            if name == "hr" or name == "img":
                 continue
-            if name == "img" or name == "input":
+            if name == "input":
+                if shown and (value := field_text(node)):
+                    canvas.words(f" {value} ")
                 continue
+            if name in ("optgroup", "option") and shown and (value := node.attributes.get("label", "")):
+                canvas.words(value)
+                canvas.end_line()
+                if name == "option":
+                    continue
             if name in ("ul", "menu", "dir"):
                 lists.append(None)
             elif name == "ol":
@@ -358,7 +398,7 @@ def render(root: Node) -> str:
             elif name in ("dd", "blockquote"):
                 indents.append(canvas.indent)
                 canvas.indent += "  "
-            elif name in ("pre", "listing", "xmp"):
+            elif name in ("pre", "listing", "xmp", "textarea"):
                 pre += 1
                 if node.children and isinstance(node.children[0], str) and node.children[0].startswith("\n"):
                     node.children[0] = node.children[0][1:]
@@ -368,10 +408,10 @@ def render(root: Node) -> str:
                 grids[-1].row()
             elif (name in CELLS or name == "caption") and grids:
                 canvases.append(Canvas())
-            elif name == "q":
+            elif name == "q" and shown:
                 canvas.words('"')
-            stack.append(("leave", node, parent))
-            stack.extend(("enter", child, node) for child in reversed(node.children))
+            stack.append(("leave", node, parent, shown, inside))
+            stack.extend(("enter", child, node, shown, inside) for child in reversed(node.children))
             continue
         if name in ("ul", "menu", "dir", "ol"):
             lists.pop()
@@ -382,7 +422,7 @@ def render(root: Node) -> str:
         elif name in ("dd", "blockquote"):
             canvas.end_line()
             canvas.indent = indents.pop()
-        elif name in ("pre", "listing", "xmp"):
+        elif name in ("pre", "listing", "xmp", "textarea"):
             pre -= 1
         elif name in CELLS and grids:
             canvases.pop()
@@ -394,9 +434,9 @@ def render(root: Node) -> str:
             canvas.end_line(2)
             lines = grids.pop().lines()
             canvas.plain([x for x in lines if x])
-        elif name == "q":
+        elif name == "q" and shown:
             canvas.line.append('"') if canvas.line else canvas.words('"')
-        if name in BLOCK:
+        if name in BLOCK or (name == "text" and inside == "svg"):
             canvas.end_line(2 if name in SPACED and not (name in ("ul", "ol", "menu", "dir") and lists) else 1)
     return "\n".join(canvases[0].done()).replace("\xa0", " ")
 
@@ -409,16 +449,15 @@ def visible_text(html: str | None) -> str | None:
 def extract(pages: DataFrame) -> DataFrame:
     """`pages(page_id, html, ...)` -> `(page_id, text)`, one row per input row: the visible text
     with a line per block, blank lines around paragraphs, headings, lists and tables, list
-    markers with indents, and table cells in aligned columns. Null html gives a null text; html
+    markers with indents, and table cells in aligned columns; also what drawings, formulas, options
+    and input fields show. Text is left out that the page's elements or style attributes hide, not
+    what style sheets or scripts would. Null html gives a null text; html
     of any form and depth gives some text. Other columns aren't read."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                pages = as_bytes(part.column("html"))
-                texts = [x if x is None else visible_text(x.decode()) for x in pages]
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array(texts, pa.string())], names=["page_id", "text"])
+        for batch in text_slices(batches, column="html"):
+            texts = [x if x is None else visible_text(x.decode()) for x in as_bytes(batch.column("html"))]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(texts, pa.string())], names=["page_id", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", "html").mapInArrow(run, f"page_id {kind}, text string")

@@ -88,7 +88,13 @@ def test_segment():
         ("<dl><dt>t<dd>d</dl>", "t\n  d"),
         ("<details><summary>s</summary>no</details><details open>yes</details>", "s\nyes"),
         ("<p>a</b></i>b<a href='>'>c</a>", "abc"),
-        ("<textarea>no</textarea><select><option>no</select>x", "x"),
+        ("<p>in <textarea>\n a\n b</textarea><select><option>one<optgroup label=more><option selected>two</select>x", "in\n a\n b\none\nmore\ntwo\nx"),
+        ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><text>lab<tspan>el</tspan></text><text>b</text></svg>c", "label\nb\nc"),
+        ("a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> b", "a x=1 b"),
+        ("<input type=submit value=Go><input value='a b'><input type=hidden value=no><input type=password value=no><input placeholder=Name><input type=checkbox value=no>z", "Go a b Name z"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no<i style='display:block;visibility:visible'>too</i></div>", "yestoo"),
+        ("<div style='display:none'>no<b style='visibility:visible;display:block'>no</b></div><div hidden style='display:block'>yes</div><p style='display:block;display:none'>no", "yes"),
+        ("<p style='display:none !important; display:block'>no</p>yes<svg><foreignobject><desc>d</desc></foreignobject></svg>", "yesd"),
         ("&lt;b&gt; &eacute; &#x65e5; &nosuch;", "<b> é 日 &nosuch;"),
         ("<p title=\"a>b\">c", "c"),
     ],
