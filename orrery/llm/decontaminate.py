@@ -3,21 +3,22 @@
 A window (ten consecutive words of an item) occurs in a document only if all its shingles do.
 Containment of the whole set makes the necessary prefix one shingle: the window's rarest. So
 documents and windows are joined on each window's rarest shingle alone; length and positional
-bounds throw out places where the window would not fit into the document; the words that are
-left are verified by the hash of the whole window at that place.
+bounds throw out places where the window would not fit into the document; what is left is verified
+by the words of the whole window at that place, compared as 128-bit digests.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Grams, HashedWords, as_bytes, kept, signed, text_slices
-from orrery.llm.substring import stretches
+from orrery.llm.common import Grams, as_bytes, hashed_words, kept, rows_told_apart, signed, text_slices
+from orrery.llm.substring import DOC, digest_of, stretches
 
 #: Word characters are digits, ASCII letters and everything beyond ASCII.
 SEPARATORS = bytes(b for b in range(128) if not (0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A))
@@ -26,30 +27,27 @@ BLANKS = bytes.maketrans(SEPARATORS, b" " * len(SEPARATORS))
 HELD = 2_000_000
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().translate(BLANKS).split()
+def apart(texts: pa.Array) -> pa.Array:
+    """The texts with A-Z lower-cased and a blank for every separator."""
+    return pa.array([(t or b"").lower().translate(BLANKS) for t in as_bytes(texts)], pa.binary()).cast(pa.string())
 
 
-def hashes_of(texts: list[bytes | None], cache: HashedWords) -> list[np.ndarray]:
-    found = [words_of(t) for t in texts]
-    return [np.fromiter(map(cache.__getitem__, x), np.uint64, len(x)) for x in found]
-
-
-def windows_of(items: DataFrame, window: int, shingle: int) -> DataFrame:
-    """`items(item_id, text)` -> `(item_id, size, whole, place, part)`: for each window of each
-    item its number of words and hash, and each of its shingles' places and hashes."""
+def windows_of(items: DataFrame, window: int, shingle: int, bits: int = 64) -> DataFrame:
+    """`items(item_id, text)` -> `(item_id, size, whole BINARY, place, part)`: for each window of each
+    item its number of words and their digest, and each of its shingles' places and hashes."""
+    mask = np.uint64((1 << bits) - 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = HashedWords(53)
         for batch in text_slices(batches):
-            for i, words in enumerate(hashes_of(as_bytes(batch.column("text")), cache)):
-                n = len(words)
+            texts = apart(batch.column("text"))
+            for i, (hashes, text) in enumerate(zip(hashed_words(texts, 53), as_bytes(texts), strict=True)):
+                n = len(hashes)
                 if not n:
                     continue
                 size = min(window, n)
                 short = min(shingle, size)
-                grams = Grams(words)
-                whole, parts = grams.every(size, seed=size), grams.every(short, seed=1000 + size)
+                words, parts = text.split(), Grams(hashes).every(short, seed=1000 + size) & mask
+                whole = [digest_of(words[k : k + size]) for k in range(n - size + 1)]
                 per = size - short + 1
                 place = np.tile(np.arange(per), len(whole))
                 at = np.repeat(np.arange(len(whole)), per)
@@ -57,7 +55,7 @@ def windows_of(items: DataFrame, window: int, shingle: int) -> DataFrame:
                     [
                         batch.column("item_id").take(pa.array(np.full(len(at), i))),
                         pa.array(np.full(len(at), size, np.int32)),
-                        pa.array(signed(whole[at])),
+                        pa.array(whole, pa.binary()).take(pa.array(at)),
                         pa.array(place.astype(np.int32)),
                         pa.array(signed(parts[at + place])),
                     ],
@@ -65,7 +63,7 @@ def windows_of(items: DataFrame, window: int, shingle: int) -> DataFrame:
                 )
 
     kind = items.schema["item_id"].dataType.simpleString()
-    return items.select("item_id", "text").mapInArrow(run, f"item_id {kind}, size int, whole bigint, place int, part bigint")
+    return items.select("item_id", "text").mapInArrow(run, f"item_id {kind}, size int, whole binary, place int, part bigint")
 
 
 class Lookup:
@@ -86,19 +84,20 @@ class Lookup:
         return at[self.values[found] == x[at]]
 
 
-def shingle_hits(docs: DataFrame, sizes: dict[int, np.ndarray], window: int, shingle: int) -> DataFrame:
-    """`docs(doc_id, text)` -> `(doc_id, n_words, hits ARRAY<STRUCT<size, at, part, whole>>)`: one
-    row per document with the places where it has a shingle of some benchmark window of `size`
-    words; `whole` has the hashes of the windows around it, from the one that ends with the
-    shingle to the one that begins with it (null where it would not fit)."""
+def shingle_hits(docs: DataFrame, sizes: dict[int, np.ndarray], shingle: int, bits: int = 64) -> DataFrame:
+    """`docs(doc_id, mark, text)` -> `(doc_id, mark, n_words, hits ARRAY<STRUCT<size, at, part,
+    whole>>)`: one row per document with the places where it has a shingle of some benchmark window
+    of `size` words; `whole` has the digests of the windows around it, from the one that ends with
+    the shingle to the one that begins with it (null where it would not fit)."""
     shared = docs.sparkSession.sparkContext.broadcast(sizes)
-    struct = pa.struct([("size", pa.int32()), ("at", pa.int32()), ("part", pa.int64()), ("whole", pa.list_(pa.int64()))])
+    struct = pa.struct([("size", pa.int32()), ("at", pa.int32()), ("part", pa.int64()), ("whole", pa.list_(pa.binary()))])
+    mask = np.uint64((1 << bits) - 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = HashedWords(53)
         lookups = {size: Lookup(values) for size, values in shared.value.items()}
         for batch in text_slices(batches):
-            words = hashes_of(as_bytes(batch.column("text")), cache)
+            texts = apart(batch.column("text"))
+            words = hashed_words(texts, 53)
             columns: list[list[np.ndarray]] = [[], [], [], []]
             number: list[np.ndarray] = []
             shifts: list[np.ndarray] = []
@@ -108,7 +107,7 @@ def shingle_hits(docs: DataFrame, sizes: dict[int, np.ndarray], window: int, shi
                 seen: set[tuple[int, int]] = set()
                 for chunk, doc, place in stretches(words, short):
                     grams = Grams(chunk)
-                    at = lookup(parts := grams.every(short, seed=1000 + size))
+                    at = lookup(parts := grams.every(short, seed=1000 + size) & mask)
                     at = at[doc[at] == doc[at + short - 1]]
                     if not len(at):
                         continue
@@ -121,30 +120,32 @@ def shingle_hits(docs: DataFrame, sizes: dict[int, np.ndarray], window: int, shi
                     for c, v in zip(columns, (np.full(len(at), size), place[at], parts[at]), strict=False):
                         c.append(v)
                     shifts.append(np.full(len(at), per))
-            wholes: list[list[int | None]] = []
+            wholes: list[list[bytes | None]] = []
             flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns[:3]]
             of = np.concatenate(number) if number else np.zeros(0, np.int64)
             order = np.argsort(of, kind="stable")
             flat, of = [c[order] for c in flat], of[order]
             offsets = np.searchsorted(of, np.arange(len(words) + 1))
             for d in np.unique(of).tolist():
-                grams, n = Grams(words[d]), len(words[d])
+                own, n = texts[d].as_py().encode().split(), len(words[d])
+                known: dict[tuple[int, int], bytes] = {}  # neighbouring shingles ask for the same windows
                 for size, at in zip(flat[0][offsets[d] : offsets[d + 1]].tolist(), flat[1][offsets[d] : offsets[d + 1]].tolist(), strict=True):
-                    begin = np.arange(at + min(shingle, size) - size, at + 1)
-                    fits = (begin >= 0) & (begin + size <= n)
-                    whole: list[int | None] = [None] * len(begin)
-                    for i, v in zip(np.flatnonzero(fits).tolist(), signed(grams.spans(begin[fits], begin[fits] + size, seed=size)).tolist(), strict=True):
-                        whole[i] = v
+                    whole: list[bytes | None] = []
+                    for begin in range(at + min(shingle, size) - size, at + 1):
+                        fits = begin >= 0 and begin + size <= n
+                        if fits and (begin, size) not in known:
+                            known[begin, size] = digest_of(own[begin : begin + size])
+                        whole.append(known[begin, size] if fits else None)
                     wholes.append(whole)
             hits = pa.StructArray.from_arrays(
-                [pa.array(flat[0].astype(np.int32)), pa.array(flat[1].astype(np.int32)), pa.array(signed(flat[2].astype(np.uint64))), pa.array(wholes, pa.list_(pa.int64()))],
+                [pa.array(flat[0].astype(np.int32)), pa.array(flat[1].astype(np.int32)), pa.array(signed(flat[2].astype(np.uint64))), pa.array(wholes, pa.list_(pa.binary()))],
                 fields=list(struct),
             )
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), hits)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), lists], names=["doc_id", "n_words", "hits"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in DOC), pa.array([len(w) for w in words], pa.int64()), lists], names=[*DOC, "n_words", "hits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words bigint, hits array<struct<size int, at int, part bigint, whole array<bigint>>>")
+    return docs.select(*DOC, "text").mapInArrow(run, f"doc_id {kind}, mark bigint, n_words bigint, hits array<struct<size int, at int, part bigint, whole array<binary>>>")
 
 
 def blocks_of_shingles(windows: DataFrame, held: int) -> list[dict[int, np.ndarray]]:
@@ -158,7 +159,7 @@ def blocks_of_shingles(windows: DataFrame, held: int) -> list[dict[int, np.ndarr
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, held: int = HELD) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, held: int = HELD, bits: int = 64) -> DataFrame:
     """`docs(doc_id, text, ...)`, `benchmark(item_id, text, ...)` -> `(doc_id, n_words, n_hit,
     n_items, items_sha256, contaminated)`, one row per input row of `docs`.
 
@@ -167,21 +168,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     words inside any occurrence of a window, n_items the items with an occurring window;
     items_sha256 is the hash of their ids, sorted as strings and joined by commas (of none: of the
     empty text). Null and wordless texts have no words and no windows. Repeated rows are judged
-    alike. Rows of `docs` that share a doc_id count as parts of one document for the hits; a null
-    doc_id is an id as any other here. Items with a null id can hit, but are not named or counted.
-    Empty tables are allowed. Other columns aren't read.
+    alike; rows of `docs` that share a doc_id (or have none) with different texts are documents of
+    their own. Items with a null id can hit, but are not named or counted. Empty tables are
+    allowed. Other columns aren't read.
 
     The benchmark's shingles reach the tasks in blocks of at most `held`; documents are read once
-    for each block. Rarity is counted over all documents.
+    for each block. Rarity is counted over all documents. `bits` is the width of the shingles'
+    hashes, which only bring candidates; any width gives the same result.
     """
-    windows = kept(windows_of(benchmark, window, shingle), "windows")
-    passes = []
-    for sizes in blocks_of_shingles(windows, held):
-        passes.append(kept(shingle_hits(docs, sizes, window, shingle), "hits"))
-    hits = passes[0].select("doc_id", F.explode("hits").alias("h"))
-    for more in passes[1:]:
-        hits = hits.unionByName(more.select("doc_id", F.explode("hits").alias("h")))
-    hits = hits.select("doc_id", "h.size", "h.at", "h.part", "h.whole")
+    return by_document(rows_told_apart(docs.select("doc_id", "text")), benchmark, window, shingle, held, bits).drop("mark")
+
+
+def by_document(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, held: int, bits: int) -> DataFrame:
+    """contamination, with `mark` beside doc_id in `docs` and in the result."""
+    windows = kept(windows_of(benchmark, window, shingle, bits), "windows")
+    passes = [kept(shingle_hits(docs, sizes, shingle, bits), "hits") for sizes in blocks_of_shingles(windows, held)]
+    hits = reduce(DataFrame.unionByName, [p.select(*DOC, F.explode("hits").alias("h")) for p in passes]).select(*DOC, "h.size", "h.at", "h.part", "h.whole")
 
     rarity = hits.groupBy("size", "part").agg(F.count("*").alias("n"))
     prefix = (
@@ -194,21 +196,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     found = hits.join(prefix, ["size", "part"])
     # `whole` runs from the window that ends with the shingle to the one that begins with it.
     here = F.element_at("whole", F.size("whole") - F.col("place"))
-    found = found.where(here == F.col("wanted")).select("doc_id", "size", "wanted", (F.col("at") - F.col("place")).alias("start")).distinct()
+    found = found.where(here == F.col("wanted")).select(*DOC, "size", "wanted", (F.col("at") - F.col("place")).alias("start")).distinct()
     found = kept(found, "found")
     words = F.count_distinct("word")
-    n_hit = found.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("word")).groupBy("doc_id").agg(words.alias("n_hit"))
+    n_hit = found.select(*DOC, F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("word")).groupBy(*DOC).agg(words.alias("n_hit"))
     names = windows.select("size", F.col("whole").alias("wanted"), "item_id").where("item_id is not null").distinct()
-    named = found.select("doc_id", "size", "wanted").distinct().join(names, ["size", "wanted"]).select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
-    items = named.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.concat_ws(",", F.array_sort(F.collect_list("item"))).alias("items"))
-    one = n_hit.join(items, n_hit.doc_id.eqNullSafe(items.doc_id), "left").select(n_hit.doc_id.alias("hit_id"), "n_hit", "n_items", "items")
-    out = passes[0].select("doc_id", "n_words")
-    out = out.join(one, out.doc_id.eqNullSafe(one.hit_id), "left")
+    named = found.select(*DOC, "size", "wanted").distinct().join(names, ["size", "wanted"]).select(*DOC, F.col("item_id").cast("string").alias("item")).distinct()
+    items = named.groupBy(*DOC).agg(F.count("*").alias("n_items"), F.concat_ws(",", F.array_sort(F.collect_list("item"))).alias("items"))
+    one = n_hit.join(items, n_hit.doc_id.eqNullSafe(items.doc_id) & (n_hit["mark"] == items["mark"]), "left").select(n_hit.doc_id.alias("hit_id"), n_hit["mark"].alias("hit_mark"), "n_hit", "n_items", "items")
+    out = passes[0].select(*DOC, "n_words")
+    out = out.join(one, out.doc_id.eqNullSafe(one.hit_id) & (out["mark"] == one.hit_mark), "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
-    return out.select("doc_id", "n_words", zero("n_hit"), zero("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+    return out.select(*DOC, "n_words", zero("n_hit"), zero("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents, with all their columns, that have no benchmark window."""
-    gone = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone_id), "left_anti")
+    told = rows_told_apart(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text"))
+    found = by_document(told.select(*DOC, "text"), benchmark, window, 5, HELD, 64).where("contaminated")
+    gone = found.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    return told.join(gone, told.doc_id.eqNullSafe(gone.gone_id) & (told["mark"] == gone.gone_mark), "left_anti").select("row.*")

@@ -7,27 +7,39 @@ edges exactly once, and every copy of an edge lies, wherever it is, in a piece w
 minimizer. So one row per piece, not per edge, goes through Spark's joins:
 
 * a minimizer that one document alone has needs nothing further;
-* where all its pieces are the same, the path doesn't branch there: the first document that has
-  the piece has all its edges first;
-* only where a minimizer has several pieces does the path branch (passages begin or end there).
-  Of equal pieces the first stays, and the edges of those that are left are compared singly.
+* of equal pieces the one in the least doc_id is the source; the others repeat it;
+* where a minimizer has several pieces (passages begin or end there), the sources' edges are
+  compared singly, in the same way.
+
+What repeats is compacted: an aggregation over all copies of a piece or edge finds its degrees (how
+many different neighbours lie before and behind it), a join brings them to each copy, and what
+follows on each other without a branch in between becomes one path. Each path then has the
+coordinates of its source, and the words at both places are compared by a 128-bit digest of the
+words themselves. Paths that fail (hashes collided) have all their copies compared again, window
+by window, by such digests, so the result doesn't rest on the 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from orrery.llm.common import Grams, HashedWords, as_bytes, kept, signed, text_slices
+from orrery.llm.common import Grams, as_bytes, hashed_words, kept, rows_told_apart, signed, text_slices
 
 #: Words of the runs whose least hash is an edge's minimizer.
 MINIMIZER_WORDS = 10
 #: Words hashed at a time; longer texts are taken in overlapping stretches.
 STRETCH = 1 << 19
+#: What tells a document apart: its id, and a hash of its text where ids repeat.
+DOC = ["doc_id", "mark"]
+SOURCE = ["source_id", "source_mark", "source_start"]
 
 
 def least_of_next(x: np.ndarray, w: int) -> np.ndarray:
@@ -69,20 +81,26 @@ def stretches(words: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray,
         yield out()
 
 
-def hashed(texts: list[bytes | None], cache: HashedWords) -> list[np.ndarray]:
-    found = [(t or b"").split() for t in texts]
-    return [np.fromiter(map(cache.__getitem__, x), np.uint64, len(x)) for x in found]
+def neighbours(keys: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What lies before and behind each key, as 32 bits of its hash, 0 for nothing. `follows` tells
+    for each but the last whether the next one comes right behind it in the same document."""
+    short = keys.astype(np.uint32).view(np.int32)
+    before, behind = np.zeros(len(keys), np.int32), np.zeros(len(keys), np.int32)
+    before[1:] = np.where(follows, short[:-1], 0)
+    behind[:-1] = np.where(follows, short[1:], 0)
+    return before, behind
 
 
-def pieces(docs: DataFrame, size: int) -> DataFrame:
-    """`docs(doc_id, text)` -> `(minimizer, piece, doc_id, start, edges)`: every path piece, with
-    the hash of its words, its first word's place and its number of edges."""
+def pieces(docs: DataFrame, size: int, bits: int = 64) -> DataFrame:
+    """`docs(doc_id, mark, text)` -> `(minimizer, key, before, behind, doc_id, mark, start, edges)`:
+    every path piece, with the hash of its words, its neighbours, its first word's place and its
+    number of edges."""
     w = size - MINIMIZER_WORDS + 1
+    mask = np.uint64((1 << bits) - 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = HashedWords(17)
         for batch in text_slices(batches):
-            for words, number, place in stretches(hashed(as_bytes(batch.column("text")), cache), size):
+            for words, number, place in stretches(hashed_words(batch.column("text"), 17), size):
                 grams = Grams(words)
                 least = least_of_next(grams.every(MINIMIZER_WORDS), w)
                 whole = number[: len(least)] == number[size - 1 :]
@@ -90,78 +108,146 @@ def pieces(docs: DataFrame, size: int) -> DataFrame:
                 if not len(at):
                     continue
                 new = np.ones(len(at), bool)
-                new[1:] = (np.diff(at) > 1) | (np.diff(number[at]) != 0) | (least[at[1:]] != least[at[:-1]])
+                apart = (np.diff(at) > 1) | (np.diff(number[at]) != 0)
+                new[1:] = apart | (least[at[1:]] != least[at[:-1]])
                 first = np.flatnonzero(new)
                 edges = np.diff(np.append(first, len(at)))
                 start = at[first]
-                piece = grams.spans(start, start + edges + size - 1, seed=1) ^ edges.astype(np.uint64)
+                key = (grams.spans(start, start + edges + size - 1, seed=1) ^ edges.astype(np.uint64)) & mask
+                before, behind = neighbours(key, ~apart[first[1:] - 1])
+                of = pa.array(number[start])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(signed(least[start])),
-                        pa.array(signed(piece)),
-                        batch.column("doc_id").take(pa.array(number[start])),
-                        pa.array(place[start].astype(np.int32)),
-                        pa.array(edges.astype(np.int32)),
+                        pa.array(signed(least[start])), pa.array(signed(key)), pa.array(before), pa.array(behind),
+                        batch.column("doc_id").take(of), batch.column("mark").take(of), pa.array(place[start].astype(np.int32)), pa.array(edges.astype(np.int32)),
                     ],
-                    names=["minimizer", "piece", "doc_id", "start", "edges"],
-                )
+                    names=["minimizer", "key", "before", "behind", *DOC, "start", "edges"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"minimizer bigint, piece bigint, doc_id {kind}, start int, edges int")
+    return docs.select(*DOC, "text").mapInArrow(run, f"minimizer bigint, key bigint, before int, behind int, doc_id {kind}, mark bigint, start int, edges int")
 
 
-def edges_of(spans: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """`spans(doc_id, spans ARRAY<STRUCT<start, edges>>)` -> `(edge, doc_id, start)`: the hash of
-    each edge in the given spans of the documents, the first of equal ones in a document."""
+def digest_of(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def edges_of(spans: DataFrame, docs: DataFrame, size: int, bits: int = 64, exact: bool = False) -> DataFrame:
+    """`spans(doc_id, mark, start, edges)` -> `(key, before, behind, doc_id, mark, start, edges)`: each
+    edge in the given spans of the documents, with its hash and neighbours; `exact` takes a digest
+    of the words in the place of the hash."""
+    mask = np.uint64((1 << bits) - 1)
+    asked = spans.groupBy(*DOC).agg(F.collect_list(F.struct("start", "edges")).alias("spans"))  # a document has no more spans than words
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = HashedWords(29)
         for batch in text_slices(batches):
-            texts, spans = as_bytes(batch.column("text")), batch.column("spans")
-            edges, number, place = [], [], []
-            for d, words in enumerate(hashed(texts, cache)):
+            spans, texts = batch.column("spans"), as_bytes(batch.column("text")) if exact else None
+            keys, befores, behinds, number, place = [], [], [], [], []
+            for d, words in enumerate(hashed_words(batch.column("text"), 29)):
                 part = spans[d].values
-                lo = np.asarray(part.field("start"), np.int64)
-                n = np.asarray(part.field("edges"), np.int64)
-                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                lo, n = np.asarray(part.field("start"), np.int64), np.asarray(part.field("edges"), np.int64)
+                at = np.unique(np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()))
                 at = at[at + size <= len(words)]
-                found = Grams(words).spans(at, at + size, seed=2)
-                edges.append(found)
+                found = Grams(words).spans(at, at + size, seed=2) & mask
+                before, behind = neighbours(found, np.diff(at) == 1)
+                if exact:
+                    own = texts[d].split()
+                    keys += [digest_of(own[i : i + size]) for i in at.tolist()]
+                else:
+                    keys.append(signed(found))
+                befores.append(before)
+                behinds.append(behind)
                 place.append(at)
-                number.append(np.full(len(found), d))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(np.concatenate(edges))), batch.column("doc_id").take(pa.array(np.concatenate(number))), pa.array(np.concatenate(place).astype(np.int32))],
-                names=["edge", "doc_id", "start"],
-            )
+                number.append(np.full(len(at), d))
+            of, at = pa.array(np.concatenate(number)), np.concatenate(place).astype(np.int32)
+            key = pa.array(keys, pa.binary()) if exact else pa.array(np.concatenate(keys))
+            columns = [key, *(pa.array(np.concatenate(x)) for x in (befores, behinds)), batch.column("doc_id").take(of), batch.column("mark").take(of), pa.array(at), pa.array(np.ones(len(at), np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "before", "behind", *DOC, "start", "edges"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select(*DOC, "text").join(asked, DOC).mapInArrow(run, f"key {'binary' if exact else 'bigint'}, before int, behind int, doc_id {kind}, mark bigint, start int, edges int")
+
+
+def sources(copies: DataFrame, *by: str) -> DataFrame:
+    """Of all copies of a key: the source's coordinates, the last doc_id, and whether one neighbour
+    alone lies before and behind it."""
+    one = lambda c: ((F.min(c) == F.max(c)) & (F.min(c) != 0)).alias(f"one_{c}")
+    first = [F.min_by(c, "doc_id").alias(f"source_{c}") for c in ("mark", "start")]
+    return copies.groupBy(*by).agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last_id"), *first, one("before"), one("behind"))
+
+
+def compacted(copies: DataFrame) -> DataFrame:
+    """Copies with their sources, put together to paths where neither branches: `(doc_id, mark,
+    start, edges, source_id, source_mark, source_start)`."""
+    order = W.partitionBy(*DOC).orderBy("start")
+    last = lambda c: F.lag(c).over(order)
+    near: Column = (last("start") + last("edges") == F.col("start")) & (last("source_start") + last("edges") == F.col("source_start"))
+    joined = last("one_behind") & F.col("one_before") & near & (last("source_id") == F.col("source_id")) & (last("source_mark") == F.col("source_mark"))
+    begins = copies.withColumn("begins", F.when(joined, 0).otherwise(1))
+    paths = begins.withColumn("path", F.sum("begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return paths.groupBy(*DOC, "path").agg(F.min("start").alias("start"), F.sum("edges").cast("int").alias("edges"), *[F.min(c).alias(c) for c in SOURCE]).drop("path")
+
+
+def refuted(paths: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Those of the paths whose words differ from the words at their source's coordinates."""
+    names = [*SOURCE, "edges"]
+    own = F.struct(F.col("start").alias("at"), *names)
+    source = F.struct(F.col("source_start").alias("at"), *[F.lit(None).cast(paths.schema[c].dataType).alias(c) for c in SOURCE], "edges")
+    asked = paths.select(*DOC, own.alias("x")).unionByName(paths.select(F.col("source_id").alias("doc_id"), F.col("source_mark").alias("mark"), source.alias("x")).distinct())
+    asked = asked.groupBy(*DOC).agg(F.collect_list("x").alias("asked"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            asked = batch.column("asked")
+            words = [(t or b"").split() for t in as_bytes(batch.column("text"))]
+            number = np.repeat(np.arange(len(words)), np.diff(np.asarray(asked.offsets)))
+            rows = asked.flatten()
+            at, n = (np.asarray(rows.field(c), np.int64) for c in ("at", "edges"))
+            found = pa.array([digest_of(words[d][i : i + k + size - 1]) for d, i, k in zip(number.tolist(), at.tolist(), n.tolist(), strict=True)], pa.binary())
+            own = [batch.column(c).take(pa.array(number)) for c in DOC]
+            yield pa.RecordBatch.from_arrays([*own, *(rows.field(c) for c in ("at", *names)), found], names=[*DOC, "at", *names, "words"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").join(spans, "doc_id").mapInArrow(run, f"edge bigint, doc_id {kind}, start int")
-
-
-def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
-    """`(doc_id, start, edges)`: spans of edges whose words a document with a smaller doc_id has
-    too. A span covers edges + size - 1 words from `start` on."""
-    found = kept(pieces(docs.where("doc_id is not null"), size), "pieces")
-    shared = (
-        found.groupBy("minimizer")
-        .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), (F.min("piece") != F.max("piece")).alias("branches"))
-        .where("first < last")
-        .drop("last")
-    )
-    again = kept(found.join(shared, "minimizer").where("branches or doc_id > first"), "shared")
-    straight = again.where("not branches").select("doc_id", "start", "edges")
-
-    branching = again.where("branches").select("minimizer", "piece", "doc_id", "start", "edges")
-    origin = branching.groupBy("minimizer", "piece").agg(F.min("doc_id").alias("origin"))
-    branching = kept(branching.join(origin, ["minimizer", "piece"]), "branching")
-    copied = branching.where("doc_id > origin").select("doc_id", "start", "edges")
-    single = branching.where("doc_id = origin")
-    spans = single.groupBy("doc_id").agg(F.collect_list(F.struct("start", "edges")).alias("spans"))
-    edges = kept(edges_of(spans, docs, size), "edges")
-    known = edges.groupBy("edge").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("edge", "first")
-    known = kept(known, "known")  # so that Spark reads both sides from a shuffle, and can split an edge that many documents have
-    singly = edges.join(known, "edge").where("doc_id > first").select("doc_id", "start", F.lit(1).alias("edges"))
-    return straight.union(copied).union(singly)
+    digests = docs.select(*DOC, "text").join(asked, DOC).mapInArrow(run, f"doc_id {kind}, mark bigint, at int, source_id {kind}, source_mark bigint, source_start int, edges int, words binary")
+    digests = kept(digests, "digests")
+    there = digests.where("source_id is null").select(F.col("doc_id").alias("source_id"), F.col("mark").alias("source_mark"), F.col("at").alias("source_start"), "edges", F.col("words").alias("there"))
+    here = digests.where("source_id is not null").withColumnRenamed("at", "start")
+    return here.join(there, names).where("words <> there").select(*DOC, "start", "edges")
+
+
+def repeated_spans(docs: DataFrame, size: int = 50, bits: int = 64) -> DataFrame:
+    """`docs(doc_id, mark, text)` -> `(doc_id, mark, start, edges)`: spans of edges whose words a
+    document with a smaller doc_id has too. A span covers edges + size - 1 words from `start` on.
+    `bits` is the width of the hashes that find them; any width gives the same spans."""
+    docs = docs.where("doc_id is not null")
+    found = kept(pieces(docs, size, bits), "pieces")
+    # The tables that are joined to copies are kept first: Spark then reads both sides from a
+    # shuffle of their own, and splits a key that very many documents have.
+    shared = found.groupBy("minimizer").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.min("key") != F.max("key")).alias("branches"))
+    again = kept(found.join(kept(shared.where("a < b").select("minimizer", "branches"), "shared"), "minimizer"), "again")
+    of_pieces = kept(sources(again, "minimizer", "key"), "sources")
+    copies = kept(again.join(of_pieces, ["minimizer", "key"]), "copies")
+    columns = ["key", *DOC, "start", "edges", *SOURCE, "one_before", "one_behind"]
+    copied = copies.where("doc_id > source_id").select(*columns)
+
+    edges = kept(edges_of(copies.where("branches and doc_id = source_id"), docs, size, bits), "edges")
+    of_edges = kept(sources(edges, "key").where("source_id < last_id"), "edge-sources")
+    singly = edges.join(of_edges, "key").where("doc_id > source_id").select(*columns)
+    rows = kept(copied.unionByName(singly), "repeats")
+    paths = kept(compacted(rows), "paths")
+    bad = kept(refuted(paths, docs, size), "refuted")
+    spans = paths.select(*DOC, "start", "edges")
+    if bad.isEmpty():
+        return spans
+
+    # Hashes collided: all copies of the keys in refuted paths once more, by digests of their words.
+    inside = bad.select(*DOC, F.col("start").alias("lo"), (F.col("start") + F.col("edges")).alias("hi"))
+    keys = rows.join(inside, DOC).where("start >= lo and start < hi").select("key").distinct()
+    everywhere = copies.select("key", *DOC, "start", "edges").unionByName(edges.select("key", *DOC, "start", "edges"))
+    windows = kept(edges_of(everywhere.join(keys, "key", "left_semi"), docs, size, exact=True), "windows")
+    first = kept(windows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b"), "firsts")
+    exact = windows.join(first, "key").where("doc_id > a").select(*DOC, "start", "edges")
+    return spans.join(bad, [*DOC, "start", "edges"], "left_anti").unionByName(exact)
 
 
 def covered(n: int, starts: np.ndarray, edges: np.ndarray, size: int) -> np.ndarray:
@@ -172,7 +258,7 @@ def covered(n: int, starts: np.ndarray, edges: np.ndarray, size: int) -> np.ndar
     return np.cumsum(marks[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, size: int = 50, verbatim: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 50, verbatim: bool = False, bits: int = 64) -> DataFrame:
     """`docs(doc_id, text, ...)` -> `(row, text, n_words, n_removed)`, one row per input row:
     `row` has the other columns, `text` the words that are left, joined by one space. With
     `verbatim`, texts that lose nothing are returned as they are, with their own white space.
@@ -182,13 +268,14 @@ def remove_repeats(docs: DataFrame, size: int = 50, verbatim: bool = False) -> D
     among rows with the same doc_id, nothing counts as repeated. Null texts have no words and
     give an empty text (with `verbatim`: null); texts of fewer than `size` words stay whole. A
     null doc_id is neither before nor after any other: its row stays whole and removes nothing.
-    Equal rows are judged alike. Where rows share a doc_id with different texts, each is cut by
-    the spans found for the id. Columns of any other name pass through.
+    Equal rows are judged alike; rows that share a doc_id with different texts are documents of
+    their own. Columns of any other name pass through.
     """
-    found = repeated_spans(docs, size)
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "edges")).alias("spans"))
-    inner = docs.select(F.col("doc_id").alias("span_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "text")
-    joined = inner.join(spans.withColumnRenamed("doc_id", "span_id"), "span_id", "left").select("row", "text", "spans")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    told = rows_told_apart(docs.select(row.alias("row"), "doc_id", "text"))
+    found = repeated_spans(told.select(*DOC, "text"), size, bits)
+    spans = found.groupBy(*DOC).agg(F.collect_list(F.struct("start", "edges")).alias("spans"))  # no more spans than words
+    joined = told.join(spans, DOC, "left").select("row", "text", "spans")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -206,8 +293,8 @@ def remove_repeats(docs: DataFrame, size: int = 50, verbatim: bool = False) -> D
             more = [pa.array(left, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("row"), *more], names=["row", "text", "n_words", "n_removed"])
 
-    kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(run, f"row {kind}, text string, n_words bigint, n_removed bigint")
+    schema = StructType([joined.schema["row"], StructField("text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
+    return joined.mapInArrow(run, schema)
 
 
 def cut_texts(docs: DataFrame, size: int = 50) -> DataFrame:
