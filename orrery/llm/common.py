@@ -20,11 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rows_told_apart(docs: DataFrame, name: str = "mark") -> DataFrame:
-    """The documents with a column that, with doc_id, tells different texts apart: a hash of the text
-    where some doc_id (null counts as one) repeats, else 0."""
+def told_apart(docs: DataFrame, name: str = "mark") -> tuple[DataFrame, bool]:
+    """The documents with a column that, with doc_id, tells different texts apart, and whether some
+    doc_id (null counts as one) repeats: a hash of the text if so, else 0."""
     twice = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return docs.withColumn(name, F.xxhash64("text") if twice else F.lit(0).cast("bigint"))
+    return docs.withColumn(name, F.xxhash64("text") if twice else F.lit(0).cast("bigint")), twice
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """`(row STRUCT of all columns, doc_id, text)`, whatever the columns are called."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

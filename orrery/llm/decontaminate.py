@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Grams, as_bytes, hashed_words, kept, rows_told_apart, signed, text_slices
+from orrery.llm.common import Grams, as_bytes, hashed_words, kept, signed, text_slices, told_apart, whole_rows
 from orrery.llm.substring import DOC, digest_of, stretches
 
 #: Word characters are digits, ASCII letters and everything beyond ASCII.
@@ -176,7 +176,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     for each block. Rarity is counted over all documents. `bits` is the width of the shingles'
     hashes, which only bring candidates; any width gives the same result.
     """
-    return by_document(rows_told_apart(docs.select("doc_id", "text")), benchmark, window, shingle, held, bits).drop("mark")
+    return by_document(told_apart(docs.select("doc_id", "text"))[0], benchmark, window, shingle, held, bits).drop("mark")
 
 
 def by_document(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, held: int, bits: int) -> DataFrame:
@@ -212,7 +212,7 @@ def by_document(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents, with all their columns, that have no benchmark window."""
-    told = rows_told_apart(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text"))
+    told, _ = told_apart(whole_rows(docs))
     found = by_document(told.select(*DOC, "text"), benchmark, window, 5, HELD, 64).where("contaminated")
     gone = found.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
     return told.join(gone, told.doc_id.eqNullSafe(gone.gone_id) & (told["mark"] == gone.gone_mark), "left_anti").select("row.*")

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import as_bytes, kept, text_slices
+from orrery.llm.common import Grams, as_bytes, hashed_words, kept, signed, text_slices, told_apart, whole_rows
 from orrery.operators.graph import connected_components
 
 BITS = 64
@@ -59,16 +60,17 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """`docs(doc_id, text)` -> `(doc_id, fp BIGINT)`, one row per input row. Null and wordless
-    texts have fingerprint zero."""
+    """`docs(doc_id, ..., text)` -> `(doc_id, ..., fp BIGINT)`, one row per input row. Null and
+    wordless texts have fingerprint zero."""
+    others = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             values = np.array([fingerprint(t, words) for t in as_bytes(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(values.view(np.int64))], names=[*others, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in others)
+    return docs.mapInArrow(run, f"{kinds}fp bigint")
 
 
 # ---------------------------------------------------------------- trie self-join
@@ -244,6 +246,12 @@ def hamming_links(fps: DataFrame, total: int = 4, blocks: int = 3, cap: int = 81
 # ---------------------------------------------------------------- operators
 
 
+def trie_roots(distinct: DataFrame, distance: int) -> DataFrame:
+    """Distinct `(fp, ...)` -> the same with `root`, the same for all fingerprints that links reach."""
+    roots = kept(connected_components(hamming_links(distinct.select("fp"), distance)), "roots")
+    return distinct.join(roots, distinct.fp == roots.node, "left").drop("node").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """`docs(doc_id, text, ...)` -> `(doc_id, fingerprint, component_id)`, one row per input row.
 
@@ -253,35 +261,63 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     doc_id are rows of their own. A null doc_id keeps its row and is never the least; a
     component without any id has a null component_id. Other columns are not read.
     """
-    marks = kept(fingerprints(docs, words), "fingerprints")
+    marks = kept(fingerprints(docs.select("doc_id", "text"), words), "fingerprints")
     distinct = kept(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = kept(connected_components(hamming_links(distinct.select("fp"), distance)), "roots")
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = trie_roots(distinct, distance)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_mark = rooted.join(least, "root").select("fp", "component_id")
+    by_mark = kept(rooted.join(least, "root").select("fp", "component_id"), "components")  # Spark can split a hot fingerprint
     return marks.join(by_mark, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# ---------------------------------------------------------------- near copies by their word runs
+
+
+def run_hashes(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """Hashes of each text's word runs, A-Z lower-cased; a shorter text is one run, a wordless one
+    none."""
+    found = hashed_words(pc.ascii_lower(texts.fill_null("")), 71)
+    return [Grams(x).every(min(words, len(x))) if len(x) else x for x in found]
+
+
 def listed(sets: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
 
 
-def common_runs(docs: DataFrame, words: int, sample: int = 20_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """How common word runs are, counted over about `sample` documents, for at most `most` runs,
-    which the driver holds: `(sorted runs, counts)`."""
-    rate = max(1, docs.count() // sample)
+def frequent_runs(docs: DataFrame, words: int, share: float = 1e-3, text_bytes: int = 16 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Word runs that more than `share` of all documents have, and counts for their order: `(sorted
+    runs, counts)`. Each piece of about `text_bytes` of text counts all its documents' runs and
+    gives those that at least `share` of its documents have; a run above the share overall is above
+    it in some piece. The runs above a share are at most (runs of an average document) / share."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: list[np.ndarray] = []
+        size = n = 0
+
+        def out() -> pa.RecordBatch:
+            runs, count = np.unique(np.concatenate(sets), return_counts=True)
+            often = count >= max(2, math.ceil(share * n))
+            return pa.RecordBatch.from_arrays([pa.array(signed(runs[often])), pa.array(count[often].astype(np.int64)), pa.array(np.full(int(often.sum()), n, np.int64))], names=["run", "n", "docs"])
+
         for batch in text_slices(batches):
-            for t in as_bytes(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(t, words)).view(np.int64))], names=["run"])
+            sets += [np.unique(x) for x in run_hashes(batch.column("text"), words)]
+            size, n = size + batch.column("text").nbytes, n + batch.num_rows
+            if size >= text_bytes:
+                yield out()
+                sets, size, n = [], 0, 0
+        if sets:
+            yield out()
+
+    total = docs.count()
+    found = docs.select("text").mapInArrow(run, "run bigint, n bigint, docs bigint").groupBy("run").agg(F.sum("n").alias("n"))
+    found = found.where(F.col("n") >= max(3.0, share * total)).toArrow()
+    runs, count = found.column("run").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(runs)
+    return runs[order], count[order]
+
 
-    runs = docs.where(F.pmod(F.xxhash64("text"), F.lit(rate)) == 0).select("text").mapInArrow(run, "run bigint")
-    found = runs.groupBy("run").count().where("count > 2").orderBy(F.desc("count"), "run").limit(most).toArrow()
-    known, count = found.column("run").to_numpy().view(np.uint64), found.column("count").to_numpy()
-    order = np.argsort(known)
-    return known[order], count[order]
+def digest(runs: np.ndarray) -> bytes:
+    return hashlib.blake2b(runs.tobytes(), digest_size=16).digest()
 
 
 def run_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -289,22 +325,18 @@ def run_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            sets = [np.unique(shingles(t, words)) for t in as_bytes(batch.column("text"))]
+            sets = [np.unique(x) for x in run_hashes(batch.column("text"), words)]
             yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.binary()), listed(sets)], names=["key", "runs"])
 
     return docs.select("text").mapInArrow(run, "key binary, runs array<bigint>")
 
 
-def digest(runs: np.ndarray) -> bytes:
-    return hashlib.blake2b(runs.tobytes(), digest_size=16).digest()
-
-
 def run_marks(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """`docs(doc_id, text)` -> `(doc_id, key, fp, size, prefix)`, one row per input row: the digest
-    of the set of word runs, the SimHash, the set's size, and so many of its runs, the first in one
-    order of all runs, that two sets with a Jaccard of `least` or more share one of them. Any order
-    finds all pairs; common runs come last, so that they bring few together."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_runs(docs, words))
+    """`docs(doc_id, mark, text)` -> `(doc_id, mark, key, fp, size, prefix)`, one row per input row:
+    the digest of the set of word runs, the SimHash, the set's size, and so many of its runs, the
+    first in one order of all runs, that two sets with a Jaccard of `least` or more share one of
+    them. Any order finds all pairs; frequent runs come last, so that they bring few together."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_runs(docs, words))
 
     def first(own: np.ndarray) -> np.ndarray:
         known, count = shared.value
@@ -316,29 +348,29 @@ def run_marks(docs: DataFrame, words: int, least: float) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            every = [shingles(t, words) for t in as_bytes(batch.column("text"))]
+            every = run_hashes(batch.column("text"), words)
             sets = [np.unique(x) for x in every]
             fps = np.array([majority(x) for x in every], np.uint64).view(np.int64)
-            columns = [batch.column("doc_id"), pa.array([digest(x) for x in sets], pa.binary()), pa.array(fps), pa.array([len(x) for x in sets], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*columns, listed([first(x) for x in sets])], names=["doc_id", "key", "fp", "size", "prefix"])
+            columns = [batch.column("doc_id"), batch.column("mark"), pa.array([digest(x) for x in sets], pa.binary()), pa.array(fps), pa.array([len(x) for x in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, listed([first(x) for x in sets])], names=["doc_id", "mark", "key", "fp", "size", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, fp bigint, size int, prefix array<bigint>")
+    return docs.select("doc_id", "mark", "text").mapInArrow(run, f"doc_id {kind}, mark bigint, key binary, fp bigint, size int, prefix array<bigint>")
 
 
-def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, stars: int = 2) -> DataFrame:
-    """`docs(doc_id, text, ...)` -> `(doc_id, component_id)`, one row per input row: documents whose
-    sets of word runs have a Jaccard of `least` or more are linked, all of them.
+def near_copy_roots(docs: DataFrame, words: int, least: float, stars: int) -> tuple[DataFrame, DataFrame]:
+    """`docs(doc_id, mark, text)` -> the documents' marks (see run_marks), and the component of each
+    set of word runs that is linked to another: `(node, root)`.
 
     Equal sets are one row. Candidates are SimHash links first. A pair at 0.8 differs in about
     ten bits, which no trie with a one-bit inner budget finds, so the prefixes of the sets give
-    the rest: in `stars` rounds each set with one set of each of its runs' groups, at last all
-    pairs of a group that lie in different components by then. So a large group of near copies
-    doesn't cost the square of its size. Every candidate is verified by the exact Jaccard.
-    Wordless and null texts are one set. Ids as in near_duplicates.
+    the rest: in `stars` rounds each set with one set of each of its runs' groups, at last those
+    pairs of a group that lie in different components by then and whose sizes and places in the
+    order allow the similarity. So a large group of near copies doesn't cost the square of its
+    size. Every candidate is verified by the exact Jaccard.
     """
     marks = kept(run_marks(docs, words, least), "run-marks")
-    rows = marks.select(F.explode("prefix").alias("run"), "key", "size")
+    rows = marks.select(F.posexplode("prefix").alias("pos", "run"), "key", "size")
     of = F.xxhash64("key")
     met = kept(rows.groupBy("run").agg(F.min(of).alias("low"), F.max(of).alias("high")).where("low <> high").select("run"), "met")
     groups = kept(rows.join(met, "run", "left_semi").distinct(), "groups")
@@ -364,39 +396,63 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, stars: int
     links = kept(verified(pairs), "links")
     for i in range(stars + 1):
         roots = kept(connected_components(links), "roots")
-        now = groups.join(roots, groups.key == roots.node, "left").select("run", "key", "size", F.coalesce("root", "key").alias("root"))
-        mixed = now.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("key", "size", "root"), F.xxhash64(F.lit(i), "key")).alias("lead")).where("low <> high")
+        now = groups.join(roots, groups.key == roots.node, "left").select("run", "pos", "key", "size", F.coalesce("root", "key").alias("root"))
+        lead = F.min_by(F.struct("key", "size", "root"), F.xxhash64(F.lit(i), "key")).alias("lead")
+        mixed = kept(now.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high"), lead).where("low <> high"), "mixed")
         if i < stars:
             pairs = now.join(mixed, "run").where((F.col("root") != F.col("lead.root")) & alike(F.col("size"), F.col("lead.size"))).select(F.col("key").alias("a"), F.col("lead.key").alias("b"))
         else:
-            now = kept(now.join(mixed, "run", "left_semi"), "mixed")
-            left, right = (now.select("run", F.col("root").alias(f"{c}_root"), F.col("key").alias(c), F.col("size").alias(f"{c}_size")) for c in "ab")
-            parts = now.select("run", "root").distinct()
-            parts = parts.withColumnRenamed("root", "a_root").join(parts.withColumnRenamed("root", "b_root"), "run").where("a_root < b_root")
-            pairs = parts.join(left, ["run", "a_root"]).join(right, ["run", "b_root"]).where(alike(F.col("a_size"), F.col("b_size"))).select("a", "b")
+            now = kept(now.join(mixed, "run", "left_semi"), "now")
+            left, right = (now.select("run", *[F.col(x).alias(f"{c}_{x}") for x in ("root", "size", "pos")], F.col("key").alias(c)) for c in "ab")
+            after = lambda c: F.col(f"{c}_size") - F.col(f"{c}_pos")  # noqa: E731  the first run that both have, and what can follow it
+            enough = F.least(after("a"), after("b")) >= (F.col("a_size") + F.col("b_size")) * (least / (1 + least)) - 1e-6
+            pairs = left.join(right, "run").where(F.col("a_root") < F.col("b_root")).where(alike(F.col("a_size"), F.col("b_size")) & enough).select("a", "b")
         links = kept(links.unionByName(verified(pairs)), "links")
-    roots = kept(connected_components(links), "roots")
-    rooted = marks.select("doc_id", "key").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", F.coalesce("root", "key").alias("root"))
+    return marks, kept(connected_components(links), "roots")
+
+
+def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, stars: int = 2) -> DataFrame:
+    """`docs(doc_id, text, ...)` -> `(doc_id, component_id)`, one row per input row: documents whose
+    sets of word runs have a Jaccard of `least` or more are linked, all of them. Wordless and null
+    texts are one set. Ids as in near_duplicates."""
+    marks, roots = near_copy_roots(told_apart(docs.select("doc_id", "text"))[0], words, least, stars)
+    sets = marks.groupBy("key").agg(F.min("doc_id").alias("least"))
+    rooted = sets.join(roots, sets.key == roots.node, "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     rooted = kept(rooted, "rooted")
-    return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marks.join(kept(rooted.join(ids, "root").select("key", "component_id"), "components"), "key").select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, stars: int = 2) -> DataFrame:
+    """As drop_near_duplicates, for the components of near_copies."""
 
+    def firsts(told: DataFrame) -> DataFrame:
+        marks, roots = near_copy_roots(told, words, least, stars)
+        sets = marks.where("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+        return sets.join(roots, sets.key == roots.node, "left").groupBy(F.coalesce("root", "key")).agg(F.min("first").alias("first"))
 
-def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """As drop_near_duplicates, for components of near_copies."""
-    return first_of_each(docs, near_copies(docs, words, least))
+    return first_of_each(docs, firsts)
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
-    """Keep, with all its columns, the document with the least doc_id of each component; one of
-    its rows where the id repeats, and rows without an id."""
-    return first_of_each(docs, near_duplicates(docs, words, distance))
-
-
-def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    gone = found.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    twice = kept(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
-        return rest
-    once = rest.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(twice, "doc_id", "left_anti").unionByName(once)
+    """Keep, with all its columns, the document with the least doc_id of each component, and rows
+    without an id. Rows that share a doc_id with different texts are documents of their own, which
+    may lie in different components; of equal rows one stays."""
+
+    def firsts(told: DataFrame) -> DataFrame:
+        marks = kept(fingerprints(told, words), "fingerprints")
+        distinct = marks.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+        return trie_roots(kept(distinct, "distinct"), distance).groupBy("root").agg(F.min("first").alias("first"))
+
+    return first_of_each(docs, firsts)
+
+
+def first_of_each(docs: DataFrame, firsts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that `firsts` names by `first(doc_id, mark)` for documents told apart by their marks.
+    Each group's first is found by partial sums and joined by its own id, so no step deals rows by
+    their group."""
+    told, twice = told_apart(whole_rows(docs))
+    stay = firsts(told.select("doc_id", "mark", "text")).select("first.*")
+    rows = told.join(stay, ["doc_id", "mark"], "left_semi")
+    rows = rows.dropDuplicates(["doc_id", "mark"]) if twice else rows
+    return rows.select("row").unionByName(told.where("doc_id is null").select("row")).select("row.*")

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from orrery.llm.common import Grams, as_bytes, hashed_words, kept, rows_told_apart, signed, text_slices
+from orrery.llm.common import Grams, as_bytes, hashed_words, kept, signed, text_slices, told_apart
 
 #: Words of the runs whose least hash is an edge's minimizer.
 MINIMIZER_WORDS = 10
@@ -272,7 +272,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, verbatim: bool = False, bits
     their own. Columns of any other name pass through.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    told = rows_told_apart(docs.select(row.alias("row"), "doc_id", "text"))
+    told, _ = told_apart(docs.select(row.alias("row"), "doc_id", "text"))
     found = repeated_spans(told.select(*DOC, "text"), size, bits)
     spans = found.groupBy(*DOC).agg(F.collect_list(F.struct("start", "edges")).alias("spans"))  # no more spans than words
     joined = told.join(spans, DOC, "left").select("row", "text", "spans")

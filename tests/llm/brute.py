@@ -63,6 +63,25 @@ def components(rows):
     return {i: (f"{fp[i]:016x}", low[i]) for i in ids}
 
 
+def near_roots(rows, words=5, least=0.8):
+    """The least doc_ids of the groups that a Jaccard of `least` or more over word runs links."""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").translate(LOWER).encode().split()
+        sets[i] = {tuple(w[p : p + words]) for p in range(max(1, len(w) - words + 1))}
+    ids = sorted(sets)
+    low = {i: i for i in ids}
+    links = [(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    moved = True
+    while moved:
+        moved = False
+        for a, b in links:
+            if low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                moved = True
+    return {i for i in ids if low[i] == i}
+
+
 def cut(rows, size=50):
     """doc_id -> (words, removed, kept words)."""
     first = {}

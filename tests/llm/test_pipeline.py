@@ -5,7 +5,7 @@ import hashlib
 import corpus_pipeline
 import numpy as np
 import pytest
-from brute import components, cut, leaks, sha
+from brute import cut, leaks, near_roots, sha
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -21,7 +21,7 @@ def documents(spark, sf):
 def test_run_equals_brute_force(spark, sf, documents):
     scores = {r.doc_id: r.predicted for r in quality.scores(documents, table(spark, sf, "labels")).collect()}
     rows = [(r.doc_id, r.text) for r in documents.collect() if scores[r.doc_id] == 1]
-    roots = {v[1] for v in components(rows).values()}
+    roots = near_roots(rows)
     rows = [x for x in rows if x[0] in roots]
     kept = cut(rows)
     rows = [(i, t if not kept[i][1] else b" ".join(kept[i][2]).decode()) for i, t in rows]
