@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where the setting is absent (tests in one
-    process) a fresh temporary folder takes its place."""
+    """The folder named by spark.checkpoint.dir. Where the setting is absent and everything runs in
+    one process (tests, local mode) a fresh temporary folder takes its place; on a cluster, where
+    executors wouldn't see such a folder, that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="orrery-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
