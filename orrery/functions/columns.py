@@ -15,9 +15,23 @@ def bucket32(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def poisson_weight(*parts: Column) -> Column:
-    """A Poisson(1) draw that depends on the parts alone."""
-    u = bucket32(*parts) / F.lit(4294967296.0)
+#: Draws are whole numbers below this prime.
+DRAWS = 2147483647
+
+
+def draw(base: Column, rep: Column) -> Column:
+    """A number below DRAWS that depends on a row's base (see bucket32) and the replicate alone:
+    two rounds of multiplying and squaring modulo a prime, so no text is hashed for a replicate."""
+    x = (base + rep * 1000003) % DRAWS
+    y = (x * 48271 + rep * 40692) % DRAWS
+    z = (y * ((y + 16807) % DRAWS)) % DRAWS
+    w = (z * 69621 + base) % DRAWS
+    return (w * ((w + 12345) % DRAWS)) % DRAWS
+
+
+def poisson_weight(base: Column, rep: Column) -> Column:
+    """A Poisson(1) draw that depends on base and replicate alone."""
+    u = draw(base, rep) / F.lit(float(DRAWS))
     weight = F.lit(5)
     for k, cut in reversed(list(enumerate(POISSON))):
         weight = F.when(u < cut, k).otherwise(weight)

@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators.ranks import quantiles
+from orrery.sources.shared import kept
+
 #: A rule's name, and what is true of a row that breaks it (null counts as kept, but for not_null).
 Rule = tuple[str, Column]
 
@@ -49,17 +52,16 @@ def quarantine(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
 
 def profile_table(df: DataFrame, cols: list[str]) -> DataFrame:
     """Q5: nulls, distinct values, range, mean and quartiles of numeric columns, a row each. Values
-    are counted first, so quartiles come from distinct values and their counts."""
+    are counted first; quartiles come from running counts of distinct values, dealt by ranges."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "name", "value")
-    counts = long.groupBy("name", "value").agg(F.count("*").alias("n"))
-    # percentile keeps a map of distinct values to counts, which the grouping has built already
-    quarter = lambda p: F.round(F.percentile("value", p, F.col("n")), 6)
+    counts = kept(long.groupBy("name", "value").agg(F.count("*").alias("n")), "counts")
     mean = F.round(F.sum(F.col("value") * F.col("n")) / F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), 4)
-    return counts.groupBy("name").agg(
+    cuts = quantiles(counts, "name", "value", "n", [0.25, 0.5, 0.75])
+    shape = counts.groupBy("name").agg(
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_null"), F.count("value").alias("n_distinct"),
         F.min("value").alias("least"), F.max("value").alias("most"), mean.alias("mean"),
-        quarter(0.25).alias("q25"), quarter(0.5).alias("q50"), quarter(0.75).alias("q75"),
     )
+    return shape.join(cuts, "name", "left").select(*shape.columns, *[F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("q25", "q50", "q75"))])
 
 
 def diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

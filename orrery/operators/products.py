@@ -31,15 +31,21 @@ def extract_slots(df: DataFrame, text_col: str) -> DataFrame:
 
 def search(prefs: DataFrame, products: DataFrame, offers: DataFrame) -> DataFrame:
     """Every preference's offers. A slot that is set is an equal-key join; one that isn't set
-    matches everything, so preferences are joined by the slots they have."""
+    matches everything, so preferences are joined by the slots they have. Those with neither name
+    nor brand are joined to offers by bands of the price (powers of two), from the lowest up to
+    the band of their own limit."""
     found = []
-    for keys in (["name", "brand"], ["name"], ["brand"], []):
+    for keys in (["name", "brand"], ["name"], ["brand"]):
         missing = [k for k in ("name", "brand") if k not in keys]
         some = prefs.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys] + [F.col(k).isNull() for k in missing]))
-        right = products.select("product_id", *keys)
-        found.append((some.join(right, keys) if keys else some.crossJoin(right)).select("pref_id", "product_id", "max_price_e4"))
-    hits = reduce(DataFrame.unionByName, found)
-    return hits.join(offers, "product_id").where("max_price_e4 is null or unit_price_e4 <= max_price_e4").drop("max_price_e4")
+        found.append(some.join(products.select("product_id", *keys), keys).select("pref_id", "product_id", "max_price_e4"))
+    within = F.expr("max_price_e4 is null or unit_price_e4 <= max_price_e4")
+    hits = reduce(DataFrame.unionByName, found).join(offers, "product_id").where(within)
+    band = lambda c: F.when(F.col(c) >= 1, F.length(F.bin(c))).otherwise(0)  # noqa: E731  binary digits of a price
+    bands = F.explode(F.sequence(F.lit(0), F.coalesce(band("max_price_e4"), F.lit(63))))
+    free = prefs.where("name is null and brand is null").select("pref_id", "max_price_e4", bands.alias("band"))
+    free = free.join(offers.join(products.select("product_id"), "product_id", "left_semi").withColumn("band", band("unit_price_e4")), "band").where(within).drop("band")
+    return hits.unionByName(free.select(hits.columns)).drop("max_price_e4")
 
 
 def union_sources(tables: dict[str, DataFrame]) -> DataFrame:
@@ -79,40 +85,79 @@ def dedup_exact(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.join(sizes, reduce(lambda a, b: a & b, same)).select(*df.columns, "group_size")
 
 
-def min_hashes(shingles: Column, bands: int, rows: int) -> Column:
-    """Band texts: for each band the least hash under each of its seeds."""
-    least = lambda seed: F.array_min(F.transform(shingles, lambda s: F.xxhash64(F.lit(seed), s))).cast("string")
-    return F.array(*[F.concat_ws(":", F.lit(str(b)), *[least(b * rows + r) for r in range(rows)]) for b in range(bands)])
-
-
-def near_dup_pairs(df: DataFrame, id_col: str, text_col: str, n: int = 5, t: float = 0.8, bands: int = 8, rows: int = 2) -> DataFrame:
+def near_dup_pairs(df: DataFrame, id_col: str, text_col: str, n: int = 5, t: float = 0.8) -> DataFrame:
     """Links `(a, b, jaccard)` between documents whose sets of word runs agree to `t` or more.
     Documents with equal sets are one group, linked to its least id; only groups' representatives
-    are compared, by equal MinHash bands and then exactly. So copies never make all pairs."""
+    are compared, so copies never make all pairs.
+
+    Runs are ordered by how many representatives have them. Two sets that agree to `t` share one
+    of the first size - ceil(t * size) + 1 runs of either; runs that one set alone has lead to
+    nobody and aren't joined. Pairs whose sizes, or whose places of the shared run, rule the
+    similarity out are left out; the others are verified exactly."""
     sets = df.select(F.col(id_col).alias("id"), F.array_sort(shingle_set(norm_text(F.col(text_col)), n)).alias("s")).where(F.size("s") > 0)
     marked = kept(sets.withColumn("mark", F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), " "), 256)), "sets")
-    groups = marked.groupBy("mark").agg(F.min("id").alias("a"))
+    groups = kept(marked.groupBy("mark").agg(F.min("id").alias("a")), "groups")
     copies = marked.select("id", "mark").join(groups, "mark").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
-    reps = marked.join(groups.select("mark", F.col("a").alias("id")), ["mark", "id"]).dropDuplicates(["id"]).select("id", "s")
-    keys = kept(reps.select("id", F.explode(min_hashes(F.col("s"), bands, rows)).alias("band")), "bands")
-    other = keys.select(F.col("id").alias("b"), "band")
-    pairs = keys.select(F.col("id").alias("a"), "band").join(other, "band").where("a < b").select("a", "b").distinct()
+    reps = kept(marked.join(groups.select("mark", F.col("a").alias("id")), ["mark", "id"]).dropDuplicates(["id"]).select("id", "s"), "reps")
+    runs = reps.select("id", F.size("s").alias("size"), F.explode("s").alias("run"))
+    common = kept(runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    listed = F.array_sort(F.collect_list(F.struct("n", "run")))  # no more than the document's own runs
+    own = runs.join(common, "run").groupBy("id", "size").agg(listed.alias("x"))
+    alone = F.col("size") - F.size("x")
+    prefix = F.slice("x", F.lit(1), F.greatest(F.lit(0), F.least(F.size("x"), F.col("size") - F.ceil(F.col("size") * t - 1e-6).cast("int") + 1 - alone)))
+    keys = kept(own.select("id", "size", alone.alias("alone"), F.posexplode(prefix).alias("pos", "y")).select("id", "size", (F.col("alone") + F.col("pos")).alias("pos"), "y.run"), "prefixes")
+    left, right = (keys.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("pos").alias(f"p{c}"), "run") for c in "ab")
+    enough = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-6
+    pairs = left.join(right, "run").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * t - 1e-6) & enough).select("a", "b").distinct()
     sized = pairs.join(reps.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     jaccard = both / (F.size("sa") + F.size("sb") - both)
     return sized.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= t).unionByName(copies)
 
 
+def segments(length: Column, k: int) -> Column:
+    """Places (from 1) and lengths of the k + 1 parts, as even as can be, of a text of `length`."""
+    short = F.floor(length / (k + 1)).cast("int")
+    longer = length - short * (k + 1)  # so many parts, the last ones, are one longer
+    begin = lambda i: F.lit(1) + i * short + F.greatest(F.lit(0), i - (F.lit(k + 1) - longer))
+    return F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.struct(i.alias("part"), begin(i).alias("at"), (begin(i + 1) - begin(i)).alias("n")))
+
+
+def near_texts(a: DataFrame, b: DataFrame, block: str, k: int) -> DataFrame:
+    """`a(block, ta)`, `b(block, tb)` of distinct texts -> `(block, ta, tb, edits)` at most `k` edits
+    apart. Of a text cut into k + 1 parts, k edits leave one part whole, at most k places away. So
+    texts meet by (block, length, part, letters), not all of a block; then edits are counted."""
+    size = F.char_length("tb")
+    cut = b.select(block, "tb", size.alias("length"), F.explode(segments(size, k)).alias("s")).select(block, "tb", "length", "s.part", F.expr("substring(tb, s.at, s.n)").alias("letters"))
+    own = F.char_length("ta")
+    spans = a.select(block, "ta", F.explode(F.sequence(F.greatest(F.lit(0), own - k), own + k)).alias("length"))
+    spans = spans.select(block, "ta", "length", F.explode(segments(F.col("length"), k)).alias("s"))
+    last = F.char_length("ta") - F.col("s.n") + 1
+    first = F.greatest(F.lit(1), F.col("s.at") - k)
+    places = F.when(first <= F.least(last, F.col("s.at") + k), F.sequence(first, F.least(last, F.col("s.at") + k)))
+    asked = spans.select(block, "ta", "length", "s.part", "s.n", F.explode(places).alias("at")).select(block, "ta", "length", "part", F.expr("substring(ta, at, n)").alias("letters")).distinct()
+    pairs = asked.join(cut, [block, "length", "part", "letters"]).select(block, "ta", "tb").distinct()
+    return pairs.withColumn("edits", F.levenshtein("ta", "tb", k)).where("edits >= 0")
+
+
 def fuzzy_match(a: DataFrame, b: DataFrame, block: str, col: str, k: int) -> DataFrame:
     """Rows of the same block whose texts are at most `k` edits apart: `(a_id, b_id, edits)`.
     The edits of two distinct texts are found once, however many rows have them."""
-    texts = lambda df: df.select(block, col).distinct()
-    pairs = texts(a).withColumnRenamed(col, "ta").join(texts(b).withColumnRenamed(col, "tb"), block)
-    near = pairs.withColumn("edits", F.levenshtein("ta", "tb", k)).where("edits >= 0")
+    texts = lambda df, name: df.select(block, F.col(col).alias(name)).where(F.col(name).isNotNull()).distinct()
+    near = near_texts(texts(a, "ta"), texts(b, "tb"), block, k)
     left, right = a.select(F.col("id").alias("a_id"), block, F.col(col).alias("ta")), b.select(F.col("id").alias("b_id"), block, F.col(col).alias("tb"))
     return near.join(left, [block, "ta"]).join(right, [block, "tb"]).select("a_id", "b_id", "edits")
 
 
+def fuzzy_pairs(df: DataFrame, block: str, col: str, k: int) -> DataFrame:
+    """P12 of a table with itself: each pair once, `a_id` the lesser."""
+    texts = df.select(block, F.col(col).alias("ta")).where("ta is not null").distinct()
+    near = near_texts(texts, texts.withColumnRenamed("ta", "tb"), block, k).where("ta <= tb")
+    left, right = df.select(F.col("id").alias("x"), block, F.col(col).alias("ta")), df.select(F.col("id").alias("y"), block, F.col(col).alias("tb"))
+    rows = near.join(left, [block, "ta"]).join(right, [block, "tb"]).where("x < y or (ta < tb and x > y)")
+    return rows.select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"), "edits")
+
+
 def dup_clusters(pairs: DataFrame) -> DataFrame:
     """`(id, cluster)` for each end of `pairs(a, b)`; the cluster is its least id."""
     return connected_components(pairs.select("a", "b")).select(F.col("node").alias("id"), F.col("root").alias("cluster"))

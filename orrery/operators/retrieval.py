@@ -12,10 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions.columns import norm_text
+from orrery.sources.shared import kept
 
 K1, B = 1.2, 0.75  # usual constants of BM25
-#: Query vectors that a task holds at a time (8 bytes a dimension).
-HELD = 4096
+#: Rows and query vectors of a cell, which a task holds (4 and 8 bytes a dimension).
+ROWS, HELD = 16_384, 4_096
 
 
 def chunk(df: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -35,14 +36,21 @@ def term_stats(units: DataFrame, unit: str) -> DataFrame:
     return tf.join(df, "term").join(length, unit).select(unit, "term", "tf", "df", "len")
 
 
-def bm25_topk(queries: DataFrame, stats: DataFrame, unit: str, k: int) -> DataFrame:
-    """`queries(query_id, text)` -> `(query_id, unit, score, rank)`: the k best units of each by
-    BM25 over the query's distinct words, ties to the lesser unit."""
-    words = queries.select("query_id", F.explode(F.array_distinct(F.split(norm_text(F.col("text")), " "))).alias("term")).where("term <> ''")
-    whole = stats.select(unit, "len").distinct().agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+def bm25_topk(queries: DataFrame, units: DataFrame, unit: str, k: int) -> DataFrame:
+    """`queries(query_id, text)`, `units(unit, text)` -> `(query_id, unit, score, rank)`: the k
+    best units of each by BM25 over the query's distinct words, ties to the lesser unit.
+
+    The queries' words are written first, so that Spark knows their size; the units' words that no
+    query has go before they are counted or shuffled. Lengths come from the words' number."""
+    words = kept(queries.select("query_id", F.explode(F.array_distinct(F.split(norm_text(F.col("text")), " "))).alias("term")).where("term <> ''"), "words")
+    asked = kept(words.select("term").distinct(), "terms")
+    split = units.select(unit, F.filter(F.split(norm_text(F.col("text")), " "), lambda w: w != "").alias("w")).select(unit, "w", F.size("w").alias("len")).where("len > 0")
+    tf = kept(split.select(unit, "len", F.explode("w").alias("term")).join(asked, "term", "left_semi").groupBy(unit, "len", "term").agg(F.count("*").alias("tf")), "tf")
+    df = kept(tf.groupBy("term").agg(F.count("*").alias("df")), "df")
+    whole = split.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = words.join(stats, "term").crossJoin(F.broadcast(whole)).groupBy("query_id", unit).agg(F.round(F.sum(part), 6).alias("score"))  # whole is one row
+    scored = tf.join(words.join(df, "term"), "term").crossJoin(F.broadcast(whole)).groupBy("query_id", unit).agg(F.round(F.sum(part), 6).alias("score"))  # whole is one row
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), unit))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -56,56 +64,51 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def partial_topk(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, probes: np.ndarray | None = None) -> DataFrame:
-    """Each task's k best rows of each query by cosine (rounded to 6 places; ties to the lesser id),
-    batch by batch. `probes` (query x list) limits a query to the lists it asks for."""
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, unit_rows(queries), probes))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries, probes = shared.value
-        score = np.full((len(ids), k), -np.inf)
-        best = np.zeros((len(ids), k), np.int64)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                own = np.asarray(part.column("vec_id"))
-                cosine = np.round(queries @ unit_rows(matrix(part.column("embedding"))).T, 6)
-                if probes is not None:
-                    cosine[~probes[:, np.asarray(part.column("list"))]] = -np.inf
-                cosine[ids[:, None] == own[None, :]] = -np.inf
-                both, names = np.concatenate([score, cosine], 1), np.concatenate([best, np.broadcast_to(own, cosine.shape)], 1)
-                order = np.lexsort((names, -both), axis=1)[:, :k]
-                score, best = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
-        q, j = np.nonzero(np.isfinite(score))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best[q, j]), pa.array(score[q, j])], names=["query_id", "vec_id", "score"])
-
-    return vectors.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
-
-
-def query_blocks(queries: DataFrame, held: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The stated query set in blocks of at most `held` vectors."""
-    ids: list[int] = []
-    rows: list[list[float]] = []
-    for r in queries.select("vec_id", "embedding").toLocalIterator():
-        ids.append(r["vec_id"])
-        rows.append(r["embedding"])
-        if len(ids) == held:
-            yield np.array(ids), np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows, np.float64)
-
-
-def best_of(parts: list[DataFrame], k: int) -> DataFrame:
+def cells_topk(queries: DataFrame, vectors: DataFrame, k: int, rows: int, held: int) -> DataFrame:
+    """`queries(query_id, embedding, list)`, `vectors(vec_id, embedding, list)` -> `(query_id, vec_id,
+    score, rank)`: of each query the k nearest rows in the lists that it asks for, by cosine
+    (rounded to 6 places; ties to the lesser id), its own row left out.
+
+    A list is cut into pieces of about `rows` rows and blocks of about `held` queries; each pair of
+    a piece and a block is a cell, which one task handles, and gives k rows a query. So a list of
+    any size, and any number of queries, is spread over tasks.
+    """
+    sizes = vectors.groupBy("list").agg(F.ceil(F.count("*") / rows).cast("int").alias("pieces"))
+    asked = queries.groupBy("list").agg(F.ceil(F.count("*") / held).cast("int").alias("blocks"))
+    plan = F.broadcast(kept(sizes.join(asked, "list"), "cells"))  # a row per list
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    v = vectors.join(plan, "list").select("list", mine("vec_id", "pieces").alias("piece"), spread("blocks").alias("block"), "vec_id", "embedding")
+    q = queries.join(plan, "list").select("list", spread("pieces").alias("piece"), mine("query_id", "blocks").alias("block"), F.col("query_id").alias("asker"), F.col("embedding").alias("asked"))
+
+    def best(own: pa.Table, asking: pa.Table) -> pa.Table:
+        ids, n = asking.column("asker").to_numpy(), own.num_rows
+        if not len(ids) or not n:
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        x = unit_rows(matrix(asking.column("asked").combine_chunks()))
+        score, found = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        for lo in range(0, n, 2048):
+            part = own.slice(lo, 2048)
+            names = part.column("vec_id").to_numpy()
+            cosine = np.round(x @ unit_rows(matrix(part.column("embedding").combine_chunks())).T, 6)
+            cosine[ids[:, None] == names[None, :]] = -np.inf
+            both, all_ = np.concatenate([score, cosine], 1), np.concatenate([found, np.broadcast_to(names, cosine.shape)], 1)
+            order = np.lexsort((all_, -both), axis=1)[:, :k]
+            score, found = np.take_along_axis(both, order, 1), np.take_along_axis(all_, order, 1)
+        i, j = np.nonzero(np.isfinite(score))
+        return pa.table({"query_id": ids[i], "vec_id": found[i, j], "score": score[i, j]})
+
+    keys = ["list", "piece", "block"]
+    parts = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(best, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", rank).where(F.col("rank") <= k)
+    return parts.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, held: int = HELD) -> DataFrame:
-    """`(query_id, vec_id, score, rank)`: the k nearest rows by cosine, the query's own row left
-    out. All rows are read once for each block of queries; a task keeps k rows a query."""
-    rows = vectors.select("vec_id", "embedding")
-    return best_of([partial_topk(rows, ids, x, k) for ids, x in query_blocks(queries, held)], k)
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, rows: int = ROWS, held: int = HELD) -> DataFrame:
+    """`(query_id, vec_id, score, rank)`: the k nearest of all rows by cosine (see cells_topk)."""
+    one = F.lit(0).alias("list")
+    asking = queries.select(F.col("vec_id").alias("query_id"), "embedding", one)
+    return cells_topk(asking, vectors.select("vec_id", "embedding", one), k, rows, held)
 
 
 def centroids(vectors: DataFrame, lists: int, sample: int = 20_000, seed: int = 3) -> np.ndarray:
@@ -119,25 +122,43 @@ def centroids(vectors: DataFrame, lists: int, sample: int = 20_000, seed: int =
     return c
 
 
-def vector_topk_lists(queries: DataFrame, vectors: DataFrame, k: int, lists: int = 16, probe: int = 12, held: int = HELD) -> DataFrame:
-    """As R4, but a query only sees the rows of the `probe` lists whose centroids are nearest to
-    it. Every row is in the list of its nearest centroid."""
-    c = centroids(vectors, lists)
-    shared = vectors.sparkSession.sparkContext.broadcast(c)
+def in_lists(rows: DataFrame, id_col: str, centres: np.ndarray, probe: int) -> DataFrame:
+    """`rows(id, embedding)` -> `(id, embedding, list)`: a row for each of the `probe` lists whose
+    centroids are nearest."""
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.argmax(matrix(batch.column("embedding")) @ shared.value.T, axis=1) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(own.astype(np.int32))], names=["vec_id", "embedding", "list"])
-
-    index = vectors.select("vec_id", "embedding").mapInArrow(place, "vec_id bigint, embedding array<float>, list int")
-    parts = []
-    for ids, x in query_blocks(queries, held):
-        near = np.argsort(-(unit_rows(x) @ c.T), axis=1)[:, :probe]
-        asked = np.zeros((len(ids), len(c)), bool)
-        np.put_along_axis(asked, near, True, 1)
-        parts.append(partial_topk(index, ids, x, k, asked))
-    return best_of(parts, k)
+            if not batch.num_rows:
+                continue
+            near = np.argsort(-(unit_rows(matrix(batch.column("embedding"))) @ shared.value.T), axis=1)[:, :probe]
+            at = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col).take(at), batch.column("embedding").take(at), pa.array(near.ravel().astype(np.int32))], names=[id_col, "embedding", "list"])
+
+    return rows.select(id_col, "embedding").mapInArrow(place, f"{id_col} bigint, embedding array<float>, list int")
+
+
+def vector_topk_lists(queries: DataFrame, vectors: DataFrame, k: int, lists: int = 128, probe: int = 64, rows: int = ROWS, held: int = HELD) -> DataFrame:
+    """As R4 through an index: every row lies in the list of its nearest centroid, and a query is
+    compared with the rows of its `probe` nearest lists only. Rows and queries meet by list in a
+    shuffle; rows of other lists are never scored (see scored_share)."""
+    asking, index = placed(queries, vectors, lists, probe)
+    return cells_topk(asking, index, k, rows, held)
+
+
+def placed(queries: DataFrame, vectors: DataFrame, lists: int, probe: int) -> tuple[DataFrame, DataFrame]:
+    """Queries in the lists that they ask for, and every row in its list."""
+    c = centroids(vectors, lists)
+    asking = in_lists(queries.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", c, probe)
+    return kept(asking, "asking"), kept(in_lists(vectors, "vec_id", c, 1), "index")
+
+
+def scored_share(queries: DataFrame, vectors: DataFrame, lists: int = 128, probe: int = 64) -> DataFrame:
+    """The share of all pairs of a query and a row that the index scores."""
+    asking, index = placed(queries, vectors, lists, probe)
+    own = index.groupBy("list").agg(F.count("*").alias("n")).join(asking.groupBy("list").agg(F.count("*").alias("m")), "list", "left")
+    pairs = own.agg(F.sum(F.col("n") * F.coalesce("m", F.lit(0))).alias("scored"), F.sum("n").alias("rows"))
+    return pairs.crossJoin(asking.agg((F.count("*") / probe).alias("queries"))).select((F.col("scored") / (F.col("rows") * F.col("queries"))).alias("share"))  # one row each
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

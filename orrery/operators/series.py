@@ -6,14 +6,19 @@ a series. Features of a row use rows up to it only, so deleting the future chang
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from orrery.operators.ranks import quantiles, running_counts
+from orrery.sources.shared import kept
+
 
 def in_time() -> WindowSpec:
     return W.partitionBy("series").orderBy("ts")
@@ -145,16 +150,41 @@ def ar1(folds: DataFrame) -> DataFrame:
     return joined.select("series", "origin", "ts", "horizon", "y", F.lit("ar1").alias("model"), yhat.alias("yhat")).where("yhat is not null")
 
 
-def fit_pooled(contexts: DataFrame, split: str, estimator=None) -> DataFrame:
-    """One learned forecaster over all series: contexts before `split` train, later ones are
-    predicted. Any spark.ml regressor over `features` and `label` will do."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import LinearRegression
-
-    rows = contexts.where("target_1 is not null").select("series", "ts", array_to_vector("context").alias("features"), F.col("target_1").alias("label"))
-    cut = F.lit(split).cast("timestamp_ntz")
-    model = (estimator or LinearRegression(regParam=0.1)).fit(rows.where(F.col("ts") < cut))
-    return model.transform(rows.where(F.col("ts") >= cut)).select("series", "ts", F.col("label").alias("y"), F.lit("pooled").alias("model"), F.col("prediction").alias("yhat"))
+def fit_pooled(df: DataFrame, length: int, start: int, step: int, train: int, h: int, embargo: int, ridge: float = 1e-3) -> DataFrame:
+    """One learned forecaster over all series for each origin of a walk forward: a ridge line
+    from the `length` closes before a row to its close. `(series, origin, ts, y, model, yhat)`.
+
+    An origin's model learns from rows whose close and whole past lie in its training places, and
+    predicts its test rows from the closes before them. Each task adds up the normal equations of
+    the origins it sees; Spark adds the parts, a row per origin, which is solved in its task.
+    """
+    past = F.collect_list("close").over(in_time().rowsBetween(-length, -1))
+    rows = walk_forward(df.select("series", "ts", "close").withColumn("past", past), start, step, train, h, embargo)
+    rows = rows.where((F.size("past") == length) & F.col("close").isNotNull())
+    usable = rows.where((F.col("part") == "train") & (F.col("i") - length >= F.col("origin") - train)).select("origin", "past", F.col("close").alias("y"))
+    d = length + 1
+
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            origin, y = np.asarray(batch.column("origin")), np.asarray(batch.column("y"), np.float64)
+            x = np.column_stack([np.asarray(batch.column("past").flatten(), np.float64).reshape(-1, length), np.ones(len(y)), y])
+            for o in np.unique(origin).tolist():
+                own = x[origin == o]
+                total[o] = total.get(o, 0) + own[:, :d].T @ own
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([t.ravel() for t in total.values()], pa.list_(pa.float64()))], names=["origin", "sums"])
+
+    def solved(group: pa.Table) -> pa.Table:
+        total = np.sum([np.asarray(x.values) for x in group.column("sums")], axis=0).reshape(d, d + 1)
+        damp = ridge * np.eye(d)
+        damp[-1, -1] = 0
+        weights = np.linalg.lstsq(total[:, :d] + damp, total[:, d], rcond=None)[0]
+        return pa.table({"origin": group.column("origin").slice(0, 1), "weights": pa.array([weights], pa.list_(pa.float64()))})
+
+    models = usable.mapInArrow(sums, "origin bigint, sums array<double>").groupBy("origin").applyInArrow(solved, "origin bigint, weights array<double>")
+    tests = rows.where("part = 'test'").join(models, "origin")
+    products = F.zip_with(F.concat("past", F.array(F.lit(1.0))), "weights", lambda a, b: a * b)
+    return tests.select("series", "origin", "ts", F.col("close").alias("y"), F.lit("pooled").alias("model"), F.aggregate(products, F.lit(0.0), lambda s, v: s + v).alias("yhat"))
 
 
 def apply_forecaster(df: DataFrame, fn: Callable, schema: StructType | str) -> DataFrame:
@@ -234,25 +264,20 @@ def metrics_by_regime(pred: DataFrame, regimes: DataFrame) -> DataFrame:
 
 def drift(reference: DataFrame, current: DataFrame, cols: list[str], bins: int = 10) -> DataFrame:
     """Population stability index over bins at the reference's quantiles, and the two-sample
-    Kolmogorov-Smirnov distance, per column. Distances come from cumulative counts of distinct
-    values; the running sum is taken within value ranges first, so no task has them all."""
+    Kolmogorov-Smirnov distance, per column. Both come from counts of distinct values and their
+    running sums, dealt by ranges of the values."""
     long = lambda df, side: df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "name", "x").where("x is not null").withColumn("side", F.lit(side))
-    ref, cur = long(reference, "r"), long(current, "c")
-    cuts = ref.groupBy("name").agg(F.percentile("x", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("cuts"))
-    both = ref.unionByName(cur).join(F.broadcast(cuts), "name")  # a row per column
-    placed = both.withColumn("bin", F.aggregate("cuts", F.lit(0), lambda n, c: n + F.when(F.col("x") > c, 1).otherwise(0)))
-    n = lambda s: F.count_if(F.col("side") == s)
-    totals = both.groupBy("name").agg(n("r").alias("nr"), n("c").alias("nc"))
-    shares = placed.groupBy("name", "bin").agg(n("r").alias("r"), n("c").alias("c")).join(totals, "name")
+    n = lambda s: F.count_if(F.col("side") == s).alias(s)
+    values = kept(long(reference, "r").unionByName(long(current, "c")).groupBy("name", "x").agg(n("r"), n("c")), "values")
+    totals = values.groupBy("name").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
+    cuts = quantiles(values.where("r > 0"), "name", "x", "r", [i / bins for i in range(1, bins)])
+    place = F.aggregate("q", F.lit(0), lambda n, c: n + F.when(F.col("x") > c, 1).otherwise(0)).alias("bin")
+    placed = values.join(F.broadcast(cuts), "name").select("name", place, "r", "c")  # a row per column
+    shares = placed.groupBy("name", "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c")).join(totals, "name")
     r, c = (F.greatest(F.lit(1e-6), F.col(a) / F.col(b)) for a, b in (("r", "nr"), ("c", "nc")))
     psi = shares.groupBy("name").agg(F.sum((c - r) * F.log(c / r)).alias("psi"))
-
-    values = placed.groupBy("name", "bin", "x").agg(n("r").alias("r"), n("c").alias("c"))
-    before = W.partitionBy("name").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    base = shares.select("name", "bin", F.coalesce(F.sum("r").over(before), F.lit(0)).alias("r0"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"), "nr", "nc")
-    within = W.partitionBy("name", "bin").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
-    run = values.withColumns({"rc": F.sum("r").over(within), "cc": F.sum("c").over(within)}).join(base, ["name", "bin"])
-    gap = F.abs((F.col("r0") + F.col("rc")) / F.col("nr") - (F.col("c0") + F.col("cc")) / F.col("nc"))
+    run = running_counts(values, "name", "x", ["r", "c"]).join(F.broadcast(totals), "name")
+    gap = F.abs(F.col("r_upto") / F.col("nr") - F.col("c_upto") / F.col("nc"))
     return psi.join(run.groupBy("name").agg(F.max(gap).alias("ks")), "name")
 
 
@@ -267,29 +292,45 @@ def control_chart(df: DataFrame, k: float, past: int, recent: int) -> DataFrame:
 
 def alert_candidates(df: DataFrame, level: float, move: float, lookback: int) -> DataFrame:
     """Rows that set off a rule: the price crosses `level` upwards, or has moved by the share `move`
-    over `lookback` rows."""
-    order = W.partitionBy("series").orderBy("ts", "id")
-    seen = df.withColumns({"_past": F.lag("price").over(order), "_far": F.lag("price", lookback).over(order)})
+    over `lookback` rows. Ticks are dealt by ranges of (series, ts, id), so a long series is spread;
+    the first rows of a range look back to the last rows of those before, which alone are
+    brought together."""
+    columns = df.columns
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept(df.repartitionByRange(ranges, "series", "ts", "id").withColumn("_range", F.spark_partition_id()), "ticks")
+    own, up, down = (W.partitionBy("series", "_range").orderBy(*o) for o in (["ts", "id"], ["ts", "id"], [F.col("ts").desc(), F.col("id").desc()]))
+    look = lambda w: {"_past": F.lag("price").over(w), "_far": F.lag("price", lookback).over(w)}
+    placed = dealt.withColumns({"_first": F.row_number().over(up), "_last": F.row_number().over(down), **look(own)})
+    edges = placed.where((F.col("_first") <= lookback) | (F.col("_last") <= lookback))
+    edges = edges.withColumns(look(W.partitionBy("series").orderBy("ts", "id"))).where(F.col("_first") <= lookback)
+    seen = placed.where(F.col("_first") > lookback).unionByName(edges)
     cross = (F.col("_past") < level) & (F.col("price") >= level)
     moved = F.abs(F.try_divide(F.col("price") - F.col("_far"), F.col("_far"))) >= move
     rules = F.array(F.when(cross, F.lit("cross")), F.when(moved, F.lit("move")))
-    return seen.select(*df.columns, F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
+    return seen.select(*columns, F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
 
 
 def cool_down(candidates: DataFrame, seconds: int) -> DataFrame:
-    """Of each series' and rule's candidates those that come `seconds` or more after the last one
-    emitted: a fold in (ts, id) order over the candidates, which are few against the ticks."""
-    entry = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "id", "ts", "price")
-    listed = candidates.groupBy("series", "rule").agg(F.array_sort(F.collect_list(entry)).alias("xs"))
-    kind = candidates.select(entry.alias("x")).schema["x"].dataType.simpleString()
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast(f"array<{kind}>").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        emit = state["last"].isNull() | (x["us"] - state["last"] >= seconds * 1_000_000)
-        return F.struct(F.when(emit, x["us"]).otherwise(state["last"]).alias("last"), F.when(emit, F.concat(state["out"], F.array(x))).otherwise(state["out"]).alias("out"))
-
-    out = F.aggregate("xs", start, step, lambda s: s["out"])
-    return listed.select("series", "rule", F.explode(out).alias("x")).select("series", "rule", "x.id", "x.ts", "x.price")
+    """Of each series' and rule's candidates, in (ts, id) order, those that come `seconds` or more
+    after the last one emitted. Where two candidates lie so far apart, the second is emitted
+    whatever came before; so each stretch between such gaps is a group of its own, in which a
+    binary search leads from one emitted candidate to the next."""
+    columns = ["series", "rule", "id", "ts", "price"]
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    order = W.partitionBy("series", "rule").orderBy("ts", "id")
+    gap = F.when(us - F.lag(us).over(order) < seconds * 1_000_000, 0).otherwise(1)
+    marked = candidates.select(*columns, us.alias("us"), gap.alias("new"))
+    stretches = marked.withColumn("stretch", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("new")
+
+    def emitted(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("ts", "ascending"), ("id", "ascending")])
+        at, rows, i = group.column("us").to_numpy(), [], 0
+        while i < len(at):
+            rows.append(i)
+            i = int(np.searchsorted(at, at[i] + seconds * 1_000_000))
+        return group.take(pa.array(rows, pa.int64())).select(columns)
+
+    return stretches.groupBy("series", "rule", "stretch").applyInArrow(emitted, StructType([candidates.schema[c] for c in columns]))
 
 
 def price_alerts(df: DataFrame, level: float, move: float, lookback: int, seconds: int) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.functions.columns import bucket32, correlation, norm_text, poisson_weight, shingle_set
+from orrery.functions.columns import DRAWS, bucket32, correlation, draw, norm_text, poisson_weight, shingle_set
+from orrery.sources.shared import kept
 
 # ---------------------------------------------------------------- holdouts
 
@@ -56,9 +57,13 @@ def key_overlap(train: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame
 
 def ngram_leak(train: DataFrame, evals: DataFrame, n: int) -> DataFrame:
     """V6: `(item_id, doc_id, shared)`: how many of an item's word runs a document has. The items'
-    runs are the smaller side; a run that all documents have is counted once a document."""
+    distinct runs are written first, so that Spark knows their size: small ones are broadcast and
+    the documents' runs, most of which no item has, go before any shuffle. A run that an item
+    or a document has several times counts once."""
     runs = lambda df, i: df.select(i, F.explode(shingle_set(norm_text(F.col("text")), n)).alias("run"))
-    return runs(evals, "item_id").join(runs(train, "doc_id"), "run").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    wanted = kept(runs(evals, "item_id"), "wanted")
+    met = runs(train, "doc_id").join(kept(wanted.select("run").distinct(), "runs"), "run", "left_semi")
+    return met.join(wanted, "run").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
 
 
 def contains_leak(train: DataFrame, evals: DataFrame, n: int = 5) -> DataFrame:
@@ -111,10 +116,10 @@ def interval(reps: DataFrame, by: list[str], alpha: float) -> DataFrame:
 
 def bootstrap_ci(df: DataFrame, group: str, id_col: str, num: Column, den: Column, b: int, alpha: float, seed: str) -> DataFrame:
     """Interval of sum(num) / sum(den) per group (a mean has den 1), each row weighted by a
-    Poisson(1) draw per replicate."""
-    rows = df.select(group, F.col(id_col).alias("_id"), num.cast("double").alias("num"), den.cast("double").alias("den"))
+    Poisson(1) draw per replicate. A row's id is hashed once; its draws follow by arithmetic."""
+    rows = df.select(group, bucket32(F.lit(seed), F.col(id_col)).alias("_base"), num.cast("double").alias("num"), den.cast("double").alias("den"))
     drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b))))
-    weight = F.when(F.col("rep") == 0, 1).otherwise(poisson_weight(F.lit(seed), F.col("rep"), F.col("_id")))
+    weight = F.when(F.col("rep") == 0, 1).otherwise(poisson_weight(F.col("_base"), F.col("rep")))
     sums = drawn.withColumn("w", weight).groupBy(group, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col("num")), F.sum(F.col("w") * F.col("den"))).alias("stat"))
     return interval(sums, [group], alpha)
 
@@ -125,18 +130,32 @@ def cluster_bootstrap_ci(df: DataFrame, family: str, num: Column, den: Column, b
     return bootstrap_ci(families.withColumn("all", F.lit("all")), "all", "_id", F.col("num"), F.col("den"), b, alpha, seed).drop("all")
 
 
-def permutation_test(df: DataFrame, id_col: str, label: str, value: str, strata: str, b: int, seed: str) -> DataFrame:
+def permutation_test(df: DataFrame, id_col: str, label: str, value: str, strata: str, b: int, seed: str, cells: int = 1024) -> DataFrame:
     """Difference of mean `value` between labels 1 and 0, against labels shuffled inside the
-    strata: in each replicate the stratum's rows with the least hashes get its ones. p counts
-    replicates at least as far from 0."""
-    rows = df.select(F.col(id_col).alias("_id"), F.col(strata).alias("_s"), F.col(label).alias("_y"), F.col(value).cast("double").alias("_v"))
-    ones = rows.groupBy("_s").agg(F.sum("_y").alias("_k"))
-    drawn = rows.join(ones, "_s").withColumn("rep", replicates(b))
-    place = F.row_number().over(W.partitionBy("rep", "_s").orderBy(bucket32(F.lit(seed), F.col("rep"), F.col("_id")), "_id"))
-    shuffled = drawn.select("rep", F.when(place <= F.col("_k"), 1).otherwise(0).alias("_y"), "_v")
-    both = shuffled.unionByName(rows.select(F.lit(0).alias("rep"), "_y", "_v"))
-    stats = both.groupBy("rep").agg((F.avg(F.when(F.col("_y") == 1, F.col("_v"))) - F.avg(F.when(F.col("_y") == 0, F.col("_v")))).alias("stat"))
-    stats = stats.withColumn("stat", F.round("stat", 6))
+    strata: in each replicate the stratum's rows with the least draws get its ones. p counts
+    replicates at least as far from 0.
+
+    Draws are counted and summed in `cells` equal cells per replicate and stratum before any
+    shuffle. The running counts tell in which cell the last of the ones lies; cells below it count
+    whole, and only that cell's rows, one in `cells`, are sorted."""
+    rows = df.select(bucket32(F.lit(seed), F.col(id_col)).alias("_base"), F.col(id_col).alias("_id"), F.col(strata).alias("_s"), F.col(label).alias("_y"), F.col(value).cast("double").alias("_v")).where("_y is not null")
+    known = F.when(F.col("_v").isNotNull(), 1).otherwise(0)
+    drawn = rows.withColumn("rep", replicates(b)).withColumn("_u", draw(F.col("_base"), F.col("rep"))).withColumn("_cell", F.floor(F.col("_u") * cells / DRAWS).cast("int"))
+    ones = rows.groupBy(F.col("_s").alias("_o")).agg(F.sum("_y").alias("_k"))
+    parts = kept(drawn.groupBy("rep", "_s", "_cell").agg(F.count("*").alias("n"), F.sum(known).alias("m"), F.sum("_v").alias("v")), "cells")
+    before = F.coalesce(F.sum("n").over(W.partitionBy("rep", "_s").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = parts.withColumn("before", before).join(ones, F.col("_s").eqNullSafe(F.col("_o"))).drop("_o")
+    below = placed.where("before + n <= _k").select("rep", "m", "v")
+    edge = placed.where("before < _k and before + n > _k").select("rep", F.col("_s").alias("s"), F.col("_cell").alias("cell"), (F.col("_k") - F.col("before")).alias("need"))
+    inside = drawn.join(kept(edge, "edges").withColumnRenamed("rep", "r"), (F.col("rep") == F.col("r")) & F.col("_s").eqNullSafe(F.col("s")) & (F.col("_cell") == F.col("cell")))
+    place = F.row_number().over(W.partitionBy("rep", "_s").orderBy("_u", "_id"))
+    last = inside.withColumn("place", place).where("place <= need").select("rep", known.alias("m"), F.col("_v").alias("v"))
+    none = df.sparkSession.range(1, b + 1).select(F.col("id").cast("int").alias("rep"), F.lit(0).alias("m"), F.lit(0.0).alias("v"))
+    chosen = below.unionByName(last).unionByName(none).groupBy("rep").agg(F.sum("m").alias("m1"), F.sum("v").alias("v1"))
+    whole = rows.agg(F.sum(known).alias("m"), F.sum("_v").alias("v"))
+    real = rows.where("_y = 1").agg(F.sum(known).alias("m1"), F.sum("_v").alias("v1")).select(F.lit(0).alias("rep"), "m1", "v1")
+    gap = F.try_divide(F.col("v1"), F.col("m1")) - F.try_divide(F.col("v") - F.col("v1"), F.col("m") - F.col("m1"))
+    stats = chosen.unionByName(real).crossJoin(F.broadcast(whole)).select("rep", F.round(gap, 6).alias("stat"))  # whole is one row
     effect = stats.where("rep = 0").select(F.col("stat").alias("effect"))
     far = F.count_if(F.abs("stat") >= F.abs("effect"))
     return stats.where("rep > 0").crossJoin(F.broadcast(effect)).groupBy("effect").agg(((1 + far) / (1 + F.count("*"))).alias("p"), F.count("*").alias("reps"))
@@ -144,9 +163,9 @@ def permutation_test(df: DataFrame, id_col: str, label: str, value: str, strata:
 
 def sign_flip_test(df: DataFrame, by: str, id_col: str, diff: str, b: int, seed: str) -> DataFrame:
     """Mean paired difference per `by`, against signs flipped by hash bits."""
-    rows = df.select(by, F.col(id_col).alias("_id"), F.col(diff).cast("double").alias("_d"))
+    rows = df.select(by, bucket32(F.lit(seed), F.col(id_col)).alias("_base"), F.col(diff).cast("double").alias("_d"))
     drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b))))
-    sign = F.when(F.col("rep") == 0, 1).when(bucket32(F.lit(seed), F.col("rep"), F.col("_id")) % 2 == 0, 1).otherwise(-1)
+    sign = F.when(F.col("rep") == 0, 1).when(draw(F.col("_base"), F.col("rep")) % 2 == 0, 1).otherwise(-1)
     stats = drawn.groupBy(by, "rep").agg(F.round(F.avg(sign * F.col("_d")), 6).alias("stat"))
     effect = stats.where("rep = 0").select(by, F.col("stat").alias("effect"))
     far = F.count_if(F.abs("stat") >= F.abs("effect"))

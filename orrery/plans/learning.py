@@ -50,12 +50,12 @@ def queries_of(spark, sf):
 
 
 def doc_hits(spark, sf, k=10):
-    return R.bm25_topk(queries_of(spark, sf), R.term_stats(table(spark, sf, "documents"), "doc_id"), "doc_id", k)
+    return R.bm25_topk(queries_of(spark, sf), table(spark, sf, "documents").select("doc_id", "text"), "doc_id", k)
 
 
 def chunk_hits(spark, sf, k=20):
     units = chunks(spark, sf).select(F.struct("doc_id", "chunk_no").alias("unit"), "text")
-    return R.bm25_topk(queries_of(spark, sf), R.term_stats(units, "unit"), "unit", k)
+    return R.bm25_topk(queries_of(spark, sf), units, "unit", k)
 
 
 @register("r2_term_stats", sql(DOC_UNITS, bm25_sql("du", 10, ""), "select unit as doc_id, term, tf, df, len from stats"))
@@ -86,7 +86,7 @@ def r4(spark, sf):
 @register("r5_vector_topk_lists")
 def r5(spark, sf):
     queries, all_ = vectors(spark, sf)
-    return R.vector_topk_lists(queries, all_, 10, probe=14)
+    return R.vector_topk_lists(queries, all_, 10)
 
 
 FUSED = """
@@ -126,10 +126,10 @@ def r9(spark, sf):
 ALLOWED = "select distinct user_id from events where event_type = 'purchase'"
 
 
-@register("r10_user_scope", f"select event_id, user_id, event_type, value from events where user_id in ({ALLOWED}) and user_id % 3 = 0")
+@register("r10_user_scope", f"select event_id, user_id, event_type, value from events where user_id in ({ALLOWED})")
 def r10(spark, sf):
     events = table(spark, sf, "events")
-    users = events.where("event_type = 'purchase' and user_id % 3 = 0").select("user_id").distinct()
+    users = events.where("event_type = 'purchase'").select("user_id").distinct()
     return L.user_scope(events, users).select("event_id", "user_id", "event_type", "value")
 
 

@@ -110,10 +110,10 @@ def t5(spark, sf):
 
 @register("t6_asof", """
 select l.event_id, l.user_id, l.ts, case when r.ts >= l.ts - interval '6 hours' then r.ts end as right_ts, case when r.ts >= l.ts - interval '6 hours' then r.value end as value
-from (select * from events where event_id % 3 = 0) l asof left join (select * from events where event_id % 3 = 1) r on l.user_id = r.user_id and l.ts >= r.ts""")
+from (select * from events where event_id % 2 = 0) l asof left join (select * from events where event_id % 2 = 1) r on l.user_id = r.user_id and l.ts >= r.ts""")
 def t6(spark, sf):
     events = table(spark, sf, "events")
-    return T.asof(events.where("event_id % 3 = 0").select("event_id", "user_id", "ts"), events.where("event_id % 3 = 1").select("user_id", "ts", "value"), "user_id", "ts", "value", "6 hours")
+    return T.asof(events.where("event_id % 2 = 0").select("event_id", "user_id", "ts"), events.where("event_id % 2 = 1").select("user_id", "ts", "value"), "user_id", "ts", "value", "6 hours")
 
 
 @register("t7_context_windows", sql(BARS, HOURS, """
@@ -151,7 +151,7 @@ def t11(spark, sf):
 
 @register("t12_fit_pooled")
 def t12(spark, sf):
-    return T.fit_pooled(T.context_windows(hours(spark, sf), 12, 1), "2024-01-20")
+    return r(T.fit_pooled(hours(spark, sf), 12, 240, 120, 240, 24, 24), "yhat")
 
 
 def last_day(frame: pd.DataFrame) -> pd.DataFrame:

@@ -76,10 +76,10 @@ def t26(spark, sf):
 
 @register("t27_stream_resolve", """
 select f.event_id as forecast_id, a.event_id as actual_id, f.user_id, f.value as yhat, a.value as y
-from events f join events a on f.user_id = a.user_id and a.ts >= f.ts and a.ts <= f.ts + interval '3 hours' where f.event_id % 4 = 0 and a.event_id % 4 = 1""")
+from events f join events a on f.user_id = a.user_id and a.ts >= f.ts and a.ts <= f.ts + interval '3 hours' where f.event_id % 2 = 0 and a.event_id % 2 = 1""")
 def t27(spark, sf):
-    forecasts = replayed(spark, sf).where("event_id % 4 = 0 and event_type <> 'end'").select(F.col("event_id").alias("forecast_id"), "user_id", F.col("ts").alias("made_at"), F.col("value").alias("yhat"))
-    actuals = replayed(spark, sf).where("event_id % 4 = 1 and event_type <> 'end'").select(F.col("event_id").alias("actual_id"), "user_id", F.col("ts").alias("seen_at"), F.col("value").alias("y"))
+    forecasts = replayed(spark, sf).where("event_id % 2 = 0 and event_type <> 'end'").select(F.col("event_id").alias("forecast_id"), "user_id", F.col("ts").alias("made_at"), F.col("value").alias("yhat"))
+    actuals = replayed(spark, sf).where("event_id % 2 = 1 and event_type <> 'end'").select(F.col("event_id").alias("actual_id"), "user_id", F.col("ts").alias("seen_at"), F.col("value").alias("y"))
     return drained(S.stream_resolve(forecasts, actuals, "user_id", "3 hours", "40 days"), "resolved").select("forecast_id", "actual_id", "user_id", "yhat", "y")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orrery.functions.columns import POISSON
 from orrery.operators import products as P
 from orrery.operators import validation as V
 from orrery.plans.products import NEAR
@@ -19,10 +20,18 @@ def b32(*parts: str) -> str:
     return B32.format("concat_ws(':', " + ", ".join(f"({p})::varchar" for p in parts) + ")")
 
 
-def weight(*parts: str) -> str:
-    u = f"({b32(*parts)}) / 4294967296.0::double"
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]
-    return "case " + " ".join(f"when {u} < {c!r}::double then {k}" for k, c in enumerate(cuts)) + " else 5 end"
+def draw(base: str, rep: str) -> str:
+    """SQL of functions.columns.draw."""
+    p = 2147483647
+    x = f"(({base} + {rep}::bigint * 1000003) % {p})"
+    y = f"(({x} * 48271 + {rep}::bigint * 40692) % {p})"
+    z = f"(({y} * (({y} + 16807) % {p})) % {p})"
+    w = f"(({z} * 69621 + {base}) % {p})"
+    return f"(({w} * (({w} + 12345) % {p})) % {p})"
+
+
+#: SQL of functions.columns.poisson_weight, over a draw u between 0 and 1.
+WEIGHT = " ".join(f"when u < {c!r}::double then {k}" for k, c in enumerate(POISSON)) + " else 5"
 
 
 SPLIT = f"""
@@ -95,7 +104,7 @@ def v7(spark, sf):
 @register("v8_neardup_leak", sql(NEAR, SPLIT, """
 select a, b, x.split as split_a, y.split as split_b from near join split x on x.doc_id = a join split y on y.doc_id = b where x.split <> y.split"""))
 def v8(spark, sf):
-    pairs = P.near_dup_pairs(table(spark, sf, "documents"), "doc_id", "text", bands=16)
+    pairs = P.near_dup_pairs(table(spark, sf, "documents"), "doc_id", "text")
     return V.neardup_leak(pairs, split(spark, sf).select(F.col("doc_id").alias("id"), "split"))
 
 
@@ -115,9 +124,10 @@ def v10(spark, sf):
 
 def interval_sql(rows: str, by: str, seed: str, b: int, alpha: float) -> str:
     """SQL of bootstrap_ci over `rows(g, id, num, den)`."""
-    w = weight(f"'{seed}'", "rep", "id")
     return f"""
-drawn as (select g, num, den, rep, case when rep = 0 then 1 else {w} end as w from {rows}, range(0, {b + 1}) as t(rep)),
+based as (select *, {b32(f"'{seed}'", "id")} as base from {rows}),
+draws as (select *, {draw("base", "rep")} / 2147483647.0::double as u from based, range(0, {b + 1}) as t(rep)),
+drawn as (select g, num, den, rep, case when rep = 0 then 1 {WEIGHT} end as w from draws),
 sums as (select g, rep, sum(w * num) / nullif(sum(w * den), 0) as stat from drawn group by 1, 2),
 ci as (select g as {by}, max(stat) filter (rep = 0) as est, quantile_cont(stat, {alpha / 2}) filter (rep > 0) as lo, quantile_cont(stat, {1 - alpha / 2}) filter (rep > 0) as hi, count(*) filter (rep > 0) as reps from sums group by g)"""
 
@@ -137,7 +147,8 @@ def v12(spark, sf):
 
 @register("v13_permutation_test", sql(JUDGED, f"""
 k as (select lang, sum(quality) as k from judged group by lang),
-drawn as (select rep, lang, n_chars, row_number() over (partition by rep, lang order by {b32("'p1'", "rep", "doc_id")}, doc_id) as place from judged, range(1, 101) as t(rep)),
+based as (select *, {b32("'p1'", "doc_id")} as base from judged),
+drawn as (select rep, lang, n_chars, row_number() over (partition by rep, lang order by {draw("base", "rep")}, doc_id) as place from based, range(1, 101) as t(rep)),
 y as (select rep, case when place <= k then 1 else 0 end as y, n_chars from drawn join k using (lang) union all select 0, quality, n_chars from judged),
 stats as (select rep, round(avg(n_chars) filter (y = 1) - avg(n_chars) filter (y = 0), 6) as stat from y group by rep)""", """
 select e.stat as effect, round((1 + count(*) filter (abs(s.stat) >= abs(e.stat))) / (1 + count(*)), 6) as p, count(*) as reps
@@ -147,7 +158,8 @@ def v13(spark, sf):
 
 
 @register("v14_sign_flip_test", f"""
-with drawn as (select event_type, rep, value - 50 as d, case when rep = 0 then 1 when {b32("'f1'", "rep", "event_id")} % 2 = 0 then 1 else -1 end as s from events, range(0, 41) as t(rep)),
+with based as (select *, {b32("'f1'", "event_id")} as base from events),
+drawn as (select event_type, rep, value - 50 as d, case when rep = 0 then 1 when {draw("base", "rep")} % 2 = 0 then 1 else -1 end as s from based, range(0, 41) as t(rep)),
 stats as (select event_type, rep, round(avg(s * d), 6) as stat from drawn group by 1, 2)
 select s.event_type, e.stat as effect, round((1 + count(*) filter (abs(s.stat) >= abs(e.stat))) / (1 + count(*)), 6) as p
 from stats s join (select * from stats where rep = 0) e using (event_type) where s.rep > 0 group by 1, 2""")
@@ -202,11 +214,11 @@ def v18(spark, sf):
 
 
 @register("v19_bh_adjust", """
-with tests as (select o_orderpriority as family, o_orderkey as id, round(o_totalprice - floor(o_totalprice), 2) as p from orders where o_orderkey % 3 = 0),
+with tests as (select o_orderpriority as family, o_orderkey as id, round(o_totalprice - floor(o_totalprice), 2) as p from orders),
 m as (select *, p * count(*) over (partition by family) / row_number() over (partition by family order by p, id) as raw from tests)
 select family, id, p, round(least(1.0, min(raw) over (partition by family order by p desc, id desc rows unbounded preceding)), 6) as p_adjusted from m""")
 def v19(spark, sf):
-    tests = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderpriority").alias("family"), F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") - F.floor("o_totalprice"), 2).alias("p"))
+    tests = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("family"), F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") - F.floor("o_totalprice"), 2).alias("p"))
     return r(V.bh_adjust(tests, "family", "id"), "p_adjusted")
 
 

@@ -1,12 +1,13 @@
 """Hand-made cases: gaps, ties, nulls, empty tables, and the future that must not matter."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions.columns import norm_text, norm_url, shingle_set
-from orrery.operators import checks, graph, learner, products, retrieval, series, validation
+from orrery.operators import checks, graph, learner, products, ranks, retrieval, series, validation
 from orrery.sources import tables
 
 
@@ -43,7 +44,7 @@ def test_near_duplicates_and_clusters(spark):
     words = [f"w{i}" for i in range(60)]
     texts = {1: " ".join(words), 2: " ".join(words), 3: " ".join(words[:58]), 4: " ".join(words[2:58]), 5: "quite another text of a few words", 6: "", 7: None}
     df = spark.createDataFrame(list(texts.items()), "id long, text string")
-    pairs = products.near_dup_pairs(df, "id", "text", bands=32)
+    pairs = products.near_dup_pairs(df, "id", "text")
     got = {(r.a, r.b) for r in pairs.collect()}
     assert got == {(1, 2), (1, 3), (1, 4), (3, 4)}
     clusters = {r.id: r.cluster for r in products.dup_clusters(pairs).collect()}
@@ -169,8 +170,8 @@ def test_vector_lists_recall_and_blocks(spark, sf):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
     queries = vectors.where("vec_id % 20 = 0")
     exact = retrieval.vector_topk(queries, vectors, 10)
-    assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, retrieval.vector_topk(queries, vectors, 10, held=7).collect()))
-    found = retrieval.vector_topk_lists(queries, vectors, 10, lists=16, probe=14)
+    assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, retrieval.vector_topk(queries, vectors, 10, rows=90, held=7).collect()))
+    found = retrieval.vector_topk_lists(queries, vectors, 10)
     assert retrieval.recall(found, exact).first().recall >= 0.9
 
 
@@ -183,3 +184,108 @@ def test_checks(spark):
     assert good.count() == 2 and sorted(len(r.reasons) for r in bad.collect()) == [1, 2]
     diff = checks.diff(df.where("k = 1 and x = 5").drop("s"), spark.createDataFrame([(1, 6), (9, None)], "k long, x int"), ["k"])
     assert sorted((r.k, r.change) for r in diff.collect()) == [(1, "changed"), (9, "added")]
+
+
+def test_vector_lists_score_half_of_the_pairs(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    queries = vectors.where("vec_id % 20 = 0")
+    found = retrieval.vector_topk_lists(queries, vectors, 10)
+    assert retrieval.recall(found, retrieval.vector_topk(queries, vectors, 10)).first().recall >= 0.9
+    assert retrieval.scored_share(queries, vectors).first().share < 0.55
+
+
+def test_alerts_over_many_ranges(spark):
+    rng = random.Random(4)
+    ticks = [("ab"[rng.randrange(2)] if i % 7 else "c", at(0) + dt.timedelta(minutes=rng.randrange(3000)), i, float(rng.randrange(100))) for i in range(600)]
+    df = spark.createDataFrame(ticks, "series string, ts timestamp_ntz, id long, price double")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = sorted((r.series, r.rule, r.id) for r in series.price_alerts(df, 60.0, 2.0, 3, 3600).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = []
+    for s in "abc":
+        own, last = sorted((t, i, p) for x, t, i, p in ticks if x == s), {}
+        for k, (t, i, p) in enumerate(own):
+            rules = [("cross", k > 0 and own[k - 1][2] < 60 <= p), ("move", k > 2 and own[k - 3][2] != 0 and abs((p - own[k - 3][2]) / own[k - 3][2]) >= 2)]
+            for rule, hit in rules:
+                if hit and (rule not in last or t - last[rule] >= dt.timedelta(hours=1)):
+                    last[rule] = t
+                    want.append((s, rule, i))
+    assert got == sorted(want) and len(want) > 30
+
+
+def test_quantiles_and_running_counts(spark):
+    import numpy as np
+
+    rng = random.Random(2)
+    values = [("x", float(rng.randrange(40))) for _ in range(500)] + [("y", 3.0)] + [("z", None), ("z", 1.0), ("z", 2.0)]
+    df = spark.createDataFrame(values, "name string, value double")
+    counts = df.groupBy("name", "value").agg(F.count("*").alias("n"))
+    got = {r.name: r.q for r in ranks.quantiles(counts, "name", "value", "n", [0.0, 0.1, 0.33, 0.5, 1.0]).collect()}
+    for name in "xyz":
+        own = [v for k, v in values if k == name and v is not None]
+        assert got[name] == pytest.approx(np.quantile(own, [0.0, 0.1, 0.33, 0.5, 1.0]))
+
+
+def test_pooled_forecaster_equals_least_squares(spark):
+    import numpy as np
+
+    rng = random.Random(6)
+    close = {s: [10 + 5 * rng.random() + (i % 6) for i in range(90)] for s in "ab"}
+    df = spark.createDataFrame([(s, at(i % 24, day=1 + i // 24), x[i]) for s, x in close.items() for i in range(90)], "series string, ts timestamp_ntz, close double")
+    got = {(r.series, r.origin, r.ts): r.yhat for r in series.fit_pooled(df, 4, 40, 20, 30, 5, 3).collect()}
+    n = 0
+    for o in (40, 60, 80):
+        rows = [(x[i - 4 : i] + [1.0], x[i]) for x in close.values() for i in range(o - 30, o - 3) if i - 4 >= o - 30]
+        a, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        damp = 1e-3 * np.eye(5)
+        damp[4, 4] = 0
+        w = np.linalg.solve(a.T @ a + damp, a.T @ y)
+        for s, x in close.items():
+            for i in range(o, min(90, o + 5)):
+                assert got[s, o, at(i % 24, day=1 + i // 24)] == pytest.approx(np.dot(x[i - 4 : i] + [1.0], w))
+                n += 1
+    assert n == len(got) == 30
+
+
+def test_near_texts_find_all_within_k_edits(spark):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _next(row, i, x, b)
+        return row[-1]
+
+    def _next(row, i, x, b):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(out[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        return out
+
+    rng = random.Random(9)
+    names = {"", "a", "ab"} | {"".join(rng.choice("abc") for _ in range(rng.randint(1, 14))) for _ in range(90)}
+    df = spark.createDataFrame([(i, "k" if i % 2 else "m", t) for i, t in enumerate(sorted(names) * 2)] + [(999, "k", None)], "id long, block string, t string")
+    rows = [(r.id, r.block, r.t) for r in df.collect() if r.t is not None]
+    for k in (1, 3):
+        want = {(a, b, edits(x, y)) for a, p, x in rows for b, q, y in rows if a < b and p == q and edits(x, y) <= k}
+        got = [(r.a_id, r.b_id, r.edits) for r in products.fuzzy_pairs(df, "block", "t", k).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_near_dup_pairs_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", F.array_sort(shingle_set(norm_text(F.col("text")), 5)).alias("s")).collect()
+    groups = {}
+    for r in rows:
+        if r.s:
+            groups.setdefault(tuple(r.s), []).append(r.doc_id)
+    reps = [(min(v), set(k)) for k, v in groups.items()]
+    want = {(min(v), i) for v in groups.values() for i in v if i != min(v)}
+    want |= {(min(a, b), max(a, b)) for a, x in reps for b, y in reps if a < b and len(x & y) >= 0.8 * len(x | y)}
+    assert {(r.a, r.b) for r in products.near_dup_pairs(docs, "doc_id", "text").collect()} == want and want
+
+
+def test_permutation_of_one_label_and_null(spark):
+    df = spark.createDataFrame([(i, 0, float(i), "s") for i in range(5)], "id long, y int, v double, s string")
+    got = validation.permutation_test(df, "id", "y", "v", "s", 7, "p").first()
+    assert (got.effect, got.reps) == (None, 7)
