@@ -34,7 +34,10 @@ class Merges:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             data = json.load(file)
-        model = data["model"]
+        model, cut = data["model"], data.get("pre_tokenizer") or {}
+        known = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not data.get("normalizer") and model.get("type") == "BPE"
+        if not known or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            raise ValueError(f"{path} isn't byte-level BPE with the cut and rules that are built here")
         letters = byte_letters()
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens", ())}

@@ -10,6 +10,7 @@ before a block and where the last one ended, which closes documents that cross b
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -40,14 +41,15 @@ def write_flat(docs: DataFrame, path: str, folder: str, file_bytes: int = FILE_B
     """Tokenize `docs(doc_id, text)` and write 16-bit ids, an end id (the first id beyond the
     vocabulary) after each document, to flat files in `folder`, an address that pyarrow's file
     systems reach from every executor. Gives `(file, place, doc_id)`: which document is a file's
-    n-th. A file gets its name only when it is whole; a task that runs again writes it again."""
+    n-th. A file gets its name, which has a hash of its content, only when it is whole; a task that
+    runs again leaves those that are there. Files that no row of the result names are not read."""
     end = encoding(path).n_vocab
     if end >= 1 << 16:
         raise ValueError("ids of more than 16 bits")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow.fs import FileSystem
+        from pyarrow.fs import FileSystem, FileType
 
         encode = encoding(path).encode_ordinary
         system, root = FileSystem.from_uri(folder)
@@ -60,10 +62,17 @@ def write_flat(docs: DataFrame, path: str, folder: str, file_bytes: int = FILE_B
         kind_of = None
 
         def out() -> pa.RecordBatch:
-            name = f"part-{part:06d}-{file:05d}.bin"
-            with system.open_output_stream(f"{root}/_{attempt}-{name}") as stream:
-                stream.write(b"".join(held))
-            system.move(f"{root}/_{attempt}-{name}", f"{root}/{name}")
+            # The name follows from what the file holds, so attempts whose rows differ never mix.
+            name = f"part-{part:06d}-{file:05d}-{hashlib.blake2b(b''.join([*held, repr(ids).encode()]), digest_size=8).hexdigest()}.bin"
+            if system.get_file_info(f"{root}/{name}").type == FileType.NotFound:
+                with system.open_output_stream(f"{root}/_{attempt}-{name}") as stream:
+                    stream.write(b"".join(held))
+                try:
+                    system.move(f"{root}/_{attempt}-{name}", f"{root}/{name}")
+                except OSError:  # another attempt was first; some stores don't rename onto a file
+                    if system.get_file_info(f"{root}/{name}").type == FileType.NotFound:
+                        raise
+                    system.delete_file(f"{root}/_{attempt}-{name}")
             n = len(ids)
             return pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(n), pa.int64()), pa.array(ids, kind_of)], names=["file", "place", "doc_id"])
 
