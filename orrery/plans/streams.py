@@ -3,6 +3,8 @@ some rows repeated or late, ending with rows far in the future that close what i
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,28 +16,36 @@ from orrery.sources.shared import new_folder
 from orrery.sources.tables import table
 from orrery.streaming import streams as S
 
-PARTS = 3
+#: Batches of a replay at least, and rows of a batch and of a file at most.
+BATCHES, BATCH_ROWS, FILE_ROWS = 3, 50_000_000, 1_000_000
+DAY = 86_400_000_000  # in microseconds
 
 
 def replayed(spark: SparkSession, sf: str, twice: bool = False) -> DataFrame:
-    """The events as a stream. Rows swap places between neighbouring files where event_id is a
-    multiple of 50 (they come late, within two days); with `twice`, a tenth comes twice."""
+    """The events as a stream, cut by time into batches of about equally many rows, each of as many
+    files as its size asks for. Rows of a batch's last day with an event_id divisible by 50 come
+    with the next one (late, but within two days); with `twice`, a tenth of all comes twice."""
     events = table(spark, sf, "events")
-    day = F.dayofmonth("ts")
-    part = F.least(F.lit(PARTS - 1), F.floor((day - 1) / 11)).cast("int")
-    part = F.when((F.col("event_id") % 50 == 0) & (day % 11 == 0), F.least(F.lit(PARTS - 1), part + 1)).otherwise(part)
+    total = events.count()
+    batches = max(BATCHES, math.ceil(total / BATCH_ROWS))
+    files = max(1, math.ceil(total / batches / FILE_ROWS))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.agg(F.percentile_approx(us, [i / batches for i in range(1, batches)])).first()[0] or []
+    ends = F.array(*[F.lit(c).cast("bigint") for c in cuts]).cast("array<bigint>")
+    part = F.aggregate(ends, F.lit(0), lambda n, c: n + F.when(us > c, 1).otherwise(0))
+    late = (F.col("event_id") % 50 == 0) & F.coalesce(F.try_element_at(ends, F.col("part") + 1) - us < DAY, F.lit(False))
+    placed = events.withColumn("part", part).withColumn("part", F.col("part") + F.when(late, 1).otherwise(0))
     path = new_folder(spark, "replay")
-    placed = events.withColumn("part", part)
-    for i in range(PARTS):
+    spread = lambda df: df.repartition(files) if files > 1 else df.coalesce(1)  # noqa: E731  a trigger takes one batch's files
+    for i in range(batches):
         rows = placed.where(F.col("part") == i).drop("part")
         if twice:
             rows = rows.unionByName(rows.where("event_id % 10 = 0"))
-        rows.coalesce(1).write.mode("append").parquet(path)
-    for year in (2030, 2031, 2032):
-        end = events.select(F.min("event_id").alias("m")).select(F.col("m").cast("bigint"))
-        last = end.select((F.col("m") - year).alias("event_id"), F.lit(f"{year}-01-01 00:00:00").cast("timestamp_ntz").alias("ts"), F.lit(-1).cast("bigint").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
-        last.coalesce(1).write.mode("append").parquet(path)
-    return S.replay(spark, path, events.schema)
+        spread(rows).write.mode("append").parquet(path)
+    for year in (2030, 2031, 2032):  # a row in each of a batch's files
+        end = spark.range(0, files, 1, files).select((-year - F.col("id") * 10_000).alias("event_id"), F.lit(f"{year}-01-01 00:00:00").cast("timestamp_ntz").alias("ts"), F.lit(-1).cast("bigint").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
+        end.write.mode("append").parquet(path)
+    return S.replay(spark, path, events.schema, files=files)
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:

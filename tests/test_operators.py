@@ -289,3 +289,12 @@ def test_permutation_of_one_label_and_null(spark):
     df = spark.createDataFrame([(i, 0, float(i), "s") for i in range(5)], "id long, y int, v double, s string")
     got = validation.permutation_test(df, "id", "y", "v", "s", 7, "p").first()
     assert (got.effect, got.reps) == (None, 7)
+
+
+def test_replay_of_several_files_a_batch(spark, sf, monkeypatch):
+    from orrery.plans import streams
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 130)
+    monkeypatch.setattr(streams, "BATCH_ROWS", 300)
+    rows = streams.t25(spark, sf)
+    assert rows.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
