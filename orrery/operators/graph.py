@@ -15,19 +15,23 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round hooks every node's larger neighbours to its least neighbour, then its smaller
     ones (large star, small star). A star's centre is only ever a join key, never a collected
-    group, so Spark can split it. Rounds grow with the logarithm of the longest chain.
+    group; the table of least neighbours is kept before it is joined, so both sides come from a
+    shuffle of their own and Spark can split the centre of a large star. Rounds grow with the
+    logarithm of the longest chain.
     """
     now = kept(edges.where("a is not null and b is not null and a <> b").distinct(), "edges")
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     before = None
     for _ in range(rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = kept(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = (
             both.where("b > a").join(least, "a")
             .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         )
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        down = kept(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "down")
+        least = kept(down.groupBy("a").agg(F.min("b").alias("m")), "least")
         pairs = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
         small = down.join(least, "a").select(F.explode(pairs).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         now = kept(small, "edges")

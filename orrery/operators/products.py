@@ -91,9 +91,10 @@ def near_dup_pairs(df: DataFrame, id_col: str, text_col: str, n: int = 5, t: flo
     are compared, so copies never make all pairs.
 
     Runs are ordered by how many representatives have them. Two sets that agree to `t` share one
-    of the first size - ceil(t * size) + 1 runs of either; runs that one set alone has lead to
-    nobody and aren't joined. Pairs whose sizes, or whose places of the shared run, rule the
-    similarity out are left out; the others are verified exactly."""
+    of the first size - ceil(t * size) + 1 runs of either, and the more of them the nearer their
+    sizes are, since few others can lie before the shared ones. Runs that one set alone has lead
+    to nobody and aren't joined. Pairs that sizes or that number rule out are left out; the others
+    are verified exactly."""
     sets = df.select(F.col(id_col).alias("id"), F.array_sort(shingle_set(norm_text(F.col(text_col)), n)).alias("s")).where(F.size("s") > 0)
     marked = kept(sets.withColumn("mark", F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), " "), 256)), "sets")
     groups = kept(marked.groupBy("mark").agg(F.min("id").alias("a")), "groups")
@@ -105,10 +106,12 @@ def near_dup_pairs(df: DataFrame, id_col: str, text_col: str, n: int = 5, t: flo
     own = runs.join(common, "run").groupBy("id", "size").agg(listed.alias("x"))
     alone = F.col("size") - F.size("x")
     prefix = F.slice("x", F.lit(1), F.greatest(F.lit(0), F.least(F.size("x"), F.col("size") - F.ceil(F.col("size") * t - 1e-6).cast("int") + 1 - alone)))
-    keys = kept(own.select("id", "size", alone.alias("alone"), F.posexplode(prefix).alias("pos", "y")).select("id", "size", (F.col("alone") + F.col("pos")).alias("pos"), "y.run"), "prefixes")
-    left, right = (keys.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("pos").alias(f"p{c}"), "run") for c in "ab")
-    enough = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-6
-    pairs = left.join(right, "run").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * t - 1e-6) & enough).select("a", "b").distinct()
+    keys = kept(own.select("id", "size", F.explode(prefix).alias("y")).select("id", "size", "y.run"), "prefixes")
+    left, right = (keys.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), "run") for c in "ab")
+    whole = lambda v: F.ceil(v - 1e-6)
+    needed = whole((F.col("na") + F.col("nb")) * (t / (1 + t))) - F.greatest(whole(F.col("na") * t), whole(F.col("nb") * t)) + 1
+    met = left.join(right, "run").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * t - 1e-6))
+    pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n")).where(F.col("n") >= needed).select("a", "b")
     sized = pairs.join(reps.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     jaccard = both / (F.size("sa") + F.size("sb") - both)
