@@ -9,7 +9,9 @@ The first WIDE places are 32-bit hashes of the whole paragraph, summed modulo 2^
 unequal multisets apart. The next LANES places count, modulo 2^31, the paragraph's word triples
 with a given bit set in their hash. Twice such a count less the number of triples is a sum of
 random signs, one for each triple, so the cosine of two documents' lanes estimates that of their
-multisets of triples: their likeness.
+multisets of triples: their likeness. The error is about 1 / sqrt(LANES), an eighth: unrelated
+documents, whose true likeness is 0, have 0.05 on average and 0.21 at the 95th percentile, since
+negative cosines count as 0; against the likeness of edited texts the order is right in 99 of 100.
 """
 
 from __future__ import annotations

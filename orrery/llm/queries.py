@@ -13,43 +13,54 @@ from orrery.llm.common import table, vocabulary
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components that four differing bits link (see near_duplicates)."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents' whole texts and the texts they decode to, as digests (see round_trip)."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document, counted in flat token files of all documents (see token_counts)."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url (see verdicts)."""
     return url_filter.verdicts(table(spark, sf_dir, "pages"))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page (see extract)."""
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document, how many of them earlier documents have in windows of fifty, and a
+    digest of what is left (see remove_repeats)."""
     found = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels that aren't held out (see scores)."""
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and their likeness (see fingerprints)."""
     return multiset.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document lies in binary token files of all documents, as read back (see token_files)."""
     return ans.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside benchmark windows, and the items hit (see contamination)."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
