@@ -298,3 +298,14 @@ def test_replay_of_several_files_a_batch(spark, sf, monkeypatch):
     monkeypatch.setattr(streams, "BATCH_ROWS", 300)
     rows = streams.t25(spark, sf)
     assert rows.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_a_cluster_needs_a_shared_folder(master):
+    from types import SimpleNamespace as Plain
+
+    from orrery.sources.shared import shared_dir
+
+    session = Plain(conf=Plain(get=lambda *a: None), sparkContext=Plain(getCheckpointDir=lambda: None, master=master))
+    with pytest.raises(RuntimeError):
+        shared_dir(session)
