@@ -38,3 +38,14 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove kept tables that nothing reads any more, so that a long job's steps don't add up on the
+    shared disk. What was made from them must have been written."""
+    for df in tables:
+        files = df.inputFiles()
+        if files and "/orrery-" in files[0]:
+            spark = df.sparkSession
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -51,7 +51,9 @@ def test_near_duplicates_and_clusters(spark):
     assert clusters == {1: 1, 2: 1, 3: 1, 4: 1}
 
 
-def test_components_of_chain_star_and_nothing(spark):
+@pytest.mark.parametrize("many", [1, 1_000_000])
+def test_components_of_chain_star_and_nothing(spark, monkeypatch, many):
+    monkeypatch.setattr(graph, "MANY", many)
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(7, i) for i in range(8, 40)]
     df = spark.createDataFrame([*chain, *star, (5, 5), (None, 3)], "a long, b long")
