@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Remembered, cells, kept, new_folder, text_slices, words_in
+from orrery.llm.common import Remembered, cells, gathered, kept, new_folder, text_slices, words_in
 
 #: Format: shares are of 2^SCALE, states stay in [2^31, 2^63), words of 32 bits.
 SCALE, LOW = 20, 1 << 31
@@ -165,10 +165,6 @@ SETTINGS = {
 PLAIN = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
 
 
-#: Words whose ids are put together at a time.
-TAKEN = 1 << 20
-
-
 class WordTokens:
     """Ids (little-endian, 16 bits) of texts. Under a vocabulary that drops white space, words between
     white space don't affect each other, so each distinct one is given to the tokenizers library
@@ -245,15 +241,9 @@ class WordTokens:
         plain = np.asarray(pc.match_substring_regex(parts.dictionary, PLAIN))
         ids = self.ids_of(cells(parts.dictionary), plain)
 
-        size = np.append(np.fromiter(map(len, ids), np.int64, len(ids)), 0)  # -1, no second part, has no bytes
-        ends = np.append(0, np.cumsum(size[pair].sum(1)[at]))[np.cumsum(lengths)].tolist()
-        flat, data = pa.array(ids, pa.binary()), []
-        for lo in range(0, len(at), TAKEN):
-            order = pair[at[lo : lo + TAKEN]].ravel()
-            order = order[order >= 0]
-            data.append(memoryview(flat.take(pa.array(order)).buffers()[2])[: int(size[order].sum())])
-        data = b"".join(data)
-        return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+        order = pair[at].ravel()
+        parts_before = np.append(0, np.cumsum((pair >= 0).sum(1)[at]))[np.append(0, np.cumsum(lengths))]
+        return gathered(pa.array(ids, pa.binary()), order[order >= 0], np.diff(parts_before))
 
 
 def dealt(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:

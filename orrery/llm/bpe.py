@@ -9,9 +9,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from orrery.llm.common import Remembered, as_bytes, text_slices
+from orrery.llm.common import Remembered, cells, gathered, text_slices
 
 #: Fixed values of byte-level BPE files: how texts are cut before merging.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,11 +43,12 @@ class Merges:
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens", ())}
         self.size = 1 + max([*vocab.values(), *self.special.values()])
-        self.token = np.full(self.size, b"", object)
+        tokens = [b""] * self.size
         for token, i in vocab.items():
-            self.token[i] = bytes(letters[c] for c in token)
+            tokens[i] = bytes(letters[c] for c in token)
         for token, i in self.special.items():
-            self.token[i] = token.encode()
+            tokens[i] = token.encode()
+        self.tokens = pa.array(tokens, pa.binary())
         self.start = np.zeros(256, np.int64)
         for letter, b in letters.items():
             self.start[b] = vocab[letter]
@@ -104,10 +106,20 @@ class Merges:
         piece, symbols = (np.concatenate(x) for x in zip(*done, strict=True))
         return symbols[np.argsort(piece, kind="stable")], np.bincount(piece, minlength=len(pieces))
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The text of the ids, special tokens included; bytes that aren't UTF-8 are replaced."""
-        data = b"".join(self.token[ids].tolist())
-        return data.decode("utf-8", "replace").encode()
+    def decode(self, ids: list[bytes]) -> list[bytes]:
+        """The texts of lists of ids (little-endian, 32 bits), special tokens included; bytes that
+        aren't UTF-8 are replaced."""
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        texts = gathered(self.tokens, np.frombuffer(b"".join(ids), "<u4").astype(np.int64), lengths)
+        return [valid(t) for t in texts]
+
+
+def valid(text: bytes) -> bytes:
+    try:
+        text.decode()
+    except UnicodeDecodeError:
+        return text.decode("utf-8", "replace").encode()
+    return text
 
 
 @lru_cache(maxsize=4)
@@ -144,33 +156,44 @@ class Encoder:
             out.append(ids.astype("<u4").tobytes())
         return b"".join(out)
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words that stand by themselves: cut one after the other in a single text."""
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of words that stand by themselves: cut one after the other in a single text."""
         cut = self.cut("".join(words))
         ids, counts = self.merges.encode([p.encode() for p in cut])
         letters = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
         last = np.searchsorted(letters, np.cumsum(np.fromiter(map(len, words), np.int64, len(words))))
         ends = (4 * np.cumsum(counts)[last]).tolist()
         data = ids.astype("<u4").tobytes()
-        self.words.update(zip(words, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        whole = [t.decode() for t in texts]
-        parts = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in whole]
-        parts = [[p if p[:1] == "\n" else " " + p for p in part] for part in parts]
-        words = self.words
-        new = list(words.unknown(set().union(*parts)))
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a string column; a null counts as empty. Arrow cuts the texts and
+        numbers the words, so Python sees distinct ones only."""
+        texts = texts.fill_null("")
+        # A line feed before each text makes all of it words with a space or line feed in front.
+        split = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("", "\n", texts, ""), "\n", " \n"), " ")
+        lengths = np.diff(np.asarray(split.offsets, np.int64)) - 1
+        codes = split.flatten().dictionary_encode()
+        at = np.delete(np.asarray(codes.indices, np.int64), np.asarray(split.offsets, np.int64)[:-1] - split.offsets[0].as_py())
+        words = [w if w[:1] == "\n" else " " + w for w in (c.decode() for c in cells(codes.dictionary))]
+        ids = self.words.recall(words)
+        new = [i for i, x in enumerate(ids) if x is None]
         special = self.merges.special
-        unsafe = [w for w in new if len(w) < 2 or w[1:].strip() != w[1:] or any(t in w for t in special)]
-        words.update(dict.fromkeys(unsafe))
-        self.learn(list(set(new).difference(unsafe)))
-        get = words.__getitem__
-        out: list[bytes] = []
-        for text, part in zip(whole, parts, strict=True):
-            try:
-                out.append(b"".join(map(get, part))[self.feed :])
-            except TypeError:  # a word that can't be taken by itself
-                out.append(self.whole(text))
+        odd = {i for i in new if len(w := words[i]) < 2 or w[1:].strip() != w[1:] or any(t in w for t in special)}
+        plain = [i for i in new if i not in odd]
+        for lo in range(0, len(plain), 50_000):
+            part = plain[lo : lo + 50_000]
+            for i, x in zip(part, self.learn([words[i] for i in part]), strict=True):
+                ids[i] = self.words[words[i]] = x
+        for i in odd:
+            ids[i] = b""
+        out = [x[self.feed :] for x in gathered(pa.array(ids, pa.binary()), at, lengths)]
+        if odd:  # words that can't be taken by themselves: their texts are cut as a whole
+            alone = np.zeros(len(words), bool)
+            alone[list(odd)] = True
+            number = np.repeat(np.arange(len(out)), lengths)
+            for d in np.unique(number[alone[at]]).tolist():
+                out[d] = self.whole(texts[d].as_py())
         return out
 
 
@@ -187,7 +210,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in text_slices(batches):
-            ids = encode([t or b"" for t in as_bytes(batch.column("text"))])
+            ids = encode(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -200,7 +223,8 @@ def decoded(ids: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = merges(path).decode
         for batch in batches:
-            texts = [x if x is None else decode(np.frombuffer(x, "<u4")) for x in batch.column("ids").to_pylist()]
+            ids = batch.column("ids").to_pylist()
+            texts = [x if x is None else t for x, t in zip(ids, decode([x or b"" for x in ids]), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
 
     kind = ids.schema["doc_id"].dataType.simpleString()
@@ -216,8 +240,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         encode = encoder(path)
         digest = lambda x: hashlib.sha256(x).hexdigest()
         for batch in text_slices(batches):
-            ids = encode([t or b"" for t in as_bytes(batch.column("text"))])
-            texts = [digest(encode.merges.decode(np.frombuffer(x, "<u4"))) for x in ids]
+            ids = encode(batch.column("text"))
+            texts = [digest(t) for t in encode.merges.decode(ids)]
             more = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([digest(x) for x in ids]), pa.array(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *more], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.sources.shared import kept, new_folder, shared_dir  # noqa: F401  (used by the operators)
+from orrery.sources.shared import forget, kept, new_folder, shared_dir  # noqa: F401  (used by the operators)
 
 #: Words that a Python worker remembers, over all its tasks.
 WORD_CACHE = 1_600_000
@@ -77,6 +77,22 @@ def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return distinct, at, lengths
 
 
+#: Values that are put together at a time.
+TAKEN = 1 << 20
+
+
+def gathered(values: pa.Array, at: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """The binary values at the places `at`, put together for each text of so many places."""
+    size = np.asarray(pc.binary_length(values), np.int64)[at]
+    ends = np.append(0, np.cumsum(size))[np.cumsum(lengths)].tolist()
+    parts = []
+    for lo in range(0, len(at), TAKEN):
+        if n := int(size[lo : lo + TAKEN].sum()):
+            parts.append(memoryview(values.take(pa.array(at[lo : lo + TAKEN])).buffers()[2])[:n])
+    data = b"".join(parts)
+    return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
 def hashed_words(texts: pa.Array, seed: int) -> list[np.ndarray]:
     """The 64-bit hashes of each text's words."""
     import xxhash
@@ -96,16 +112,6 @@ class Remembered(dict):
     def __init__(self) -> None:
         self.older = {}
 
-    def unknown(self, words: set) -> set:
-        """Those of the words that must be computed anew."""
-        if len(self) > WORD_CACHE // 2:
-            self.older = dict(self)
-            self.clear()
-        new = words - self.keys()
-        back = new & self.older.keys()
-        self.update((w, self.older[w]) for w in back)
-        return new - back
-
     def recall(self, words: list) -> list:
         """What is known of each word, None where it must be computed anew."""
         if len(self) > WORD_CACHE // 2:
