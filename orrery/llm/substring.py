@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from orrery.llm.common import Grams, as_bytes, hashed_words, kept, signed, text_slices, told_apart
+from orrery.llm.common import Grams, as_bytes, forget, hashed_words, kept, signed, text_slices, told_apart
 
 #: Words of the runs whose least hash is an edge's minimizer.
 MINIMIZER_WORDS = 10
@@ -212,7 +212,9 @@ def refuted(paths: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     digests = kept(digests, "digests")
     there = digests.where("source_id is null").select(F.col("doc_id").alias("source_id"), F.col("mark").alias("source_mark"), F.col("at").alias("source_start"), "edges", F.col("words").alias("there"))
     here = digests.where("source_id is not null").withColumnRenamed("at", "start")
-    return here.join(there, names).where("words <> there").select(*DOC, "start", "edges")
+    wrong = kept(here.join(there, names).where("words <> there").select(*DOC, "start", "edges"), "refuted")
+    forget(digests)
+    return wrong
 
 
 def repeated_spans(docs: DataFrame, size: int = 50, bits: int = 64) -> DataFrame:
@@ -225,8 +227,10 @@ def repeated_spans(docs: DataFrame, size: int = 50, bits: int = 64) -> DataFrame
     # shuffle of their own, and splits a key that very many documents have.
     shared = found.groupBy("minimizer").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.min("key") != F.max("key")).alias("branches"))
     again = kept(found.join(kept(shared.where("a < b").select("minimizer", "branches"), "shared"), "minimizer"), "again")
+    forget(found)
     of_pieces = kept(sources(again, "minimizer", "key"), "sources")
     copies = kept(again.join(of_pieces, ["minimizer", "key"]), "copies")
+    forget(again, of_pieces)
     columns = ["key", *DOC, "start", "edges", *SOURCE, "one_before", "one_behind"]
     copied = copies.where("doc_id > source_id").select(*columns)
 
@@ -235,9 +239,10 @@ def repeated_spans(docs: DataFrame, size: int = 50, bits: int = 64) -> DataFrame
     singly = edges.join(of_edges, "key").where("doc_id > source_id").select(*columns)
     rows = kept(copied.unionByName(singly), "repeats")
     paths = kept(compacted(rows), "paths")
-    bad = kept(refuted(paths, docs, size), "refuted")
+    bad = refuted(paths, docs, size)
     spans = paths.select(*DOC, "start", "edges")
     if bad.isEmpty():
+        forget(copies, edges, of_edges, rows)
         return spans
 
     # Hashes collided: all copies of the keys in refuted paths once more, by digests of their words.
