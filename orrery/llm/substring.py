@@ -9,12 +9,13 @@ minimizer. So one row per piece, not per edge, goes through Spark's joins:
 * a minimizer that one document alone has needs nothing further;
 * of equal pieces the one in the least doc_id is the source; the others repeat it;
 * where a minimizer has several pieces (passages begin or end there), the sources' edges are
-  compared singly, in the same way.
+  compared singly.
 
-What repeats is compacted: an aggregation over all copies of a piece or edge finds its degrees (how
-many different neighbours lie before and behind it), a join brings them to each copy, and what
-follows on each other without a branch in between becomes one path. Each path then has the
-coordinates of its source, and the words at both places are compared by a 128-bit digest of the
+What repeats is compacted. An aggregation over all copies of an edge or piece finds its degrees:
+how many different neighbours lie before and behind it. Distinct edges that follow on each other
+without a branch in between become one path, which is joined to the documents by its first edge
+alone; pieces are put together in the same way where they lie. Each path then has the coordinates
+of its source, and the words at both places are compared by a 128-bit digest of the
 words themselves. Paths that fail (hashes collided) have all their copies compared again, window
 by window, by such digests, so the result doesn't rest on the 64-bit hashes.
 """
@@ -81,13 +82,12 @@ def stretches(words: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray,
         yield out()
 
 
-def neighbours(keys: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What lies before and behind each key, as 32 bits of its hash, 0 for nothing. `follows` tells
-    for each but the last whether the next one comes right behind it in the same document."""
-    short = keys.astype(np.uint32).view(np.int32)
-    before, behind = np.zeros(len(keys), np.int32), np.zeros(len(keys), np.int32)
-    before[1:] = np.where(follows, short[:-1], 0)
-    behind[:-1] = np.where(follows, short[1:], 0)
+def neighbours(hashes: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of what lies before and behind each, 0 for nothing. `follows` tells for each but
+    the last whether the next one comes right behind it in the same document."""
+    before, behind = np.zeros_like(hashes), np.zeros_like(hashes)
+    before[1:] = np.where(follows, hashes[:-1], 0)
+    behind[:-1] = np.where(follows, hashes[1:], 0)
     return before, behind
 
 
@@ -114,7 +114,7 @@ def pieces(docs: DataFrame, size: int, bits: int = 64) -> DataFrame:
                 edges = np.diff(np.append(first, len(at)))
                 start = at[first]
                 key = (grams.spans(start, start + edges + size - 1, seed=1) ^ edges.astype(np.uint64)) & mask
-                before, behind = neighbours(key, ~apart[first[1:] - 1])
+                before, behind = neighbours(key.astype(np.uint32).view(np.int32), ~apart[first[1:] - 1])
                 of = pa.array(number[start])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -148,8 +148,9 @@ def edges_of(spans: DataFrame, docs: DataFrame, size: int, bits: int = 64, exact
                 lo, n = np.asarray(part.field("start"), np.int64), np.asarray(part.field("edges"), np.int64)
                 at = np.unique(np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()))
                 at = at[at + size <= len(words)]
-                found = Grams(words).spans(at, at + size, seed=2) & mask
-                before, behind = neighbours(found, np.diff(at) == 1)
+                found = Grams(words).spans(at, at + size, seed=2)
+                before, behind = (signed(x) for x in neighbours(found, np.diff(at) == 1))
+                found &= mask
                 if exact:
                     own = texts[d].split()
                     keys += [digest_of(own[i : i + size]) for i in at.tolist()]
@@ -165,7 +166,7 @@ def edges_of(spans: DataFrame, docs: DataFrame, size: int, bits: int = 64, exact
             yield pa.RecordBatch.from_arrays(columns, names=["key", "before", "behind", *DOC, "start", "edges"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(*DOC, "text").join(asked, DOC).mapInArrow(run, f"key {'binary' if exact else 'bigint'}, before int, behind int, doc_id {kind}, mark bigint, start int, edges int")
+    return docs.select(*DOC, "text").join(asked, DOC).mapInArrow(run, f"key {'binary' if exact else 'bigint'}, before bigint, behind bigint, doc_id {kind}, mark bigint, start int, edges int")
 
 
 def sources(copies: DataFrame, *by: str) -> DataFrame:
@@ -176,6 +177,19 @@ def sources(copies: DataFrame, *by: str) -> DataFrame:
     return copies.groupBy(*by).agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last_id"), *first, one("before"), one("behind"))
 
 
+def heads(sources: DataFrame) -> DataFrame:
+    """Distinct edges with their sources -> paths that don't branch, each by its first edge: `(key,
+    edges, source_id, source_mark, source_start)`. A path lies whole and in a row wherever its first
+    edge lies, so no other one has to be looked for in the documents."""
+    order = W.partitionBy("source_id", "source_mark").orderBy("source_start")
+    last = lambda c: F.lag(c).over(order)
+    joined = last("one_behind") & F.col("one_before") & (last("source_start") + 1 == F.col("source_start"))
+    begins = sources.withColumn("begins", F.when(joined, 0).otherwise(1))
+    paths = begins.withColumn("path", F.sum("begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    first = [F.min_by("key", "source_start").alias("key"), F.count("*").cast("int").alias("edges"), F.min("source_start").alias("source_start")]
+    return paths.groupBy("source_id", "source_mark", "path").agg(*first).select("key", "edges", *SOURCE)
+
+
 def compacted(copies: DataFrame) -> DataFrame:
     """Copies with their sources, put together to paths where neither branches: `(doc_id, mark,
     start, edges, source_id, source_mark, source_start)`."""
@@ -236,7 +250,8 @@ def repeated_spans(docs: DataFrame, size: int = 50, bits: int = 64) -> DataFrame
 
     edges = kept(edges_of(copies.where("branches and doc_id = source_id"), docs, size, bits), "edges")
     of_edges = kept(sources(edges, "key").where("source_id < last_id"), "edge-sources")
-    singly = edges.join(of_edges, "key").where("doc_id > source_id").select(*columns)
+    alone = [F.lit(False).alias(c) for c in ("one_before", "one_behind")]  # these paths have all that belongs to them
+    singly = edges.drop("edges").join(kept(heads(of_edges), "heads"), "key").where("doc_id > source_id").select(*columns[:-2], *alone)
     rows = kept(copied.unionByName(singly), "repeats")
     paths = kept(compacted(rows), "paths")
     bad = refuted(paths, docs, size)
@@ -247,8 +262,8 @@ def repeated_spans(docs: DataFrame, size: int = 50, bits: int = 64) -> DataFrame
 
     # Hashes collided: all copies of the keys in refuted paths once more, by digests of their words.
     inside = bad.select(*DOC, F.col("start").alias("lo"), (F.col("start") + F.col("edges")).alias("hi"))
-    keys = rows.join(inside, DOC).where("start >= lo and start < hi").select("key").distinct()
     everywhere = copies.select("key", *DOC, "start", "edges").unionByName(edges.select("key", *DOC, "start", "edges"))
+    keys = everywhere.join(inside, DOC).where("start >= lo and start < hi").select("key").distinct()
     windows = kept(edges_of(everywhere.join(keys, "key", "left_semi"), docs, size, exact=True), "windows")
     first = kept(windows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b"), "firsts")
     exact = windows.join(first, "key").where("doc_id > a").select(*DOC, "start", "edges")
