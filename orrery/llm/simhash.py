@@ -10,12 +10,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Grams, as_bytes, hashed_words, kept, signed, text_slices, told_apart, whole_rows
+from orrery.llm.common import Grams, as_bytes, forget, hashed_words, kept, signed, text_slices, told_apart, whole_rows
 from orrery.operators.graph import connected_components
 
 BITS = 64
+#: Places of the table of bits that names documents, as a power of two.
+PLACES = 24
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -284,11 +287,11 @@ def listed(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
 
 
-def frequent_runs(docs: DataFrame, words: int, share: float = 1e-3, text_bytes: int = 16 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Word runs that more than `share` of all documents have, and counts for their order: `(sorted
-    runs, counts)`. Each piece of about `text_bytes` of text counts all its documents' runs and
-    gives those that at least `share` of its documents have; a run above the share overall is above
-    it in some piece. The runs above a share are at most (runs of an average document) / share."""
+def frequent_runs(docs: DataFrame, words: int, share: float = 1e-4, text_bytes: int = 16 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Word runs that about `share` of all documents or more have, and counts for their order:
+    `(sorted runs, counts)`. Each piece of about `text_bytes` of text counts all its documents' runs
+    and gives those that two or more of them have; Spark adds the pieces' counts. They only order
+    runs, and needn't be exact. At most (runs of an average document) / share come to the driver."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: list[np.ndarray] = []
@@ -297,7 +300,7 @@ def frequent_runs(docs: DataFrame, words: int, share: float = 1e-3, text_bytes:
         def out() -> pa.RecordBatch:
             runs, count = np.unique(np.concatenate(sets), return_counts=True)
             often = count >= max(2, math.ceil(share * n))
-            return pa.RecordBatch.from_arrays([pa.array(signed(runs[often])), pa.array(count[often].astype(np.int64)), pa.array(np.full(int(often.sum()), n, np.int64))], names=["run", "n", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array(signed(runs[often])), pa.array(count[often].astype(np.int32))], names=["run", "n"])
 
         for batch in text_slices(batches):
             sets += [np.unique(x) for x in run_hashes(batch.column("text"), words)]
@@ -309,7 +312,7 @@ def frequent_runs(docs: DataFrame, words: int, share: float = 1e-3, text_bytes:
             yield out()
 
     total = docs.count()
-    found = docs.select("text").mapInArrow(run, "run bigint, n bigint, docs bigint").groupBy("run").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(run, "run bigint, n int").groupBy("run").agg(F.sum("n").alias("n"))
     found = found.where(F.col("n") >= max(3.0, share * total)).toArrow()
     runs, count = found.column("run").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(runs)
@@ -320,15 +323,29 @@ def digest(runs: np.ndarray) -> bytes:
     return hashlib.blake2b(runs.tobytes(), digest_size=16).digest()
 
 
-def run_sets(docs: DataFrame, words: int) -> DataFrame:
-    """`docs(doc_id, text)` -> `(key, runs)`: the set of hashed word runs and its 128-bit digest."""
+def run_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """The run sets of the documents that `wanted(id, doc_id, mark)` names: `(id, runs)`. A table of
+    bits, of fixed size, first lets nearly all other documents go where they are read, so texts
+    aren't shuffled; the join then is exact."""
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "mark"), 64 - PLACES)
+    cells = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("cell"))
+    found = cells.agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()  # at most 2^(PLACES - 6) rows
+    table = np.zeros(1 << (PLACES - 6), np.uint64)
+    table[found.column("cell").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            sets = [np.unique(x) for x in run_hashes(batch.column("text"), words)]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.binary()), listed(sets)], names=["key", "runs"])
+        for batch in batches:
+            at = np.asarray(batch.column("place"), np.uint64)
+            some = batch.filter(pa.array(shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) > 0))
+            for part in text_slices([some]):
+                sets = [np.unique(x) for x in run_hashes(part.column("text"), words)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), listed(sets)], names=["doc_id", "mark", "runs"])
 
-    return docs.select("text").mapInArrow(run, "key binary, runs array<bigint>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sets = docs.select("doc_id", "mark", "text", place.alias("place")).mapInArrow(run, f"doc_id {kind}, mark bigint, runs array<bigint>")
+    same = sets.doc_id.eqNullSafe(wanted.doc_id) & (sets["mark"] == wanted["mark"])
+    return sets.join(wanted, same).select("id", "runs").dropDuplicates(["id"])
 
 
 def run_marks(docs: DataFrame, words: int, least: float) -> DataFrame:
@@ -358,57 +375,89 @@ def run_marks(docs: DataFrame, words: int, least: float) -> DataFrame:
     return docs.select("doc_id", "mark", "text").mapInArrow(run, f"doc_id {kind}, mark bigint, key binary, fp bigint, size int, prefix array<bigint>")
 
 
+def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components `(node, root)` with more links `(a, b)`; None: of the links alone. Only the links
+    between components go through the contraction again."""
+    if roots is None:
+        return kept(connected_components(links), "roots")
+    ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+    between = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    more = kept(connected_components(between), "joined").select(F.col("node").alias("old"), F.col("root").alias("new"))
+    moved = roots.join(more, roots.root == more.old, "left").select("node", F.coalesce("new", "root").alias("root"))
+    fresh = more.join(roots, more.old == roots.node, "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+    return kept(moved.unionByName(fresh), "roots")
+
+
 def near_copy_roots(docs: DataFrame, words: int, least: float, stars: int) -> tuple[DataFrame, DataFrame]:
-    """`docs(doc_id, mark, text)` -> the documents' marks (see run_marks), and the component of each
-    set of word runs that is linked to another: `(node, root)`.
+    """`docs(doc_id, mark, text)` -> the documents' marks (see run_marks), and `(key, root)`: the
+    component of each set of word runs.
 
     Equal sets are one row. Candidates are SimHash links first. A pair at 0.8 differs in about
     ten bits, which no trie with a one-bit inner budget finds, so the prefixes of the sets give
-    the rest: in `stars` rounds each set with one set of each of its runs' groups, at last those
-    pairs of a group that lie in different components by then and whose sizes and places in the
-    order allow the similarity. So a large group of near copies doesn't cost the square of its
-    size. Every candidate is verified by the exact Jaccard.
+    the rest, from those runs that sets of different components have: in `stars` rounds one set
+    of each such run's group leads it, and each set is held against the lead that it shares most
+    runs with; at last come all pairs that lie in different components still, where the sizes and the number of
+    shared runs in their prefixes allow the similarity. So a large group of near copies doesn't cost the square of its
+    size. Every link is verified by the exact Jaccard.
     """
     marks = kept(run_marks(docs, words, least), "run-marks")
-    rows = marks.select(F.posexplode("prefix").alias("pos", "run"), "key", "size")
-    of = F.xxhash64("key")
-    met = kept(rows.groupBy("run").agg(F.min(of).alias("low"), F.max(of).alias("high")).where("low <> high").select("run"), "met")
-    groups = kept(rows.join(met, "run", "left_semi").distinct(), "groups")
-    owners = kept(marks.groupBy("key").agg(F.min("doc_id").alias("owner")), "owners")
-    by_mark = kept(marks.groupBy("fp").agg(F.min("key").alias("key"), F.count_distinct("key").alias("n")), "marks")
+    sets = kept(marks.dropDuplicates(["key"]).withColumn("id", F.monotonically_increasing_id()), "sets")
+    by_mark = kept(sets.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")), "marks")
     tied = kept(hamming_links(by_mark.select("fp"), 5), "tied")
-    star = marks.select("fp", F.col("key").alias("a")).distinct().join(by_mark.where("n > 1"), "fp").select("a", F.col("key").alias("b"))
-    ends = [by_mark.select(F.col("fp").alias(c), F.col("key").alias(f"{c}_key")) for c in ("a", "b")]
-    pairs = star.unionByName(tied.join(ends[0], "a").join(ends[1], "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b")))
-    pairs = kept(pairs.where("a <> b"), "pairs")
+    star = sets.select("fp", F.col("id").alias("a")).join(by_mark.where("n > 1"), "fp").select("a", F.col("id").alias("b"))
+    ends = [by_mark.select(F.col("fp").alias(c), F.col("id").alias(f"{c}_id")) for c in ("a", "b")]
+    pairs = star.unionByName(tied.join(ends[0], "a").join(ends[1], "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))).where("a <> b")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-        keys = kept(both.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
-        ids = kept(owners.join(keys, "key", "left_semi").select("owner").distinct(), "ids")
-        sets = run_sets(docs.join(ids, docs.doc_id.eqNullSafe(ids.owner), "left_semi"), words)
-        sets = kept(sets.join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
-        both = both.join(sets.select(F.col("key").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("runs").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        return both.where(shared / (F.size("x") + F.size("y") - shared) >= least).select("a", "b")
-
-    alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * (least - 1e-9)
-    links = kept(verified(pairs), "links")
-    for i in range(stars + 1):
-        roots = kept(connected_components(links), "roots")
-        now = groups.join(roots, groups.key == roots.node, "left").select("run", "pos", "key", "size", F.coalesce("root", "key").alias("root"))
-        lead = F.min_by(F.struct("key", "size", "root"), F.xxhash64(F.lit(i), "key")).alias("lead")
-        mixed = kept(now.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high"), lead).where("low <> high"), "mixed")
-        if i < stars:
-            pairs = now.join(mixed, "run").where((F.col("root") != F.col("lead.root")) & alike(F.col("size"), F.col("lead.size"))).select(F.col("key").alias("a"), F.col("lead.key").alias("b"))
-        else:
-            now = kept(now.join(mixed, "run", "left_semi"), "now")
-            left, right = (now.select("run", *[F.col(x).alias(f"{c}_{x}") for x in ("root", "size", "pos")], F.col("key").alias(c)) for c in "ab")
-            after = lambda c: F.col(f"{c}_size") - F.col(f"{c}_pos")  # noqa: E731  the first run that both have, and what can follow it
-            enough = F.least(after("a"), after("b")) >= (F.col("a_size") + F.col("b_size")) * (least / (1 + least)) - 1e-6
-            pairs = left.join(right, "run").where(F.col("a_root") < F.col("b_root")).where(alike(F.col("a_size"), F.col("b_size")) & enough).select("a", "b")
-        links = kept(links.unionByName(verified(pairs)), "links")
-    return marks, kept(connected_components(links), "roots")
+        ids = both.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = kept(sets.select("id", "doc_id", "mark").join(ids, "id", "left_semi"), "wanted")
+        own = kept(run_sets(docs, wanted, words), "run-sets")
+        x, y = (own.select(F.col("id").alias(c), F.col("runs").alias(f"{c}_runs")) for c in "ab")
+        shared = F.size(F.array_intersect("a_runs", "b_runs"))
+        all_ = F.size("a_runs") + F.size("b_runs") - shared
+        links = kept(both.join(x, "a").join(y, "b").where(shared / all_ >= least).select("a", "b"), "links")
+        forget(both, wanted, own)
+        return links
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        group = W.partitionBy("run")
+        return kept(rows.withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group)}).where("low <> high").drop("low", "high"), "groups")
+
+    def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(roots, rows.id == roots.node, "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+
+    # Of two sets with x and y runs that agree to `least`, at least `common` are shared. So of either
+    # at most x - common others lie before any shared one. That gives the number of shared runs
+    # that both prefixes have, and bounds the places of the first and of the last of these.
+    x, y = F.col("size"), F.col("other_size")
+    whole = lambda v: F.ceil(v - 1e-6)
+    common = whole((x + y) * (least / (1 + least)))
+    alike = F.least(x, y) >= F.greatest(x, y) * (least - 1e-9)
+    met = [F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("pos", "other_pos") for k, f in (("least", F.min), ("most", F.max))]]
+    apart = F.col("n") >= common - F.greatest(whole(x * least), whole(y * least)) + 1
+    for size, c in ((x, "pos"), (y, "other_pos")):
+        apart = apart & (F.col(f"least_{c}") <= size - common) & (F.col(f"most_{c}") - F.col("n") + 1 <= size - common)
+    roots = merged(None, verified(pairs))
+    rows = rooted(sets.select("id", "size", "prefix"), roots)
+    groups = mixed(rows.select("id", "root", "size", F.posexplode("prefix").alias("pos", "run")))
+    for i in range(stars):
+        lead = F.min_by(F.struct("id", "size", "root", "pos"), F.xxhash64(F.lit(i), "id")).alias("lead")
+        leads = groups.groupBy("run").agg(lead).select("run", F.col("lead.id").alias("other"), *[F.col(f"lead.{c}").alias(f"other_{c}") for c in ("size", "root", "pos")])
+        leads = kept(leads, "leads")
+        near = groups.join(leads, "run").where((F.col("root") != F.col("other_root")) & alike)
+        near = near.groupBy("id", "size", "root", "other", "other_size", "other_root").agg(*met).where(apart)
+        best = near.groupBy("id").agg(F.max_by("other", "n").alias("other"))  # so candidates grow with the documents
+        roots = merged(roots, verified(best.select(F.col("id").alias("a"), F.col("other").alias("b"))))
+        before, groups = groups, mixed(rooted(groups.drop("root"), roots))
+        forget(before, leads)
+    others = groups.select("run", *[F.col(c).alias(f"other_{c}") for c in ("root", "size", "pos")], F.col("id").alias("other"))
+    both = groups.join(others, "run").where((F.col("root") < F.col("other_root")) & alike)
+    rest = both.groupBy("id", "size", "other", "other_size").agg(*met).where(apart)
+    roots = merged(roots, verified(rest.select(F.col("id").alias("a"), F.col("other").alias("b"))))
+    components = kept(rooted(sets.select("key", "id"), roots).select("key", "root"), "components")
+    forget(sets, groups)
+    return marks, components
 
 
 def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, stars: int = 2) -> DataFrame:
@@ -416,11 +465,9 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, stars: int
     sets of word runs have a Jaccard of `least` or more are linked, all of them. Wordless and null
     texts are one set. Ids as in near_duplicates."""
     marks, roots = near_copy_roots(told_apart(docs.select("doc_id", "text"))[0], words, least, stars)
-    sets = marks.groupBy("key").agg(F.min("doc_id").alias("least"))
-    rooted = sets.join(roots, sets.key == roots.node, "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    rooted = kept(rooted, "rooted")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marks.join(kept(rooted.join(ids, "root").select("key", "component_id"), "components"), "key").select("doc_id", "component_id")
+    sets = kept(marks.groupBy("key").agg(F.min("doc_id").alias("least")).join(roots, "key"), "rooted")
+    ids = sets.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marks.join(kept(sets.join(ids, "root").select("key", "component_id"), "ids"), "key").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, stars: int = 2) -> DataFrame:
@@ -429,7 +476,9 @@ def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, stars:
     def firsts(told: DataFrame) -> DataFrame:
         marks, roots = near_copy_roots(told, words, least, stars)
         sets = marks.where("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
-        return sets.join(roots, sets.key == roots.node, "left").groupBy(F.coalesce("root", "key")).agg(F.min("first").alias("first"))
+        found = kept(sets.join(roots, "key").groupBy("root").agg(F.min("first").alias("first")), "firsts")
+        forget(marks)
+        return found
 
     return first_of_each(docs, firsts)
 
