@@ -8,8 +8,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import ans, bpe, decontaminate, html_text, multiset, quality, simhash, substring, token_counts, url_filter
-from orrery.llm.common import table, vocabulary
+from orrery.llm import ans, bpe, decontaminate, html_text, mixture, multiset, prefix_trie, quality, resample, simhash, substring, token_counts, url_filter
+from orrery.llm.common import kept, table, vocabulary
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents towards the benchmark, and the ranks of those drawn (see resample)."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target sizes of all sources, and the words of each document that the mix takes (see mix)."""
+    found = mixture.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations, a row per node (see grafted and trie)."""
+    rebuilt = kept(prefix_trie.grafted(kept(prefix_trie.sequences(table(spark, sf_dir, "conversations")), "sequences")), "rebuilt")
+    return prefix_trie.trie(rebuilt).drop("path", "parent")
+
+
 QUERIES = (
     op1_simhash_near_dedup,
     op2_bpe,
@@ -75,6 +92,9 @@ QUERIES = (
     op8_document_fingerprints,
     op9_token_binary,
     op10_decontamination,
+    op11_importance_resampling,
+    op12_source_mixing,
+    op13_conversation_trie,
 )
 
 OP6_SQL = r"""
@@ -121,9 +141,79 @@ select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
 from docs left join hits using (doc_id) left join named using (doc_id)
 """
 
+OP12_SQL = r"""
+with sized as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+sources as (select source, sum(size)::bigint as source_size from sized group by source),
+placed as (
+  select source, source_size, 3 * source_size as cap, row_number() over (order by source nulls last) as place,
+         [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight
+  from sources),
+needed as (
+  select *, ((sum(source_size) over ())::double - coalesce(sum(cap) over (up rows between unbounded preceding and 1 preceding), 0)::double)
+            / (sum(weight) over (up rows between current row and unbounded following))::double as level
+  from placed window up as (order by cap / weight, place)),
+aims as (
+  select source, source_size, least(cap::double, (select greatest(0, max(level)) from needed) * weight) as target,
+         ('0x' || md5(concat('42:', coalesce('=' || source, '')))[1:8])::bigint * 1000000000 // 4294967296 as start
+  from placed),
+parts as (
+  select *, case when source_size > 0 then floor(target / source_size * 1000000000)::bigint else 0 end as expected from aims),
+run as (
+  select doc_id, size, source_size, target, expected,
+         start + sum(expected) over (partition by s.source order by size, doc_id nulls first rows unbounded preceding) as upto
+  from sized s join parts p on s.source is not distinct from p.source)
+select doc_id, size, source_size, target, (((upto - expected) % 1000000000 + expected) // 1000000000 * size)::bigint as taken
+from run
+"""
+
+#: CRC-32 of a text, bytewise, by a table made from its polynomial.
+CRC_SQL = r"""
+crc_rows as (
+  select i, 0 as k, i::bigint as c from range(256) t(i)
+  union all
+  select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from crc_rows where k < 8),
+crc as (select list(c order by i) as step from crc_rows where k = 8)"""
+
+OP13_SQL = (
+    "with recursive" + CRC_SQL + r""",
+turns as (
+  select conv_id, coalesce(text, '') as body, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) as turn_key,
+         row_number() over (partition by conv_id order by turn nulls first, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) as pos
+  from conversations where conv_id is not null),
+convs as (
+  select conv_id, conv_id - conv_id % 5 as donor,
+         xor(list_reduce([4294967295::bigint] || list_transform(string_split(conv_id::varchar, ''), lambda ch: ascii(ch)::bigint),
+                         lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) % 9 as h
+  from (select distinct conv_id from turns), crc),
+parts as (
+  select c.conv_id, 0 as part, t.pos, t.turn_key, t.body from convs c join turns t on t.conv_id = c.donor and t.pos <= c.h
+  union all
+  select c.conv_id, 1, t.pos, t.turn_key, t.body from convs c join turns t on t.conv_id = c.conv_id and t.pos > c.h),
+members as (
+  select conv_id, row_number() over (own) as depth, string_agg(turn_key, '') over (own rows unbounded preceding) as path, strlen(body) as bytes
+  from parts window own as (partition by conv_id order by part, pos)
+  union all
+  select conv_id, 0, '', 0 from convs),
+lengths as (select conv_id, max(depth) as length from members group by conv_id),
+nodes as (
+  select path, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(bytes) as bytes,
+         coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (depth = length), '') as ends
+  from members join lengths using (conv_id) group by path, depth),
+children as (select left(path, -32) as path, count(*) as n_children from nodes where depth > 0 group by 1),
+marked as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join children c on n.path = c.path),
+above as (
+  select left(m.path, 32 * u.k::int) as path, count_if(n_children = 0) as n_leaves, sum((n_convs - 1) * bytes) as saved
+  from marked m, unnest(range(0, m.depth + 1)) as u(k) group by 1)
+select m.conv_id, m.depth::bigint as depth, p.conv_id as parent_conv_id, m.n_convs::bigint as n_convs, m.n_children::bigint as n_children,
+       a.n_leaves::bigint as n_leaves, a.saved::bigint as saved_tokens, sha256(m.ends) as ends_sha256
+from marked m join above a on m.path = a.path left join marked p on m.depth > 0 and p.depth = m.depth - 1 and p.path = left(m.path, -32)
+"""
+)
+
 #: SQL can't express the others (their hashes, tokenizers and learned models); tests hold them
 #: against brute force, exact round trips or held-out labels.
-ORACLES = {"op6_substring_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}
+ORACLES = {"op6_substring_dedup": OP6_SQL, "op10_decontamination": OP10_SQL, "op12_source_mixing": OP12_SQL, "op13_conversation_trie": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
 
