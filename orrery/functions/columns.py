@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cumulative Poisson(1) probabilities of 0..4; what lies above counts as 5.
@@ -23,19 +23,26 @@ def bucket32(*parts: Column) -> Column:
 DRAWS = 2147483647
 
 
-def draw(base: Column, rep: Column) -> Column:
-    """A number below DRAWS that depends on a row's base (see bucket32) and the replicate alone:
-    two rounds of multiplying and squaring modulo a prime, so no text is hashed for a replicate."""
-    x = (base + rep * 1000003) % DRAWS
-    y = (x * 48271 + rep * 40692) % DRAWS
-    z = (y * ((y + 16807) % DRAWS)) % DRAWS
-    w = (z * 69621 + base) % DRAWS
-    return (w * ((w + 12345) % DRAWS)) % DRAWS
+def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """The rows with a column that is computed once, however often it is used: the optimizer would
+    write an ordinary column out at each place, and again within that. An array of one value that
+    is exploded stays a step of its own."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
-def poisson_weight(base: Column, rep: Column) -> Column:
-    """A Poisson(1) draw that depends on base and replicate alone."""
-    u = draw(base, rep) / F.lit(float(DRAWS))
+def with_draw(df: DataFrame, name: str, base: Column, rep: Column) -> DataFrame:
+    """The rows with a number below DRAWS that depends on a row's base (see bucket32) and the replicate
+    alone: two rounds of multiplying and squaring modulo a prime, so no text is hashed for a
+    replicate."""
+    y, w = F.col(f"{name}_y"), F.col(f"{name}_w")
+    df = fixed(df, f"{name}_y", ((base + rep * 1000003) % DRAWS * 48271 + rep * 40692) % DRAWS)
+    df = fixed(df, f"{name}_w", ((y * ((y + 16807) % DRAWS)) % DRAWS * 69621 + base) % DRAWS)
+    return fixed(df, name, (w * ((w + 12345) % DRAWS)) % DRAWS).drop(f"{name}_y", f"{name}_w")
+
+
+def poisson_weight(drawn: Column) -> Column:
+    """A Poisson(1) draw from a column of draws (see with_draw)."""
+    u = drawn / F.lit(float(DRAWS))
     weight = F.lit(5)
     for k, cut in reversed(list(enumerate(POISSON))):
         weight = F.when(u < cut, k).otherwise(weight)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions.columns import correlation
+from orrery.sources.shared import kept
 
 
 def user_scope(df: DataFrame, users: DataFrame) -> DataFrame:
@@ -76,8 +81,50 @@ def run_grid(df: DataFrame, thresholds: list[float], score: str, label: str) ->
     return one.unpivot(["threshold", "fold"], ["accuracy", "recall"], "metric", "value")
 
 
-def leaderboard(runs: DataFrame, metrics: list[str], by: str) -> DataFrame:
-    """Mean and deviation of each metric over the folds, wide, ranked by the mean of `by`.
-    Configurations are a small table."""
-    wide = runs.groupBy("threshold").pivot("metric", metrics).agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"))
-    return wide.withColumn("rank", F.rank().over(W.orderBy(F.col(f"{by}_mean").desc())))
+def ridge_grid(df: DataFrame, features: list[str], label: str, fold: str, ridges: list[float]) -> DataFrame:
+    """`(ridge, fold, metric, value)`: root mean square and mean absolute error, on each fold's rows,
+    of a line in `features` that is fitted with each ridge on all other folds' rows.
+
+    One pass sums the normal equations of every fold, a row per fold; the sums without a fold are
+    the total less its own, so no row is read for a configuration. Each fold's models are solved in
+    one task and go to the fold's rows, which are read a second time. The intercept isn't damped. Rows
+    with a null in a feature or the label are left out; rows without a fold are a fold."""
+    names = [*features, label]
+    rows = df.select(F.col(fold).alias("fold"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)]).dropna(subset=[f"x{i}" for i in range(len(names))])
+    d = len(features)
+    pairs = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
+    parts = [F.sum(F.lit(1.0)), *[F.sum(f"x{i}") for i in range(d + 1)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]]
+    sums = kept(rows.groupBy("fold").agg(F.array(*parts).alias("own")), "sums")
+    total = sums.agg(F.array(*[F.sum(F.col("own")[i]) for i in range(len(parts))]).alias("all"))
+    others = sums.crossJoin(F.broadcast(total)).select("fold", F.zip_with("all", "own", lambda a, b: a - b).alias("s"))  # total is one row
+
+    def solved(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folds, weights = [], []
+            for k, s in enumerate(batch.column("s").to_pylist()):
+                n, mean, square = max(s[0], 1e-300), np.array(s[1 : d + 2]), np.zeros((d + 1, d + 1))
+                for (i, j), v in zip(pairs, s[d + 2 :], strict=True):
+                    square[i, j] = square[j, i] = v
+                centred, mean = square - np.outer(mean, mean) / n, mean / n
+                for ridge in ridges:
+                    slope = np.linalg.lstsq(centred[:d, :d] + ridge * np.eye(d), centred[:d, d], rcond=None)[0]
+                    folds.append(k)
+                    weights.append([*slope.tolist(), float(mean[d] - slope @ mean[:d])])
+            yield pa.RecordBatch.from_arrays([batch.column("fold").take(pa.array(folds, pa.int64())), pa.array(list(ridges) * batch.num_rows, pa.float64()), pa.array(weights, pa.list_(pa.float64()))], names=["own_fold", "ridge", "w"])
+
+    kind = rows.schema["fold"].dataType.simpleString()
+    models = others.mapInArrow(solved, f"own_fold {kind}, ridge double, w array<double>").groupBy("own_fold").agg(F.collect_list(F.struct("ridge", "w")).alias("models"))
+    fitted = rows.join(kept(models, "models"), F.col("fold").eqNullSafe(F.col("own_fold"))).withColumn("m", F.explode("models"))  # a row per fold
+    predicted = F.col("m.w")[d]
+    for i in range(d):
+        predicted = predicted + F.col("m.w")[i] * F.col(f"x{i}")
+    error = F.col(f"x{d}") - predicted
+    one = fitted.select(F.col("m.ridge").alias("ridge"), "fold", error.alias("e")).groupBy("ridge", "fold").agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg(F.abs("e")).alias("mae"))
+    return one.unpivot(["ridge", "fold"], ["rmse", "mae"], "metric", "value")
+
+
+def leaderboard(runs: DataFrame, metrics: list[str], by: str, config: str = "threshold", up: bool = False) -> DataFrame:
+    """Mean and deviation of each metric over the folds, wide, ranked by the mean of `by`, greatest
+    first (least first if `up`). Configurations are a small table."""
+    wide = runs.groupBy(config).pivot("metric", metrics).agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"))
+    return wide.withColumn("rank", F.rank().over(W.orderBy(F.col(f"{by}_mean").asc() if up else F.col(f"{by}_mean").desc())))

@@ -78,11 +78,12 @@ def extract_json(df: DataFrame, col: str, schema: StructType | str) -> DataFrame
 
 
 def dedup_exact(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """P10: the first row of each key by `order`, with the size of its group. Sizes are counted
-    before the rows are sorted, and joined, so a hot key's rows are never held together."""
-    sizes = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("group_size"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.struct(*order).eqNullSafe(F.col("_first"))]
-    return df.join(sizes, reduce(lambda a, b: a & b, same)).select(*df.columns, "group_size")
+    """P10: the first row of each key by `order`, with the size of its group; rows that agree in
+    `order` are told apart by their other columns, in turn, and rows that agree in all are one. One
+    aggregation, with partial results before the shuffle: a hot key's rows never meet."""
+    rest = [c for c in df.columns if c not in order and df.schema[c].dataType.typeName() not in ("map", "variant")]
+    first = F.min_by(F.struct(*df.columns), F.struct(*order, *rest))
+    return df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(first.alias("_row"), F.count("*").alias("group_size")).select("_row.*", "group_size")
 
 
 def near_dup_pairs(df: DataFrame, id_col: str, text_col: str, n: int = 5, t: float = 0.8) -> DataFrame:

@@ -36,25 +36,96 @@ def term_stats(units: DataFrame, unit: str) -> DataFrame:
     return tf.join(df, "term").join(length, unit).select(unit, "term", "tf", "df", "len")
 
 
-def bm25_topk(queries: DataFrame, units: DataFrame, unit: str, k: int) -> DataFrame:
-    """`queries(query_id, text)`, `units(unit, text)` -> `(query_id, unit, score, rank)`: the k
-    best units of each by BM25 over the query's distinct words, ties to the lesser unit.
-
-    The queries' words are written first, so that Spark knows their size; the units' words that no
-    query has go before they are counted or shuffled. Lengths come from the words' number."""
-    words = kept(queries.select("query_id", F.explode(F.array_distinct(F.split(norm_text(F.col("text")), " "))).alias("term")).where("term <> ''"), "words")
+#: Length classes a doubling: units of a class have nearly the same length.
+CLASSES = 4
+#: Postings (per wanted hit) of a query's rarest terms that are scored for its first threshold, and
+#: (per wanted hit) of those units, the best, that are scored in full. Any numbers give the same hits.
+SEEDS, FULL = 50, 10
+#: Scores are rounded to 6 places; bounds keep this far from the threshold.
+MARGIN = 1e-5
+
+
+def term_postings(words: DataFrame, units: DataFrame, unit: str) -> DataFrame:
+    """`(unit, term, class, part, df)`: of each unit the terms that queries ask for, what each adds to
+    a score, the class of the unit's length, and how many units have the term."""
     asked = kept(words.select("term").distinct(), "terms")
-    split = units.select(unit, F.filter(F.split(norm_text(F.col("text")), " "), lambda w: w != "").alias("w")).select(unit, "w", F.size("w").alias("len")).where("len > 0")
-    tf = kept(split.select(unit, "len", F.explode("w").alias("term")).join(asked, "term", "left_semi").groupBy(unit, "len", "term").agg(F.count("*").alias("tf")), "tf")
-    df = kept(tf.groupBy("term").agg(F.count("*").alias("df")), "df")
+    split = units.select(F.col(unit).alias("unit"), F.filter(F.split(norm_text(F.col("text")), " "), lambda w: w != "").alias("w")).select("unit", "w", F.size("w").alias("len")).where("len > 0")
+    tf = kept(split.select("unit", "len", F.explode("w").alias("term")).join(asked, "term", "left_semi").groupBy("unit", "len", "term").agg(F.count("*").alias("tf")), "tf")
     whole = split.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = tf.join(words.join(df, "term"), "term").crossJoin(F.broadcast(whole)).groupBy("query_id", unit).agg(F.round(F.sum(part), 6).alias("score"))  # whole is one row
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), unit))
+    place = F.floor(F.log2(F.col("len")) * CLASSES).cast("int")
+    return tf.join(kept(df, "df"), "term").crossJoin(F.broadcast(whole)).select("unit", "term", place.alias("class"), part.alias("part"), "df")  # whole is one row
+
+
+def best(scored: DataFrame, k: int) -> DataFrame:
+    """`(query_id, unit, score)` with `rank` up to k; Spark ranks within tasks before it shuffles."""
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "unit"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def thresholds(words: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """`(query_id, least)`: a score that k units of the query reach, so its k-th best is no lower. The
+    units with the best sums over the query's rarest terms are scored in full. Queries with fewer
+    units get none."""
+    df = postings.groupBy("term").agg(F.first("df").alias("df"))
+    before = F.coalesce(F.sum("df").over(W.partitionBy("query_id").orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rare = words.join(df, "term").withColumn("before", before).where(F.col("before") < SEEDS * k).select("query_id", "term")
+    first = rare.join(postings, "term").groupBy("query_id", "unit").agg(F.sum("part").alias("score"))
+    top = kept(best(first, FULL * k).select("query_id", "unit"), "seeds")
+    whole = top.join(words, "query_id").join(postings.select("unit", "term", "part"), ["unit", "term"]).groupBy("query_id", "unit").agg(F.sum("part").alias("score"))
+    return best(whole, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+
+
+def steps(words: DataFrame, postings: DataFrame, least: DataFrame) -> DataFrame:
+    """`(query_id, class, term, step, rest, least)`: a query's terms within each class of lengths, from
+    the greatest possible part to the smallest. `rest` is the sum of the bounds from a term on.
+    Step 0: a unit that has only terms from here on may still reach the threshold. Step 1: those
+    after it, as long as the rest is half the threshold; step 2: the others."""
+    bounds = postings.groupBy("term", "class").agg(F.max("part").alias("bound"))
+    rest = F.sum("bound").over(W.partitionBy("query_id", "class").orderBy("bound", "term").rowsBetween(W.unboundedPreceding, 0))
+    rows = words.join(bounds, "term").withColumn("rest", rest).join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    step = F.when(F.col("rest") >= F.col("least") - MARGIN, 0).when(F.col("rest") >= F.col("least") / 2, 1).otherwise(2)
+    return rows.select("query_id", "class", "term", step.alias("step"), "rest", "least")
+
+
+def bm25_stages(queries: DataFrame, units: DataFrame, unit: str, k: int) -> list[DataFrame]:
+    """The pairs `(query_id, unit, class, score)` that are left after each step (see bm25_topk), with
+    the scores so far; the last ones are whole."""
+    words = kept(queries.select("query_id", F.explode(F.array_distinct(F.split(norm_text(F.col("text")), " "))).alias("term")).where("term <> ''"), "words")
+    postings = kept(term_postings(words, units, unit), "postings")
+    plan = kept(steps(words, postings, thresholds(words, postings, k)), "plan")
+    bare = postings.select("unit", "term", "class", "part")
+    terms = lambda s: plan.where(F.col("step") == s).select("query_id", "class", "term")
+    now = terms(0).join(bare, ["term", "class"]).groupBy("query_id", "unit", "class").agg(F.sum("part").alias("score"))
+    out = []
+    for step in (0, 1, 2):
+        if step:
+            more = now.join(terms(step), ["query_id", "class"]).join(bare.drop("class"), ["unit", "term"]).select("query_id", "unit", "class", F.col("part").alias("score"))
+            now = now.unionByName(more).groupBy("query_id", "unit", "class").agg(F.sum("score").alias("score"))
+        if step < 2:
+            left = plan.groupBy("query_id", "class").agg(F.max("least").alias("least"), F.coalesce(F.max(F.when(F.col("step") > step, F.col("rest"))), F.lit(0.0)).alias("left"))
+            now = now.join(left, ["query_id", "class"]).where(F.col("score") + F.col("left") >= F.col("least") - MARGIN).drop("left", "least")
+        now = kept(now, f"pairs-{step}")
+        out.append(now)
+    return out
+
+
+def bm25_topk(queries: DataFrame, units: DataFrame, unit: str, k: int) -> DataFrame:
+    """`(query_id, <unit>, score, rank)`: the k best units of each query by BM25, ties to the lesser
+    unit; scores have 6 places. Only words that some query asks for are counted.
+
+    Terms have upper bounds, the greatest part that a unit of a class of lengths takes from them. A
+    unit that has none of a query's terms with great bounds can't reach the query's threshold, so
+    common words bring no candidates; they are looked up for those units alone that the terms
+    before have left within reach. Pairs that fall short of the threshold even with all bounds of
+    the terms to come are dropped after each of the first two steps. All hits are found."""
+    scored = bm25_stages(queries, units, unit, k)[-1]
+    found = best(scored.select("query_id", "unit", F.round("score", 6).alias("score")), k)
+    return found.withColumnRenamed("unit", unit)
+
+
 def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
@@ -64,24 +135,29 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def cells_topk(queries: DataFrame, vectors: DataFrame, k: int, rows: int, held: int) -> DataFrame:
-    """`queries(query_id, embedding, list)`, `vectors(vec_id, embedding, list)` -> `(query_id, vec_id,
-    score, rank)`: of each query the k nearest rows in the lists that it asks for, by cosine
-    (rounded to 6 places; ties to the lesser id), its own row left out.
-
-    A list is cut into pieces of about `rows` rows and blocks of about `held` queries; each pair of
-    a piece and a block is a cell, which one task handles, and gives k rows a query. So a list of
-    any size, and any number of queries, is spread over tasks.
-    """
+def cells(queries: DataFrame, vectors: DataFrame, carried: list[str], rows: int, held: int) -> tuple[DataFrame, DataFrame]:
+    """`queries(query_id, embedding, list)`, `vectors(vec_id, carried..., list)` dealt into cells. A list is
+    cut into pieces of about `rows` rows and blocks of about `held` queries; each pair of a piece and
+    a block is a cell, which one task handles. So a list of any size, and any number of queries, is
+    spread over tasks."""
     sizes = vectors.groupBy("list").agg(F.ceil(F.count("*") / rows).cast("int").alias("pieces"))
     asked = queries.groupBy("list").agg(F.ceil(F.count("*") / held).cast("int").alias("blocks"))
     plan = F.broadcast(kept(sizes.join(asked, "list"), "cells"))  # a row per list
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    v = vectors.join(plan, "list").select("list", mine("vec_id", "pieces").alias("piece"), spread("blocks").alias("block"), "vec_id", "embedding")
+    v = vectors.join(plan, "list").select("list", mine("vec_id", "pieces").alias("piece"), spread("blocks").alias("block"), "vec_id", *carried)
     q = queries.join(plan, "list").select("list", spread("pieces").alias("piece"), mine("query_id", "blocks").alias("block"), F.col("query_id").alias("asker"), F.col("embedding").alias("asked"))
+    return v, q
 
-    def best(own: pa.Table, asking: pa.Table) -> pa.Table:
+
+def cells_topk(queries: DataFrame, vectors: DataFrame, k: int, rows: int, held: int) -> DataFrame:
+    """`queries(query_id, embedding, list)`, `vectors(vec_id, embedding, list)` -> `(query_id, vec_id,
+    score, rank)`: of each query the k nearest rows in the lists that it asks for, by cosine
+    (rounded to 6 places; ties to the lesser id), its own row left out. Each cell gives k rows a
+    query."""
+    v, q = cells(queries, vectors, ["embedding"], rows, held)
+
+    def nearest(own: pa.Table, asking: pa.Table) -> pa.Table:
         ids, n = asking.column("asker").to_numpy(), own.num_rows
         if not len(ids) or not n:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -99,7 +175,7 @@ def cells_topk(queries: DataFrame, vectors: DataFrame, k: int, rows: int, held:
         return pa.table({"query_id": ids[i], "vec_id": found[i, j], "score": score[i, j]})
 
     keys = ["list", "piece", "block"]
-    parts = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(best, "query_id bigint, vec_id bigint, score double")
+    parts = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(nearest, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -138,12 +214,88 @@ def in_lists(rows: DataFrame, id_col: str, centres: np.ndarray, probe: int) -> D
     return rows.select(id_col, "embedding").mapInArrow(place, f"{id_col} bigint, embedding array<float>, list int")
 
 
+def coded(rows: DataFrame) -> DataFrame:
+    """`rows(vec_id, embedding, list)` -> `(vec_id, list, code BINARY, scale, error)`: each vector of length
+    one as whole numbers from -127 to 127, a byte a dimension, times a scale; error is how far that
+    is from the vector, so by Cauchy-Schwarz no cosine is further off."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = unit_rows(matrix(batch.column("embedding")))
+            scale = np.abs(x).max(axis=1, initial=0) / 127
+            code = np.rint(x / np.maximum(scale, 1e-30)[:, None]).astype(np.int8)
+            error = np.linalg.norm(x - code * scale[:, None], axis=1)
+            ends = pa.py_buffer((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32))
+            codes = pa.Array.from_buffers(pa.binary(), len(x), [None, ends, pa.py_buffer(code.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("list"), codes, pa.array(scale), pa.array(error)], names=["vec_id", "list", "code", "scale", "error"])
+
+    return rows.select("vec_id", "list", "embedding").mapInArrow(run, "vec_id bigint, list int, code binary, scale double, error double")
+
+
+#: What single precision and rounding to 6 places may add to a code's error.
+SLACK = 1e-5
+
+
+def survivors(asking: DataFrame, codes: DataFrame, k: int, rows: int, held: int) -> DataFrame:
+    """`asking(query_id, embedding, list)`, `codes` (see coded) -> `(query_id, vec_id)`: the rows of the
+    queries' lists that may be among the k nearest. A cosine lies within the code's error of what the
+    code gives; rows whose upper end is below k others' lower ends are out, first within each cell of
+    a piece of a list and a block of queries, then over all cells of a query."""
+    v, q = cells(asking, codes, ["code", "scale", "error"], rows, held)
+
+    def near(own: pa.Table, queries: pa.Table) -> pa.Table:
+        ids, out = queries.column("asker").to_numpy(), []
+        if len(ids) and own.num_rows:
+            x = unit_rows(matrix(queries.column("asked").combine_chunks())).astype(np.float32)
+            top = np.full((len(ids), k), -np.inf, np.float32)
+            for lo in range(0, own.num_rows, 2048):
+                part = own.slice(lo, 2048)
+                names, error = part.column("vec_id").to_numpy(), part.column("error").to_numpy() + SLACK
+                code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.int8).reshape(len(names), -1)
+                cosine = (x @ code.T.astype(np.float32)) * part.column("scale").to_numpy().astype(np.float32)
+                cosine[ids[:, None] == names[None, :]] = -np.inf
+                top = -np.partition(-np.concatenate([top, cosine - error.astype(np.float32)], 1), k - 1, axis=1)[:, :k]
+                i, j = np.nonzero((cosine + error >= top.min(axis=1)[:, None]) & np.isfinite(cosine))
+                out.append((i, names[j], cosine[i, j] - error[j], cosine[i, j] + error[j]))
+            last = top.min(axis=1)
+            out = [tuple(c[h >= last[i]] for c in (i, n, l, h)) for i, n, l, h in out]
+        columns = [np.concatenate(c) if out else np.zeros(0) for c in (zip(*out, strict=True) if out else [()] * 4)]
+        at = columns[0].astype(np.int64)
+        return pa.table({"query_id": ids[at] if len(at) else pa.array([], pa.int64()), "vec_id": columns[1].astype(np.int64), "low": columns[2].astype(np.float64), "high": columns[3].astype(np.float64)})
+
+    keys = ["list", "piece", "block"]
+    found = kept(v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(near, "query_id bigint, vec_id bigint, low double, high double"), "near")
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("low").desc()))
+    least = found.withColumn("place", place).where(F.col("place") <= k).where(F.col("place") == k).select("query_id", F.col("low").alias("least"))
+    return found.join(least, "query_id", "left").where("least is null or high >= least").select("query_id", "vec_id")
+
+
+def reranked(found: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The k nearest of the pairs `found(query_id, vec_id)`, by their whole vectors."""
+    asked = found.join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a")), "query_id")
+    pairs = asked.join(vectors.select("vec_id", F.col("embedding").alias("b")), "vec_id")
+
+    def cosines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (unit_rows(matrix(batch.column(c))) for c in "ab")
+                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(np.round((a * b).sum(axis=1), 6))], names=["query_id", "vec_id", "score"])
+
+    scored = pairs.select("query_id", "vec_id", "a", "b").mapInArrow(cosines, "query_id bigint, vec_id bigint, score double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def vector_topk_lists(queries: DataFrame, vectors: DataFrame, k: int, lists: int = 128, probe: int = 64, rows: int = ROWS, held: int = HELD) -> DataFrame:
-    """As R4 through an index: every row lies in the list of its nearest centroid, and a query is
-    compared with the rows of its `probe` nearest lists only. Rows and queries meet by list in a
-    shuffle; rows of other lists are never scored (see scored_share)."""
+    """As R4 through an index of codes in lists: every row lies in the list of its nearest centroid, as
+    a byte a dimension with an error bound, and a query is compared with the codes of its `probe`
+    nearest lists only. The rows that the bounds leave, little more than k a query, are scored
+    by their whole vectors, so within the lists asked the result is exact. With all lists asked
+    it is R4's."""
     asking, index = placed(queries, vectors, lists, probe)
-    return cells_topk(asking, index, k, rows, held)
+    return reranked(survivors(asking, coded(index), k, rows, held), queries, vectors, k)
 
 
 def placed(queries: DataFrame, vectors: DataFrame, lists: int, probe: int) -> tuple[DataFrame, DataFrame]:
@@ -153,12 +305,18 @@ def placed(queries: DataFrame, vectors: DataFrame, lists: int, probe: int) -> tu
     return kept(asking, "asking"), kept(in_lists(vectors, "vec_id", c, 1), "index")
 
 
-def scored_share(queries: DataFrame, vectors: DataFrame, lists: int = 128, probe: int = 64) -> DataFrame:
-    """The share of all pairs of a query and a row that the index scores."""
+def index_quality(queries: DataFrame, vectors: DataFrame, k: int, lists: int = 128, probe: int = 64) -> DataFrame:
+    """One row: the exact neighbours, the share of them that the index finds, and the shares of all
+    pairs of a query and a row that are scored by codes and by whole vectors."""
     asking, index = placed(queries, vectors, lists, probe)
+    left = kept(survivors(asking, coded(index), k, ROWS, HELD), "survivors")
     own = index.groupBy("list").agg(F.count("*").alias("n")).join(asking.groupBy("list").agg(F.count("*").alias("m")), "list", "left")
     pairs = own.agg(F.sum(F.col("n") * F.coalesce("m", F.lit(0))).alias("scored"), F.sum("n").alias("rows"))
-    return pairs.crossJoin(asking.agg((F.count("*") / probe).alias("queries"))).select((F.col("scored") / (F.col("rows") * F.col("queries"))).alias("share"))  # one row each
+    asked = asking.agg((F.count("*") / min(probe, lists)).alias("queries"))
+    whole = left.agg(F.count("*").alias("whole"))
+    hit = recall(reranked(left, queries, vectors, k), vector_topk(queries, vectors, k))
+    one = hit.crossJoin(pairs).crossJoin(asked).crossJoin(whole)  # one row each
+    return one.select("n", "recall", (F.col("scored") / (F.col("rows") * F.col("queries"))).alias("code_share"), (F.col("whole") / (F.col("rows") * F.col("queries"))).alias("whole_share"))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Time series in long form `(series, ts, ...)`: bars, features, backtests, regimes, monitoring.
 
-A window partition is one series: Spark sorts and, where it must, spills it, but one task holds
-a series. Features of a row use rows up to it only, so deleting the future changes nothing.
+Windows over a series are dealt by ranges of time (see operators.ranges): one series of any length is
+spread over tasks. Features of a row use rows up to it only, so deleting the future changes nothing.
 """
 
 from __future__ import annotations
@@ -10,18 +10,33 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from orrery.operators.ranges import dealt, framed, scanned, within_time
 from orrery.operators.ranks import quantiles, running_counts
 from orrery.sources.shared import kept
 
 
-def in_time() -> WindowSpec:
-    return W.partitionBy("series").orderBy("ts")
+#: Steps of a grid that one row stands for before they are spread.
+STEPS = 4096
+
+
+def by_range(df: DataFrame) -> DataFrame:
+    return dealt(df, "series", ["ts"])
+
+
+def looked(df: DataFrame, before: int, after: int, columns: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+    """The rows of a dealt table with columns over windows in time (see framed)."""
+    return framed(df, "series", ["ts"], before, after, lambda rows, keys: rows.withColumns(columns(W.partitionBy(*keys).orderBy("ts"))))
+
+
+def summed(df: DataFrame, scans: dict[str, tuple[str, Column]]) -> DataFrame:
+    """The rows of a dealt table with running aggregates in time (see scanned)."""
+    return scanned(df, "series", ["ts"], scans)
 
 
 def bars(df: DataFrame, series: str, ts: str, val: str, width: str, tie: str) -> DataFrame:
@@ -38,32 +53,50 @@ def gap_fill(bars: DataFrame, width: str) -> DataFrame:
     """A row for every step from a series' first bar to its last; in a gap the close is the
     last one before it and n is 0."""
     span = bars.groupBy("series").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    grid = span.select("series", F.explode(F.sequence("a", "b", F.expr(f"interval {width}"))).alias("ts"))
+    step = F.expr(f"interval {width}")
+    parts = span.select("series", "b", F.explode(F.sequence("a", "b", step * STEPS)).alias("a"))
+    grid = parts.select("series", F.explode(F.sequence("a", F.least(F.col("b"), F.col("a") + step * (STEPS - 1)), step)).alias("ts"))
     joined = grid.join(bars.select("series", "ts", "close", "n"), ["series", "ts"], "left")
-    last = F.last("close", ignorenulls=True).over(in_time().rowsBetween(W.unboundedPreceding, 0))
-    return joined.select("series", "ts", last.alias("close"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+    filled = summed(by_range(joined), {"close": ("last", F.col("close"))})
+    return filled.select("series", "ts", "close", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
 def returns(df: DataFrame, lags: list[int]) -> DataFrame:
     """Past closes, simple and log returns at each lag, and the next close."""
-    out = df.withColumn("next_close", F.lead("close").over(in_time()))
+    out = looked(by_range(df), max(lags), 1, lambda w: {"next_close": F.lead("close").over(w)} | {f"lag_{k}": F.lag("close", k).over(w) for k in lags})
     for k in lags:
-        past = F.lag("close", k).over(in_time())
-        out = out.withColumns({f"lag_{k}": past, f"ret_{k}": F.try_divide(F.col("close") - past, past), f"log_ret_{k}": F.when((past > 0) & (F.col("close") > 0), F.log(F.col("close") / past))})
-    return out
+        past = F.col(f"lag_{k}")
+        out = out.withColumns({f"ret_{k}": F.try_divide(F.col("close") - past, past), f"log_ret_{k}": F.when((past > 0) & (F.col("close") > 0), F.log(F.col("close") / past))})
+    return out.drop("_range")
+
+
+def slope(rows: int, of: str) -> Callable[[DataFrame, list[str]], DataFrame]:
+    """The slope of `of` over the last `rows` rows; only distances of places count, so a place may be
+    counted from anywhere."""
+
+    def compute(df: DataFrame, keys: list[str]) -> DataFrame:
+        w = W.partitionBy(*keys).orderBy("ts")
+        placed = df.withColumn("_i", F.row_number().over(w).cast("double"))
+        return placed.withColumn("slope", F.regr_slope(F.col(of), F.col("_i")).over(w.rowsBetween(-(rows - 1), 0))).drop("_i")
+
+    return compute
 
 
 def rolling(df: DataFrame, rows: int, seconds: int) -> DataFrame:
     """T4: mean, deviation, range, z-score and slope over the last `rows` rows; mean over the last
     `seconds`. Deviations and slopes need two rows."""
-    frame = in_time().rowsBetween(-(rows - 1), 0)
-    by_time = W.partitionBy("series").orderBy("sec").rangeBetween(-(seconds - 1), 0)
-    step = df.withColumns({"i": F.row_number().over(in_time()), "sec": F.unix_seconds(F.col("ts").cast("timestamp"))})
-    mean, sd = F.avg("close").over(frame), F.stddev_samp("close").over(frame)
-    return step.select(
-        "series", "ts", "close", mean.alias("mean"), sd.alias("sd"), F.min("close").over(frame).alias("low"), F.max("close").over(frame).alias("high"),
-        F.try_divide(F.col("close") - mean, sd).alias("z"), F.regr_slope(F.col("close"), F.col("i").cast("double")).over(frame).alias("slope"), F.avg("close").over(by_time).alias("time_mean"),
-    )
+
+    def frames(step: DataFrame, keys: list[str]) -> DataFrame:
+        w = W.partitionBy(*keys).orderBy("ts").rowsBetween(-(rows - 1), 0)
+        close = F.col("close")
+        return slope(rows, "close")(step.withColumns({"mean": F.avg(close).over(w), "sd": F.stddev_samp(close).over(w), "low": F.min(close).over(w), "high": F.max(close).over(w)}), keys)
+
+    def times(step: DataFrame, keys: list[str]) -> DataFrame:
+        return step.withColumn("time_mean", F.avg("close").over(W.partitionBy(*keys).orderBy("sec").rangeBetween(-(seconds - 1), 0)))
+
+    step = by_range(df.select("series", "ts", "close")).withColumn("sec", F.unix_seconds(F.col("ts").cast("timestamp")))
+    out = framed(within_time(step, "series", "sec", seconds, times), "series", ["ts"], rows - 1, 0, frames)
+    return out.select("series", "ts", "close", "mean", "sd", "low", "high", F.try_divide(F.col("close") - F.col("mean"), F.col("sd")).alias("z"), "slope", "time_mean")
 
 
 def calendar(df: DataFrame, ts: str) -> DataFrame:
@@ -75,13 +108,14 @@ def calendar(df: DataFrame, ts: str) -> DataFrame:
 
 def asof(left: DataFrame, right: DataFrame, by: str, ts: str, value: str, max_age: str | None = None) -> DataFrame:
     """Each left row with the right side's last row at or before it, per key: `value` and its
-    time as `right_ts`. Right rows are unique by key and time. One sort of both sides together
-    takes the place of a join over all pairs."""
+    time as `right_ts`. Right rows are unique by key and time. Both sides are dealt together by
+    ranges of (key, time), in the place of a join over all pairs: the last right row of the ranges
+    before is carried into each, so a hot key is spread over tasks."""
     a = left.select("*", F.lit(1).alias("_side"), F.lit(None).cast(right.schema[ts].dataType).alias("_at"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     b = right.select(by, ts, F.lit(0).alias("_side"), F.col(ts).alias("_at"), F.col(value).alias("_v"))
-    order = W.partitionBy(by).orderBy(ts, "_side").rowsBetween(W.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("_side") == 0, F.struct("_at", "_v")), ignorenulls=True).over(order)
-    out = a.unionByName(b, allowMissingColumns=True).withColumn("_hit", seen).where("_side = 1")
+    both = dealt(a.unionByName(b, allowMissingColumns=True), by, [ts, "_side"], "both")
+    seen = F.when(F.col("_side") == 0, F.struct("_at", "_v"))
+    out = scanned(both, by, [ts, "_side"], {"_hit": ("last", seen)}).where("_side = 1")
     fresh = F.lit(True) if max_age is None else F.col("_hit._at") >= F.col(ts) - F.expr(f"interval {max_age}")
     return out.select(*left.columns, F.when(fresh, F.col("_hit._at")).alias("right_ts"), F.when(fresh, F.col("_hit._v")).alias(value))
 
@@ -89,9 +123,9 @@ def asof(left: DataFrame, right: DataFrame, by: str, ts: str, value: str, max_ag
 def context_windows(df: DataFrame, length: int, horizons: int) -> DataFrame:
     """The last `length` closes of each row as an array, and the next ones as targets; rows with
     a shorter past are left out."""
-    context = F.collect_list("close").over(in_time().rowsBetween(-(length - 1), 0))
-    targets = [F.lead("close", h).over(in_time()).alias(f"target_{h}") for h in range(1, horizons + 1)]
-    return df.select("series", "ts", context.alias("context"), *targets).where(F.size("context") == length)
+    targets = [f"target_{h}" for h in range(1, horizons + 1)]
+    context = lambda w: {"context": F.collect_list("close").over(w.rowsBetween(-(length - 1), 0))} | {t: F.lead("close", h).over(w) for h, t in enumerate(targets, 1)}
+    return looked(by_range(df.select("series", "ts", "close")), length - 1, horizons, context).select("series", "ts", "context", *targets).where(F.size("context") == length)
 
 
 def origins(df: DataFrame, start: int, step: int) -> DataFrame:
@@ -103,7 +137,7 @@ def walk_forward(df: DataFrame, start: int, step: int, train: int, h: int, embar
     """Rows of each fold. Origin o trains on places [o - train, o - embargo) and tests on
     [o, o + h). A row knows the origins it belongs to from its own place, so no join over ranges
     is needed; places count from 0 within a series."""
-    placed = df.withColumn("i", (F.row_number().over(in_time()) - 1).cast("bigint"))
+    placed = kept(summed(by_range(df), {"i": ("sum", F.lit(1).cast("bigint"))}).withColumn("i", F.col("i") - 1).drop("_range"), "placed")
     last = placed.groupBy("series").agg(F.max("i").alias("last"))
     low = F.greatest(F.lit(start), F.lit(start) + F.ceil((F.col("i") - h + 1 - start) / step) * step)
     high = F.least(F.lit(start) + F.floor((F.col("i") + train - start) / step) * step, F.lit(start) + F.floor((F.col("last") - start) / step) * step)
@@ -158,8 +192,8 @@ def fit_pooled(df: DataFrame, length: int, start: int, step: int, train: int, h:
     predicts its test rows from the closes before them. Each task adds up the normal equations of
     the origins it sees; Spark adds the parts, a row per origin, which is solved in its task.
     """
-    past = F.collect_list("close").over(in_time().rowsBetween(-length, -1))
-    rows = walk_forward(df.select("series", "ts", "close").withColumn("past", past), start, step, train, h, embargo)
+    past = looked(by_range(df.select("series", "ts", "close")), length, 0, lambda w: {"past": F.collect_list("close").over(w.rowsBetween(-length, -1))})
+    rows = walk_forward(past, start, step, train, h, embargo)
     rows = rows.where((F.size("past") == length) & F.col("close").isNotNull())
     usable = rows.where((F.col("part") == "train") & (F.col("i") - length >= F.col("origin") - train)).select("origin", "past", F.col("close").alias("y"))
     d = length + 1
@@ -215,12 +249,11 @@ def skill(pred: DataFrame, base: str = "mean") -> DataFrame:
 def equity(pred: DataFrame, cost: float) -> DataFrame:
     """`(series, ts, ret, yhat)` -> the path of a strategy that holds the forecast's sign:
     position, net return, cumulative return and drawdown."""
-    own = W.partitionBy("series").orderBy("ts")
-    path = own.rowsBetween(W.unboundedPreceding, 0)
-    position = F.signum("yhat")
-    moved = pred.withColumn("position", position).withColumn("turn", F.abs(F.col("position") - F.coalesce(F.lag("position").over(own), F.lit(0.0))))
-    net = moved.withColumn("net", F.col("position") * F.col("ret") - cost * F.col("turn")).withColumn("total", F.sum("net").over(path))
-    return net.withColumn("drawdown", F.greatest(F.lit(0.0), F.max("total").over(path)) - F.col("total"))
+    moved = looked(by_range(pred.withColumn("position", F.signum("yhat"))), 1, 0, lambda w: {"turn": F.abs(F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0.0)))})
+    net = kept(moved.withColumn("net", F.col("position") * F.col("ret") - cost * F.col("turn")), "net")
+    total = kept(summed(net, {"total": ("sum", F.col("net"))}), "total")
+    top = summed(total, {"top": ("max", F.col("total"))})
+    return top.withColumn("drawdown", F.greatest(F.lit(0.0), F.col("top")) - F.col("total")).drop("top", "_range")
 
 
 def sharpe(path: DataFrame) -> DataFrame:
@@ -231,12 +264,13 @@ def sharpe(path: DataFrame) -> DataFrame:
 def regimes(df: DataFrame, rows: int = 24, past: int = 168) -> DataFrame:
     """Volatility (rolling deviation against its own mean over the `past` rows before) and
     trend (rolling slope against a tenth of the deviation), from trailing rows only."""
-    frame = in_time().rowsBetween(-(rows - 1), 0)
-    step = df.withColumn("i", F.row_number().over(in_time()))
-    vol = step.select("series", "ts", "close", "i", F.stddev_samp("close").over(frame).alias("vol"), F.regr_slope(F.col("close"), F.col("i").cast("double")).over(frame).alias("slope"))
-    vol = vol.where(F.col("i") >= rows)
-    usual = F.avg("vol").over(in_time().rowsBetween(-past, -1))
-    named = vol.withColumn("usual", usual).where("usual is not null")
+
+    def frames(step: DataFrame, keys: list[str]) -> DataFrame:
+        w = W.partitionBy(*keys).orderBy("ts").rowsBetween(-(rows - 1), 0)
+        return slope(rows, "close")(step.withColumns({"vol": F.stddev_samp("close").over(w), "full": F.count("*").over(w) == rows}), keys)
+
+    vol = kept(framed(by_range(df.select("series", "ts", "close")), "series", ["ts"], rows - 1, 0, frames).where("full"), "vol")
+    named = looked(vol, past, 0, lambda w: {"usual": F.avg("vol").over(w.rowsBetween(-past, -1))}).where("usual is not null")
     v = F.when(F.col("vol") > 1.25 * F.col("usual"), "high").when(F.col("vol") < 0.8 * F.col("usual"), "low").otherwise("mid")
     t = F.when(F.abs("slope") <= 0.1 * F.col("vol"), "flat").when(F.col("slope") > 0, "up").otherwise("down")
     return named.select("series", "ts", v.alias("volatility"), t.alias("trend"))
@@ -244,14 +278,14 @@ def regimes(df: DataFrame, rows: int = 24, past: int = 168) -> DataFrame:
 
 def regime_runs(df: DataFrame, label: str) -> DataFrame:
     """Runs of equal labels: first and last time, and number of rows."""
-    new = F.when(F.col(label).eqNullSafe(F.lag(label).over(in_time())) & F.lag("ts").over(in_time()).isNotNull(), 0).otherwise(1)
-    marked = df.withColumn("new", new).withColumn("run", F.sum("new").over(in_time().rowsBetween(W.unboundedPreceding, 0)))
-    return marked.groupBy("series", "run", label).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n"))
+    new = lambda w: {"new": F.when(F.col(label).eqNullSafe(F.lag(label).over(w)) & F.lag("ts").over(w).isNotNull(), 0).otherwise(1).cast("bigint")}
+    marked = kept(looked(by_range(df.select("series", "ts", label)), 1, 0, new), "marked")
+    return summed(marked, {"run": ("sum", F.col("new"))}).groupBy("series", "run", label).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n"))
 
 
 def transitions(df: DataFrame, label: str, values: list[str]) -> DataFrame:
     """How often each label is followed by each, wide by the next."""
-    pairs = df.select("series", F.col(label).alias("now"), F.lead(label).over(in_time()).alias("next")).where("next is not null")
+    pairs = looked(by_range(df.select("series", "ts", F.col(label).alias("now"))), 0, 1, lambda w: {"next": F.lead("now").over(w)}).where("next is not null")
     return pairs.groupBy("now").pivot("next", values).count().na.fill(0)
 
 
@@ -284,10 +318,13 @@ def drift(reference: DataFrame, current: DataFrame, cols: list[str], bins: int =
 def control_chart(df: DataFrame, k: float, past: int, recent: int) -> DataFrame:
     """Flags where the mean of the last `recent` errors is above the mean + k deviations of
     the `past` errors before the current row."""
-    before = in_time().rowsBetween(-past, -1)
-    now = F.avg("error").over(in_time().rowsBetween(-(recent - 1), 0))
-    limit = F.avg("error").over(before) + k * F.stddev_samp("error").over(before)
-    return df.select("series", "ts", "error", now.alias("now"), limit.alias("limit"), F.coalesce(now > limit, F.lit(False)).alias("flag"))
+
+    def frames(w: WindowSpec) -> dict[str, Column]:
+        before = w.rowsBetween(-past, -1)
+        return {"now": F.avg("error").over(w.rowsBetween(-(recent - 1), 0)), "limit": F.avg("error").over(before) + k * F.stddev_samp("error").over(before)}
+
+    out = looked(by_range(df.select("series", "ts", "error")), max(past, recent - 1), 0, frames)
+    return out.select("series", "ts", "error", "now", "limit", F.coalesce(F.col("now") > F.col("limit"), F.lit(False)).alias("flag"))
 
 
 def alert_candidates(df: DataFrame, level: float, move: float, lookback: int) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.functions.columns import DRAWS, bucket32, correlation, draw, norm_text, poisson_weight, shingle_set
+from orrery.functions.columns import DRAWS, bucket32, correlation, norm_text, poisson_weight, shingle_set, with_draw
+from orrery.operators.ranges import dealt, scanned
 from orrery.sources.shared import kept
 
 # ---------------------------------------------------------------- holdouts
@@ -118,8 +119,8 @@ def bootstrap_ci(df: DataFrame, group: str, id_col: str, num: Column, den: Colum
     """Interval of sum(num) / sum(den) per group (a mean has den 1), each row weighted by a
     Poisson(1) draw per replicate. A row's id is hashed once; its draws follow by arithmetic."""
     rows = df.select(group, bucket32(F.lit(seed), F.col(id_col)).alias("_base"), num.cast("double").alias("num"), den.cast("double").alias("den"))
-    drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b))))
-    weight = F.when(F.col("rep") == 0, 1).otherwise(poisson_weight(F.col("_base"), F.col("rep")))
+    drawn = with_draw(rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b)))), "_u", F.col("_base"), F.col("rep"))
+    weight = F.when(F.col("rep") == 0, 1).otherwise(poisson_weight(F.col("_u")))
     sums = drawn.withColumn("w", weight).groupBy(group, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col("num")), F.sum(F.col("w") * F.col("den"))).alias("stat"))
     return interval(sums, [group], alpha)
 
@@ -140,7 +141,7 @@ def permutation_test(df: DataFrame, id_col: str, label: str, value: str, strata:
     whole, and only that cell's rows, one in `cells`, are sorted."""
     rows = df.select(bucket32(F.lit(seed), F.col(id_col)).alias("_base"), F.col(id_col).alias("_id"), F.col(strata).alias("_s"), F.col(label).alias("_y"), F.col(value).cast("double").alias("_v")).where("_y is not null")
     known = F.when(F.col("_v").isNotNull(), 1).otherwise(0)
-    drawn = rows.withColumn("rep", replicates(b)).withColumn("_u", draw(F.col("_base"), F.col("rep"))).withColumn("_cell", F.floor(F.col("_u") * cells / DRAWS).cast("int"))
+    drawn = with_draw(rows.withColumn("rep", replicates(b)), "_u", F.col("_base"), F.col("rep")).withColumn("_cell", F.floor(F.col("_u") * cells / DRAWS).cast("int"))
     ones = rows.groupBy(F.col("_s").alias("_o")).agg(F.sum("_y").alias("_k"))
     parts = kept(drawn.groupBy("rep", "_s", "_cell").agg(F.count("*").alias("n"), F.sum(known).alias("m"), F.sum("_v").alias("v")), "cells")
     before = F.coalesce(F.sum("n").over(W.partitionBy("rep", "_s").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -164,8 +165,8 @@ def permutation_test(df: DataFrame, id_col: str, label: str, value: str, strata:
 def sign_flip_test(df: DataFrame, by: str, id_col: str, diff: str, b: int, seed: str) -> DataFrame:
     """Mean paired difference per `by`, against signs flipped by hash bits."""
     rows = df.select(by, bucket32(F.lit(seed), F.col(id_col)).alias("_base"), F.col(diff).cast("double").alias("_d"))
-    drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b))))
-    sign = F.when(F.col("rep") == 0, 1).when(draw(F.col("_base"), F.col("rep")) % 2 == 0, 1).otherwise(-1)
+    drawn = with_draw(rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b)))), "_u", F.col("_base"), F.col("rep"))
+    sign = F.when(F.col("rep") == 0, 1).when(F.col("_u") % 2 == 0, 1).otherwise(-1)
     stats = drawn.groupBy(by, "rep").agg(F.round(F.avg(sign * F.col("_d")), 6).alias("stat"))
     effect = stats.where("rep = 0").select(by, F.col("stat").alias("effect"))
     far = F.count_if(F.abs("stat") >= F.abs("effect"))
@@ -208,12 +209,16 @@ def verdict(effects: DataFrame, margin: float) -> DataFrame:
 
 
 def bh_adjust(tests: DataFrame, family: str, id_col: str) -> DataFrame:
-    """Benjamini-Hochberg adjusted p within each family of tests."""
-    up = W.partitionBy(family).orderBy("p", id_col)
-    m = F.count("*").over(W.partitionBy(family))
-    ranked = tests.withColumn("_raw", F.col("p") * m / F.row_number().over(up))
-    least = F.min("_raw").over(W.partitionBy(family).orderBy(F.col("p").desc(), F.col(id_col).desc()).rowsBetween(W.unboundedPreceding, 0))
-    return ranked.withColumn("p_adjusted", F.least(F.lit(1.0), least)).drop("_raw")
+    """Benjamini-Hochberg adjusted p within each family of tests. Tests are dealt by ranges of
+    (family, p): a place is a running count, the adjusted p the least of p * m / place from here to
+    the family's end, both taken within ranges and carried from one to the next. So a family of any
+    size is spread over tasks. Tests without a p don't count and stay without."""
+    order = ["p", id_col]
+    placed = kept(scanned(dealt(tests, family, order, "tests"), family, order, {"_place": ("sum", F.when(F.col("p").isNotNull(), 1).otherwise(0).cast("bigint"))}), "places")
+    sizes = placed.groupBy(F.col(family).alias("_family")).agg(F.count("p").alias("_m"))
+    raw = placed.join(sizes, placed[family].eqNullSafe(sizes["_family"])).withColumn("_raw", F.try_divide(F.col("p") * F.col("_m"), F.col("_place").cast("double"))).drop("_family", "_m", "_place")
+    least = scanned(kept(raw, "raw"), family, order, {"_least": ("min", F.col("_raw"))}, down=True)
+    return least.withColumn("p_adjusted", F.when(F.col("p").isNotNull(), F.least(F.lit(1.0), F.col("_least")))).drop("_raw", "_least", "_range")
 
 
 # ---------------------------------------------------------------- metrics

@@ -89,6 +89,17 @@ def r5(spark, sf):
     return R.vector_topk_lists(queries, all_, 10)
 
 
+@register("r5_vector_topk_codes", sql(COSINES, "select * from (select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from c) where rank <= 10"))
+def r5_codes(spark, sf):
+    """Through the index of codes with all lists asked: what R4 finds."""
+    return R.vector_topk_lists(*vectors(spark, sf), 10, probe=128)
+
+
+@register("r5_index_quality")
+def r5_quality(spark, sf):
+    return r(R.index_quality(*vectors(spark, sf), 10), "recall", "code_share", "whole_share")
+
+
 FUSED = """
 best as (select query_id, unit // 1000 as doc_id, min(rank) as rank from hitsc group by 1, 2),
 lists as (select query_id, unit as doc_id, rank from hits union all select * from best)"""
@@ -202,6 +213,37 @@ def r16(spark, sf):
     return r(runs(spark, sf), "value")
 
 
+RIDGE = f"""
+rows_ as (select l_quantity as x0, l_tax * 100 as x1, l_extendedprice / 1000 as y, ({b32("'g2'", 'l_orderkey')} % 4)::int as fold from lineitem),
+sums as (select fold, count(*) as n, sum(x0) as a, sum(x1) as b, sum(y) as y, sum(x0 * x0) as aa, sum(x0 * x1) as ab, sum(x1 * x1) as bb, sum(x0 * y) as ay, sum(x1 * y) as by_ from rows_ group by fold),
+rest as (
+  select s.fold, sum(o.n) as n, sum(o.a) as a, sum(o.b) as b, sum(o.y) as y, sum(o.aa) as aa, sum(o.ab) as ab, sum(o.bb) as bb, sum(o.ay) as ay, sum(o.by_) as by_
+  from sums s join sums o on s.fold <> o.fold group by s.fold),
+centred as (select fold, ridge, n, a, b, y, aa - a * a / n + ridge as aa, ab - a * b / n as ab, bb - b * b / n + ridge as bb, ay - a * y / n as ay, by_ - b * y / n as by_ from rest, (select unnest([0.0, 1000.0, 1000000.0])::double as ridge)),
+slopes as (select *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) as w0, (by_ * aa - ay * ab) / (aa * bb - ab * ab) as w1 from centred),
+errors as (select ridge, r.fold, r.y - (s.y / n + w0 * (x0 - a / n) + w1 * (x1 - b / n)) as e from rows_ r join slopes s using (fold)),
+one as (select ridge, fold, sqrt(avg(e * e)) as rmse, avg(abs(e)) as mae from errors group by 1, 2),
+ridge_runs as (select ridge, fold, 'rmse' as metric, rmse as value from one union all select ridge, fold, 'mae', mae from one)"""
+
+
+def ridge_runs(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", (F.col("l_tax") * 100).alias("tax"), (F.col("l_extendedprice") / 1000).alias("price"))
+    return L.ridge_grid(V.group_kfold(rows, "l_orderkey", 4, "g2"), ["l_quantity", "tax"], "price", "fold", [0.0, 1000.0, 1000000.0])
+
+
+@register("r16_ridge_grid", sql(RIDGE, "select ridge, fold, metric, round(value, 6) as value from ridge_runs"))
+def r16_ridge(spark, sf):
+    return r(ridge_runs(spark, sf), "value")
+
+
+@register("r17_ridge_leaderboard", sql(RIDGE, """
+wide as (select ridge, round(avg(value) filter (metric = 'rmse'), 6) as rmse_mean, round(stddev_samp(value) filter (metric = 'rmse'), 6) as rmse_sd,
+  round(avg(value) filter (metric = 'mae'), 6) as mae_mean, round(stddev_samp(value) filter (metric = 'mae'), 6) as mae_sd from ridge_runs group by 1)""",
+"select *, (rank() over (order by rmse_mean))::int as rank from wide"))
+def r17_ridge(spark, sf):
+    return L.leaderboard(ridge_runs(spark, sf), ["rmse", "mae"], "rmse", "ridge", up=True)
+
+
 @register("r16_grid", "select distinct l_returnflag as config, s_nationkey as fold from lineitem, supplier")
 def r16_grid(spark, sf):
     configs = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("config")).distinct()

@@ -181,6 +181,19 @@ def p17(spark: SparkSession, sf: str) -> DataFrame:
     return S.upsert(rows.where("observed_at < '1998-01-01'"), rows.where("observed_at >= '1998-01-01'"), ["product_id", "retailer_id"], "observed_at")
 
 
+@register("p17_upsert_store", sql(OFFER, """
+o as (select product_id, retailer_id, observed_at, unit_price_e4, (product_id % 8)::int as part from offer where observed_at < '1998-01-01' or product_id % 8 < 3),
+latest as (select *, row_number() over (partition by product_id, retailer_id order by observed_at desc, observed_at >= '1998-01-01' desc, unit_price_e4 desc) as n from o)""",
+"select product_id, retailer_id, observed_at, unit_price_e4, part from latest where n = 1"))
+def p17_store(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored table and a batch of newer offers that touches three of its eight partitions."""
+    rows = offer(spark, sf).select("product_id", "retailer_id", "observed_at", "unit_price_e4", (F.col("product_id") % 8).cast("int").alias("part"))
+    keys, path = ["product_id", "retailer_id", "part"], new_folder(spark, "offers")
+    old = rows.where("observed_at < '1998-01-01'")
+    S.store(S.upsert(old.limit(0), old, keys, "observed_at"), path, ["part"])
+    return S.upsert_store(rows.where("observed_at >= '1998-01-01' and part < 3"), path, keys, "observed_at", ["part"])
+
+
 DATABASE = {"url": "jdbc:derby:memory:orrery", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
 
 
@@ -195,7 +208,7 @@ def p18(spark: SparkSession, sf: str) -> DataFrame:
     ends = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
     name = f"orders_{uuid.uuid4().hex[:12]}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    S.to_jdbc(orders, url or DATABASE["url"] + ";create=true", name, parts, driver).save()
+    S.put_jdbc(orders, url or DATABASE["url"] + ";create=true", name, ["o_orderkey"], parts, driver, "o_orderstatus VARCHAR(16)")
     stored = S.from_jdbc(spark, url or DATABASE["url"], name, "o_orderkey", ends[0] or 0, (ends[1] or 0) + 1, parts, driver).load()
     return stored.select(*[F.col(c.name).cast(c.dataType).alias(c.name) for c in orders.schema])
 

@@ -62,6 +62,7 @@ STREAM_BARS = "select event_type as series, time_bucket(interval '6 hours', ts)
 
 @register("t24_stream_alerts", "with recursive" + ALERTS + "\nselect series, rule, id, ts, price from em join numbered using (series, rule, n)")
 def t24(spark, sf):
+    spark.conf.set(*S.STATE_STORE)
     ticks = replayed(spark, sf).select(F.col("event_type").alias("series"), "ts", F.col("event_id").alias("id"), F.col("value").alias("price"))
     return drained(S.stream_alerts(ticks, delay="2 days", **ALERT_RULES), "alerts").where("series <> 'end'")
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from orrery.sources.shared import kept
+
 FORMATS = ("parquet", "csv", "json", "orc")
 
 
@@ -48,6 +52,22 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], ts: str) -> DataFram
     return both.withColumn("_n", first).where("_n = 1").select(*old.columns)
 
 
+def upsert_store(new: DataFrame, path: str, keys: list[str], ts: str, by: list[str]) -> DataFrame:
+    """P17 on a stored table (see store): as upsert, but only the partitions that the batch touches are
+    read and replaced; files of all others stay as they are. `by` is part of the keys, so a key
+    stays in its partition. The merged rows are written to the shared folder before any old file is
+    replaced; a batch that is applied again changes nothing."""
+    if not set(by) <= set(keys):
+        raise ValueError("partition columns must be keys: else a key's old row lies in a partition that isn't read")
+    spark = new.sparkSession
+    old = spark.read.parquet(path)
+    new = kept(new.select(*old.columns), "batch")
+    touched = F.broadcast(new.select(*by).distinct())  # a row per partition that the batch touches
+    merged = kept(upsert(old.join(touched, by, "left_semi"), new, keys, ts), "merged")
+    merged.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    return spark.read.parquet(path)
+
+
 def jdbc_options(url: str, name: str, driver: str | None = None, batch: int = 10_000) -> dict[str, str]:
     """The options that both directions share."""
     options = {"url": url, "dbtable": name, "batchsize": str(batch), "fetchsize": str(batch)}
@@ -65,6 +85,46 @@ def to_jdbc(df: DataFrame, url: str, name: str, parts: int, driver: str | None =
     return df.coalesce(parts).write.format("jdbc").mode("append").options(**jdbc_options(url, name, driver))
 
 
+def in_transaction(spark: SparkSession, url: str, statements: list[str], driver: str | None = None) -> None:
+    """Statements that take effect together, or not at all."""
+    java = spark.sparkContext._jvm
+    if driver:
+        java.java.lang.Class.forName(driver)
+    connection = java.java.sql.DriverManager.getConnection(url)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        for text in statements:
+            statement.executeUpdate(text)
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+
+
+def put_jdbc(df: DataFrame, url: str, name: str, keys: list[str], parts: int, driver: str | None = None, types: str | None = None) -> None:
+    """Put rows into a database table, made if absent: rows with their keys are replaced, others stay.
+    Tasks append to a staging table of this call; then one transaction deletes the keys' old rows
+    and moves the distinct new ones. So a task that Spark runs twice adds no row, a call that fails
+    leaves the table as it was, and one that is repeated changes nothing. Keys are unique in `df`
+    and not null. `types` names column types of a new table, where a database can't compare what
+    Spark would choose."""
+    spark = df.sparkSession
+    stage = f"{name}_stage_{uuid.uuid4().hex[:12]}"
+    for rows, table_name, tasks in ((df.limit(0), name, 1), (df, stage, parts)):
+        writer = to_jdbc(rows, url, table_name, tasks, driver)
+        (writer.option("createTableColumnTypes", types) if types else writer).save()
+    quoted = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier
+    same = " and ".join(f"{stage}.{quoted(k)} = {name}.{quoted(k)}" for k in keys)
+    columns = ", ".join(map(quoted, df.columns))
+    try:
+        in_transaction(spark, url, [f"delete from {name} where exists (select 1 from {stage} where {same})", f"insert into {name} ({columns}) select distinct {columns} from {stage}"], driver)
+    finally:
+        in_transaction(spark, url, [f"drop table {stage}"], driver)
+
+
 def ingest(spark: SparkSession, path: str, schema: StructType, sink: str, checkpoint: str) -> StreamingQuery:
     """Q7: take in the files that came since the last call, then stop. The checkpoint remembers
     what was read, so a call after a failure goes on where the last one stopped."""

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
 
@@ -51,41 +51,97 @@ def stream_sessions(sdf: DataFrame, gap: str, delay: str) -> DataFrame:
     return sessions(sdf.withWatermark("ts", delay), gap)
 
 
-def stream_alerts(sdf: DataFrame, level: float, move: float, lookback: int, seconds: int, delay: str) -> DataFrame:
-    """The batch rules of price_alerts with state per series: ticks wait until the watermark
-    has passed them and are then taken in (ts, id) order, so late ones within the delay change
-    nothing. State holds the waiting ticks, the last `lookback` prices and the last alert times;
-    what has come while a series is silent is taken when the watermark passes it."""
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, prices, last = ([], [], [None, None])
-        if state.exists:
-            us, ids, values, past, marks = state.get
-            waiting, prices = list(zip(us, ids, values, strict=True)), list(past)
-            last = [None if m < 0 else m for m in marks]
-        for frame in frames:
-            us = frame["ts"].astype("datetime64[us]").astype("int64") if len(frame) else []
-            waiting += [(int(t), int(i), float(p)) for t, i, p in zip(us, frame["id"], frame["price"], strict=True)]
-        mark = state.getCurrentWatermarkMs() * 1000
-        ready = sorted(x for x in waiting if x[0] <= mark)
-        waiting = [x for x in waiting if x[0] > mark]
+#: The store of state that stream_alerts needs: it writes changes only, and keeps state on disk.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class AlertRules(StatefulProcessor):
+    """The state of one series: its waiting ticks as a list that new ticks are appended to, and one
+    value: how far ticks have been taken, the next timer, the last prices and the last alert times.
+
+    A timer fires when the watermark has passed the earliest tick that waits; what it has passed is
+    then taken in order. Ticks that were taken stay in the list until they are half of it, and are
+    skipped meanwhile: so rewriting the list costs no more than the ticks that came."""
+
+    TICK = "us bigint, id bigint, price double"
+    MARKS = "taken bigint, timer bigint, gone bigint, prices array<double>, last array<bigint>"
+
+    def __init__(self, level: float, move: float, lookback: int, seconds: int):
+        self.level, self.move, self.lookback, self.seconds = level, move, lookback, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.TICK)
+        self.marks = handle.getValueState("marks", self.MARKS)
+
+    def state(self) -> tuple[int, int, int, list[float], list[int]]:
+        if self.marks.exists():
+            taken, timer, gone, prices, last = self.marks.get()
+            return taken, timer, gone, list(prices), list(last)
+        return -(1 << 62), 0, 0, [], [-1, -1]
+
+    def wake(self, timer: int, us: int) -> int:
+        """A timer for a tick at `us`, if there is no earlier one."""
+        at = us // 1000 + 1
+        if timer and timer <= at:
+            return timer
+        if timer:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at)
+        return at
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        taken, timer, gone, prices, last = self.state()
+        for frame in rows:
+            if len(frame):
+                us = frame["ts"].astype("datetime64[us]").astype("int64")
+                self.waiting.appendList(list(zip(us.tolist(), frame["id"].tolist(), frame["price"].tolist(), strict=True)))
+                timer = self.wake(timer, int(us.min()))
+        self.marks.update((taken, timer, gone, prices, last))
+        yield alerts([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        taken, _, gone, prices, last = self.state()
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        ticks = [(int(t[0]), int(t[1]), float(t[2])) for t in self.waiting.get()]
+        ready = sorted(t for t in ticks if taken < t[0] <= mark)
+        later = [t for t in ticks if t[0] > mark]
         out = []
         for us, i, price in ready:
-            far = prices[0] if len(prices) == lookback else None
-            hits = [bool(prices) and prices[-1] < level <= price, far is not None and far != 0 and abs((price - far) / far) >= move]
+            far = prices[0] if len(prices) == self.lookback else None
+            hits = [bool(prices) and prices[-1] < self.level <= price, far is not None and far != 0 and abs((price - far) / far) >= self.move]
             for r, name in enumerate(("cross", "move")):
-                if hits[r] and (last[r] is None or us - last[r] >= seconds * 1_000_000):
+                if hits[r] and (last[r] < 0 or us - last[r] >= self.seconds * 1_000_000):
                     last[r] = us
                     out.append((key[0], name, i, us, price))
-            prices = [*prices, price][-lookback:]
-        state.update(([x[0] for x in waiting], [x[1] for x in waiting], [x[2] for x in waiting], prices, [-1 if m is None else m for m in last]))
-        if waiting:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, min(waiting)[0] // 1000 + 1))
-        yield pd.DataFrame(out, columns=["series", "rule", "id", "us", "price"]).astype({"id": "int64", "us": "int64", "price": "float64"})
+            prices = [*prices, price][-self.lookback :]
+        gone += len(ready)
+        if not later:
+            self.waiting.clear()
+            gone = 0
+        elif gone >= len(later):
+            self.waiting.put(later)
+            gone = 0
+        timer = self.wake(0, min(later)[0]) if later else 0
+        self.marks.update((mark, timer, gone, prices, last))
+        yield alerts(out)
+
+    def close(self) -> None:
+        pass
+
 
+def alerts(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["series", "rule", "id", "us", "price"]).astype({"id": "int64", "us": "int64", "price": "float64"})
+
+
+def stream_alerts(sdf: DataFrame, level: float, move: float, lookback: int, seconds: int, delay: str) -> DataFrame:
+    """The batch rules of price_alerts with state per series: ticks wait until the watermark has
+    passed them and are then taken in (ts, id) order, so late ones within the delay change nothing.
+    What has come while a series is silent is taken when the watermark passes it. The query must
+    run with STATE_STORE, in append mode."""
     rows = sdf.withWatermark("ts", delay).select("series", "ts", "id", "price").groupBy("series")
-    kept = "us array<bigint>, ids array<bigint>, prices array<double>, past array<double>, last array<bigint>"
-    found = rows.applyInPandasWithState(fold, "series string, rule string, id bigint, us bigint, price double", kept, "append", GroupStateTimeout.EventTimeTimeout)
+    rules = AlertRules(level, move, lookback, seconds)
+    found = rows.transformWithStateInPandas(rules, "series string, rule string, id bigint, us bigint, price double", "Append", "EventTime")
     return found.select("series", "rule", "id", F.timestamp_micros("us").alias("ts"), "price")
 
 

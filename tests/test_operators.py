@@ -193,7 +193,8 @@ def test_vector_lists_score_half_of_the_pairs(spark):
     queries = vectors.where("vec_id % 20 = 0")
     found = retrieval.vector_topk_lists(queries, vectors, 10)
     assert retrieval.recall(found, retrieval.vector_topk(queries, vectors, 10)).first().recall >= 0.9
-    assert retrieval.scored_share(queries, vectors).first().share < 0.55
+    found = retrieval.index_quality(queries, vectors, 10).first()
+    assert found.recall >= 0.9 and found.code_share < 0.55 and found.whole_share < 0.25
 
 
 def test_alerts_over_many_ranges(spark):
