@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import as_bytes, kept, text_slices
+from orrery.llm.common import as_bytes, kept, text_slices, told_apart, whole_rows
 
 LETTERS_UP = np.zeros(256, bool)
 LETTERS_UP[65:91] = True
@@ -60,16 +60,16 @@ def statistics(text: bytes | None) -> list[float]:
     ]
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """`docs(doc_id, text, ...)` -> `(doc_id, x ARRAY<DOUBLE>)`, one row per input row."""
+def features(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`docs(keys..., text, ...)` -> `(keys..., x ARRAY<DOUBLE>)`, one row per input row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             x = [statistics(t) for t in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(x, pa.list_(pa.float64()))], names=[*keys, "x"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<double>")
+    kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
+    return docs.select(*keys, "text").mapInArrow(run, f"{kinds}, x array<double>")
 
 
 @dataclass
@@ -171,7 +171,12 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold
     without a label don't take part in the fit; repeated labels count each. A null doc_id is
     scored, never learned from, and not held out. Other columns aren't read.
     """
-    x = kept(features(docs), "features")
+    return judged(docs, labels, label, threshold, ("doc_id",))
+
+
+def judged(docs: DataFrame, labels: DataFrame, label: str, threshold: float, keys: tuple[str, ...]) -> DataFrame:
+    """scores, with further columns of `docs` in its keys beside doc_id in the result."""
+    x = kept(features(docs, keys), "features")
     truth = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
     model = fit(kept(x.join(truth, "doc_id").select("x", "label"), "labelled"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -179,14 +184,17 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = shared.value.score(matrix(batch))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(s)], names=[*keys, "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = x.mapInArrow(run, f"doc_id {kind}, score double")
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
+    found = x.mapInArrow(run, f"{kinds}, score double")
+    return found.select(*keys, held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3) -> DataFrame:
-    """The documents, with all their columns, that the classifier doesn't reject."""
-    bad = scores(docs, labels, label, threshold).where("predicted = 0").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.bad_id), "left_anti")
+    """The documents, with all their columns, that the classifier doesn't reject. Texts are judged, not
+    ids: of rows that share a doc_id, or have none, those with good texts stay."""
+    told, _ = told_apart(whole_rows(docs))
+    bad = judged(told.select("doc_id", "mark", "text"), labels, label, threshold, ("doc_id", "mark")).where("predicted = 0")
+    bad = bad.select(F.col("doc_id").alias("bad_id"), F.col("mark").alias("bad_mark")).distinct()
+    return told.join(bad, told.doc_id.eqNullSafe(bad.bad_id) & (told["mark"] == bad.bad_mark), "left_anti").select("row.*")

@@ -6,7 +6,7 @@ import pytest
 from brute import cut, leaks, near_roots
 from pyspark.sql import functions as F
 
-from orrery.llm import decontaminate, simhash, substring
+from orrery.llm import decontaminate, quality, simhash, substring
 
 ODD = "doc_id bigint, text string, `my-col` int, `a.b` int, `a b` string, mark string, `row` int, `key` int"
 
@@ -77,3 +77,19 @@ def test_a_run_that_very_many_documents_share(spark):
     assert got == near_roots(rows)
     runs, count = simhash.frequent_runs(odd(spark, rows).withColumn("mark", F.lit(0)), 5)
     assert count.max() == 440 and (count == 440).sum() >= 36
+
+
+def test_good_texts_stay_beside_bad_ones(spark, sf):
+    """Rows are judged by their texts: sharing a doc_id, or having none, with a bad text loses nothing."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.scores(docs, labels).join(docs, "doc_id").collect()
+    good, bad = ([r for r in found if r.predicted == p] for p in (1, 0))
+    assert len(good) > 3 and len(bad) > 3
+    rows = [(r.doc_id, r.text) for r in good + bad]
+    rows += [(good[0].doc_id, bad[0].text), (bad[1].doc_id, good[1].text), (None, good[2].text), (None, bad[2].text), (None, None)]
+    want = {t for _, t in rows} - {r.text for r in bad}
+    kept = quality.keep_good(odd(spark, rows), labels)
+    assert kept.columns == ["doc_id", "text", "my-col", "a.b", "a b", "mark", "row", "key"]
+    got = [(r[0], r[1]) for r in kept.collect()]
+    assert (bad[1].doc_id, good[1].text) in got and (None, good[2].text) in got and (good[0].doc_id, bad[0].text) not in got
+    assert {t for _, t in got if t is not None} == want - {None}
