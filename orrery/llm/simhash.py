@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.llm.common import Grams, as_bytes, forget, hashed_words, kept, signed, text_slices, told_apart, whole_rows
@@ -388,17 +387,45 @@ def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return kept(moved.unionByName(fresh), "roots")
 
 
+#: What names a bundle: how many runs it has, and hashes of the ids of the sets that have them.
+BUNDLE = ("n", "ids", "more_ids")
+
+
+def bundled(sets: DataFrame) -> DataFrame:
+    """`sets(id, size, prefix)` -> `(n, ids, more_ids, id, size, least_pos, most_pos)`: the runs that
+    several prefixes have, those of the same sets as one bundle, with their number and, for each set,
+    the places of the first and the last of them.
+
+    Of all runs only the hashes are shuffled, to be counted; a table of bits, of fixed size, then lets
+    most of the others go before their rows are joined."""
+    shared = kept(sets.select(F.explode("prefix").alias("run")).groupBy("run").agg(F.count("*").alias("m")).where("m > 1").select("run"), "shared")
+    place = F.shiftrightunsigned("run", 64 - PLACES)
+    cell, bit = F.shiftright(place, 6), F.expr("shiftleft(1L, cast(p & 63 as int))")
+    cells = shared.select(place.alias("p")).select(F.shiftright("p", 6).alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
+    rows = sets.select("id", "size", F.posexplode("prefix").alias("pos", "run")).withColumns({"cell": cell, "p": place})
+    rows = rows.join(F.broadcast(kept(cells, "cells")), "cell").where(F.col("bits").bitwiseAND(bit) != 0)  # at most 2^(PLACES - 6) rows
+    rows = kept(rows.select("id", "size", "pos", "run").join(shared, "run", "left_semi"), "runs")
+    names = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(c) for k, c in enumerate(BUNDLE[1:])]
+    named = rows.join(kept(rows.groupBy("run").agg(*names), "names"), "run")
+    places = named.groupBy(*BUNDLE[1:], "id", "size").agg(F.count("*").alias("n"), F.min("pos").alias("least_pos"), F.max("pos").alias("most_pos"))
+    out = kept(places.select(*BUNDLE, "id", "size", "least_pos", "most_pos"), "bundled")
+    forget(shared, rows)
+    return out
+
+
 def near_copy_roots(docs: DataFrame, words: int, least: float, stars: int) -> tuple[DataFrame, DataFrame]:
     """`docs(doc_id, mark, text)` -> the documents' marks (see run_marks), and `(key, root)`: the
     component of each set of word runs.
 
     Equal sets are one row. Candidates are SimHash links first. A pair at 0.8 differs in about
     ten bits, which no trie with a one-bit inner budget finds, so the prefixes of the sets give
-    the rest, from those runs that sets of different components have: in `stars` rounds one set
-    of each such run's group leads it, and each set is held against the lead that it shares most
-    runs with; at last come all pairs that lie in different components still, where the sizes and the number of
-    shared runs in their prefixes allow the similarity. So a large group of near copies doesn't cost the square of its
-    size. Every link is verified by the exact Jaccard.
+    the rest, from those runs that several sets have. Runs that the same sets have, such as those of one
+    passage, are one bundle with their number, so sets meet once by it and not run by run. In
+    `stars` rounds one set of each bundle that spans components leads it, and each set is held
+    against the lead that it shares most runs with; at last come all pairs that lie in different
+    components still, where the sizes and the number of shared runs in their prefixes allow the
+    similarity. So a large group of near copies doesn't cost the square of its size. Every link is
+    verified by the exact Jaccard.
     """
     marks = kept(run_marks(docs, words, least), "run-marks")
     sets = kept(marks.dropDuplicates(["key"]).withColumn("id", F.monotonically_increasing_id()), "sets")
@@ -421,8 +448,9 @@ def near_copy_roots(docs: DataFrame, words: int, least: float, stars: int) -> tu
         return links
 
     def mixed(rows: DataFrame) -> DataFrame:
-        group = W.partitionBy("run")
-        return kept(rows.withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group)}).where("low <> high").drop("low", "high"), "groups")
+        """Rows of the bundles that sets of several components have."""
+        ends = rows.groupBy(*BUNDLE).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*BUNDLE)
+        return kept(rows.join(kept(ends, "ends"), list(BUNDLE), "left_semi"), "bundles")
 
     def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
         return rows.join(roots, rows.id == roots.node, "left").withColumn("root", F.coalesce("root", "id")).drop("node")
@@ -434,29 +462,30 @@ def near_copy_roots(docs: DataFrame, words: int, least: float, stars: int) -> tu
     whole = lambda v: F.ceil(v - 1e-6)
     common = whole((x + y) * (least / (1 + least)))
     alike = F.least(x, y) >= F.greatest(x, y) * (least - 1e-9)
-    met = [F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("pos", "other_pos") for k, f in (("least", F.min), ("most", F.max))]]
+    met = [F.sum("n").alias("n"), *[f(f"{k}_{c}").alias(f"{k}_{c}") for c in ("pos", "other_pos") for k, f in (("least", F.min), ("most", F.max))]]
     apart = F.col("n") >= common - F.greatest(whole(x * least), whole(y * least)) + 1
     for size, c in ((x, "pos"), (y, "other_pos")):
         apart = apart & (F.col(f"least_{c}") <= size - common) & (F.col(f"most_{c}") - F.col("n") + 1 <= size - common)
     roots = merged(None, verified(pairs))
-    rows = rooted(sets.select("id", "size", "prefix"), roots)
-    groups = mixed(rows.select("id", "root", "size", F.posexplode("prefix").alias("pos", "run")))
+    bundles = bundled(sets)
+    groups = mixed(kept(rooted(bundles, roots), "rooted"))
+    places = ("least_pos", "most_pos")
     for i in range(stars):
-        lead = F.min_by(F.struct("id", "size", "root", "pos"), F.xxhash64(F.lit(i), "id")).alias("lead")
-        leads = groups.groupBy("run").agg(lead).select("run", F.col("lead.id").alias("other"), *[F.col(f"lead.{c}").alias(f"other_{c}") for c in ("size", "root", "pos")])
-        leads = kept(leads, "leads")
-        near = groups.join(leads, "run").where((F.col("root") != F.col("other_root")) & alike)
+        lead = F.min_by(F.struct("id", "size", "root", *places), F.xxhash64(F.lit(i), "id")).alias("lead")
+        leads = groups.groupBy(*BUNDLE).agg(lead)
+        leads = kept(leads.select(*BUNDLE, *[F.col(f"lead.{c}").alias(o) for c, o in (("id", "other"), ("size", "other_size"), ("root", "other_root"), ("least_pos", "least_other_pos"), ("most_pos", "most_other_pos"))]), "leads")
+        near = groups.join(leads, list(BUNDLE)).where((F.col("root") != F.col("other_root")) & alike)
         near = near.groupBy("id", "size", "root", "other", "other_size", "other_root").agg(*met).where(apart)
         best = near.groupBy("id").agg(F.max_by("other", "n").alias("other"))  # so candidates grow with the documents
         roots = merged(roots, verified(best.select(F.col("id").alias("a"), F.col("other").alias("b"))))
         before, groups = groups, mixed(rooted(groups.drop("root"), roots))
         forget(before, leads)
-    others = groups.select("run", *[F.col(c).alias(f"other_{c}") for c in ("root", "size", "pos")], F.col("id").alias("other"))
-    both = groups.join(others, "run").where((F.col("root") < F.col("other_root")) & alike)
+    others = groups.select(*BUNDLE, F.col("id").alias("other"), *[F.col(c).alias(f"other_{c}") for c in ("root", "size")], F.col("least_pos").alias("least_other_pos"), F.col("most_pos").alias("most_other_pos"))
+    both = groups.join(others.drop("n"), [c for c in BUNDLE if c != "n"]).where((F.col("root") < F.col("other_root")) & alike)
     rest = both.groupBy("id", "size", "other", "other_size").agg(*met).where(apart)
     roots = merged(roots, verified(rest.select(F.col("id").alias("a"), F.col("other").alias("b"))))
     components = kept(rooted(sets.select("key", "id"), roots).select("key", "root"), "components")
-    forget(sets, groups)
+    forget(sets, groups, bundles)
     return marks, components
 
 
