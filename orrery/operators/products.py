@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from orrery.functions.columns import norm_text, shingle_set, unit_price_e4
+from orrery.functions.columns import norm_text, run_rows, set_marks, unit_price_e4
 from orrery.operators.graph import connected_components
-from orrery.sources.shared import kept
+from orrery.sources.shared import kept, spread
 
 
 def offers(lineitem: DataFrame) -> DataFrame:
@@ -86,7 +88,28 @@ def dedup_exact(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(first.alias("_row"), F.count("*").alias("group_size")).select("_row.*", "group_size")
 
 
-def near_dup_pairs(df: DataFrame, id_col: str, text_col: str, n: int = 5, t: float = 0.8) -> DataFrame:
+def run_jaccard(pairs: DataFrame, n: int) -> DataFrame:
+    """`pairs(a, b, ta, tb)` of texts whose words stand between single spaces -> `(a, b, jaccard)` of their
+    sets of runs of n words, compared word by word."""
+
+    def runs(text: str) -> set[tuple[str, ...]]:
+        words = [w for w in text.split(" ") if w]
+        return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b in zip(batch.column("ta"), batch.column("tb"), strict=True):
+                x, y = runs(a.as_py()), runs(b.as_py())
+                both = len(x & y)
+                out.append(both / (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "jaccard"])
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, jaccard double")
+
+
+def near_dup_pairs(df: DataFrame, id_col: str, text_col: str, n: int = 5, t: float = 0.8, bits: int = 64) -> DataFrame:
     """Links `(a, b, jaccard)` between documents whose sets of word runs agree to `t` or more.
     Documents with equal sets are one group, linked to its least id; only groups' representatives
     are compared, so copies never make all pairs.
@@ -94,29 +117,36 @@ def near_dup_pairs(df: DataFrame, id_col: str, text_col: str, n: int = 5, t: flo
     Runs are ordered by how many representatives have them. Two sets that agree to `t` share one
     of the first size - ceil(t * size) + 1 runs of either, and the more of them the nearer their
     sizes are, since few others can lie before the shared ones. Runs that one set alone has lead
-    to nobody and aren't joined. Pairs that sizes or that number rule out are left out; the others
-    are verified exactly."""
-    sets = df.select(F.col(id_col).alias("id"), F.array_sort(shingle_set(norm_text(F.col(text_col)), n)).alias("s")).where(F.size("s") > 0)
-    marked = kept(sets.withColumn("mark", F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), " "), 256)), "sets")
+    to nobody and aren't joined. Pairs that sizes, that number, or the places of the first and last
+    shared run rule out are left out; the others are compared word by word. A run is known by two
+    hashes, of `bits` and of 64 bits."""
+    docs = spread(df.select(F.col(id_col).alias("id"), norm_text(F.col(text_col)).alias("text")))
+    marked = kept(set_marks(docs, "id", F.col("text"), n), "sets")
     groups = kept(marked.groupBy("mark").agg(F.min("id").alias("a")), "groups")
     copies = marked.select("id", "mark").join(groups, "mark").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
-    reps = kept(marked.join(groups.select("mark", F.col("a").alias("id")), ["mark", "id"]).dropDuplicates(["id"]).select("id", "s"), "reps")
-    runs = reps.select("id", F.size("s").alias("size"), F.explode("s").alias("run"))
-    common = kept(runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1"), "common")
-    listed = F.array_sort(F.collect_list(F.struct("n", "run")))  # no more than the document's own runs
-    own = runs.join(common, "run").groupBy("id", "size").agg(listed.alias("x"))
+    reps = docs.join(groups.select(F.col("a").alias("id")), "id", "left_semi")
+    name = ["run", "checked"]
+    runs = kept(run_rows(reps, "id", F.col("text"), n, bits), "runs")
+    common = kept(runs.groupBy(*name).agg(F.count("*").alias("n")).where("n > 1"), "common")
+    listed = F.array_sort(F.collect_list(F.struct("n", *name)))  # no more than the document's own runs
+    own = runs.join(common, name).groupBy("id", "size").agg(listed.alias("x"))
+    # Runs of this set alone would come first; so many of the prefix are taken by them.
     alone = F.col("size") - F.size("x")
-    prefix = F.slice("x", F.lit(1), F.greatest(F.lit(0), F.least(F.size("x"), F.col("size") - F.ceil(F.col("size") * t - 1e-6).cast("int") + 1 - alone)))
-    keys = kept(own.select("id", "size", F.explode(prefix).alias("y")).select("id", "size", "y.run"), "prefixes")
-    left, right = (keys.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), "run") for c in "ab")
+    prefix = F.slice("x", F.lit(1), F.greatest(F.lit(0), F.least(F.size("x"), (F.col("size") - F.ceil(F.col("size") * t - 1e-6) + 1 - alone).cast("int"))))
+    keys = kept(own.select("id", "size", alone.alias("alone"), F.posexplode(prefix).alias("at", "y")).select("id", "size", (F.col("alone") + F.col("at")).alias("pos"), "y.run", "y.checked"), "prefixes")
+    left, right = (keys.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("pos").alias(f"p{c}"), *name) for c in "ab")
     whole = lambda v: F.ceil(v - 1e-6)
-    needed = whole((F.col("na") + F.col("nb")) * (t / (1 + t))) - F.greatest(whole(F.col("na") * t), whole(F.col("nb") * t)) + 1
-    met = left.join(right, "run").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * t - 1e-6))
-    pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n")).where(F.col("n") >= needed).select("a", "b")
-    sized = pairs.join(reps.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    jaccard = both / (F.size("sa") + F.size("sb") - both)
-    return sized.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= t).unionByName(copies)
+    needed = whole((F.col("na") + F.col("nb")) * (t / (1 + t)))
+    met = left.join(right, name).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * t - 1e-6))
+    ends = [f(f"p{c}").alias(f"{k}{c}") for c in "ab" for k, f in (("least", F.min), ("most", F.max))]
+    near = F.col("n") >= needed - F.greatest(whole(F.col("na") * t), whole(F.col("nb") * t)) + 1
+    for c in "ab":
+        near = near & (F.col(f"least{c}") <= F.col(f"n{c}") - needed) & (F.col(f"most{c}") - F.col("n") + 1 <= F.col(f"n{c}") - needed)
+    pairs = kept(met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"), *ends).where(near).select("a", "b"), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = kept(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    sized = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    return run_jaccard(sized, n).where(F.col("jaccard") >= t).unionByName(copies)
 
 
 def segments(length: Column, k: int) -> Column:

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.functions.columns import norm_text
-from orrery.sources.shared import kept
+from orrery.functions.columns import norm_text, word_counts
+from orrery.sources.shared import kept, spread
 
 K1, B = 1.2, 0.75  # usual constants of BM25
 #: Rows and query vectors of a cell, which a task holds (4 and 8 bytes a dimension).
@@ -29,15 +29,13 @@ def chunk(df: DataFrame, size: int, overlap: int) -> DataFrame:
 
 def term_stats(units: DataFrame, unit: str) -> DataFrame:
     """R2: `(unit, term, tf, df, len)` of the normalized words of each unit."""
-    terms = units.select(unit, F.explode(F.split(norm_text(F.col("text")), " ")).alias("term")).where("term <> ''")
-    tf = terms.groupBy(unit, "term").agg(F.count("*").alias("tf"))
+    tf = word_counts(spread(units.select(unit, "text")), unit, norm_text(F.col("text"))).withColumnRenamed("unit", unit)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    length = tf.groupBy(unit).agg(F.sum("tf").alias("len"))
-    return tf.join(df, "term").join(length, unit).select(unit, "term", "tf", "df", "len")
+    return tf.join(df, "term").select(unit, "term", "tf", "df", "len")
 
 
 #: Length classes a doubling: units of a class have nearly the same length.
-CLASSES = 4
+CLASSES = 1
 #: Postings (per wanted hit) of a query's rarest terms that are scored for its first threshold, and
 #: (per wanted hit) of those units, the best, that are scored in full. Any numbers give the same hits.
 SEEDS, FULL = 50, 10
@@ -48,10 +46,9 @@ MARGIN = 1e-5
 def term_postings(words: DataFrame, units: DataFrame, unit: str) -> DataFrame:
     """`(unit, term, class, part, df)`: of each unit the terms that queries ask for, what each adds to
     a score, the class of the unit's length, and how many units have the term."""
-    asked = kept(words.select("term").distinct(), "terms")
-    split = units.select(F.col(unit).alias("unit"), F.filter(F.split(norm_text(F.col("text")), " "), lambda w: w != "").alias("w")).select("unit", "w", F.size("w").alias("len")).where("len > 0")
-    tf = kept(split.select("unit", "len", F.explode("w").alias("term")).join(asked, "term", "left_semi").groupBy("unit", "len", "term").agg(F.count("*").alias("tf")), "tf")
-    whole = split.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    asked = kept(words.select("term").distinct().union(words.sparkSession.range(1).select(F.lit("").alias("term"))), "terms")
+    counts = kept(word_counts(spread(units.select(unit, "text")), unit, norm_text(F.col("text")), marked=True).join(asked, "term", "left_semi"), "tf")
+    tf, whole = counts.where("term <> ''"), counts.where("term = ''").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
@@ -72,7 +69,7 @@ def thresholds(words: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     df = postings.groupBy("term").agg(F.first("df").alias("df"))
     before = F.coalesce(F.sum("df").over(W.partitionBy("query_id").orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rare = words.join(df, "term").withColumn("before", before).where(F.col("before") < SEEDS * k).select("query_id", "term")
-    first = rare.join(postings, "term").groupBy("query_id", "unit").agg(F.sum("part").alias("score"))
+    first = rare.join(postings.select("unit", "term", "part"), "term").groupBy("query_id", "unit").agg(F.sum("part").alias("score"))
     top = kept(best(first, FULL * k).select("query_id", "unit"), "seeds")
     whole = top.join(words, "query_id").join(postings.select("unit", "term", "part"), ["unit", "term"]).groupBy("query_id", "unit").agg(F.sum("part").alias("score"))
     return best(whole, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.functions.columns import DRAWS, bucket32, correlation, norm_text, poisson_weight, shingle_set, with_draw
+from orrery.functions.columns import DRAWS, bucket32, correlation, norm_text, poisson_weight, run_rows, shingle_set, with_draw
 from orrery.operators.ranges import dealt, scanned
-from orrery.sources.shared import kept
+from orrery.sources.shared import kept, spread
 
 # ---------------------------------------------------------------- holdouts
 
@@ -56,15 +56,16 @@ def key_overlap(train: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame
     return train.select(*keys).intersect(test.select(*keys))
 
 
-def ngram_leak(train: DataFrame, evals: DataFrame, n: int) -> DataFrame:
+def ngram_leak(train: DataFrame, evals: DataFrame, n: int, bits: int = 64) -> DataFrame:
     """V6: `(item_id, doc_id, shared)`: how many of an item's word runs a document has. The items'
     distinct runs are written first, so that Spark knows their size: small ones are broadcast and
     the documents' runs, most of which no item has, go before any shuffle. A run that an item
-    or a document has several times counts once."""
-    runs = lambda df, i: df.select(i, F.explode(shingle_set(norm_text(F.col("text")), n)).alias("run"))
-    wanted = kept(runs(evals, "item_id"), "wanted")
-    met = runs(train, "doc_id").join(kept(wanted.select("run").distinct(), "runs"), "run", "left_semi")
-    return met.join(wanted, "run").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    or a document has several times counts once. Runs are found by a hash of `bits` bits and
+    compared by a second one, so that a number of bits changes the work and not the result."""
+    wanted = kept(run_rows(evals, "item_id", norm_text(F.col("text")), n, bits).drop("size"), "wanted")
+    docs = run_rows(spread(train.select("doc_id", "text")), "doc_id", norm_text(F.col("text")), n, bits).drop("size")
+    met = docs.join(kept(wanted.select("run").distinct(), "runs"), "run", "left_semi")
+    return met.join(wanted, ["run", "checked"]).groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
 
 
 def contains_leak(train: DataFrame, evals: DataFrame, n: int = 5) -> DataFrame:

@@ -32,6 +32,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a table has fewer than two parts a core: a small file is often a
+    single part, whatever its rows cost. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, lets several
     later steps read it, and outlives lost executors."""
