@@ -16,7 +16,7 @@ from orrery.llm.common import as_bytes, text_slices
 # Fixed values of HTML: how elements are built and shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object datalist audio video canvas rp".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object datalist audio video canvas progress meter rp".split())
 #: Parts of drawings and formulas that aren't drawn themselves.
 HIDDEN_IN = {"svg": frozenset("desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter".split()), "math": frozenset(["annotation", "annotation-xml"])}
 #: Kinds of input fields whose value is shown, and those that show a placeholder where it is empty.
@@ -47,13 +47,16 @@ IMPLIED_END = {
 SCOPE = {"td", "th", "table", "caption", "html", "template"}
 ROW_GROUPS = {"thead", "tbody", "tfoot"}
 CELLS = {"td", "th"}
+#: Parts of drawings and formulas whose content is HTML again.
+HTML_AGAIN = {"foreignobject", "desc", "title", "annotation-xml", "mi", "mo", "mn", "ms", "mtext"}
+CDATA = "<![CDATA["
 #: Elements nested deeper than this become siblings, as in browsers; it bounds every search.
 DEPTH = 512
 
 #: An attribute as browsers read it: a quote opens a value only behind `=`, elsewhere it is a character like any other.
 VALUE = r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+"
 TOKEN = re.compile(
-    rf"<!--(?P<comment>.*?)(?:-->|--!>|\Z)|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>\x00]*)(?P<attrs>(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:{VALUE})?+)?+)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S
+    rf"<!--(?:-?>|.*?(?:-->|--!>|\Z))|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>\x00]*)(?P<attrs>(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:{VALUE})?+)?+)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S
 )
 ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"'][^\s>]*+))?+)?+")
 STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
@@ -135,6 +138,11 @@ class Builder:
             return
         self.close({name}, SCOPE - {name} if name not in ("table", "tr", *ROW_GROUPS) else {"table"} - {name})
 
+    def foreign(self) -> bool:
+        """Whether what comes next is part of a drawing or formula."""
+        found = next((n.name for n in reversed(self.open) if n.name in HTML_AGAIN or n.name in HIDDEN_IN), "")
+        return found in HIDDEN_IN
+
     def text(self, text: str) -> None:
         self.open[-1].children.append(text)
 
@@ -148,6 +156,11 @@ def tree(html: str) -> Node:
             break
         if found.start() > at:
             build.text(unescape(html[at : found.start()]))
+        if html.startswith(CDATA, found.start()) and build.foreign():
+            close = html.find("]]>", found.start())
+            build.text(html[found.start() + len(CDATA) : close if close >= 0 else n])
+            at = close + 3 if close >= 0 else n
+            continue
         at = found.end()
         name = found["name"]
         if name is None:
@@ -207,6 +220,28 @@ def width(text: str) -> int:
     return sum(2 if east_asian_width(c) in "WF" else 1 for c in text)
 
 
+#: Values of Roman numerals, from the greatest.
+ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
+
+
+def numbered(value: int, kind: str) -> str:
+    """A list item's number in letters (a, A), Roman numerals (i, I) or digits; numbers that a kind
+    can't write are digits."""
+    if kind in ("a", "A") and value > 0:
+        out = ""
+        while value:
+            value, letter = divmod(value - 1, 26)
+            out = chr(97 + letter) + out
+        return out if kind == "a" else out.upper()
+    if kind in ("i", "I") and 0 < value < 4000:
+        out = ""
+        for size, letters in ROMAN:
+            out += letters * (value // size)
+            value %= size
+        return out if kind == "i" else out.upper()
+    return str(value)
+
+
 class Canvas:
     """Lines of a block under construction. White space collapses across inline elements; `gap`
     is the number of line ends owed before the next text."""
@@ -324,7 +359,7 @@ def render(root: Node) -> str:
     """The tree's visible text. Walks with a stack of its own, however deep the nesting."""
     canvases = [Canvas()]
     grids: list[Grid] = []
-    lists: list[list[int | str | None]] = []
+    lists: list[tuple[list[int], int, str] | None] = []  # next number, step and kind of numbers
     indents: list[str] = []
     pre = 0
     # With each node: its parent, whether its text is visible, and the drawing or formula it is in.
@@ -382,16 +417,20 @@ def render(root: Node) -> str:
             if name in ("ul", "menu", "dir"):
                 lists.append(None)
             elif name == "ol":
-                start = node.attributes.get("start", "1").strip()
-                lists.append(int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1)
+                back = "reversed" in node.attributes
+                start = node.attributes.get("start", "").strip()
+                items = sum(isinstance(c, Node) and c.name == "li" for c in node.children)
+                first = int(start) if re.fullmatch(r"[-+]?\d{1,9}", start) else items if back else 1
+                lists.append(([first], -1 if back else 1, node.attributes.get("type", "").strip()))
             elif name == "li":
                 mark = "- "
-                if lists and isinstance(lists[-1], int):
+                if lists and lists[-1]:
+                    count, by, kind = lists[-1]
                     value = node.attributes.get("value", "").strip()
-                    if re.fullmatch(r"-?\d{1,9}", value):
-                        lists[-1] = int(value)
-                    mark = f"{lists[-1]}. "
-                    lists[-1] += 1
+                    if re.fullmatch(r"[-+]?\d{1,9}", value):
+                        count[0] = int(value)
+                    mark = f"{numbered(count[0], node.attributes.get('type', kind).strip())}. "
+                    count[0] += by
                 indents.append(canvas.indent)
                 canvas.indent += " " * len(mark)
                 canvas.marker = mark
