@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -29,6 +30,10 @@ def byte_letters() -> dict[str, int]:
     return letters
 
 
+#: Bytes of a piece from which on it is merged by itself.
+LONG = 1_024
+
+
 class Merges:
     """A vocabulary with its merges as sorted pair keys, and encoding of many pieces at once."""
 
@@ -69,12 +74,18 @@ class Merges:
         """Token ids of the pieces one after the other, and how many each piece has. All pieces
         lie in one flat array. In each round every piece applies its lowest-rank pair: at all its
         places from left to right, where that can't bring up a lower rank, else at the first
-        place only, as a queue by rank and place would. Pieces without a pair leave the array."""
+        place only, as a queue by rank and place would. Pieces without a pair leave the array. Long
+        pieces have rounds of their own (see long_piece)."""
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        for i in [i for i, p in enumerate(pieces) if len(p) > LONG]:
+            ids = self.long_piece(pieces[i])
+            done.append((np.full(len(ids), i), ids))
+        total = len(pieces)
+        pieces = [p if len(p) <= LONG else b"" for p in pieces] if done else pieces
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         symbols = self.start[np.frombuffer(b"".join(pieces), np.uint8)]
         piece = np.repeat(np.arange(len(pieces)), lengths)
         none = len(self.keys) + 1
-        done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
             key = symbols[:-1] * self.size + symbols[1:]
             found = np.append(np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1), 0)
@@ -102,9 +113,64 @@ class Merges:
             stay[hit + 1] = False
             symbols, piece = symbols[stay], piece[stay]
         if not done:
-            return np.zeros(0, np.int64), np.zeros(len(pieces), np.int64)
+            return np.zeros(0, np.int64), np.zeros(total, np.int64)
         piece, symbols = (np.concatenate(x) for x in zip(*done, strict=True))
-        return symbols[np.argsort(piece, kind="stable")], np.bincount(piece, minlength=len(pieces))
+        return symbols[np.argsort(piece, kind="stable")], np.bincount(piece, minlength=total)
+
+    def long_piece(self, piece: bytes) -> np.ndarray:
+        """Token ids of one long piece. Places wait under the rank of their pair; each round takes the
+        lowest rank's and works on these and their neighbours only, so rounds cost what they merge,
+        not the piece's length."""
+        symbols = self.start[np.frombuffer(piece, np.uint8)].copy()
+        n, none = len(symbols), len(self.keys) + 1
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        rank, found = np.full(n, none, np.int64), np.zeros(n, np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            at = at[(at >= 0) & alive[at]]
+            rank[at] = none
+            at = at[after[at] < n]
+            key = symbols[at] * self.size + symbols[after[at]]
+            where = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[where] == key
+            at, where = at[known], where[known]
+            rank[at], found[at] = self.ranks[where], where
+            order = np.argsort(rank[at], kind="stable")
+            at = at[order]
+            ranks, first = np.unique(rank[at], return_index=True)
+            for r, places in zip(ranks.tolist(), np.split(at, first[1:]), strict=False):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(queue, r)
+                waiting[r].append(places)
+
+        wait(np.arange(n))
+        while queue:
+            r = heapq.heappop(queue)
+            hit = np.unique(np.concatenate(waiting.pop(r)))
+            hit = hit[alive[hit] & (rank[hit] == r)]
+            if not len(hit):
+                continue
+            # In a run of overlapping places (a pair of equal symbols) every other one merges.
+            run = np.append(True, after[hit[:-1]] != hit[1:])
+            begin = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
+            hit = hit[(np.arange(len(hit)) - begin) % 2 == 0]
+            if not self.at_once[found[hit[0]]]:
+                if len(hit) > 1:
+                    waiting[r] = [hit[1:]]
+                    heapq.heappush(queue, r)
+                hit = hit[:1]
+            right = after[hit]
+            symbols[hit] = self.makes[found[hit]]
+            alive[right] = False
+            rank[right] = none
+            after[hit] = after[right]
+            inside = after[hit] < n
+            before[after[hit][inside]] = hit[inside]
+            wait(np.unique(np.concatenate([hit, before[hit]])))
+        return symbols[alive]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The texts of lists of ids (little-endian, 32 bits), special tokens included; bytes that
