@@ -7,7 +7,7 @@ or subtracting its vector (`combined`).
 
 The first WIDE places are 32-bit hashes of the whole paragraph, summed modulo 2^32: they tell
 unequal multisets apart. The next LANES places count, modulo 2^31, the paragraph's word triples
-with a given bit set in their hash. Twice such a count less the number of triples is a sum of
+with a given bit set in their hash, and the last place counts all its triples. Twice such a count less the number of triples is a sum of
 random signs, one for each triple, so the cosine of two documents' lanes estimates that of their
 multisets of triples: their likeness. The error is about 1 / sqrt(LANES), an eighth: unrelated
 documents, whose true likeness is 0, have 0.05 on average and 0.21 at the 95th percentile, since
@@ -37,22 +37,23 @@ def triples(paragraph: Column) -> Column:
     return F.zip_with(pairs, rest(3), lambda a, b: F.xxhash64(a, b))
 
 
-def vectors(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """`texts(keys..., text)` -> `(keys..., wide ARRAY<BIGINT>, lanes ARRAY<BIGINT>, n)`: each
-    text's fingerprint, with the number of its triples. A null text counts as empty; the empty
-    text is one empty paragraph. Keys must tell the rows apart."""
-    paragraphs = texts.select(*keys, F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph"))
+def vectors(texts: DataFrame, keys: list[str], carried: list[str] | None = None) -> DataFrame:
+    """`texts(keys..., text)` -> `(keys..., wide ARRAY<BIGINT>, lanes ARRAY<BIGINT>)`: each text's
+    fingerprint. A null text counts as empty; the empty text is one empty paragraph. Keys must tell
+    the rows apart; `carried` are further bigint columns, which are not compared."""
+    carried = carried or []
+    paragraphs = texts.select(*keys, *carried, F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph"))
     hashes = [F.xxhash64(F.lit(i), F.col("paragraph")).alias(f"h{i}") for i in range(WIDE // 2)]
-    units = paragraphs.select(*keys, *hashes, F.posexplode(triples(F.col("paragraph"))).alias("place", "unit"))
+    units = paragraphs.select(*keys, *carried, *hashes, F.posexplode(triples(F.col("paragraph"))).alias("place", "unit"))
     first = F.col("place") == 0
     low = lambda h: F.col(h).bitwiseAND(F.lit(POWER - 1))
     high = lambda h: F.shiftrightunsigned(h, 32)
     wide = [F.sum(F.when(first, half(f"h{i}")).otherwise(F.lit(0))).alias(f"w{2 * i + k}") for i in range(WIDE // 2) for k, half in enumerate((low, high))]
     both = F.lit(1 | 1 << HALF)
     counts = [F.sum(F.shiftrightunsigned("unit", s).bitwiseAND(both)).alias(f"c{s}") for s in range(HALF)]
-    sums = units.groupBy(*keys).agg(*wide, *counts, F.count("*").alias("n"))
-    lanes = [F.col(f"c{s}") % COUNT for s in range(HALF)] + [F.shiftrightunsigned(f"c{s}", HALF) for s in range(HALF)]
-    return sums.select(*keys, F.array(*[F.col(f"w{i}") % POWER for i in range(WIDE)]).alias("wide"), F.array(*lanes).alias("lanes"), "n")
+    sums = units.groupBy(*keys).agg(*wide, *counts, F.count("*").alias("n"), *[F.max(c).alias(c) for c in carried])
+    lanes = [F.col(f"c{s}") % COUNT for s in range(HALF)] + [F.shiftrightunsigned(f"c{s}", HALF) for s in range(HALF)] + [F.col("n") % COUNT]
+    return sums.select(*keys, *carried, F.array(*[F.col(f"w{i}") % POWER for i in range(WIDE)]).alias("wide"), F.array(*lanes).alias("lanes"))
 
 
 def written(wide: Column, lanes: Column) -> Column:
@@ -65,15 +66,14 @@ def combined(a: Column, b: Column, sign: int = 1, power: int = POWER) -> Column:
     return F.zip_with(a, b, lambda x, y: F.pmod(x + F.lit(sign) * y, F.lit(power)))
 
 
-def likeness(a: Column, n: Column, b: Column, m: Column) -> Column:
-    """The cosine of two fingerprints' sign sums, 0 at least; 1 for equal ones."""
-    signs = lambda x, k: F.transform(x, lambda v: (F.lit(2) * v - k).cast("double"))
+def likeness(a: Column, b: Column) -> Column:
+    """The cosine of the sign sums of two fingerprints' lanes, 0 at least; 1 for equal ones."""
+    signs = lambda x: F.transform(F.slice(x, 1, LANES), lambda v: (F.lit(2) * v - F.element_at(x, -1)).cast("double"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    x, y = signs(a, n), signs(b, m)
+    x, y = signs(a), signs(b)
     length = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
-    same = (a == b) & (n == m)
     cosine = F.when(length > 0, dot(x, y) / length).otherwise(F.lit(0.0))
-    return F.when(same, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -118,24 +118,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     heads = (
         texts.withColumnsRenamed({"key": "next_key", "h": "next_h"})
         .join(links.withColumn("next_key", F.coalesce(F.col("next_id").cast("string"), F.lit("null"))), ["next_key", "next_h"])
-        .select("pos", "next_pos", id_.alias("key"), "h", "doc_id", "n_chars", F.substring("text", F.lit(1), half).alias("head"))
+        .select("pos", id_.alias("key"), "h", "n_chars", F.substring("text", F.lit(1), half).alias("head"))
     )
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.col("head"))
-    both = texts.join(heads, ["key", "h"]).select("key", "h", "pos", "next_pos", "doc_id", "n_chars", "text", edited.alias("edited"))
-    rows = both.select(
-        "key", "h", "pos", "next_pos", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        F.posexplode(F.array("text", "edited")).alias("which", "text"),
-    )
-    keys = ["key", "h", "pos", "which", "next_pos", "doc_id", "n_chars", "edited_sha256"]
-    marks = kept(vectors(rows, keys).drop("key", "h"), "marks")
-    own = marks.where("which = 0")
-    after = own.select(F.col("pos").alias("next_pos"), F.col("lanes").alias("next_lanes"), F.col("n").alias("next_n"))
-    new = marks.where("which = 1").select("pos", F.col("wide").alias("new_wide"), F.col("lanes").alias("new_lanes"), F.col("n").alias("new_n"))
+    both = texts.join(heads, ["key", "h"]).select("pos", "text", edited.alias("edited"))
+    # The hash of the edited text as four numbers: rows are grouped by two numbers, and carry numbers only.
+    sha = F.sha2("edited", 256)
+    parts = [F.conv(F.substring(sha, 16 * i + 1, 16), 16, -10).cast("bigint").alias(f"sha{i}") for i in range(4)]
+    rows = both.select("pos", *parts, F.posexplode(F.array("text", "edited")).alias("which", "text"))
+    marks = kept(vectors(rows, ["pos", "which"], [f"sha{i}" for i in range(4)]), "marks")
+    own = marks.where("which = 0").join(links.select("pos", "next_pos", "doc_id", "n_chars"), "pos")
+    after = marks.where("which = 0").select(F.col("pos").alias("next_pos"), F.col("lanes").alias("next_lanes"))
+    new = marks.where("which = 1").select("pos", F.col("wide").alias("new_wide"), F.col("lanes").alias("new_lanes"))
     joined = own.join(new, "pos").join(after, "next_pos")
     return joined.select(
-        "doc_id", "n_chars", "edited_sha256",
+        "doc_id", "n_chars", F.concat(*[F.lower(F.lpad(F.hex(f"sha{i}"), 16, "0")) for i in range(4)]).alias("edited_sha256"),
         written(F.col("wide"), F.col("lanes")).alias("fingerprint"),
         written(F.col("new_wide"), F.col("new_lanes")).alias("edited_fingerprint"),
-        likeness(F.col("lanes"), F.col("n"), F.col("new_lanes"), F.col("new_n")).alias("near_edited"),
-        likeness(F.col("lanes"), F.col("n"), F.col("next_lanes"), F.col("next_n")).alias("near_next"),
+        likeness(F.col("lanes"), F.col("new_lanes")).alias("near_edited"),
+        likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"),
     )

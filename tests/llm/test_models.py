@@ -110,14 +110,14 @@ def vector(text):
             n += 1
             for s in range(multiset.LANES):
                 lanes[s] += unit >> s & 1
-    return wide, lanes, n
+    return wide, [*lanes, n], n
 
 
 def cosine(a, b):
-    (_, x, n), (_, y, m) = a, b
-    if (x, n) == (y, m):
+    x, y = a[1], b[1]
+    if x == y:
         return 1.0
-    p, q = np.array(x) * 2.0 - n, np.array(y) * 2.0 - m
+    p, q = np.array(x[:-1]) * 2.0 - x[-1], np.array(y[:-1]) * 2.0 - y[-1]
     size = np.sqrt(p @ p) * np.sqrt(q @ q)
     return float(np.clip(p @ q / size, 0, 1)) if size else 0.0
 
@@ -135,6 +135,9 @@ def test_fingerprints_and_likeness_by_loops(spark):
         following = own[(k + 1) % len(own)]
         assert (got[i].fingerprint, got[i].edited_fingerprint) == (written(own[k]), written(new[k]))
         assert (got[i].near_edited, got[i].near_next) == pytest.approx((cosine(own[k], new[k]), cosine(own[k], following)), abs=1e-9)
+        # Two fingerprints, as they are written, are all that their likeness needs.
+        read = [(None, [int(f[8 * p : 8 * p + 8], 16) for p in range(multiset.WIDE, len(f) // 8)]) for f in (got[i].fingerprint, got[i].edited_fingerprint, got[order[(k + 1) % len(order)][0]].fingerprint)]
+        assert (got[i].near_edited, got[i].near_next) == pytest.approx((cosine(read[0], read[1]), cosine(read[0], read[2])), abs=1e-9)
 
 
 def test_likeness_follows_the_shared_triples():
