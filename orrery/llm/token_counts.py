@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from orrery.llm.common import as_bytes, kept, new_folder, text_slices
 
 #: Bytes of a written file (a single document may exceed it), and ids searched at a time.
-FILE_BYTES, BLOCK_IDS = 8 << 20, 1 << 20
+FILE_BYTES, BLOCK_IDS = 64 << 20, 1 << 20
 
 
 @lru_cache(maxsize=2)
@@ -40,8 +40,8 @@ def encoding(path: str):
 def write_flat(docs: DataFrame, path: str, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Tokenize `docs(doc_id, text)` and write 16-bit ids, an end id (the first id beyond the
     vocabulary) after each document, to flat files in `folder`, an address that pyarrow's file
-    systems reach from every executor. Gives `(file, place, doc_id)`: which document is a file's
-    n-th. A file gets its name, which has a hash of its content, only when it is whole; a task that
+    systems reach from every executor. Gives `(file, place, doc_id, length)`: which document is a
+    file's n-th, and the file's bytes. A file gets its name, which has a hash of its content, only when it is whole; a task that
     runs again leaves those that are there. Files that no row of the result names are not read."""
     end = encoding(path).n_vocab
     if end >= 1 << 16:
@@ -74,7 +74,8 @@ def write_flat(docs: DataFrame, path: str, folder: str, file_bytes: int = FILE_B
                         raise
                     system.delete_file(f"{root}/_{attempt}-{name}")
             n = len(ids)
-            return pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(n), pa.int64()), pa.array(ids, kind_of)], names=["file", "place", "doc_id"])
+            columns = [pa.array([name] * n), pa.array(range(n), pa.int64()), pa.array(ids, kind_of), pa.array([size] * n, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["file", "place", "doc_id", "length"])
 
         for batch in text_slices(batches):
             kind_of = batch.schema.field("doc_id").type
@@ -89,15 +90,17 @@ def write_flat(docs: DataFrame, path: str, folder: str, file_bytes: int = FILE_B
         if held:
             yield out()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"file string, place bigint, doc_id {kind}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"file string, place bigint, doc_id {kind}, length bigint")
 
 
-def flat_counts(spark: SparkSession, folder: str, end: int, width: int = 2, block: int = BLOCK_IDS) -> DataFrame:
+def flat_counts(spark: SparkSession, folder: str, end: int, width: int = 2, block: int = BLOCK_IDS, files: DataFrame | None = None) -> DataFrame:
     """Flat token files in `folder` -> `(file, place, n_tokens, closed)`: a row per document, the
-    end id not counted. Ids behind a file's last end id are a document with `closed` false.
+    end id not counted. `files(file, length)` names them with their bytes; without it the folder is
+    listed. Ids behind a file's last end id are a document with `closed` false.
     Empty files have no documents; a file that isn't a whole number of ids is an error."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_]*").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length").where("length > 0")
-    blocks = files.select("file", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / (block * width)))).alias("block"))
+    if files is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_]*").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    blocks = files.where("length > 0").select("file", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / (block * width)))).alias("block"))
     spread = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file", "block")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,5 +145,5 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     names = kept(write_flat(docs, path, folder), "names")
     if names.isEmpty():
         return names.select("doc_id", F.lit(0).cast("bigint").alias("n_tokens"))
-    counts = flat_counts(docs.sparkSession, folder, encoding(path).n_vocab)
+    counts = flat_counts(docs.sparkSession, folder, encoding(path).n_vocab, files=names.groupBy("file").agg(F.max("length").alias("length")))
     return names.join(counts.where("closed"), ["file", "place"]).select("doc_id", "n_tokens")
