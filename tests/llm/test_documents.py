@@ -95,7 +95,7 @@ def test_ids_and_text_as_the_library_has_them(docs, empty):
     assert bpe.round_trip(empty, BYTES).count() == 0
 
 
-@pytest.mark.parametrize("text", ["", "aaaaaaaaaaa", " " * 40 + "x", "a  b\n\n\tc \n", "\n", " x", "x ", "<|endoftext|>", "a<|endoftext|> b", "don't I'LL", "é€😀中ı", "\x1c\x85 \xa0x", "!!!!" * 50, "ab" * 2000])
+@pytest.mark.parametrize("text", ["", "aaaaaaaaaaa", " " * 40 + "x", "a  b\n\n\tc \n", "\n", " x", "x ", "<|endoftext|>", "a<|endoftext|> b", "don't I'LL", "é€😀中ı", "\x1c\x85 \xa0x", "!!!!" * 50, "ab" * 2000, "天地玄黄宇宙" * 900, "a" * 5001, "Zm9vYmFyL2Jh+cXV4/" * 500, "xyzzyq" * 700 + " " + "the" * 900])
 def test_odd_texts(text):
     ids = np.frombuffer(bpe.Encoder(BYTES)(pa.array([text, None, text]))[2], "<u4").tolist()
     assert ids == Tokenizer.from_file(BYTES).encode(text, add_special_tokens=False).ids
