@@ -45,6 +45,6 @@ def test_stages_return_documents(spark, sf, documents):
 
 def test_registered_queries():
     names = list(__spark_entry__.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
