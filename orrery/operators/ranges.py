@@ -3,6 +3,9 @@ spread over tasks. Frames of rows borrow the rows next to a range's edges; runni
 what lies before a range from a table with one row per range and group.
 
 Rows are told apart by (group, order); rows that agree in both may come in any order, as in a window.
+
+A table of at most WHOLE rows isn't dealt: it has no column `_range`, and a group is one window
+partition. Results are the same.
 """
 
 from __future__ import annotations
@@ -13,16 +16,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.sources.shared import kept
+from orrery.sources.shared import forget, kept
+
+
+#: Rows that one task sorts with ease.
+WHOLE = 1_000_000
 
 
 def dealt(df: DataFrame, by: str, order: list[str], name: str = "dealt") -> DataFrame:
-    """The rows, written with `_range`: which of as many ranges of (by, order) as there are shuffle
-    partitions they lie in. Ranges come from a sample, so they are drawn once."""
+    """The rows, written, and where they are more than WHOLE written again with `_range`: which of as
+    many ranges of (by, order) as there are shuffle partitions they lie in. Ranges come from a sample of
+    the written rows, and are drawn once."""
     if "_range" in df.columns:
         return df
+    rows = kept(df, name)
+    if rows.count() <= WHOLE:
+        return rows
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return kept(df.repartitionByRange(ranges, by, *order).withColumn("_range", F.spark_partition_id()), name)
+    out = kept(rows.repartitionByRange(ranges, by, *order).withColumn("_range", F.spark_partition_id()), name)
+    forget(rows)
+    return out
 
 
 def framed(df: DataFrame, by: str, order: list[str], before: int, after: int, compute: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
@@ -30,6 +43,8 @@ def framed(df: DataFrame, by: str, order: list[str], before: int, after: int, co
     frames reach at most `before` rows back and `after` rows ahead. Rows at the edges of a dealt
     table's ranges, where a frame leaves the range, are computed again among the edges of all
     ranges: for each group, twice `before + after` rows a range."""
+    if "_range" not in df.columns:
+        return compute(df, [by])
     reach = before + after
     own = W.partitionBy(by, "_range")
     placed = df.withColumn("_first", F.row_number().over(own.orderBy(*order))).withColumn("_last", F.count("*").over(own) - F.col("_first") + 1)
@@ -45,8 +60,10 @@ def scanned(df: DataFrame, by: str, order: list[str], scans: dict[str, tuple[str
     null."""
     kinds = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
     way = [F.col(c).desc() for c in order] if down else [F.col(c) for c in order]
-    own = W.partitionBy(by, "_range").orderBy(*way).rowsBetween(W.unboundedPreceding, 0)
+    own = W.partitionBy(*[c for c in (by, "_range") if c in df.columns]).orderBy(*way).rowsBetween(W.unboundedPreceding, 0)
     run = df.withColumns({name: kinds[kind](value).over(own) for name, (kind, value) in scans.items()})
+    if "_range" not in df.columns:
+        return run
 
     def whole(kind: str, value: Column) -> Column:
         if kind != "last":
@@ -65,6 +82,8 @@ def within_time(df: DataFrame, by: str, at: str, span: int, compute: Callable[[D
     """As framed, for windows over `at`, a whole number that `order` rises with, whose frames reach
     less than `span` back. Each range borrows the rows of earlier ones that lie less than `span`
     before its first: those behind the next range's first less `span` are the only ones asked."""
+    if "_range" not in df.columns:
+        return compute(df, [by])
     starts = df.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_r")).agg(F.min(at).alias("_start"))
     nexts = starts.withColumn("_next", F.lead("_start").over(W.partitionBy("_by").orderBy("_r"))).where("_next is not null")
     late = df.join(nexts, df[by].eqNullSafe(nexts["_by"]) & (df["_range"] == nexts["_r"])).where(F.col(at) > F.col("_next") - span).drop("_by", "_r", "_start", "_next")

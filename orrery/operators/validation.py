@@ -7,6 +7,7 @@ inside one stage, with partial sums before the shuffle.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -119,7 +120,7 @@ def interval(reps: DataFrame, by: list[str], alpha: float) -> DataFrame:
 def bootstrap_ci(df: DataFrame, group: str, id_col: str, num: Column, den: Column, b: int, alpha: float, seed: str) -> DataFrame:
     """Interval of sum(num) / sum(den) per group (a mean has den 1), each row weighted by a
     Poisson(1) draw per replicate. A row's id is hashed once; its draws follow by arithmetic."""
-    rows = df.select(group, bucket32(F.lit(seed), F.col(id_col)).alias("_base"), num.cast("double").alias("num"), den.cast("double").alias("den"))
+    rows = spread(df.select(group, bucket32(F.lit(seed), F.col(id_col)).alias("_base"), num.cast("double").alias("num"), den.cast("double").alias("den")))
     drawn = with_draw(rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b)))), "_u", F.col("_base"), F.col("rep"))
     weight = F.when(F.col("rep") == 0, 1).otherwise(poisson_weight(F.col("_u")))
     sums = drawn.withColumn("w", weight).groupBy(group, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col("num")), F.sum(F.col("w") * F.col("den"))).alias("stat"))
@@ -132,15 +133,20 @@ def cluster_bootstrap_ci(df: DataFrame, family: str, num: Column, den: Column, b
     return bootstrap_ci(families.withColumn("all", F.lit("all")), "all", "_id", F.col("num"), F.col("den"), b, alpha, seed).drop("all")
 
 
-def permutation_test(df: DataFrame, id_col: str, label: str, value: str, strata: str, b: int, seed: str, cells: int = 1024) -> DataFrame:
+def permutation_test(df: DataFrame, id_col: str, label: str, value: str, strata: str, b: int, seed: str, cells: int | None = None) -> DataFrame:
     """Difference of mean `value` between labels 1 and 0, against labels shuffled inside the
     strata: in each replicate the stratum's rows with the least draws get its ones. p counts
     replicates at least as far from 0.
 
     Draws are counted and summed in `cells` equal cells per replicate and stratum before any
     shuffle. The running counts tell in which cell the last of the ones lies; cells below it count
-    whole, and only that cell's rows, one in `cells`, are sorted."""
-    rows = df.select(bucket32(F.lit(seed), F.col(id_col)).alias("_base"), F.col(id_col).alias("_id"), F.col(strata).alias("_s"), F.col(label).alias("_y"), F.col(value).cast("double").alias("_v")).where("_y is not null")
+    whole, and only that cell's rows, one in `cells`, are sorted. Cells are as many as the root of
+    the largest stratum's rows, so that both sides grow with that root only; any number gives the
+    same result."""
+    rows = spread(df.select(bucket32(F.lit(seed), F.col(id_col)).alias("_base"), F.col(id_col).alias("_id"), F.col(strata).alias("_s"), F.col(label).alias("_y"), F.col(value).cast("double").alias("_v")).where("_y is not null"))
+    if cells is None:
+        largest = rows.groupBy("_s").count().agg(F.max("count")).first()[0] or 0
+        cells = 1 << max(4, min(16, math.isqrt(largest).bit_length()))
     known = F.when(F.col("_v").isNotNull(), 1).otherwise(0)
     drawn = with_draw(rows.withColumn("rep", replicates(b)), "_u", F.col("_base"), F.col("rep")).withColumn("_cell", F.floor(F.col("_u") * cells / DRAWS).cast("int"))
     ones = rows.groupBy(F.col("_s").alias("_o")).agg(F.sum("_y").alias("_k"))
@@ -165,7 +171,7 @@ def permutation_test(df: DataFrame, id_col: str, label: str, value: str, strata:
 
 def sign_flip_test(df: DataFrame, by: str, id_col: str, diff: str, b: int, seed: str) -> DataFrame:
     """Mean paired difference per `by`, against signs flipped by hash bits."""
-    rows = df.select(by, bucket32(F.lit(seed), F.col(id_col)).alias("_base"), F.col(diff).cast("double").alias("_d"))
+    rows = spread(df.select(by, bucket32(F.lit(seed), F.col(id_col)).alias("_base"), F.col(diff).cast("double").alias("_d")))
     drawn = with_draw(rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b)))), "_u", F.col("_base"), F.col("rep"))
     sign = F.when(F.col("rep") == 0, 1).when(F.col("_u") % 2 == 0, 1).otherwise(-1)
     stats = drawn.groupBy(by, "rep").agg(F.round(F.avg(sign * F.col("_d")), 6).alias("stat"))

@@ -12,6 +12,13 @@ from orrery.operators import ranges, series, validation
 START = datetime(2024, 1, 1)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def always_dealt():
+    whole, ranges.WHOLE = ranges.WHOLE, 0
+    yield
+    ranges.WHOLE = whole
+
+
 @pytest.fixture(scope="module")
 def long(spark):
     """One series of many rows, one of two, one of one, and rows without a series; some closes are null."""
@@ -100,3 +107,12 @@ def test_adjusted_p_of_a_large_family(long):
         want[i] = round(least, 9)
     got = {r.id: r.p_adjusted and round(r.p_adjusted, 9) for r in validation.bh_adjust(df, "family", "id").collect()}
     assert got.pop(900) == 0.04 and got == want
+
+
+def test_small_tables_are_not_dealt(long, monkeypatch):
+    w = W.partitionBy("series").orderBy("ts")
+    dealt = series.regime_runs(long.withColumn("label", F.signum("close")), "label")
+    monkeypatch.setattr(ranges, "WHOLE", 10_000)
+    assert "_range" not in ranges.dealt(long, "series", ["ts"]).columns
+    assert same(series.regime_runs(long.withColumn("label", F.signum("close")), "label"), dealt)
+    assert same(series.rolling(long, 5, 7200).select("series", "ts", "low"), long.select("series", "ts", F.min("close").over(w.rowsBetween(-4, 0)).alias("low")))
