@@ -143,7 +143,7 @@ def permutation_test(df: DataFrame, id_col: str, label: str, value: str, strata:
     whole, and only that cell's rows, one in `cells`, are sorted. Cells are as many as the root of
     the largest stratum's rows, so that both sides grow with that root only; any number gives the
     same result."""
-    rows = spread(df.select(bucket32(F.lit(seed), F.col(id_col)).alias("_base"), F.col(id_col).alias("_id"), F.col(strata).alias("_s"), F.col(label).alias("_y"), F.col(value).cast("double").alias("_v")).where("_y is not null"))
+    rows = kept(spread(df.select(bucket32(F.lit(seed), F.col(id_col)).alias("_base"), F.col(id_col).alias("_id"), F.col(strata).alias("_s"), F.col(label).alias("_y"), F.col(value).cast("double").alias("_v")).where("_y is not null")), "rows")
     if cells is None:
         largest = rows.groupBy("_s").count().agg(F.max("count")).first()[0] or 0
         cells = 1 << max(4, min(16, math.isqrt(largest).bit_length()))
@@ -163,7 +163,7 @@ def permutation_test(df: DataFrame, id_col: str, label: str, value: str, strata:
     whole = rows.agg(F.sum(known).alias("m"), F.sum("_v").alias("v"))
     real = rows.where("_y = 1").agg(F.sum(known).alias("m1"), F.sum("_v").alias("v1")).select(F.lit(0).alias("rep"), "m1", "v1")
     gap = F.try_divide(F.col("v1"), F.col("m1")) - F.try_divide(F.col("v") - F.col("v1"), F.col("m") - F.col("m1"))
-    stats = chosen.unionByName(real).crossJoin(F.broadcast(whole)).select("rep", F.round(gap, 6).alias("stat"))  # whole is one row
+    stats = kept(chosen.unionByName(real).crossJoin(F.broadcast(whole)).select("rep", F.round(gap, 6).alias("stat")), "stats")  # whole is one row
     effect = stats.where("rep = 0").select(F.col("stat").alias("effect"))
     far = F.count_if(F.abs("stat") >= F.abs("effect"))
     return stats.where("rep > 0").crossJoin(F.broadcast(effect)).groupBy("effect").agg(((1 + far) / (1 + F.count("*"))).alias("p"), F.count("*").alias("reps"))
