@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.columns import DRAWS, bucket32, correlation, norm_text, poisson_weight, run_rows, shingle_set, with_draw
 from orrery.operators.ranges import dealt, scanned
-from orrery.sources.shared import kept, spread
+from orrery.sources.shared import evenly, kept, spread
 
 # ---------------------------------------------------------------- holdouts
 
@@ -120,7 +120,7 @@ def interval(reps: DataFrame, by: list[str], alpha: float) -> DataFrame:
 def bootstrap_ci(df: DataFrame, group: str, id_col: str, num: Column, den: Column, b: int, alpha: float, seed: str) -> DataFrame:
     """Interval of sum(num) / sum(den) per group (a mean has den 1), each row weighted by a
     Poisson(1) draw per replicate. A row's id is hashed once; its draws follow by arithmetic."""
-    rows = spread(df.select(group, bucket32(F.lit(seed), F.col(id_col)).alias("_base"), num.cast("double").alias("num"), den.cast("double").alias("den")))
+    rows = evenly(df.select(group, bucket32(F.lit(seed), F.col(id_col)).alias("_base"), num.cast("double").alias("num"), den.cast("double").alias("den")))
     drawn = with_draw(rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b)))), "_u", F.col("_base"), F.col("rep"))
     weight = F.when(F.col("rep") == 0, 1).otherwise(poisson_weight(F.col("_u")))
     sums = drawn.withColumn("w", weight).groupBy(group, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col("num")), F.sum(F.col("w") * F.col("den"))).alias("stat"))
@@ -143,7 +143,7 @@ def permutation_test(df: DataFrame, id_col: str, label: str, value: str, strata:
     whole, and only that cell's rows, one in `cells`, are sorted. Cells are as many as the root of
     the largest stratum's rows, so that both sides grow with that root only; any number gives the
     same result."""
-    rows = kept(spread(df.select(bucket32(F.lit(seed), F.col(id_col)).alias("_base"), F.col(id_col).alias("_id"), F.col(strata).alias("_s"), F.col(label).alias("_y"), F.col(value).cast("double").alias("_v")).where("_y is not null")), "rows")
+    rows = kept(evenly(df.select(bucket32(F.lit(seed), F.col(id_col)).alias("_base"), F.col(id_col).alias("_id"), F.col(strata).alias("_s"), F.col(label).alias("_y"), F.col(value).cast("double").alias("_v")).where("_y is not null")), "rows")
     if cells is None:
         largest = rows.groupBy("_s").count().agg(F.max("count")).first()[0] or 0
         cells = 1 << max(4, min(16, math.isqrt(largest).bit_length()))
@@ -171,7 +171,7 @@ def permutation_test(df: DataFrame, id_col: str, label: str, value: str, strata:
 
 def sign_flip_test(df: DataFrame, by: str, id_col: str, diff: str, b: int, seed: str) -> DataFrame:
     """Mean paired difference per `by`, against signs flipped by hash bits."""
-    rows = spread(df.select(by, bucket32(F.lit(seed), F.col(id_col)).alias("_base"), F.col(diff).cast("double").alias("_d")))
+    rows = evenly(df.select(by, bucket32(F.lit(seed), F.col(id_col)).alias("_base"), F.col(diff).cast("double").alias("_d")))
     drawn = with_draw(rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b)))), "_u", F.col("_base"), F.col("rep"))
     sign = F.when(F.col("rep") == 0, 1).when(F.col("_u") % 2 == 0, 1).otherwise(-1)
     stats = drawn.groupBy(by, "rep").agg(F.round(F.avg(sign * F.col("_d")), 6).alias("stat"))

@@ -32,11 +32,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Bytes a core, by Spark's estimate, below which a table may be a single part.
+SMALL = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores, where a table has fewer than two parts a core: a small file is often a
-    single part, whatever its rows cost. Larger tables stay as they are."""
+    """The rows over all cores, where Spark's estimate of the table is small: a small file is often a single
+    part, whatever its rows cost. Larger tables stay as they are. Nothing is run to decide."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < SMALL * cores else df
+
+
+def evenly(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly to as many tasks as there are shuffle partitions: for narrow rows that each
+    stand for much work to come."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
