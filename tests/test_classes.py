@@ -16,6 +16,15 @@ def tables(spark):
     return spark.createDataFrame(prefs, PREFS), spark.createDataFrame(parts, "product_id long, name string, brand string"), offers
 
 
+def test_search_by_classes_expands_to_all_matches(tables):
+    prefs, parts, offers = tables
+    rows = products.search_classes(prefs, parts, offers).collect()
+    assert sorted((r.pref_id, r.class_id) for r in rows if r.pref_id != r.class_id) == [(4, 2), (8, 7), (9, 2)]
+    members = {r.pref_id: r.class_id for r in rows}
+    found = [(p, r.product_id, r.unit_price_e4) for p, c in members.items() for r in rows if r.pref_id == r.class_id == c]
+    assert sorted(found) == sorted((r.pref_id, r.product_id, r.unit_price_e4) for r in products.search(prefs, parts, offers).collect())
+
+
 def test_ranks_of_classes_are_those_of_all_preferences(tables):
     prefs, parts, offers = tables
     weights = {"price": 0.5, "recency": 0.3, "matches": 0.2}
