@@ -147,6 +147,28 @@ def cells(queries: DataFrame, vectors: DataFrame, carried: list[str], rows: int,
     return v, q
 
 
+#: Rows and query vectors whose cosines are held at a time (8 bytes a pair). Any numbers give the same hits.
+PART, BLOCK = 2048, 256
+
+
+def merged(score: np.ndarray, found: np.ndarray, cosine: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each query (a row of `score`, and of `found`, their ids) with further `cosine`s of the
+    rows `names` taken in; ties to the lesser id. Places without a row are -inf."""
+    k = score.shape[1]
+    least = score.min(axis=1)
+    if len(names) > k:
+        least = np.maximum(least, np.partition(cosine, -k, axis=1)[:, -k])
+    (p, q), (i, j) = np.nonzero(np.isfinite(score)), np.nonzero((cosine >= least[:, None]) & np.isfinite(cosine))
+    of, s, n = np.concatenate([p, i]), np.concatenate([score[p, q], cosine[i, j]]), np.concatenate([found[p, q], names[j]])
+    order = np.lexsort((n, -s, of))
+    of, s, n = of[order], s[order], n[order]
+    place = np.arange(len(of)) - np.searchsorted(of, of)
+    keep = place < k
+    score, found = np.full(score.shape, -np.inf), np.zeros(found.shape, np.int64)
+    score[of[keep], place[keep]], found[of[keep], place[keep]] = s[keep], n[keep]
+    return score, found
+
+
 def cells_topk(queries: DataFrame, vectors: DataFrame, k: int, rows: int, held: int) -> DataFrame:
     """`queries(query_id, embedding, list)`, `vectors(vec_id, embedding, list)` -> `(query_id, vec_id,
     score, rank)`: of each query the k nearest rows in the lists that it asks for, by cosine
@@ -160,14 +182,15 @@ def cells_topk(queries: DataFrame, vectors: DataFrame, k: int, rows: int, held:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         x = unit_rows(matrix(asking.column("asked").combine_chunks()))
         score, found = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
-        for lo in range(0, n, 2048):
-            part = own.slice(lo, 2048)
+        for lo in range(0, n, PART):
+            part = own.slice(lo, PART)
             names = part.column("vec_id").to_numpy()
-            cosine = np.round(x @ unit_rows(matrix(part.column("embedding").combine_chunks())).T, 6)
-            cosine[ids[:, None] == names[None, :]] = -np.inf
-            both, all_ = np.concatenate([score, cosine], 1), np.concatenate([found, np.broadcast_to(names, cosine.shape)], 1)
-            order = np.lexsort((all_, -both), axis=1)[:, :k]
-            score, found = np.take_along_axis(both, order, 1), np.take_along_axis(all_, order, 1)
+            y = unit_rows(matrix(part.column("embedding").combine_chunks())).T
+            for b in range(0, len(ids), BLOCK):
+                some = slice(b, b + BLOCK)
+                cosine = np.round(x[some] @ y, 6)
+                cosine[ids[some, None] == names[None, :]] = -np.inf
+                score[some], found[some] = merged(score[some], found[some], cosine, names)
         i, j = np.nonzero(np.isfinite(score))
         return pa.table({"query_id": ids[i], "vec_id": found[i, j], "score": score[i, j]})
 
@@ -247,15 +270,18 @@ def survivors(asking: DataFrame, codes: DataFrame, k: int, rows: int, held: int)
         if len(ids) and own.num_rows:
             x = unit_rows(matrix(queries.column("asked").combine_chunks())).astype(np.float32)
             top = np.full((len(ids), k), -np.inf, np.float32)
-            for lo in range(0, own.num_rows, 2048):
-                part = own.slice(lo, 2048)
+            for lo in range(0, own.num_rows, PART):
+                part = own.slice(lo, PART)
                 names, error = part.column("vec_id").to_numpy(), part.column("error").to_numpy() + SLACK
-                code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.int8).reshape(len(names), -1)
-                cosine = (x @ code.T.astype(np.float32)) * part.column("scale").to_numpy().astype(np.float32)
-                cosine[ids[:, None] == names[None, :]] = -np.inf
-                top = -np.partition(-np.concatenate([top, cosine - error.astype(np.float32)], 1), k - 1, axis=1)[:, :k]
-                i, j = np.nonzero((cosine + error >= top.min(axis=1)[:, None]) & np.isfinite(cosine))
-                out.append((i, names[j], cosine[i, j] - error[j], cosine[i, j] + error[j]))
+                code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.int8).reshape(len(names), -1).T.astype(np.float32)
+                scale = part.column("scale").to_numpy().astype(np.float32)
+                for b in range(0, len(ids), BLOCK):
+                    some = slice(b, b + BLOCK)
+                    cosine = (x[some] @ code) * scale
+                    cosine[ids[some, None] == names[None, :]] = -np.inf
+                    top[some] = -np.partition(-np.concatenate([top[some], cosine - error.astype(np.float32)], 1), k - 1, axis=1)[:, :k]
+                    i, j = np.nonzero((cosine + error >= top[some].min(axis=1)[:, None]) & np.isfinite(cosine))
+                    out.append((i + b, names[j], cosine[i, j] - error[j], cosine[i, j] + error[j]))
             last = top.min(axis=1)
             out = [tuple(c[h >= last[i]] for c in (i, n, l, h)) for i, n, l, h in out]
         columns = [np.concatenate(c) if out else np.zeros(0) for c in (zip(*out, strict=True) if out else [()] * 4)]
