@@ -11,6 +11,7 @@ from orrery.plans.registry import register
 from orrery.plans.series import r
 from orrery.plans.validation import NORM, b32
 from orrery.plans.views import RESPONSE, response, sql
+from orrery.sources.shared import kept
 from orrery.sources.tables import table
 
 CHUNKS = r"""
@@ -116,8 +117,10 @@ sized as (select query_id, rank, text, len(string_split(text, ' ')) as words fro
 fit as (select * from (select *, sum(words) over (partition by query_id order by rank rows unbounded preceding) as total from sized) where total <= 350)""",
 "select query_id, count(*) as n, sum(words)::bigint as words, string_agg(text, chr(10) order by rank) as context from fit group by 1"))
 def r7(spark, sf):
-    units = chunks(spark, sf).select(F.struct("doc_id", "chunk_no").alias("unit"), "text")
-    hits = chunk_hits(spark, sf).join(units, "unit").select("query_id", "rank", "text", F.size(F.split("text", " ")).alias("words"))
+    found = kept(chunk_hits(spark, sf), "hits")
+    docs = table(spark, sf, "documents").join(found.select("unit.doc_id").distinct(), "doc_id", "left_semi")  # others have no hit
+    units = R.chunk(docs, 100, 20).select(F.struct("doc_id", "chunk_no").alias("unit"), "text")
+    hits = found.join(units, "unit").select("query_id", "rank", "text", F.size(F.split("text", " ")).alias("words"))
     return R.pack_context(hits, 350)
 
 
