@@ -413,6 +413,33 @@ def bundled(sets: DataFrame) -> DataFrame:
     return out
 
 
+def whole(value: Column) -> Column:
+    return F.ceil(value - 1e-6)
+
+
+def shared_runs(x: Column, y: Column, least: float) -> Column:
+    """So many runs are shared by sets of `x` and `y` runs with a Jaccard of `least`."""
+    return whole((x + y) * (least / (1 + least)))
+
+
+def meetings(groups: DataFrame, least: float) -> DataFrame:
+    """Rows of bundles (see bundled, with `root`) -> `(id, other)`, with repeats: sets of different
+    components that have a bundle in common, where sizes and the bundle's place allow the similarity.
+
+    All runs before a pair's first shared one are its own, so in either set that one lies within the
+    first size - shared_runs. Its bundle begins there too, so each pair meets by some bundle that does.
+    For the smaller of two sets this bound is least strict where both have its size, so rows beyond
+    that are never taken for the smaller side: sets of a large family that are alike, but not enough,
+    begin with runs of their own, and bring no pairs."""
+    x, y, place, other_place = map(F.col, ("size", "other_size", "least_pos", "other_pos"))
+    smaller = groups.where(place <= x - shared_runs(x, x, least)).select(*BUNDLE[1:], "id", "size", "root", "least_pos")
+    others = groups.select(*BUNDLE[1:], F.col("id").alias("other"), x.alias("other_size"), F.col("root").alias("other_root"), place.alias("other_pos"))
+    order = (x < y) | ((x == y) & (F.col("id") < F.col("other")))
+    common = shared_runs(x, y, least)
+    apart = order & (F.col("root") != F.col("other_root")) & (x >= y * (least - 1e-9)) & (place <= x - common) & (other_place <= y - common)
+    return smaller.join(others, list(BUNDLE[1:])).where(apart).select("id", "other")
+
+
 def near_copy_roots(docs: DataFrame, words: int, least: float, stars: int) -> tuple[DataFrame, DataFrame]:
     """`docs(doc_id, mark, text)` -> the documents' marks (see run_marks), and `(key, root)`: the
     component of each set of word runs.
@@ -423,8 +450,8 @@ def near_copy_roots(docs: DataFrame, words: int, least: float, stars: int) -> tu
     passage, are one bundle with their number, so sets meet once by it and not run by run. In
     `stars` rounds one set of each bundle that spans components leads it, and each set is held
     against the lead that it shares most runs with; at last come all pairs that lie in different
-    components still, where the sizes and the number of shared runs in their prefixes allow the
-    similarity. So a large group of near copies doesn't cost the square of its size. Every link is
+    components still, where the sizes, the place of the first shared run (see meetings) and the number
+    of shared runs in their prefixes allow the similarity. So a large group of near copies doesn't cost the square of its size. Every link is
     verified by the exact Jaccard.
     """
     marks = kept(run_marks(docs, words, least), "run-marks")
@@ -459,8 +486,7 @@ def near_copy_roots(docs: DataFrame, words: int, least: float, stars: int) -> tu
     # at most x - common others lie before any shared one. That gives the number of shared runs
     # that both prefixes have, and bounds the places of the first and of the last of these.
     x, y = F.col("size"), F.col("other_size")
-    whole = lambda v: F.ceil(v - 1e-6)
-    common = whole((x + y) * (least / (1 + least)))
+    common = shared_runs(x, y, least)
     alike = F.least(x, y) >= F.greatest(x, y) * (least - 1e-9)
     met = [F.sum("n").alias("n"), *[f(f"{k}_{c}").alias(f"{k}_{c}") for c in ("pos", "other_pos") for k, f in (("least", F.min), ("most", F.max))]]
     apart = F.col("n") >= common - F.greatest(whole(x * least), whole(y * least)) + 1
@@ -480,10 +506,12 @@ def near_copy_roots(docs: DataFrame, words: int, least: float, stars: int) -> tu
         roots = merged(roots, verified(best.select(F.col("id").alias("a"), F.col("other").alias("b"))))
         before, groups = groups, mixed(rooted(groups.drop("root"), roots))
         forget(before, leads)
-    others = groups.select(*BUNDLE, F.col("id").alias("other"), *[F.col(c).alias(f"other_{c}") for c in ("root", "size")], F.col("least_pos").alias("least_other_pos"), F.col("most_pos").alias("most_other_pos"))
-    both = groups.join(others.drop("n"), [c for c in BUNDLE if c != "n"]).where((F.col("root") < F.col("other_root")) & alike)
-    rest = both.groupBy("id", "size", "other", "other_size").agg(*met).where(apart)
-    roots = merged(roots, verified(rest.select(F.col("id").alias("a"), F.col("other").alias("b"))))
+    rest = kept(meetings(groups, least).distinct(), "meetings")
+    ends = [sets.select(F.col("id").alias(c), F.col("size").alias(f"{c}_size"), F.col("prefix").alias(f"{c}_prefix")) for c in ("id", "other")]
+    held = rest.join(ends[0], "id").join(ends[1], "other").withColumn("n", F.size(F.array_intersect("id_prefix", "other_prefix")))
+    needed = shared_runs(F.col("id_size"), F.col("other_size"), least) - whole(F.greatest("id_size", "other_size") * least) + 1
+    rest = held.where(F.col("n") >= needed).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    roots = merged(roots, verified(rest))
     components = kept(rooted(sets.select("key", "id"), roots).select("key", "root"), "components")
     forget(sets, groups, bundles)
     return marks, components
