@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.sources.shared import forget, kept, new_folder, shared_dir  # noqa: F401  (used by the operators)
+from orrery.sources.shared import PLACES, forget, kept, new_folder, shared_dir, told_by_bits  # noqa: F401  (used by the operators)
 
 #: Words that a Python worker remembers, over all its tasks.
 WORD_CACHE = 1_600_000

@@ -12,12 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Grams, as_bytes, forget, hashed_words, kept, signed, text_slices, told_apart, whole_rows
+from orrery.llm.common import PLACES, Grams, as_bytes, forget, hashed_words, kept, signed, text_slices, told_apart, told_by_bits, whole_rows
 from orrery.operators.graph import connected_components
 
 BITS = 64
-#: Places of the table of bits that names documents, as a power of two.
-PLACES = 24
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -396,15 +394,11 @@ def bundled(sets: DataFrame) -> DataFrame:
     several prefixes have, those of the same sets as one bundle, with their number and, for each set,
     the places of the first and the last of them.
 
-    Of all runs only the hashes are shuffled, to be counted; a table of bits, of fixed size, then lets
-    most of the others go before their rows are joined."""
+    Of all runs only the hashes are shuffled, to be counted; the rows of most others go by a table of
+    bits (see told_by_bits) before the join."""
     shared = kept(sets.select(F.explode("prefix").alias("run")).groupBy("run").agg(F.count("*").alias("m")).where("m > 1").select("run"), "shared")
-    place = F.shiftrightunsigned("run", 64 - PLACES)
-    cell, bit = F.shiftright(place, 6), F.expr("shiftleft(1L, cast(p & 63 as int))")
-    cells = shared.select(place.alias("p")).select(F.shiftright("p", 6).alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
-    rows = sets.select("id", "size", F.posexplode("prefix").alias("pos", "run")).withColumns({"cell": cell, "p": place})
-    rows = rows.join(F.broadcast(kept(cells, "cells")), "cell").where(F.col("bits").bitwiseAND(bit) != 0)  # at most 2^(PLACES - 6) rows
-    rows = kept(rows.select("id", "size", "pos", "run").join(shared, "run", "left_semi"), "runs")
+    rows = told_by_bits(sets.select("id", "size", F.posexplode("prefix").alias("pos", "run")), shared, ["run"])[0]
+    rows = kept(rows.join(shared, "run"), "runs")
     names = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(c) for k, c in enumerate(BUNDLE[1:])]
     named = rows.join(kept(rows.groupBy("run").agg(*names), "names"), "run")
     places = named.groupBy(*BUNDLE[1:], "id", "size").agg(F.count("*").alias("n"), F.min("pos").alias("least_pos"), F.max("pos").alias("most_pos"))
@@ -507,7 +501,8 @@ def near_copy_roots(docs: DataFrame, words: int, least: float, stars: int) -> tu
         before, groups = groups, mixed(rooted(groups.drop("root"), roots))
         forget(before, leads)
     rest = kept(meetings(groups, least).distinct(), "meetings")
-    ends = [sets.select(F.col("id").alias(c), F.col("size").alias(f"{c}_size"), F.col("prefix").alias(f"{c}_prefix")) for c in ("id", "other")]
+    met_sets = told_by_bits(sets.select("id", "size", "prefix"), rest.select(F.explode(F.array("id", "other")).alias("id")), ["id"])[0]
+    ends = [met_sets.select(F.col("id").alias(c), F.col("size").alias(f"{c}_size"), F.col("prefix").alias(f"{c}_prefix")) for c in ("id", "other")]
     held = rest.join(ends[0], "id").join(ends[1], "other").withColumn("n", F.size(F.array_intersect("id_prefix", "other_prefix")))
     needed = shared_runs(F.col("id_size"), F.col("other_size"), least) - whole(F.greatest("id_size", "other_size") * least) + 1
     rest = held.where(F.col("n") >= needed).select(F.col("id").alias("a"), F.col("other").alias("b"))
@@ -556,9 +551,15 @@ def drop_near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) ->
 def first_of_each(docs: DataFrame, firsts: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows that `firsts` names by `first(doc_id, mark)` for documents told apart by their marks.
     Each group's first is found by partial sums and joined by its own id, so no step deals rows by
-    their group."""
+    their group; rows that surely stay aren't shuffled."""
     told, twice = told_apart(whole_rows(docs))
-    stay = firsts(told.select("doc_id", "mark", "text")).select("first.*")
-    rows = told.join(stay, ["doc_id", "mark"], "left_semi")
-    rows = rows.dropDuplicates(["doc_id", "mark"]) if twice else rows
-    return rows.select("row").unionByName(told.where("doc_id is null").select("row")).select("row.*")
+    keys = ["doc_id", "mark"]
+    stay = kept(firsts(told.select(*keys, "text")).select("first.*"), "stay")
+    named = told.where("doc_id is not null")
+    doubtful = named.select(*keys).join(stay, keys, "left_anti")  # those that go, and equal rows
+    if twice:
+        doubtful = doubtful.unionByName(named.groupBy(*keys).count().where("count > 1").select(*keys))
+    some, rest = told_by_bits(named, doubtful, keys)  # all the rest stays; only some is shuffled
+    some = some.join(stay, keys)
+    some = some.dropDuplicates(keys) if twice else some
+    return some.select("row").unionByName(rest.select("row")).unionByName(told.where("doc_id is null").select("row")).select("row.*")
