@@ -93,14 +93,20 @@ def bm25_stages(queries: DataFrame, units: DataFrame, unit: str, k: int) -> list
     words = kept(queries.select("query_id", F.explode(F.array_distinct(F.split(norm_text(F.col("text")), " "))).alias("term")).where("term <> ''"), "words")
     postings = kept(term_postings(words, units, unit), "postings")
     plan = kept(steps(words, postings, thresholds(words, postings, k)), "plan")
-    bare = postings.select("unit", "term", "class", "part")
     terms = lambda s: plan.where(F.col("step") == s).select("query_id", "class", "term")
-    now = terms(0).join(bare, ["term", "class"]).groupBy("query_id", "unit", "class").agg(F.sum("part").alias("score"))
+    now = terms(0).join(postings.select("unit", "term", "class", "part"), ["term", "class"]).groupBy("query_id", "unit", "class").agg(F.sum("part").alias("score"))
+    # Further terms are looked up within a unit's own list: a pair stays one row, however many they are.
+    numbers = kept(words.select("term").distinct().withColumn("number", F.monotonically_increasing_id()), "numbers")
+    parts = postings.join(numbers, "term").repartition("unit").groupBy("unit", "number").agg(F.sum("part").alias("part"))
+    lists = parts.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("number", "part"))).alias("have"))  # no more than a unit's words
+    lists = kept(lists, "lists")
+    more = F.aggregate(F.array_intersect("asked", F.map_keys("have")), F.lit(0.0), lambda s, n: s + F.element_at("have", n))
     out = []
     for step in (0, 1, 2):
         if step:
-            more = now.join(terms(step), ["query_id", "class"]).join(bare.drop("class"), ["unit", "term"]).select("query_id", "unit", "class", F.col("part").alias("score"))
-            now = now.unionByName(more).groupBy("query_id", "unit", "class").agg(F.sum("score").alias("score"))
+            asked = terms(step).join(numbers, "term").groupBy("query_id", "class").agg(F.collect_list("number").alias("asked"))
+            now = now.join(asked, ["query_id", "class"], "left").join(lists, "unit")
+            now = now.select("query_id", "unit", "class", (F.col("score") + F.coalesce(more, F.lit(0.0))).alias("score"))
         if step < 2:
             left = plan.groupBy("query_id", "class").agg(F.max("least").alias("least"), F.coalesce(F.max(F.when(F.col("step") > step, F.col("rest"))), F.lit(0.0)).alias("left"))
             now = now.join(left, ["query_id", "class"]).where(F.col("score") + F.col("left") >= F.col("least") - MARGIN).drop("left", "least")
