@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from orrery.llm.common import Grams, as_bytes, forget, hashed_words, kept, signed, text_slices, told_apart
+from orrery.llm.common import Grams, as_bytes, forget, hashed_words, kept, signed, text_slices, told_apart, told_by_bits
 
 #: Words of the runs whose least hash is an edge's minimizer.
 MINIMIZER_WORDS = 10
@@ -166,7 +166,8 @@ def edges_of(spans: DataFrame, docs: DataFrame, size: int, bits: int = 64, exact
             yield pa.RecordBatch.from_arrays(columns, names=["key", "before", "behind", *DOC, "start", "edges"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(*DOC, "text").join(asked, DOC).mapInArrow(run, f"key {'binary' if exact else 'bigint'}, before bigint, behind bigint, doc_id {kind}, mark bigint, start int, edges int")
+    some = told_by_bits(docs.select(*DOC, "text"), spans, DOC)[0]
+    return some.join(asked, DOC).mapInArrow(run, f"key {'binary' if exact else 'bigint'}, before bigint, behind bigint, doc_id {kind}, mark bigint, start int, edges int")
 
 
 def sources(copies: DataFrame, *by: str) -> DataFrame:
@@ -207,8 +208,8 @@ def refuted(paths: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     names = [*SOURCE, "edges"]
     own = F.struct(F.col("start").alias("at"), *names)
     source = F.struct(F.col("source_start").alias("at"), *[F.lit(None).cast(paths.schema[c].dataType).alias(c) for c in SOURCE], "edges")
-    asked = paths.select(*DOC, own.alias("x")).unionByName(paths.select(F.col("source_id").alias("doc_id"), F.col("source_mark").alias("mark"), source.alias("x")).distinct())
-    asked = asked.groupBy(*DOC).agg(F.collect_list("x").alias("asked"))
+    each = paths.select(*DOC, own.alias("x")).unionByName(paths.select(F.col("source_id").alias("doc_id"), F.col("source_mark").alias("mark"), source.alias("x")).distinct())
+    asked = each.groupBy(*DOC).agg(F.collect_list("x").alias("asked"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -222,7 +223,8 @@ def refuted(paths: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own, *(rows.field(c) for c in ("at", *names)), found], names=[*DOC, "at", *names, "words"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    digests = docs.select(*DOC, "text").join(asked, DOC).mapInArrow(run, f"doc_id {kind}, mark bigint, at int, source_id {kind}, source_mark bigint, source_start int, edges int, words binary")
+    ends = paths.select(F.explode(F.array(F.struct(*DOC), F.struct(F.col("source_id").alias("doc_id"), F.col("source_mark").alias("mark")))).alias("x")).select("x.*")
+    digests = told_by_bits(docs.select(*DOC, "text"), ends, DOC)[0].join(asked, DOC).mapInArrow(run, f"doc_id {kind}, mark bigint, at int, source_id {kind}, source_mark bigint, source_start int, edges int, words binary")
     digests = kept(digests, "digests")
     there = digests.where("source_id is null").select(F.col("doc_id").alias("source_id"), F.col("mark").alias("source_mark"), F.col("at").alias("source_start"), "edges", F.col("words").alias("there"))
     here = digests.where("source_id is not null").withColumnRenamed("at", "start")
@@ -295,7 +297,9 @@ def remove_repeats(docs: DataFrame, size: int = 50, verbatim: bool = False, bits
     told, _ = told_apart(docs.select(row.alias("row"), "doc_id", "text"))
     found = repeated_spans(told.select(*DOC, "text"), size, bits)
     spans = found.groupBy(*DOC).agg(F.collect_list(F.struct("start", "edges")).alias("spans"))  # no more spans than words
-    joined = told.join(spans, DOC, "left").select("row", "text", "spans")
+    some, rest = told_by_bits(told, found, DOC)  # most texts that lose nothing aren't shuffled
+    joined = some.join(spans, DOC, "left").select("row", "text", "spans")
+    joined = joined.unionByName(rest.select("row", "text", F.lit(None).cast(joined.schema["spans"].dataType).alias("spans")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
