@@ -281,7 +281,7 @@ def run_hashes(texts: pa.Array, words: int) -> list[np.ndarray]:
 
 def listed(sets: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in sets)])))
 
 
 def frequent_runs(docs: DataFrame, words: int, share: float = 1e-4, text_bytes: int = 16 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -316,6 +316,17 @@ def frequent_runs(docs: DataFrame, words: int, share: float = 1e-4, text_bytes:
     return runs[order], count[order]
 
 
+#: Bits of a set's sketch.
+SKETCH = 1024
+
+
+def sketch(runs: np.ndarray) -> np.ndarray:
+    """For each of SKETCH cells whether an odd number of the runs fall into it, as 64-bit numbers. Where two
+    sketches differ, some run is in one set only: so sets differ in no fewer runs than their sketches in bits."""
+    cell = (runs >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=SKETCH).astype(np.uint8) & 1).view(np.int64)
+
+
 def digest(runs: np.ndarray) -> bytes:
     return hashlib.blake2b(runs.tobytes(), digest_size=16).digest()
 
@@ -346,9 +357,9 @@ def run_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def run_marks(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """`docs(doc_id, mark, text)` -> `(doc_id, mark, key, fp, size, prefix)`, one row per input row:
-    the digest of the set of word runs, the SimHash, the set's size, and so many of its runs, the
-    first in one order of all runs, that two sets with a Jaccard of `least` or more share one of
+    """`docs(doc_id, mark, text)` -> `(doc_id, mark, key, fp, size, sketch, prefix)`, one row per input
+    row: the digest of the set of word runs, the SimHash, the set's size, its sketch, and so many of its
+    runs, the first in one order of all runs, that two sets with a Jaccard of `least` or more share one of
     them. Any order finds all pairs; frequent runs come last, so that they bring few together."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_runs(docs, words))
 
@@ -366,10 +377,10 @@ def run_marks(docs: DataFrame, words: int, least: float) -> DataFrame:
             sets = [np.unique(x) for x in every]
             fps = np.array([majority(x) for x in every], np.uint64).view(np.int64)
             columns = [batch.column("doc_id"), batch.column("mark"), pa.array([digest(x) for x in sets], pa.binary()), pa.array(fps), pa.array([len(x) for x in sets], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*columns, listed([first(x) for x in sets])], names=["doc_id", "mark", "key", "fp", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([*columns, listed([sketch(x) for x in sets]), listed([first(x) for x in sets])], names=["doc_id", "mark", "key", "fp", "size", "sketch", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "mark", "text").mapInArrow(run, f"doc_id {kind}, mark bigint, key binary, fp bigint, size int, prefix array<bigint>")
+    return docs.select("doc_id", "mark", "text").mapInArrow(run, f"doc_id {kind}, mark bigint, key binary, fp bigint, size int, sketch array<bigint>, prefix array<bigint>")
 
 
 def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -416,7 +427,7 @@ def shared_runs(x: Column, y: Column, least: float) -> Column:
     return whole((x + y) * (least / (1 + least)))
 
 
-def meetings(groups: DataFrame, least: float) -> DataFrame:
+def meetings(groups: DataFrame, least: float, sketches: DataFrame | None = None) -> DataFrame:
     """Rows of bundles (see bundled, with `root`) -> `(id, other)`, with repeats: sets of different
     components that have a bundle in common, where sizes and the bundle's place allow the similarity.
 
@@ -424,13 +435,20 @@ def meetings(groups: DataFrame, least: float) -> DataFrame:
     first size - shared_runs. Its bundle begins there too, so each pair meets by some bundle that does.
     For the smaller of two sets this bound is least strict where both have its size, so rows beyond
     that are never taken for the smaller side: sets of a large family that are alike, but not enough,
-    begin with runs of their own, and bring no pairs."""
+    begin with runs of their own, and bring no pairs. `sketches(id, sketch)`, if given, tell of most others that
+    meet that they differ in too many runs (see sketch): members of a family that each lack other runs of it."""
+    if sketches is not None:
+        groups = groups.join(sketches, "id")
     x, y, place, other_place = map(F.col, ("size", "other_size", "least_pos", "other_pos"))
-    smaller = groups.where(place <= x - shared_runs(x, x, least)).select(*BUNDLE[1:], "id", "size", "root", "least_pos")
-    others = groups.select(*BUNDLE[1:], F.col("id").alias("other"), x.alias("other_size"), F.col("root").alias("other_root"), place.alias("other_pos"))
+    smaller = groups.where(place <= x - shared_runs(x, x, least)).select(*BUNDLE[1:], "id", "size", "root", "least_pos", *(["sketch"] if sketches is not None else []))
+    more = [F.col("sketch").alias("other_sketch")] if sketches is not None else []
+    others = groups.select(*BUNDLE[1:], *more, F.col("id").alias("other"), x.alias("other_size"), F.col("root").alias("other_root"), place.alias("other_pos"))
     order = (x < y) | ((x == y) & (F.col("id") < F.col("other")))
     common = shared_runs(x, y, least)
     apart = order & (F.col("root") != F.col("other_root")) & (x >= y * (least - 1e-9)) & (place <= x - common) & (other_place <= y - common)
+    if sketches is not None:
+        differ = [F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("other_sketch")[i])) for i in range(SKETCH // 64)]
+        apart = apart & (sum(differ[1:], differ[0]) <= x + y - 2 * common)
     return smaller.join(others, list(BUNDLE[1:])).where(apart).select("id", "other")
 
 
@@ -444,8 +462,8 @@ def near_copy_roots(docs: DataFrame, words: int, least: float, stars: int) -> tu
     passage, are one bundle with their number, so sets meet once by it and not run by run. In
     `stars` rounds one set of each bundle that spans components leads it, and each set is held
     against the lead that it shares most runs with; at last come all pairs that lie in different
-    components still, where the sizes, the place of the first shared run (see meetings) and the number
-    of shared runs in their prefixes allow the similarity. So a large group of near copies doesn't cost the square of its size. Every link is
+    components still, where the sizes, the place of the first shared run, the sketches (see meetings) and the
+    number of shared runs in their prefixes allow the similarity. So a large group of near copies doesn't cost the square of its size. Every link is
     verified by the exact Jaccard.
     """
     marks = kept(run_marks(docs, words, least), "run-marks")
@@ -500,7 +518,7 @@ def near_copy_roots(docs: DataFrame, words: int, least: float, stars: int) -> tu
         roots = merged(roots, verified(best.select(F.col("id").alias("a"), F.col("other").alias("b"))))
         before, groups = groups, mixed(rooted(groups.drop("root"), roots))
         forget(before, leads)
-    rest = kept(meetings(groups, least).distinct(), "meetings")
+    rest = kept(meetings(groups, least, sets.select("id", "sketch")).distinct(), "meetings")
     met_sets = told_by_bits(sets.select("id", "size", "prefix"), rest.select(F.explode(F.array("id", "other")).alias("id")), ["id"])[0]
     ends = [met_sets.select(F.col("id").alias(c), F.col("size").alias(f"{c}_size"), F.col("prefix").alias(f"{c}_prefix")) for c in ("id", "other")]
     held = rest.join(ends[0], "id").join(ends[1], "other").withColumn("n", F.size(F.array_intersect("id_prefix", "other_prefix")))
