@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from orrery.llm.common import Remembered, cells, gathered, text_slices
+from orrery.llm.common import WORD_CACHE, Remembered, cells, gathered, text_slices
 
 #: Fixed values of byte-level BPE files: how texts are cut before merging.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -188,6 +188,11 @@ def valid(text: bytes) -> bytes:
     return text
 
 
+#: Words that an encoder remembers. A Python worker keeps them beyond its stage, so in a job of several
+#: stages they lie beside all that later ones need.
+WORDS = WORD_CACHE // 2
+
+
 @lru_cache(maxsize=4)
 def merges(path: str) -> Merges:
     return Merges(path)
@@ -209,7 +214,7 @@ class Encoder:
         self.cut = regex.compile(CUT).findall
         special = sorted(self.merges.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
-        self.words = Remembered()
+        self.words = Remembered(WORDS)
         self.feed = 4 * len(self.merges.encode([b"\n"])[0])
 
     def whole(self, text: str) -> bytes:

@@ -109,12 +109,12 @@ class Remembered(dict):
 
     older: dict
 
-    def __init__(self) -> None:
-        self.older = {}
+    def __init__(self, most: int = WORD_CACHE) -> None:
+        self.most, self.older = most, {}
 
     def recall(self, words: list) -> list:
         """What is known of each word, None where it must be computed anew."""
-        if len(self) > WORD_CACHE // 2:
+        if len(self) > self.most // 2:
             self.older = dict(self)
             self.clear()
         found = list(map(self.get, words))
