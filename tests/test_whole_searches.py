@@ -28,3 +28,34 @@ def test_search_query_asks_for_all_preferences(spark, sf):
     found = {r.pref_id for r in catalog.queries()["p2_search"](spark, sf).select("pref_id").distinct().collect()}
     customers, parts = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("customer", "part"))
     assert found == {r.c_custkey for r in customers.join(parts, customers.c_custkey == parts.p_partkey).collect()}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(last + (x != y), row[j] + 1, row[j + 1] + 1)
+    return row[-1]
+
+
+def test_fuzzy_pairs_of_large_classes_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(products, "SIDE", 4)
+    texts = ("red ring", "red rung", "old hat", "", None, "rd ringg")
+    rows = [(i, ("b", "c", None)[i % 3], texts[i * i % 7 % 6]) for i in range(90)] + [(5, "b", "red ring"), (5, "b", "red rung"), (None, "b", "red ring")]
+    got = sorted(tuple(r) for r in products.fuzzy_pairs(spark.createDataFrame(rows, "id long, block string, t string"), "block", "t", 4).collect())
+    want = [(i, j, edits(s, t)) for i, b, s in rows for j, c, t in rows if None not in (i, j, b, s, t) and b == c and i < j]
+    assert got == sorted(p for p in want if p[2] <= 4)
+
+
+def test_fuzzy_query_pairs_copies(spark, tmp_path):
+    spark.createDataFrame([(i, "red ring", "Brand#1") for i in range(4)], "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(tuple(r) for r in catalog.queries()["p12_fuzzy_match"](spark, str(tmp_path)).collect())
+    assert got == [(a, b, 0) for a in range(4) for b in range(a + 1, 4)]
+
+
+def test_few_rows_with_many_pairs_are_many_tasks(spark):
+    rows = spark.range(2000).selectExpr("id", "'b' as block", "'red ring' as t")
+    found = products.fuzzy_pairs(rows, "block", "t", 4)
+    assert found.count() == 2000 * 1999 // 2
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
