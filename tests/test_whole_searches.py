@@ -59,3 +59,35 @@ def test_few_rows_with_many_pairs_are_many_tasks(spark):
     found = products.fuzzy_pairs(rows, "block", "t", 4)
     assert found.count() == 2000 * 1999 // 2
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+WEIGHTS = {"price": 0.5, "recency": 0.3, "matches": 0.2}
+
+
+def ranking_tables(spark, caps, n_parts=60, n_offers=900):
+    names, brands = ("hat", "cap", None), ("B", "C", None)
+    prefs = [(i, names[i % 3], brands[i // 3 % 3], caps[i % len(caps)]) for i in range(200)] + [(7, "cap", None, 3), (3, "wig", None, 5)]
+    parts = [(i, names[i * i % 5 % 3], brands[i % 7 % 3]) for i in range(n_parts)] + [(4, "hat", "B"), (4, "hat", "B")]
+    offers = [(i * 7 % (n_parts + 3), None if i % 90 == 0 else i * i % 131 - 2, f"2024-01-{1 + i * i % 29:02}") for i in range(n_offers)]
+    offers = spark.createDataFrame(offers, "product_id long, unit_price_e4 long, day string").selectExpr("product_id", "unit_price_e4", "cast(day as date) as observed_at")
+    return spark.createDataFrame(prefs, "pref_id long, name string, brand string, max_price_e4 long"), spark.createDataFrame(parts, "product_id long, name string, brand string"), offers
+
+
+def test_ranks_by_steps_of_the_price_are_those_of_all_matches(spark):
+    for caps in ((40, 0, 40, 100, 77, 3, -1), (50, None, 5, 129)):
+        prefs, parts, offers = ranking_tables(spark, caps)
+        want = products.rank_matches(products.search(prefs, parts, offers), WEIGHTS, 3)
+        assert sorted(products.rank_searches(prefs, parts, offers, WEIGHTS, 3).select(want.columns).collect()) == sorted(want.collect())
+
+
+def test_ranking_shuffles_no_pairs_of_preferences_and_products(spark):
+    """800 products and 400 highest prices of one name make 320,000 pairs; no shuffle has many rows."""
+    prefs = spark.range(400).selectExpr("id as pref_id", "'hat' as name", "cast(null as string) as brand", "id + 1000 as max_price_e4")
+    parts = spark.range(800).selectExpr("id as product_id", "'hat' as name", "'B' as brand")
+    offers = spark.range(1600).selectExpr("id div 2 as product_id", "id * 37 % 900 as unit_price_e4", "date_add(date '2024-01-01', cast(id % 300 as int)) as observed_at")
+    context = spark.sparkContext
+    store, lists, none = context._jsc.sc().statusStore(), context._jvm.java.util.ArrayList, context._gateway.new_array(context._jvm.double, 0)
+    written = lambda: sum(s.shuffleWriteRecords() for s in (lambda x: [x.apply(i) for i in range(x.size())])(store.stageList(lists(), False, False, none, lists())))
+    before = written()
+    assert products.rank_searches(prefs, parts, offers, WEIGHTS, 5).count() == 2000
+    assert written() - before < 60_000
